@@ -1,0 +1,52 @@
+"""Helpers that the training-data operators share."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+ROOT = str(Path(__file__).resolve().parents[2])
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share.
+
+    Only where the setting is absent (tests, a laptop) a temporary folder is taken."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="twinspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/twinspark-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df as a table written to the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+
+
+def ascii_lower(col: Column) -> Column:
+    """Lower-cases A-Z and nothing else."""
+    return F.translate(col, UPPER, LOWER)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
