@@ -1,0 +1,9 @@
+"""queries() and oracle_sql() of the reference's operators."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
