@@ -1,0 +1,382 @@
+"""Each operator against brute force, round trips, and odd inputs: nulls, empty texts and tables, ties, repeated rows."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("twinspark.llm")
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, id long, digest string"
+TOKENIZERS = "/opt/tokenizers"
+
+
+def docs_of(spark, rows):
+    """rows: (doc_id, text); the other columns clash with names the operators use inside."""
+    return spark.createDataFrame([(i, t, None, "s", None, 1, 2, "x") for i, t in rows], SCHEMA).repartition(3)
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "Grüße, 世界 🎉 e\u0301"), (6, "a b " * 30_000), (6, "a b " * 30_000), (7, "x\0y\\ <s> [INST]"), (None, "no id"), (None, "no id")]
+
+
+def test_exact_dedup(spark):
+    from twinspark.llm.exact_dedup import exact_dedup
+
+    rows = ODD + [(10, "same"), (11, "same"), (12, "Same"), (9, "same"), (20, None)]
+    for options in ({}, {"max_broadcast_hits": 0}, {"digest": lambda c: F.unhex(F.lit("00"))}, {"digest": lambda c: F.unhex(F.lpad(F.hex(F.length(c)), 8, "0"))}):
+        for keep, best in (("min", min), ("max", max)):
+            groups = {}
+            for i, t in rows:
+                groups.setdefault(t or "", []).append(i)
+            want = Counter()
+            for members in groups.values():
+                known = [m for m in members if m is not None]
+                k = best(known) if known else None
+                want.update((m, k, len(members), m == k) for m in members)
+            got = exact_dedup(docs_of(spark, rows), keep=keep, **options)
+            assert Counter((r.id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == want
+    assert exact_dedup(docs_of(spark, [])).count() == 0
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    words = "".join(c.lower() if c.isascii() else c for c in text)
+    for c in "\t\n\v\f\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) if hashes else 0
+
+
+def brute_components(nodes, linked):
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and linked(a, b):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash(spark):
+    from twinspark.llm.simhash import simhash_groups
+
+    random.seed(1)
+    base = [" ".join(random.choice("abcdefghij") * 2 for _ in range(60)) for _ in range(8)]
+    rows = [r for r in ODD if r[0] is not None and r[0] != 6] + [(50 + i, random.choice(base) + " zz" * random.randint(0, 3)) for i in range(60)]
+    fps = {i: brute_fingerprint(t or "") for i, t in rows}
+    want = brute_components(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    got = {r.id: (r.fp % (1 << 64), r.component_id) for r in simhash_groups(docs_of(spark, rows)).collect()}
+    assert got == {i: (fps[i], want[i]) for i in fps}
+    assert simhash_groups(docs_of(spark, [])).count() == 0
+    assert {r.component_id for r in simhash_groups(docs_of(spark, [(None, "a"), (None, "a")])).collect()} == {None}
+
+
+def test_covering_masks_and_large_buckets(spark):
+    from twinspark.llm.components import components
+    from twinspark.llm.shared import shared_root
+    from twinspark.llm.simhash import covering_masks, near_links
+
+    masks = covering_masks(2)
+    assert all(any(not (1 << a | 1 << b) & m % (1 << 64) for m in masks) for a in range(64) for b in range(a, 64))
+    random.seed(2)
+    seeds = [random.getrandbits(64) for _ in range(4)]
+    fps = set(seeds)
+    for _ in range(300):
+        fps.add(random.choice(sorted(fps)) ^ 1 << random.randrange(64) ^ 1 << random.randrange(64))
+    nodes = dict(enumerate(sorted(fps)))
+    want = brute_components(list(nodes), lambda a, b: (nodes[a] ^ nodes[b]).bit_count() <= 2)
+    df = spark.createDataFrame([(n, f - (1 << 64) if f >> 63 else f) for n, f in nodes.items()], "node long, fp long")
+    for small in (2, 5, 1000):
+        root = shared_root(spark)
+        got = {r.node: r.component for r in components(near_links(df, 2, root, small), root).collect()}
+        assert {n: got.get(n, n) for n in nodes} == want
+
+
+def test_components_of_a_path(spark):
+    from twinspark.llm.components import components
+    from twinspark.llm.shared import shared_root
+
+    order = list(range(200))
+    random.Random(3).shuffle(order)
+    edges = spark.createDataFrame([*zip(order, order[1:]), (1, 1), (1000, 1001)], "a long, b long")
+    got = {r.node: r.component for r in components(edges, shared_root(spark)).collect()}
+    assert got == dict.fromkeys(range(200), 0) | {1000: 1000, 1001: 1000}
+
+
+def test_substring_dedup(spark):
+    from twinspark.llm.substring_dedup import fold, substring_dedup, units_of
+
+    line = "This is a line that many documents share."
+    rows = [r for r in ODD if r[0] is not None] + [(30, f"First.\n{line}\nThe end of thirty is near here."), (31, f"Intro words, {line} {line.upper()}"), (29, line + "\nown words of this one document here"), (32, line)]
+    for text in [t or "" for _, t in rows]:
+        assert "".join(text[a:b] for a, b, _ in units_of(text, 1)) == text
+    first, want = {}, {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        seen, parts = set(), []
+        for a, b, digest in units_of(t or "", 5):
+            form = fold((t or "")[a:b])
+            if digest is not None and (form in seen or first.setdefault(form, i) != i):
+                continue
+            seen.add(form)
+            parts.append((t or "")[a:b])
+        want[i] = "".join(parts)
+    got = substring_dedup(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r.kept_text == want[r.id] for r in got)
+    texts = dict(rows)
+    assert all("".join(c for k, c in enumerate(texts[r.id] or "") if not any(s.start <= k < s.stop for s in r.removed)) == r.kept_text for r in got)
+    assert want[32] == "" and want[30] == "First.\nThe end of thirty is near here."
+    assert substring_dedup(docs_of(spark, [])).count() == 0
+
+
+def test_toxicity(spark):
+    from twinspark.llm.toxicity import drop_toxic, held_out, score, train_on_labels
+
+    random.seed(4)
+    word = lambda: "".join(random.choice("aeioulnrst") for _ in range(5))
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        rows.append((i, " ".join([word() for _ in range(30)] + ["Scumbag"] * toxic)))
+        labels.append((i, 0, int(toxic), "clash"))
+    labels += [(3, 0, None, ""), (None, 0, 1, ""), (5_000, 0, 1, "")]
+    docs, given = docs_of(spark, rows + ODD[:-2]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    model = train_on_labels(docs.where("doc_id >= 10"), given)
+    got = {r.id: r.score for r in score(docs, model).collect()}
+    unseen = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0 and i >= 10]
+    assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in unseen) >= 0.95 * len(unseen)
+    assert all(0 <= s <= 1 for s in got.values())
+    assert {r.doc_id for r in docs.where(held_out()).select("doc_id").collect()} == {i for i, _ in rows + ODD[:-2] if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert drop_toxic(docs, given).columns == docs.columns
+    assert score(docs_of(spark, []), model).count() == 0
+    flat = train_on_labels(docs, given.where("toxic = 0"))
+    assert len({r.score for r in score(docs, flat).collect()}) == 1
+
+
+def test_decontamination(spark):
+    from twinspark.llm.decontaminate import drop_contaminated, find_items, shingles
+    from twinspark.llm.substring_dedup import fold
+
+    random.seed(5)
+    text = lambda n: " ".join(random.choice("ab") + random.choice("cdefgh") + random.choice("ijkl") for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate([3, 5, 6, 9, 20, 40, 40])] + [(7, None), (8, ""), (4, "again " + text(8)), (None, text(12)), (9, "one, two: three FOUR")]
+    rows = [r for r in ODD if r[0] != 6]
+    for i in range(60):
+        item = (random.choice(items)[1] or "").split()
+        a, b = sorted((random.randint(0, 4), random.randint(len(item) - 4, len(item)))) if len(item) > 8 else (0, len(item))
+        rows.append((100 + i, " ".join([text(50), ", ".join(item[a:b]).upper(), text(30)])))
+    rows.append((99, "so ONE two three; four."))
+    want = Counter()
+    for i, t in rows:
+        own = fold(t or "").split()
+        for k, u in items:
+            parts = fold(u or "").split()
+            if parts:
+                n = min(5, len(parts))
+                have, need = shingles(own, n), shingles(parts, n)
+                if len(need & have) * 10 >= len(need) * 8:
+                    want[i, k, len(need), len(need & have)] += 1
+    assert len(want) > 20
+    docs, bench = docs_of(spark, rows), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id long")
+    for options in ({}, {"max_broadcast_bytes": 0}):
+        got = find_items(docs, bench, **options)
+        assert Counter((r.id, r.item_id, r.item_shingles, r.shared_shingles) for r in got.collect()) == want
+        assert find_items(docs_of(spark, []), bench, **options).count() == 0
+        assert find_items(docs, bench.limit(0), **options).count() == 0
+    kept = drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - sum(1 for i, _ in rows if i in {k[0] for k in want})
+
+
+def brute_repeats(texts, length):
+    where = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if where[t[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        out.append((sum(gone), sum(g and not h for g, h in zip(gone, [False, *gone])), bytes(b for b, g in zip(t, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("most_contexts", [0, 3, 4096])
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghé", "a"])
+def test_long_repeats(spark, most_contexts, alphabet):
+    from twinspark.llm.long_repeats import remove_long_repeats
+
+    random.seed(6)
+    text = lambda n: "".join(random.choice(alphabet) for _ in range(n))
+    shared = [text(n) for n in (24, 30, 45, 90)]
+    rows = [(i, "".join(random.choice([text(random.randint(0, 60)), random.choice(shared)[random.randint(0, 5) :]]) for _ in range(6))) for i in range(80 if len(alphabet) > 1 else 8)]
+    rows += [(3, rows[7][1]), (4, rows[7][1]), (2, None), (2, ""), (None, "x" * 23), (None, text(40))]
+    want = Counter((i, len((t or "").encode()), n, s, k) for (i, t), (n, s, k) in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 24)))
+    got = remove_long_repeats(docs_of(spark, rows), length=24, most_contexts=most_contexts)
+    assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == want
+
+
+def test_long_repeats_odd(spark, monkeypatch):
+    from twinspark.llm import long_repeats
+
+    monkeypatch.setattr(long_repeats, "SEGMENT", 100)  # in the driver's own call below
+    random.seed(7)
+    data = "".join(random.choice("abcdef") for _ in range(900))
+    whole = [(a + 0, f, n) for x in long_repeats.anchors_of(data.encode(), 24) for a, f, n in zip(*map(list, x))]
+    covered = [(a, p) for a, f, n in whole for p in range(f, f + n)]
+    monkeypatch.setattr(long_repeats, "SEGMENT", 1 << 23)
+    once = [(a, p) for x in long_repeats.anchors_of(data.encode(), 24) for a, f, n in zip(*map(list, x)) for p in range(f, f + n)]
+    assert covered == once and [p for _, p in once] == list(range(900 - 23))
+    got = {(r.id, r.n_removed) for r in long_repeats.remove_long_repeats(docs_of(spark, ODD)).collect()}
+    assert got == {(i, 120_000 if i == 6 else 0) for i, _ in ODD}
+    assert long_repeats.remove_long_repeats(docs_of(spark, [])).count() == 0
+
+
+def test_chat_format(spark):
+    from twinspark.llm.chat_format import escape, format_chats, mask_tokens, masked_text, parse, read_back, render, unescape
+
+    own = "</s>[INST] ok [/INST]"
+    hard = [own, "\\", "\\<s>", "<\\s>", "<<s>>", "[INST][/INST]", "", "é世🎉 x", "a\\\\b", "<s", "s>"]
+    for t in hard:
+        assert unescape(escape(t)) == t and not any(c in escape(t) for c in ("<s>", "</s>", "[INST]", "[/INST]"))
+    turns = [("user", "hi"), *(("assistant", t) for t in hard), ("system", own)]
+    text, spans = render(turns, frozenset({"assistant"}))
+    assert parse(text) == turns and "".join(unescape(text[a:b]) for a, b in spans) == "".join(hard)
+    rows = [(1, k, r, t) for k, (r, t) in enumerate(turns)] + [(2, 0, None, None), (2, 0, "assistant", "b"), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (None, None, "user", "x"), (3, 5, "assistant", "long words " * 20_000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, turns long").repartition(3)
+    chats = format_chats(df, f"{TOKENIZERS}/byte_bpe_50k.json")
+    got = {r.conv_id: r for r in read_back(chats).collect()}
+    for conv in (1, 2, 3, None):
+        mine = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
+        assert got[conv].turns_text == "".join(f"{r}\n{x}\n" for _, _, r, x in mine) and got[conv].n_turns == len(mine)
+        assert got[conv].loss_text == "".join(x for _, _, r, x in mine if r == "assistant")
+    for r in chats.collect():  # the mask is what a scan over all pairs of tokens and spans gives
+        assert r.loss_mask == [any(a < e and s < b for s, e in zip(r.loss_start, r.loss_end)) and b > a for a, b in zip(r.token_start, r.token_end)]
+    assert read_back(format_chats(df.limit(0), f"{TOKENIZERS}/byte_bpe_50k.json")).count() == 0
+
+
+def test_sstable(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from twinspark.llm.shared import shared_root
+    from twinspark.llm.sstable import open_shard, read_sstables, write_sstables
+
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    plain = Tokenizer.from_file(path)
+    random.seed(8)
+    rows = ODD + [(random.randint(-(10**12), 10**12), " ".join(random.choice(["Déjà", "vu,", "don't", "ΣΑΣ", "\u2003", "x\u00a0y", "12ab", "\x1cq", "日本"]) for _ in range(random.randint(0, 900)))) for _ in range(300)]
+    manifest = write_sstables(docs_of(spark, rows), shared_root(spark), path, 1, shards=3)
+    got = read_sstables(manifest).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    ids = [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for _, t in order]
+    starts = np.cumsum([0, *map(len, ids)])[:-1].tolist()
+    got.sort(key=lambda r: r.start)
+    assert [(r.doc_id, r.start, r.ids) for r in got] == [(i, s, x) for (i, _), s, x in zip(order, starts, ids)]
+    digests = {(r.start, r.n_tokens, r.ids_crc32) for r in read_sstables(manifest, digest=True).collect()}
+    assert digests == {(s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for s, x in zip(starts, ids)}
+    shards = [open_shard(r.shard_path) for r in manifest.collect()]
+    assert len(shards) == 3 and sum(s.entries for s in shards) == len(rows) and any(len(s.index) > 1 for s in shards)
+    for doc_id in [None, 6, *random.sample([r[0] for r in rows if r[0] is not None], 40)]:
+        assert sorted(x.tolist() for s in shards for x in s.lookup(doc_id)) == sorted(x for (i, _), x in zip(order, ids) if i == doc_id)
+    assert not any(s.lookup(k) for s in shards for k in (10**15, -(10**15), 8))
+    assert read_sstables(write_sstables(docs_of(spark, []), shared_root(spark), path, 1)).count() == 0
+
+
+def test_sentencepiece(spark):
+    import numpy as np
+
+    from twinspark.llm.sentencepiece_bpe import LONG_WORD, MergeTable, decode_pieces, encode_pieces, load
+
+    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    library = load(path)
+    random.seed(9)
+    rows = [r for r in ODD if r[0] != 6] + [(100, " " * 999), (101, "▁▁x▁ \n\n y"), (102, "<s></s><0x0A>"), (103, "theainrs" * 400), (104, "a   b    c  ")]
+    rows += [(200 + i, "".join(random.choice("thein ars\n\té世🎉") for _ in range(random.randint(1, 900)))) for i in range(150)]
+    got = {r.doc_id: r for r in decode_pieces(encode_pieces(docs_of(spark, rows), path), path).collect()}
+    for i, t in rows:
+        assert got[i].ids == library.encode(t or "")
+        assert got[i].decoded == (library.decode(got[i].ids) if t else "")
+    table = MergeTable(library)
+    for _ in range(300):
+        word = "".join(random.choice("theainrs▁") for _ in range(random.randint(1, LONG_WORD)))
+        symbols = table.symbols([word])
+        assert table._by_heap(symbols.tolist()) == table._by_rounds(symbols.copy(), np.array([len(word)]))[0].tolist()
+    assert encode_pieces(docs_of(spark, []), path).count() == 0
+
+
+def test_url_filter(spark):
+    from twinspark.llm.queries import SITE_RULES, url_rules
+    from twinspark.llm.url_filter import judge_urls
+
+    urls = [None, "", "x", "/a/b", "http://", "http://COM/en/x", "https://a.b.COM/en/", "http://xcom/en/", "ftp://example.com/en/71?x=/de/", "http://www.example.com/en/7", "http://example.net/de/8", "http://example.net/de/7#8", "//org/es/", "a://org/es/://net/de/", "http://o.org/ES/", "http://É.org/es/é", "http://www.cheap-pills.example.com/x", "http://spam-farm.org/es/1", "http://spam-farmer.org", "http://a.com?/en/", "http://xxx", "http://a.com/en/\nq"] * 2
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, html string, rule string").repartition(3)
+
+    def brute(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host = "".join(c.lower() if c.isascii() else c for c in rest[:cut])
+        path = rest[cut:]
+        path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+        fits = [(len(h + p), h + p, a) for a, h, p in SITE_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        return host, path, best and best[1], best and best[2]
+
+    for options in ({}, {"max_broadcast_rules": 0}):
+        got = {r.page_id: r for r in judge_urls(pages, url_rules(), **options).collect()}
+        assert len(got) == len(urls)
+        for i, u in enumerate(urls):
+            host, path, rule, verdict = brute(u)
+            r = got[i]
+            bad = any(w in host for w in ("cheap-pills", "spam-farm.")) or host == "xxx"
+            assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or ("block" if bad else "allow")), u
+        assert judge_urls(pages.limit(0), url_rules(), **options).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    """Against the stages' own operators applied one by one to rows held in Python, where that is feasible."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from twinspark.llm.sentencepiece_bpe import load
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    from twinspark.llm.decontaminate import shingles
+    from twinspark.llm.substring_dedup import fold
+    from twinspark.llm.toxicity import train_on_labels
+
+    model = train_on_labels(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    left = {i: t for i, t in rows.items() if model.score(t) < 0.5}
+    last = {t: i for i, t in sorted(left.items())}
+    left = {i: t for t, i in last.items()}
+    fps = {i: brute_fingerprint(t) for i, t in left.items()}
+    group = brute_components(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    left = {i: t for i, t in left.items() if group[i] == i or not t.split()}
+    items = [shingles(fold(r.text).split(), 5) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    left = {i: t for i, t in left.items() if not any(len(x & shingles(fold(t).split(), 5)) * 10 >= 8 * len(x) for x in items)}
+    library = load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    got = {r.doc_id: (r.ids, r.decoded) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == {i: (library.encode(t), library.decode(library.encode(t))) for i, t in left.items()}
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
+    stage = docs
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stage = f(spark, stage, sf)
+        assert stage.columns == docs.columns
+
+
+def test_digest_of_queries(spark):
+    """The thin queries' digest columns come from the operators' outputs."""
+    from twinspark.llm.queries import piece_digests
+
+    row = piece_digests(spark.createDataFrame([(1, [5, 7], "é"), (2, [], "")], "doc_id long, ids array<int>, decoded string")).collect()
+    assert row[0].ids_sha256 == hashlib.sha256(b"5,7").hexdigest() and row[0].decoded_sha256 == hashlib.sha256("é".encode()).hexdigest()
+    assert row[1].ids_sha256 == hashlib.sha256(b"").hexdigest() and row[1].n_tokens == 0

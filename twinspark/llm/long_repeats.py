@@ -1,2 +1,226 @@
-def remove_long_repeats(docs):
-    raise NotImplementedError
+"""Removal of long repeated substrings, exactly, without a global suffix array.
+
+A suffix array finds strings of `length` bytes that start at two places or more as neighbours with a long common
+prefix. Sorting all suffixes by induction runs through the text in one order and cannot be dealt to many machines, so
+this operator samples suffixes and groups them by Spark's own external shuffle instead (see the README):
+
+1. Each window of `length` bytes has an anchor: the leftmost of its k-grams with the smallest hash. Equal windows have
+   equal anchors at equal offsets. An anchor governs a run of neighbouring windows.
+2. Each anchor gives a row with two digests: `core`, of what all windows around it share, and `full`, of everything
+   its windows can reach. A core that occurs once has no repeated window. A full that occurs twice makes all its
+   windows repeated. Only counts are grouped, so a hot passage leaves each task as one row.
+3. The windows of the remaining anchors, at the borders of repeated passages, are compared one by one: their bytes
+   meet by core, one context for each distinct full. Cores with very many contexts deal out single windows instead.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from twinspark.llm.shared import release, shared_root, ship, stored
+
+LENGTH = 400
+#: Cores with more contexts than this deal out their windows one by one; fewer meet in a task.
+MOST_CONTEXTS = 4_096
+SEGMENT = 1 << 23  # longer texts are read in pieces that overlap by a window
+CHUNK = 2_048  # contexts compared at a time
+NO_ID = -(1 << 63)
+
+
+def anchors_of(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """anchor, first window, number of windows: arrays, for each piece of the text."""
+    k = 1 << max(1, (length // 3).bit_length() - 1)  # a power of two from a sixth to a third of the window
+    span = length - k + 1  # k-grams in a window
+    for at in range(0, max(0, len(data) - length + 1), SEGMENT):
+        h = (np.frombuffer(data, np.uint8, min(SEGMENT + length - 1, len(data) - at), at).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        step = 1
+        while step < k:
+            h = h[:-step] * np.uint64(0xD6E8FEB86659FD93) + (h[step:] ^ (h[step:] >> np.uint64(29)))
+            h ^= h >> np.uint64(32)
+            step *= 2
+        low = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
+        reach = 1
+        while reach * 2 <= span:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        if reach < span:
+            low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
+        anchor = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        yield anchor[first] + at, first + at, np.diff(np.append(first, len(anchor)))
+
+
+def anchor_digests(data: bytes, anchor: int, length: int) -> tuple[int, int]:
+    """core: the bytes in every window whose anchor this is. full: all bytes that such windows reach, cut at the text's ends."""
+    k = 1 << max(1, (length // 3).bit_length() - 1)
+    left, right = max(0, anchor - (length - k)), min(len(data), anchor + length)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return signed(xxhash.xxh3_64_intdigest(data[anchor : anchor + k])), signed(xxhash.xxh3_64_intdigest(data[left:right], anchor - left))
+
+
+def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
+    """For each context: which of its windows also occurs elsewhere among the contexts' windows."""
+    sizes = np.array([len(c) for c in contexts])
+    buf = np.frombuffer(b"".join(contexts), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    counts = sizes - length + 1
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    pair = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        h = (buf.astype(np.uint64) + np.uint64(1)) * np.uint64(seed)
+        h ^= h >> np.uint64(31)
+        step = 1
+        while step * 2 <= length:
+            h = h[:-step] * np.uint64(0xD6E8FEB86659FD93) + (h[step:] ^ (h[step:] >> np.uint64(29)))
+            h ^= h >> np.uint64(32)
+            step *= 2
+        pair.append(h[at] * np.uint64(0xFF51AFD7ED558CCD) + (h[at + length - step] ^ (h[at + length - step] >> np.uint64(33))))
+    order = np.lexsort(pair)
+    same = (pair[0][order][1:] == pair[0][order][:-1]) & (pair[1][order][1:] == pair[1][order][:-1])
+    hit = np.zeros(len(order), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    return np.split(hit, np.cumsum(counts)[:-1])
+
+
+def runs_of(hit: np.ndarray) -> Iterator[tuple[int, int]]:
+    """start and length of each run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        yield a, b - a
+
+
+def repeated_runs(texts: DataFrame, root: str, length: int = LENGTH, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+    """id, tag, first, windows: runs of start positions (in bytes) whose `length` bytes occur elsewhere too.
+
+    texts: id (long, not null), tag (int, tells rows of one id apart), text (not null)."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch, rows = whole.slice(at, 500), [[] for _ in range(6)]
+                for doc_id, tag, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    data = text.encode("utf-8")
+                    for anchor, first, windows in anchors_of(data, length):
+                        digests = [anchor_digests(data, a, length) for a in anchor.tolist()]
+                        for column, values in zip(rows, ([d[0] for d in digests], [d[1] for d in digests], [doc_id] * len(anchor), [tag] * len(anchor), first.tolist(), windows.tolist()), strict=True):
+                            column += values
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["core", "full", "id", "tag", "first", "windows"])
+
+    spark = texts.sparkSession
+    found = stored(texts.mapInArrow(cells, "core long, full long, id long, tag int, first int, windows int"), f"{root}/anchors")
+    again = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    found = stored(found.join(again, "core", "left_semi"), f"{root}/candidates")
+    release(spark, f"{root}/anchors")
+
+    # A core is mixed if one of its fulls occurs once; then one context of each of its fulls must be compared.
+    fulls = found.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("of"))
+    mixed = fulls.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("contexts")).where("least = 1 and contexts > 1")
+    known = stored(fulls.join(mixed, "core", "left").select("core", "full", "n", "of", F.coalesce("contexts", F.lit(0)).alias("contexts")).where("n > 1 or contexts > 0"), f"{root}/fulls")
+    joined = stored(found.join(known, ["core", "full"]), f"{root}/joined")
+    resolved = joined.where("n > 1").select("id", "tag", "first", "windows")
+    open_ = joined.where("contexts > 0 and (n = 1 or id = of)").select("id", "tag", "first", "windows", "core", "contexts")
+    release(spark, f"{root}/candidates", f"{root}/fulls")
+
+    # The bytes of what is to be compared; an array here has at most as many entries as its document has anchors.
+    asked = open_.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "windows", "core", "contexts")).alias("asked"))
+    kind = "id long, tag int, first int, core long, contexts long, data binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch, rows = whole.slice(at, 200), []
+                for doc_id, tag, text, wanted in zip(*(batch.column(n).to_pylist() for n in ("id", "tag", "text", "asked")), strict=True):
+                    data = text.encode("utf-8")
+                    rows += ((doc_id, tag, x["first"], x["core"], x["contexts"], data[x["first"] : x["first"] + x["windows"] - 1 + length]) for x in wanted)
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["id", "tag", "first", "core", "contexts", "data"])
+
+    contexts = stored(texts.join(asked, ["id", "tag"]).select("id", "tag", "text", "asked").mapInArrow(cut, kind), f"{root}/contexts")
+    release(spark)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            out = [(r[0], r[1], r[2] + a, n) for r, hit in zip(rows, repeated_windows([r[4] for r in rows], length), strict=True) for a, n in runs_of(hit)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["id", "tag", "first", "windows"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("id", "tag", "first", "core", "data")), strict=True):
+                if len(held) >= CHUNK and row[3] != held[-1][3]:
+                    yield done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(held)
+
+    run_kind = "id long, tag int, first int, windows int"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = contexts.where(F.col("contexts") <= most_contexts).repartition(n, "core").sortWithinPartitions("core").select("id", "tag", "first", "core", "data").mapInArrow(compare, run_kind)
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch, rows, digests = whole.slice(at, 500), [], []
+                for doc_id, tag, first, data in zip(*(batch.column(n).to_pylist() for n in ("id", "tag", "first", "data")), strict=True):
+                    for p in range(len(data) - length + 1):
+                        rows.append((doc_id, tag, first + p))
+                        digests.append(xxhash.xxh3_128_digest(data[p : p + length]))
+                both = np.frombuffer(b"".join(digests), ">i8").astype("<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32()))), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["id", "tag", "first", "high", "low"])
+
+    windows = contexts.where(F.col("contexts") > most_contexts).select("id", "tag", "first", "data").mapInArrow(single, "id long, tag int, first int, high long, low long")
+    twice = windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    many = windows.join(twice, ["high", "low"], "left_semi").select("id", "tag", "first", F.lit(1).alias("windows"))
+    return resolved.unionByName(few).unionByName(many)
+
+
+def remove_long_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+    """One row for each row of docs: id, n_bytes, n_removed, n_spans, removed (byte spans), kept (the bytes that stay).
+
+    A byte goes if it lies in a string of `length` bytes that starts at another place too, in the same document or in
+    any other, judged on the input. Matches never cross documents. Null text counts as empty; texts shorter than
+    `length` lose nothing; rows that repeat an id, or have none, are documents of their own, and equal texts of
+    `length` bytes or more all go. An empty table gives no rows. Other columns are not read."""
+    spark = docs.sparkSession
+    ship(spark)
+    root = shared_root(spark)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    own = F.col(f"`{id_col}`").cast("long")
+    texts = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("id"), text.alias("text")).select("id", (F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))).cast("int").alias("tag"), "text")
+    runs = stored(repeated_runs(texts, root, length, most_contexts), f"{root}/runs")
+    release(spark, f"{root}/contexts", f"{root}/joined")
+    spans = runs.distinct().groupBy("id", "tag").agg(F.sort_array(F.collect_list(F.struct("first", "windows"))).alias("runs"))
+    kind = "id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start: int, stop: int>>, kept binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch, rows = whole.slice(at, 500), []
+                for doc_id, text, found in zip(*(batch.column(n).to_pylist() for n in ("id", "text", "runs")), strict=True):
+                    data, gone = text.encode("utf-8"), []
+                    for x in found or ():
+                        start, stop = x["first"], x["first"] + x["windows"] - 1 + length
+                        if gone and start <= gone[-1]["stop"]:
+                            gone[-1]["stop"] = max(stop, gone[-1]["stop"])
+                        else:
+                            gone.append({"start": start, "stop": stop})
+                    parts, done = [], 0
+                    for x in gone:
+                        parts.append(data[done : x["start"]])
+                        done = x["stop"]
+                    kept = b"".join([*parts, data[done:]])
+                    rows.append((None if doc_id == NO_ID else doc_id, len(data), len(data) - len(kept), len(gone), gone, kept))
+                span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+                kinds = [pa.int64()] * 4 + [span, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in ("id", "n_bytes", "n_removed", "n_spans", "removed", "kept")])
+
+    return texts.join(spans, ["id", "tag"], "left").select("id", "text", "runs").mapInArrow(run, kind)

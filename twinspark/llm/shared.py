@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -31,6 +32,17 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch tables that later steps no longer read, and lets Spark's cleaner drop the shuffle files behind
+    tables that are written: it does so when the driver's garbage is collected."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        there = jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package where it is not installed."""
     env = spark.sparkContext.environment
