@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +188,13 @@ def load(model_path: str):
     return sentencepiece.SentencePieceProcessor(model_file=model_path)
 
 
+@lru_cache(maxsize=2)
+def encoder(model_path: str) -> tuple[MergeTable, WordCache]:
+    """A Python worker keeps the table and its bounded cache of words from one task to the next."""
+    table = MergeTable(load(model_path))
+    return table, WordCache(table.encode_words)
+
+
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and ids, one row for each row of docs: what the sentencepiece library's encode() gives for the whole text.
 
@@ -196,8 +204,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = MergeTable(load(model_path))
-        cache = WordCache(table.encode_words)
+        table, cache = encoder(model_path)
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)

@@ -9,12 +9,15 @@ task streams its sorted range into one shard, a block at a time.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -170,22 +173,81 @@ def open_shard(path: str) -> ShardReader:
     return ShardReader(fs.open_input_file(inner))
 
 
+def byte_alphabet() -> list[str]:
+    """The character for each byte in byte-level models: printable Latin-1 stands for itself, others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+@lru_cache(maxsize=2)
 def word_encoder(tokenizer_path: str, end_id: int) -> Callable[[list[str | None]], list[np.ndarray]]:
     """Encodes texts as the tokenizers library does for a tokenizer that drops white space between words.
 
-    Spaces and line feeds part words in such a tokenizer, so each distinct word is encoded once. Null is empty."""
+    Spaces and line feeds part words in such a tokenizer, so each distinct word is encoded once. New words of Latin
+    letters and printable ASCII are cut by the tokenizer's own pattern and given to the library's model part by part,
+    without the cost of its full encodings; all other words take the library's whole way. Null is empty. A Python worker
+    keeps the encoder and its bounded cache from one task to the next."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-
-    def words_to_ids(words: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(words), 4096):
-            for code in tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
-                yield np.array(code.ids, "<u4").tobytes()
+    with open(tokenizer_path, encoding="utf-8") as f:
+        steps = json.load(f)
+    normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", ())]
+    cuts = (steps["pre_tokenizer"] or {}).get("pretokenizers", ())
+    known = normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+    if not known:
+        raise ValueError("the tokenizer is not one that lower-cases and drops white space")
+    cut, latin = regex.compile("\n|" + cuts[0]["pattern"]["Regex"]), regex.compile("[!-~\u00a1-\u024f]+")
+    special = [t["content"] for t in steps["added_tokens"]]
+    letters, tokenize = byte_alphabet(), tokenizer.model.tokenize
+
+    class Parts(dict):
+        """Ids of each part of a word, found by the library's model when first asked for."""
+
+        def __missing__(self, part: str) -> bytes:
+            if len(self) >= 200_000:
+                self.clear()
+            value = array("I", [t.id for t in tokenize("".join([letters[b] for b in part.encode("utf-8")]))]).tobytes()
+            if len(part) <= 64:
+                self[part] = value
+            return value
+
+    parts = Parts()
+
+    def words_to_ids(words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        fast, slow = [], []
+        for i, w in enumerate(words):
+            plain = w.isprintable() if w.isascii() else latin.fullmatch(w)
+            (fast if plain and not any(t in w for t in special) else slow).append(i)
+        place, own = iter(fast), []
+        for part in cut.findall("\n".join([words[i] for i in fast]).lower()):
+            if part == "\n":
+                out[next(place)] = b"".join(own)
+                own = []
+            else:
+                own.append(parts[part])
+        if fast:
+            out[next(place)] = b"".join(own)
+        for i, code in zip(slow, tokenizer.encode_batch_fast([words[i] for i in slow], add_special_tokens=False), strict=True):
+            out[i] = array("I", code.ids).tobytes()
+        return out
 
     cache, end = WordCache(words_to_ids), np.array([end_id], "<u4").tobytes()
-    return lambda texts: [np.frombuffer(b"".join(cache.get((t or "").replace("\n", " ").split(" "))) + end, "<u4") for t in texts]
+
+    def encode(texts: list[str | None]) -> list[np.ndarray]:
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        codes = cache.get([w for words in split for w in words])
+        out, at = [], 0
+        for words in split:
+            out.append(np.frombuffer(b"".join(codes[at : at + len(words)]) + end, "<u4"))
+            at += len(words)
+        return out
+
+    return encode
 
 
 def write_sstables(docs: DataFrame, root: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Word-wise encoding with a bounded cache: natural text repeats its words, so each is encoded once a task."""
+"""Word-wise encoding with a bounded cache: natural text repeats its words, so each is encoded once a worker."""
 
 from __future__ import annotations
 
@@ -6,20 +6,27 @@ from collections.abc import Callable, Iterable
 
 
 class WordCache:
-    """Maps words to what encode() gives for a list of new words. Starts anew when it would hold over `most` words."""
+    """Maps words to what encode() gives for a list of new words.
+
+    Two generations of half of `most` words each: when the young one is full it takes the old one's place, and words
+    that are met again come back from there, so frequent words stay."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 600_000, longest: int = 256):
-        self.encode, self.most, self.longest, self.known = encode, most, longest, {}
+        self.encode, self.half, self.longest, self.young, self.old = encode, most // 2, longest, {}, {}
 
     def get(self, words: list[str]) -> list:
         """One value for each of words, in order."""
-        found = list(map(self.known.get, words))
-        missing = list({w for w, value in zip(words, found, strict=True) if value is None})
+        found = list(map(self.young.get, words))
+        missing = {w for w, value in zip(words, found, strict=True) if value is None}
         if not missing:
             return found
-        new = dict(zip(missing, self.encode(missing), strict=True))
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-        if len(new) <= self.most:
-            self.known.update((w, v) for w, v in new.items() if len(w) <= self.longest)
+        new = {w: self.old[w] for w in missing if w in self.old}
+        unknown = [w for w in missing if w not in new]
+        if unknown:
+            new.update(zip(unknown, self.encode(unknown), strict=True))
+        kept = {w: v for w, v in new.items() if len(w) <= self.longest}
+        if len(self.young) + len(kept) > self.half:
+            self.old, self.young = self.young, {}
+        if len(kept) <= self.half:
+            self.young.update(kept)
         return [new[w] if value is None else value for w, value in zip(words, found, strict=True)]
