@@ -1,0 +1,143 @@
+import pytest
+from pyspark.sql import functions as F
+
+from twinspark.operators import archive, cache, dedup, model, routing, telemetry, training
+from twinspark.schema import METRICS, assert_schema
+
+FILES = "path string, size long, identity string, modified string, changed string, digest string, content string"
+
+
+def files(spark, rows):
+    return spark.createDataFrame([(p, len(c), "i", "m", "c", d, c) for p, d, c in rows], FILES)
+
+
+def test_bytes_decide_over_digests(spark):
+    df = files(spark, [("a1", "0", "AAAA"), ("a2", "0", "AAAA"), ("b1", "0", "BBBB"), ("b2", "0", "BBBB"), ("c", "0", "CCCC")])
+    assert {(r.representative, r.member) for r in dedup.matches(df).collect()} == {("a1", "a1"), ("a1", "a2"), ("b1", "b1"), ("b1", "b2")}
+    assert [r.path for r in dedup.unique_files(df).collect()] == ["c"]
+    lines = sorted(r.line for r in dedup.report_lines(df, True).collect())
+    assert lines == ['0\t"c"', '1\t"a1"', '1\t"a2"', '2\t"b1"', '2\t"b2"']
+    empty = df.limit(0)
+    assert dedup.matches(empty).count() == 0 and dedup.report_lines(empty).count() == 0
+
+
+def test_boundaries(spark):
+    rows = []
+    for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 3073):
+        rows += [(f"x{n}", "x" * n), (f"y{n}", "x" * n)] + [(f"z{n}", "x" * (n - 1) + "y")] * (n > 0)
+    df = files(spark, [(p, str(hash(c)), c) for p, c in rows])
+    counters = dedup.scan_counters(df, df.limit(0), dedup.matches(df)).first()
+    assert (counters.scanned, counters.hashed, counters.cached, counters.groups, counters.matches, counters.unique_files) == (29, 29, 0, 10, 20, 9)
+
+
+@pytest.mark.parametrize("field", ["size", "identity", "modified", "changed"])
+def test_any_stamp_field_misses(spark, field):
+    now = files(spark, [("a", "d", "text")])
+    old = now.withColumn(field, F.lit(99 if field == "size" else "other").cast(now.schema[field].dataType))
+    assert cache.cache_hits(now, now).count() == 1 and cache.cache_hits(now, old).count() == 0 and cache.cache_misses(now, old).count() == 1
+    assert cache.refreshed(now.drop("digest"), old).first().origin == "hashed"
+    assert cache.refreshed(now.drop("digest"), old, now).first().origin == "archive"
+
+
+def test_fail_if_any(spark):
+    cache.fail_if_any(spark.range(0), "none")
+    with pytest.raises(RuntimeError):
+        cache.fail_if_any(spark.range(1), "one")
+    with pytest.raises(ValueError):
+        assert_schema(spark.range(1), METRICS, "metrics")
+
+
+def history(spark, runs, shift=0, bytes_=1):
+    r = spark.createDataFrame([(i, n, "complete") for n, i in enumerate(runs)], "run_id string, started_unix_ns long, status string")
+    e = spark.createDataFrame([(2 * n + k + shift, i, "log" if k else "span", bytes_) for n, i in enumerate(runs) for k in (0, 1)], "event_id long, run_id string, type string, bytes int")
+    m = spark.createDataFrame([(i, "n", 1.0) for i in runs], "run_id string, name string, value double")
+    p = spark.createDataFrame([(i, "c", "n", "v") for i in runs], "run_id string, category string, name string, value string")
+    return archive.History(r, e, m, p)
+
+
+def test_archive_union(spark):
+    a, b = history(spark, ["a"]), history(spark, ["b"], 10)
+    union, bridge, totals = archive.archive_union([(1, a), (2, b)])
+    assert union.runs.count() == 2 and union.events.count() == 4 and bridge.count() == 2
+    union, _, totals = archive.archive_union([(1, a), (2, history(spark, ["a"], 50))])  # other event ids are no conflict
+    assert union.runs.count() == 1 and union.events.count() == 2
+    assert [(r.runs_added, r.runs_duplicate) for r in totals.orderBy("source_id").collect()] == [(1, 0), (0, 1)]
+    with pytest.raises(RuntimeError, match="conflicting"):
+        archive.archive_union([(1, a), (2, history(spark, ["a"], 0, 2))])
+    assert archive.merge_by_run(a, history(spark, ["a", "b"], 0, 2)).events.where("run_id = 'a'").first().bytes == 1  # the runtime skips
+    orphaned = archive.History(a.runs.limit(0), a.events, a.metrics, a.parameters)
+    with pytest.raises(RuntimeError, match="orphans"):
+        archive.archive_union([(1, orphaned)])
+    ordered = archive.import_order(history(spark, ["b", "a"]).runs, history(spark, ["b", "a"]).events).collect()
+    assert sorted((r.event_id, r.run_id) for r in ordered) == [(1, "b"), (2, "b"), (3, "a"), (4, "a")]
+
+
+def test_event_cap_and_retention(spark):
+    events = spark.createDataFrame([(i, "r") for i in range(100)], "event_id long, run_id string")
+    kept, counts = telemetry.event_cap(events, 4)
+    row = counts.first()
+    assert kept.count() == 4 and (row.accepted, row.dropped) == (4, 96)
+    runs = spark.createDataFrame([(str(i), i, i) for i in range(6)], "run_id string, started_unix_ns long, row_id long")
+    assert {r.run_id for r in telemetry.retained(runs, 3, "0").collect()} == {"0", "5", "4"}
+    assert telemetry.latest_run(runs, by_start=False).first().run_id == "5" and telemetry.latest_run(runs.limit(0)).count() == 0
+
+
+def test_ewma_golden(spark):
+    rows = spark.createDataFrame([("cpu", 1, 1024, 8.0), ("cpu", 2, 2048, 32.0), ("cpu", 3, 0, 1.0), ("cpu", 4, 10, -1.0)], "backend string, o long, bytes long, ms double")
+    out = model.band_model(rows, "o").collect()
+    assert len(out) == 1 and out[0].cost == pytest.approx(0.0087890625) and out[0].samples == 2
+
+
+def observations(spark, n=256):
+    rows = []
+    for i in range(n):
+        size, batch, contention = (i % 16 + 1) * 1048576, (i % 5 + 1) * 65536, float(i % 7)
+        mib, batches = size / 1048576, -(-size // batch)
+        rows.append(("cpu", size, batch, contention, 2 + 0.3 * mib + 7 * batches / 1024 + 40 * mib * contention / 1024))
+    return spark.createDataFrame(rows, "backend string, bytes long, batch_bytes long, contention double, ms double")
+
+
+def test_ridge_recovery_and_validity(spark):
+    rows = observations(spark)
+    state = model.moments(rows)
+    fitted = model.fit(state).first()
+    assert [fitted.beta0, fitted.beta1, fitted.beta2, fitted.beta3] == pytest.approx([2, 0.3, 7, 40], abs=1e-2)
+    predicted = model.predict(rows, model.fit(state)).collect()
+    assert all(abs(r.ms - r.predicted_ms) < 1e-3 and not r.out_of_domain for r in predicted)
+    halves = model.merged(model.moments(rows.limit(100)).unionByName(model.moments(rows.exceptAll(rows.limit(100)))))
+    assert halves.first().samples == 256 and model.valid_states(state).first().valid
+    assert not model.valid_states(state.withColumn("xtx00", F.col("xtx00") + 1)).first().valid
+    assert model.decayed(state, 0.5).first().weight == 128 and model.decayed(state, 0.5).first().samples == 256
+
+
+def test_ledger(spark):
+    state = model.moments(observations(spark)).withColumn("key", F.lit("k"))
+    full = state.select(F.lit("local").alias("source"), "key", F.lit(1).cast("long").alias("revision"), F.lit(1.0).alias("attenuation"), *[c for c in state.columns if c != "key"])
+    other = full.withColumn("source", F.lit("peer"))
+    after = {r.source: r for r in model.run_delta(full.unionByName(other), state, "local").collect()}
+    assert after["local"].revision == 2 and after["local"].attenuation == 1 and after["local"].weight == pytest.approx(256 * 1.9) and after["peer"].attenuation == pytest.approx(0.9)
+    t = spark.createDataFrame([("a", "k", 2, "old"), ("me", "k", 1, "mine")], "source string, key string, revision long, payload string")
+    s = spark.createDataFrame([("a", "k", 2, "equal"), ("me", "k", 9, "forged"), ("b", "k", 1, "new")], "source string, key string, revision long, payload string")
+    once = model.newest_revisions(t, s, "me")
+    assert {(r.source, r.payload) for r in once.collect()} == {("a", "old"), ("me", "mine"), ("b", "new")}
+    assert model.newest_revisions(once, s, "me").exceptAll(once).count() == 0
+
+
+def test_routing_policies(spark):
+    base = {f"{b}_{f}": v for b in routing.BACKENDS for f, v in (("available", True), ("known", True), ("ms", 10.0), ("error", 1.0), ("probes", 9))}
+    row = lambda **x: spark.range(1).select(*(F.lit(v).alias(k) for k, v in ({"bytes": 1 << 27, "arrival": 1} | base | x).items()))
+    say = lambda df, **o: tuple(routing.choose_backend(df, **o).select("backend", "reason").first())
+    assert say(row(bytes=10)) == ("cpu", "size") and say(row(), policy="cuda") == ("cuda", "fixed") and say(row(), learning=False) == ("cuda", "fixed")
+    assert say(row()) == ("cpu", "model") and say(row(igpu_ms=2.0)) == ("igpu", "model")
+    assert say(row(arrival=64)) == ("cuda", "explore") and say(row(arrival=64, cuda_available=False)) == ("igpu", "explore")
+    assert say(row(cuda_known=False, cuda_probes=1, cpu_known=False, cpu_probes=0)) == ("cpu", "explore")
+    assert say(row(cpu_known=False, cuda_known=False, igpu_known=False)) == ("cuda", "fixed")
+
+
+def test_training_budget(spark):
+    rows = spark.createDataFrame([(f"f{i}", 1 << (i % 6 + 4)) for i in range(60)], "path string, size long")
+    chosen = training.stratified(rows, 3)
+    assert chosen.groupBy("band").count().where("count > 3").count() == 0
+    taken = training.budgeted(chosen, 5, 1000).orderBy("turn").collect()
+    assert len(taken) <= 5 and sum(r["size"] for r in taken) <= 1000 and [r.turn for r in taken] == list(range(len(taken)))
+    assert training.budgeted(chosen, 100, 0).count() == 0

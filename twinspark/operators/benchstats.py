@@ -1,0 +1,48 @@
+"""Statistics of paired benchmark trials."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+RESAMPLES, GATE, LEAST_TRIALS = 10_000, 1.02, 7
+
+
+def medians(trials: DataFrame, keys: list[str], value: str, trial: str, expected: list[int]) -> DataFrame:
+    """count, median, min, max a key, and whether exactly the expected trials are there."""
+    want = F.array(*(F.lit(t).cast("long") for t in expected))
+    return trials.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"), (F.sort_array(F.collect_list(F.col(trial).cast("long"))) == want).alias("complete")
+    )
+
+
+def paired(trials: DataFrame, keys: list[str], trial: str, arm: str, value: str, treatment: str, control: str) -> DataFrame:
+    """keys, trial, treated, untreated, ratio, delta of trials that have both arms."""
+    one = lambda name: F.max(F.when(F.col(arm) == name, F.col(value)))
+    rows = trials.groupBy(*keys, trial).agg(one(treatment).alias("treated"), one(control).alias("untreated")).where("treated is not null and untreated is not null")
+    return rows.withColumn("ratio", F.col("treated") / F.col("untreated")).withColumn("delta", F.col("treated") - F.col("untreated"))
+
+
+def paired_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.avg("ratio").alias("mean_ratio"), F.median("ratio").alias("median_ratio"), F.avg("delta").alias("mean_delta"), F.median("delta").alias("median_delta"))
+
+
+def bootstrap_upper(pairs: DataFrame, keys: list[str], seed: int = 1, resamples: int = RESAMPLES) -> DataFrame:
+    """keys, upper (one-sided 95 % bound of the mean ratio), gate. A group holds one benchmark's trials."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ratios = np.sort(pdf["ratio"].to_numpy())
+        draws = np.random.default_rng(seed).choice(ratios, (resamples, len(ratios))).mean(axis=1)
+        upper = float(np.sort(draws)[int(0.95 * (resamples - 1))])
+        gate = "insufficient_trials" if len(ratios) < LEAST_TRIALS else "pass" if upper <= GATE else "not_demonstrated"
+        return pd.DataFrame([(*key, len(ratios), upper, gate)])
+
+    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
+    return pairs.groupBy(*keys).applyInPandas(run, f"{kinds}, pairs long, upper double, gate string")
+
+
+def stable_win(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether the treatment wins every pair by a fifth and its worst beats the control's best by a fifth."""
+    return pairs.groupBy(*keys).agg((F.bool_and(F.col("treated") <= 0.8 * F.col("untreated")) & (F.max("treated") <= 0.8 * F.min("untreated"))).alias("stable_win"))

@@ -1,0 +1,228 @@
+"""The cost model: banded moving averages, and a ridge regression from mergeable sufficient statistics."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from twinspark.functions.scalars import bucket_range, features, latency_bucket, size_band, valid_observation
+
+ALPHA = 0.125
+RIDGE = 1e-8
+MOMENTS = [*(f"xtx{i}{j}" for i in range(4) for j in range(i, 4)), *(f"xty{i}" for i in range(4)), "yty", "weight"]
+
+
+def latency_histogram(ms: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    return ms.groupBy(*keys, latency_bucket(F.col(value)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def histogram_quantiles(histogram: DataFrame, percents: list[int], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Nearest rank in integers: the first bucket whose cumulative count reaches ceil(n p / 100). A histogram has at most 32 rows."""
+    running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    rows = histogram.withColumn("cum", F.sum("n").over(running)).withColumn("total", F.sum("n").over(whole))
+    rows = rows.withColumn("percent", F.explode(F.array(*map(F.lit, percents))))
+    rank = F.expr("total div 100 * percent + (total % 100 * percent + 99) div 100")
+    first = rows.where(F.col("cum") >= rank).groupBy(*keys, "percent").agg(F.min("bucket").alias("bucket"))
+    return first.withColumn("range_us", bucket_range(F.col("bucket")))
+
+
+def _ewma(values: Column) -> Column:
+    """Over an ordered array; null for an empty one."""
+    return F.aggregate(values, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(a * (1 - ALPHA) + v * ALPHA))
+
+
+def band_model(observations: DataFrame, order: str, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
+    """keys, band, cost and error in ms a byte, samples: the state after all valid observations (bytes, ms) in order.
+
+    The error is smoothed only from the second observation on, with the cost before it. The fold needs a band's history
+    in order; ordered arrays hold two numbers an observation and are compacted a day or a run at a time by seeding the
+    next fold (column arrays of a key and band stay bounded that way)."""
+    ok = observations.where(valid_observation(F.col("bytes"), F.col("ms")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("bytes").alias("b"), F.col("ms").alias("m")))), lambda x: F.struct(x["b"].cast("double").alias("b"), x["m"].alias("m")))
+
+    def step(s: Column, x: Column) -> Column:
+        cost = x["m"] / x["b"]
+        residual = F.abs(x["m"] - s["cost"] * x["b"]) / x["b"]
+        return F.struct(
+            F.when(s["n"] > 0, s["cost"] * (1 - ALPHA) + cost * ALPHA).otherwise(cost).alias("cost"),
+            F.when(s["n"] > 0, s["error"] * (1 - ALPHA) + residual * ALPHA).otherwise(F.lit(0.0)).alias("error"),
+            (s["n"] + 1).alias("n"),
+        )
+
+    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0.0).alias("error"), F.lit(0).cast("long").alias("n"))
+    folded = ok.withColumn("band", size_band(F.col("bytes"))).groupBy(*keys, "band").agg(F.aggregate(ordered, start, step).alias("s"))
+    return folded.select(*keys, "band", F.col("s.cost").alias("cost"), F.col("s.error").alias("error"), F.col("s.n").alias("samples"))
+
+
+def predict_band(tasks: DataFrame, model: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
+    """tasks (keys, bytes) with predicted ms and error of their band; null where it is unknown."""
+    rows = tasks.withColumn("band", size_band(F.col("bytes"))).join(model.select(*keys, "band", "cost", "error", "samples"), [*keys, "band"], "left")
+    return rows.withColumn("predicted_ms", F.col("cost") * F.col("bytes")).withColumn("predicted_error_ms", F.col("error") * F.col("bytes")).drop("cost", "error")
+
+
+def known_bands(model: DataFrame) -> DataFrame:
+    return model.groupBy("backend").agg(F.count_if(F.col("samples") > 0).alias("known_bands"))
+
+
+def with_features(observations: DataFrame) -> DataFrame:
+    """Valid observations (bytes, batch_bytes, contention, ms) with x0..x3."""
+    rows = observations.withColumn("x", features(F.col("bytes"), F.col("batch_bytes"), F.col("contention"))).where(F.col("x").isNotNull() & (F.col("ms") > 0) & (F.col("ms") <= 1e9))
+    return rows.select("*", *(F.col("x")[i].alias(f"x{i}") for i in range(4))).drop("x")
+
+
+def moments(observations: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
+    """Sufficient statistics a key, one partial row a task: upper triangle of XtX, Xty, yty, weight, samples, min and max."""
+    rows = with_features(observations)
+    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"xtx{i}{j}") for i in range(4) for j in range(i, 4)] + [F.sum(F.col(f"x{i}") * F.col("ms")).alias(f"xty{i}") for i in range(4)]
+    spread = [f(f"x{i}").alias(f"{n}{i}") for n, f in (("min", F.min), ("max", F.max)) for i in range(4)]
+    return rows.groupBy(*keys).agg(*sums, F.sum(F.col("ms") * F.col("ms")).alias("yty"), F.sum(F.lit(1.0)).alias("weight"), F.count(F.lit(1)).alias("samples"), *spread)
+
+
+def decayed(parts: DataFrame, factor: Column | float) -> DataFrame:
+    """Sums and weight scaled; samples and ranges stay."""
+    factor = F.lit(factor) if isinstance(factor, float) else factor
+    return parts.withColumns({c: F.col(c) * factor for c in MOMENTS})
+
+
+def merged(parts: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
+    """The sum of states; parts without samples do not widen the ranges."""
+    live = F.col("samples") > 0
+    spread = [f(F.when(live, F.col(f"{n}{i}"))).alias(f"{n}{i}") for n, f in (("min", F.min), ("max", F.max)) for i in range(4)]
+    return parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in MOMENTS), F.sum("samples").alias("samples"), *spread)
+
+
+def materialized_model(ledger: DataFrame, keys: tuple[str, ...] = ("key", "backend")) -> DataFrame:
+    """Each key's model: its sources' states scaled by their attenuation, summed."""
+    return merged(decayed(ledger, F.col("attenuation")), keys)
+
+
+def run_delta(ledger: DataFrame, delta: DataFrame, local: str, decay: float = 0.9) -> DataFrame:
+    """The ledger after a run: every attenuation decays; the local part takes the run's statistics in, with attenuation 1
+    and the next revision. delta: key, backend and moments of the run."""
+    state = [*MOMENTS, "samples", *(f"{n}{i}" for n in ("min", "max") for i in range(4))]
+    older = ledger.withColumn("attenuation", F.col("attenuation") * decay)
+    mine = decayed(older.where(F.col("source") == local), F.col("attenuation")).select("key", "backend", "revision", *state)
+    fresh = delta.select("key", "backend", F.lit(0).cast("long").alias("revision"), *state)
+    both = mine.unionByName(fresh)
+    revision = both.groupBy("key", "backend").agg((F.max("revision") + 1).alias("revision"))
+    folded = merged(both, ("key", "backend")).join(revision, ["key", "backend"]).withColumn("source", F.lit(local)).withColumn("attenuation", F.lit(1.0))
+    return older.where(F.col("source") != local).unionByName(folded.select(older.columns))
+
+
+def _matrix(row: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    a = np.array([[row[f"xtx{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)], float)
+    return a, np.array([row[f"xty{i}"] for i in range(4)], float)
+
+
+def solve_row(row: pd.Series) -> dict | None:
+    """Ridge solution on the diagonally scaled normal equations; None where they are no valid state."""
+    a, b = _matrix(row)
+    if not row["weight"] > 0:
+        return None
+    scale = np.sqrt(np.maximum(np.diag(a), 1e-24))
+    try:
+        factor = np.linalg.cholesky(a / np.outer(scale, scale) + RIDGE * np.eye(4))
+    except np.linalg.LinAlgError:
+        return None
+    beta = np.linalg.solve(factor.T, np.linalg.solve(factor, b / scale)) / scale
+    sse = row["yty"] - 2 * beta @ b + beta @ a @ beta
+    if not np.isfinite(beta).all() or not np.isfinite(sse) or sse < -1e-6 * max(1.0, row["yty"]):
+        return None
+    return {**{f"beta{i}": beta[i] for i in range(4)}, "residual": float(np.sqrt(max(0.0, sse) / row["weight"]))}
+
+
+def fit(states: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
+    """keys, beta0..beta3, residual, samples, ranges: one 4 by 4 solution a state; invalid states give no row."""
+    carried = [*keys, "samples", *(f"{n}{i}" for n in ("min", "max") for i in range(4))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(*(row[c] for c in carried), *s.values()) for _, row in pdf.iterrows() if (s := solve_row(row))]
+            yield pd.DataFrame(rows, columns=[*carried, "beta0", "beta1", "beta2", "beta3", "residual"])
+
+    kinds = ", ".join(f"{c} {states.schema[c].dataType.simpleString()}" for c in carried)
+    return states.mapInPandas(run, f"{kinds}, beta0 double, beta1 double, beta2 double, beta3 double, residual double")
+
+
+def predict(contexts: DataFrame, fits: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
+    """contexts with predicted_ms, residual and out_of_domain; null prediction where it is not positive and finite.
+
+    fits has one row a key and joins by it."""
+    rows = contexts.withColumn("x", features(F.col("bytes"), F.col("batch_bytes"), F.col("contention"))).join(fits, list(keys), "left")
+    ms = sum((F.col(f"beta{i}") * F.col("x")[i] for i in range(1, 4)), F.col("beta0") * F.col("x")[0])
+    outside = F.lit(False)
+    for i in range(4):
+        outside = outside | (F.col("x")[i] < F.col(f"min{i}")) | (F.col("x")[i] > F.col(f"max{i}"))
+    return rows.select(*contexts.columns, F.when((ms > 0) & (ms <= 1e9), ms).alias("predicted_ms"), "residual", outside.alias("out_of_domain"))
+
+
+def prediction_error(predicted: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
+    """n, sum |e|, sum e^2, mean |e|, out of domain count of rows with ms and predicted_ms."""
+    e = F.col("ms") - F.col("predicted_ms")
+    return predicted.where("predicted_ms is not null").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.abs(e)).alias("abs_error"), F.sum(e * e).alias("sq_error"), F.avg(F.abs(e)).alias("mae"), F.count_if(F.col("out_of_domain")).alias("out_of_domain")
+    )
+
+
+def valid_states(states: DataFrame) -> DataFrame:
+    """states with `valid`: bounded, means inside ranges, and the Gram matrix with the response positive semidefinite."""
+
+    def check(row: pd.Series) -> bool:
+        a, b = _matrix(row)
+        low, high = (np.array([row[f"{n}{i}"] for i in range(4)], float) for n in ("min", "max"))
+        numbers = np.concatenate([a.ravel(), b, low, high, [row["yty"], row["weight"]]])
+        if not np.isfinite(numbers).all() or (numbers < 0).any() or (numbers > 1e32).any() or row["weight"] > 1e12 or (high > 1e9).any() or (low > high).any():
+            return False
+        if (row["weight"] == 0) != (row["samples"] == 0) or a[0, 0] != row["weight"]:
+            return False
+        if row["weight"] == 0:
+            return not numbers.any()
+        mean = a[0] / row["weight"]
+        slack = 1e-10 * np.maximum(1.0, np.abs(mean))
+        if low[0] != 1 or high[0] != 1 or (mean < low - slack).any() or (mean > high + slack).any():
+            return False
+        if row["samples"] == 1 and (np.maximum(np.abs(low - mean), np.abs(high - mean)) > slack).any():
+            return False
+        whole = np.block([[a, b[:, None]], [b[None], np.array([[row["yty"]]])]])
+        scale = np.sqrt(np.maximum(np.diag(whole), 1e-24))
+        try:
+            np.linalg.cholesky(whole / np.outer(scale, scale) + RIDGE * np.eye(5))
+        except np.linalg.LinAlgError:
+            return False
+        return True
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.assign(valid=[check(row) for _, row in pdf.iterrows()])
+
+    return states.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in states.schema) + ", valid boolean")
+
+
+def setup_history(parts: DataFrame) -> DataFrame:
+    """A key's setup times over its sources: weighted mean, largest, count, and the last of the last source in key order."""
+    return parts.groupBy("key").agg(
+        F.max_by("last_ms", "source").alias("last_ms"), (F.sum(F.col("mean_ms") * F.col("samples")) / F.sum("samples")).alias("mean_ms"), F.max("max_ms").alias("max_ms"), F.sum("samples").alias("samples")
+    )
+
+
+def newest_revisions(target: DataFrame, source: DataFrame, local: str) -> DataFrame:
+    """target's ledger with source's parts of a strictly greater revision; parts of the own local source are never taken."""
+    incoming = source.where(F.col("source") != local).withColumn("from_target", F.lit(0))
+    both = target.withColumn("from_target", F.lit(1)).unionByName(incoming)
+    rest = [c for c in target.columns if c not in ("source", "key")]
+    return both.groupBy("source", "key").agg(F.max_by(F.struct(*rest), F.struct("revision", "from_target")).alias("x")).select(*(c if c in ("source", "key") else F.col(f"x.{c}").alias(c) for c in target.columns))
+
+
+def kept_keys(models: DataFrame, current: str, most: int = 32) -> DataFrame:
+    """The current key and the first most - 1 others in key order."""
+    others = models.where(F.col("key") != current).orderBy("key").limit(most - 1)
+    return others.unionByName(models.where(F.col("key") == current))
+
+
+def pruned_ledger(ledger: DataFrame, models: DataFrame) -> DataFrame:
+    return ledger.join(models.select("key").distinct(), "key", "left_semi")

@@ -1,9 +1,693 @@
-"""queries() and oracle_sql() of the reference's operators."""
+"""queries() and oracle_sql() of the reference's operators, over the driver's tables through sources.adapters."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from twinspark.functions import scalars
+from twinspark.functions.blake3 import blake3_hex
+from twinspark.functions.ignore import can_prune, is_ignored, parse_rules, scope_rules
+from twinspark.operators import archive, benchstats, cache, dedup, model, routing, telemetry, training
+from twinspark.sources.adapters import files_v, prev_v, runs_v, table, tele_v
+from twinspark.sources.records import key_values
+from twinspark.storage import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+FILES = """files AS (SELECT 'doc/' || doc_id AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, '0:' || doc_id AS identity, '1:0' AS modified, '1:0' AS changed,
+  sha256(coalesce(text, '')) AS digest, coalesce(text, '') AS content, doc_id FROM documents)"""
+PREV = """prev AS (SELECT path, size, identity, CASE WHEN doc_id % 7 = 0 THEN '0:0' ELSE modified END AS modified, changed, digest FROM files WHERE doc_id % 11 <> 0)"""
+TELE = """tele AS (SELECT event_id, CAST(user_id AS VARCHAR) AS run_id, CASE WHEN event_type IN ('error', 'signup') THEN 'log' ELSE 'span' END AS type, event_type AS name,
+  CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, value AS duration_ms, CAST(floor(value * 1000) AS BIGINT) AS bytes, event_id AS time_ns, event_id % 4 AS worker, props FROM events)"""
+RUNS = """runs AS (SELECT run_id, min(time_ns) AS started_unix_ns, CASE WHEN max(event_id) % 5 = 0 THEN 'running' ELSE 'complete' END AS status, count(*) AS accepted FROM tele GROUP BY run_id)"""
+GROUPS = """classes AS (SELECT min(path) AS representative, digest, size, content FROM files GROUP BY digest, size, content HAVING count(*) > 1),
+  matches AS (SELECT representative, path AS member, size FROM files JOIN classes USING (digest, size, content))"""
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+# --- inventory and duplicates
+
+
+@query("inventory_scan", f"WITH {FILES} SELECT path, size, identity, modified, changed FROM files")
+def inventory_scan(spark, sf):
+    return files_v(spark, sf).select("path", "size", "identity", "modified", "changed")
+
+
+@query("inventory_filtered", f"WITH {FILES} SELECT path, size FROM files WHERE NOT regexp_matches(path, '^doc/[0-9]*7$') AND size > 0")
+def inventory_filtered(spark, sf):
+    rules = parse_rules("/doc/*7\n")
+    return files_v(spark, sf).where(~is_ignored(rules, F.col("path")) & (F.col("size") > 0)).select("path", "size")
+
+
+@query("dup_candidates", f"WITH {FILES} SELECT path, size, digest, n AS bucket_size FROM (SELECT *, count(*) OVER (PARTITION BY size, digest) AS n FROM files) WHERE n > 1")
+def dup_candidates(spark, sf):
+    return dedup.dup_candidates(files_v(spark, sf).select("path", "size", "digest")).select("path", "size", "digest", "bucket_size")
+
+
+@query("dup_groups", f"WITH {FILES}, {GROUPS} SELECT dense_rank() OVER (ORDER BY representative) AS group_number, representative, member, size FROM matches")
+def dup_groups(spark, sf):
+    return dedup.numbered(dedup.matches(files_v(spark, sf))).select("group_number", "representative", "member", "size")
+
+
+@query("unique_files", f"WITH {FILES}, {GROUPS} SELECT path, size FROM files WHERE path NOT IN (SELECT member FROM matches)")
+def unique_files(spark, sf):
+    return dedup.unique_files(files_v(spark, sf)).select("path", "size")
+
+
+@query(
+    "dup_report_tsv",
+    f"WITH {FILES}, {GROUPS}, n AS (SELECT dense_rank() OVER (ORDER BY representative) AS g, member AS path FROM matches), r AS (SELECT g, path FROM n UNION ALL SELECT 0, path FROM files WHERE path NOT IN (SELECT member FROM matches)) "
+    "SELECT CAST(g AS BIGINT) AS group_number, path, g || chr(9) || chr(34) || path || chr(34) AS line FROM r",
+)
+def dup_report_tsv(spark, sf):
+    return dedup.report_lines(files_v(spark, sf), unmatched=True)
+
+
+@query(
+    "scan_counters",
+    f"WITH {FILES}, {PREV}, {GROUPS}, hits AS (SELECT f.path, f.size FROM files f JOIN prev p ON f.path = p.path AND f.size = p.size AND f.identity = p.identity AND f.modified = p.modified AND f.changed = p.changed) "
+    "SELECT (SELECT count(*) FROM files) AS scanned, (SELECT count(*) FROM hits) AS cached, (SELECT count(*) FROM files) - (SELECT count(*) FROM hits) AS hashed, CAST((SELECT sum(size) FROM files) AS BIGINT) AS scanned_bytes, "
+    "CAST((SELECT coalesce(sum(size), 0) FROM hits) AS BIGINT) AS cached_bytes, (SELECT count(DISTINCT representative) FROM matches) AS groups, (SELECT count(*) FROM matches) AS matches, "
+    "CAST((SELECT coalesce(sum(size), 0) FROM matches) AS BIGINT) AS matched_bytes, (SELECT count(*) FROM files) - (SELECT count(*) FROM matches) AS unique_files",
+)
+def scan_counters(spark, sf):
+    files = files_v(spark, sf)
+    return dedup.scan_counters(files, cache.cache_hits(files, prev_v(files)), dedup.matches(files))
+
+
+@query("reclaimable", f"WITH {FILES}, {GROUPS} SELECT representative, count(*) AS member_count, (count(*) - 1) * max(size) AS reclaimable_bytes FROM matches GROUP BY representative")
+def reclaimable(spark, sf):
+    return dedup.reclaimable(dedup.matches(files_v(spark, sf)))
+
+
+@query(
+    "collision_partition",
+    f"WITH {FILES}, c AS (SELECT min(path) AS representative, content FROM files GROUP BY content HAVING count(*) > 1) SELECT representative, path AS member FROM files JOIN c USING (content)",
+)
+def collision_partition(spark, sf):
+    """All digests and sizes forced to be equal: bytes decide."""
+    forced = files_v(spark, sf).withColumns({"digest": F.repeat(F.lit("0"), F.lit(64)), "size": F.lit(0).cast("long")})
+    return dedup.matches(forced).select("representative", "member")
+
+
+@query("revalidate_members", f"WITH {FILES}, {PREV}, {GROUPS} SELECT member AS path FROM matches WHERE member NOT IN (SELECT f.path FROM files f JOIN prev p ON f.path = p.path AND f.modified = p.modified)")
+def revalidate_members(spark, sf):
+    files = files_v(spark, sf)
+    members = files.drop("content").join(dedup.matches(files).select(F.col("member").alias("path")), "path", "left_semi")
+    return cache.changed_members(members, prev_v(files)).select("path")
+
+
+# --- incremental digests
+
+_SAME = "f.path = p.path AND f.size = p.size AND f.identity = p.identity AND f.modified = p.modified AND f.changed = p.changed"
+
+
+@query("cache_hits", f"WITH {FILES}, {PREV} SELECT f.path, p.digest AS cached_digest FROM files f JOIN prev p ON {_SAME}")
+def cache_hits(spark, sf):
+    files = files_v(spark, sf)
+    return cache.cache_hits(files, prev_v(files)).select("path", "cached_digest")
+
+
+@query("cache_misses", f"WITH {FILES}, {PREV} SELECT path, size FROM files f WHERE NOT EXISTS (SELECT 1 FROM prev p WHERE {_SAME})")
+def cache_misses(spark, sf):
+    files = files_v(spark, sf)
+    return cache.cache_misses(files, prev_v(files)).select("path", "size")
+
+
+@query("cache_rehash", f"WITH {FILES}, {PREV} SELECT f.path, f.digest, CASE WHEN p.path IS NULL THEN 'hashed' ELSE 'cache' END AS origin FROM files f LEFT JOIN prev p ON {_SAME}")
+def cache_rehash(spark, sf):
+    files = files_v(spark, sf)
+    return cache.refreshed(files.drop("digest"), prev_v(files)).select("path", "digest", "origin")
+
+
+@query(
+    "cache_archive_fallback",
+    f"WITH {FILES}, {PREV} SELECT f.path, f.digest, CASE WHEN p.path IS NOT NULL THEN 'cache' WHEN f.doc_id % 2 = 0 THEN 'archive' ELSE 'hashed' END AS origin FROM files f LEFT JOIN prev p ON {_SAME}",
+)
+def cache_archive_fallback(spark, sf):
+    files = files_v(spark, sf)
+    known = files.where("doc_id % 2 = 0").drop("content", "doc_id")
+    return cache.refreshed(files.drop("digest"), prev_v(files), known).select("path", "digest", "origin")
+
+
+@query("snapshot_prune_unseen", f"WITH {FILES} SELECT path FROM files WHERE doc_id % 13 = 0")
+def snapshot_prune_unseen(spark, sf):
+    files = files_v(spark, sf)
+    return cache.unseen(files, files.where("doc_id % 13 <> 0")).select("path")
+
+
+@query("absolute_cache_upsert", f"WITH {FILES}, {PREV} SELECT path, modified, 'old' AS writer FROM prev WHERE path NOT IN (SELECT path FROM files WHERE doc_id % 3 = 0) UNION ALL SELECT path, modified, 'new' FROM files WHERE doc_id % 3 = 0")
+def absolute_cache_upsert(spark, sf):
+    files = files_v(spark, sf)
+    new = files.where("doc_id % 3 = 0").select("path", "modified", F.lit("new").alias("writer"))
+    return cache.upsert(prev_v(files).select("path", "modified", F.lit("old").alias("writer")), new)
+
+
+@query("absolute_cache_latest", f"WITH {FILES}, {PREV} SELECT f.path, f.modified, 2 AS turn FROM files f WHERE doc_id % 3 = 0 UNION ALL SELECT path, modified, 1 FROM prev WHERE path NOT IN (SELECT path FROM files WHERE doc_id % 3 = 0)")
+def absolute_cache_latest(spark, sf):
+    files = files_v(spark, sf)
+    rows = prev_v(files).select("path", "modified", F.lit(1).alias("turn")).unionByName(files.where("doc_id % 3 = 0").select("path", "modified", F.lit(2).alias("turn")))
+    return cache.latest_wins(rows, "turn").select("path", "modified", "turn")
+
+
+@query("snapshot_difference", f"WITH {FILES}, {PREV}, a AS (SELECT path, modified FROM files), b AS (SELECT path, modified FROM prev) SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def snapshot_difference(spark, sf):
+    files = files_v(spark, sf)
+    return cache.difference(files.select("path", "modified"), prev_v(files).select("path", "modified"))
+
+
+# --- ignore rules
+
+RULES = "*7.tmp\n/doc/1*\n!/doc/1[0-4]*\nb?ild/\n**/keep/*.txt\n[[:digit:]]x\n"
+_PATHS = "paths AS (SELECT CASE doc_id % 5 WHEN 0 THEN 'doc/' || doc_id WHEN 1 THEN 'a/' || doc_id || '.tmp' WHEN 2 THEN 'build/' || doc_id WHEN 3 THEN 'x/keep/' || doc_id || '.txt' ELSE (doc_id % 10) || 'x' END AS path FROM documents)"
+
+
+def rule_paths(spark, sf):
+    n = F.col("doc_id").cast("string")
+    kind = F.col("doc_id") % 5
+    path = F.when(kind == 0, F.concat(F.lit("doc/"), n)).when(kind == 1, F.concat(F.lit("a/"), n, F.lit(".tmp"))).when(kind == 2, F.concat(F.lit("build/"), n)).when(kind == 3, F.concat(F.lit("x/keep/"), n, F.lit(".txt")))
+    return table(spark, sf, "documents").select(path.otherwise(F.concat((F.col("doc_id") % 10).cast("string"), F.lit("x"))).alias("path"))
+
+
+@query("ignore_filter", f"WITH {_PATHS} SELECT path, regexp_matches(path, '7[.]tmp$') OR (regexp_matches(path, '^doc/1[^/]*$') AND NOT regexp_matches(path, '^doc/1[0-4][^/]*$')) OR regexp_matches(path, '^b[^/]ild/') OR regexp_matches(path, '(^|/)keep/[^/]*[.]txt$') OR regexp_matches(path, '(^|/)[0-9]x$') AS ignored FROM paths")
+def ignore_filter(spark, sf):
+    return rule_paths(spark, sf).select("path", is_ignored(parse_rules(RULES), F.col("path")).alias("ignored"))
+
+
+@query("ignore_prune", f"WITH {_PATHS} SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder, regexp_matches(path, '^b[^/]ild/') OR regexp_matches(path, '^[0-9]x$') AS pruned FROM paths")
+def ignore_prune(spark, sf):
+    folders = rule_paths(spark, sf).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+    return folders.select("folder", can_prune(parse_rules(RULES), F.col("folder")).alias("pruned"))
+
+
+_LINES = ["*.tmp", "!keep.tmp", "/build/", "foo/bar", "a b ", "x/"]
+
+
+@query(
+    "scope_rules",
+    "WITH lines AS (SELECT unnest(['*.tmp', '!keep.tmp', '/build/', 'foo/bar', 'a b ', 'x/']) AS rule), sub AS (SELECT r_regionkey, 'ne*st' || r_regionkey AS subtree FROM region), "
+    "b AS (SELECT rule, subtree, CASE WHEN rule LIKE '!%' THEN '!' ELSE '' END AS neg, CASE WHEN rule LIKE '!%' THEN substr(rule, 2) ELSE rule END AS body FROM lines CROSS JOIN sub), "
+    "c AS (SELECT *, body LIKE '/%' AS anchored, CASE WHEN body LIKE '/%' THEN substr(body, 2) ELSE body END AS rest FROM b) "
+    "SELECT rule, subtree, neg || '/' || replace(subtree, '*', chr(92) || '*') || '/' || CASE WHEN NOT anchored AND instr(regexp_replace(rtrim(rest), '/$', ''), '/') = 0 THEN '**/' ELSE '' END || rest AS scoped FROM c",
+)
+def scope_rules_query(spark, sf):
+    subtrees = table(spark, sf, "region").select(F.concat(F.lit("ne*st"), F.col("r_regionkey").cast("string")).alias("subtree"))
+    rows = subtrees.select("subtree", F.explode(F.array(*map(F.lit, _LINES))).alias("rule"))
+    return rows.select("rule", "subtree", scope_rules(F.col("rule"), F.col("subtree")).alias("scoped"))
+
+
+# --- telemetry
+
+
+@query("telemetry_logs", f"WITH {TELE} SELECT event_id, run_id, name, severity FROM tele WHERE type = 'log' AND severity = 'error'")
+def telemetry_logs(spark, sf):
+    return telemetry.logs(tele_v(spark, sf)).where("severity = 'error'").select("event_id", "run_id", "name", "severity")
+
+
+@query("telemetry_spans", f"WITH {TELE} SELECT event_id, run_id, name, duration_ms, coalesce(time_ns - lag(time_ns) OVER (PARTITION BY run_id ORDER BY time_ns, event_id), -1) AS gap_ns FROM tele WHERE type = 'span'")
+def telemetry_spans(spark, sf):
+    return telemetry.timeline(tele_v(spark, sf)).select("event_id", "run_id", "name", "duration_ms", F.coalesce("gap_ns", F.lit(-1)).alias("gap_ns"))
+
+
+@query("telemetry_latest_run", f"WITH {TELE}, {RUNS} SELECT run_id, started_unix_ns, status FROM runs ORDER BY started_unix_ns DESC, run_id DESC LIMIT 1")
+def telemetry_latest_run(spark, sf):
+    return telemetry.latest_run(runs_v(tele_v(spark, sf))).select("run_id", "started_unix_ns", "status")
+
+
+@query("telemetry_errors_recent", f"WITH {TELE} SELECT event_id, run_id, name FROM tele WHERE severity IN ('warn', 'error') ORDER BY event_id DESC LIMIT 100")
+def telemetry_errors_recent(spark, sf):
+    return telemetry.recent_errors(tele_v(spark, sf), 100).select("event_id", "run_id", "name")
+
+
+@query("telemetry_events_per_run", f"WITH {TELE} SELECT run_id, count(*) AS events FROM tele GROUP BY run_id")
+def telemetry_events_per_run(spark, sf):
+    return telemetry.events_per_run(tele_v(spark, sf))
+
+
+@query("telemetry_distinct", f"WITH {TELE} SELECT count(DISTINCT run_id) AS runs, count(DISTINCT name) AS names, count(DISTINCT worker) AS workers FROM tele")
+def telemetry_distinct(spark, sf):
+    return tele_v(spark, sf).agg(F.count_distinct("run_id").alias("runs"), F.count_distinct("name").alias("names"), F.count_distinct("worker").alias("workers"))
+
+
+@query("telemetry_like", f"WITH {TELE} SELECT name, count(*) AS n FROM tele WHERE name LIKE '%i%' AND regexp_matches(name, '^.*[ck]$') GROUP BY name")
+def telemetry_like(spark, sf):
+    rows = telemetry.matching(tele_v(spark, sf), "name", "%i%")
+    return rows.where(scalars.glob_like(F.col("name"), "*c") | scalars.glob_like(F.col("name"), "*k")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KEPT = "kept AS (SELECT run_id FROM (SELECT run_id, row_number() OVER (ORDER BY started_unix_ns DESC, run_id DESC) AS n FROM runs WHERE run_id <> '1') WHERE n <= 19 UNION ALL SELECT run_id FROM runs WHERE run_id = '1')"
+
+
+@query("telemetry_retention", f"WITH {TELE}, {RUNS}, {_KEPT} SELECT run_id, started_unix_ns FROM runs WHERE run_id IN (SELECT run_id FROM kept)")
+def telemetry_retention(spark, sf):
+    return telemetry.retained(runs_v(tele_v(spark, sf)), 20, "1").select("run_id", "started_unix_ns")
+
+
+@query("telemetry_retention_cascade", f"WITH {TELE}, {RUNS}, {_KEPT} SELECT event_id, run_id FROM tele WHERE run_id IN (SELECT run_id FROM kept)")
+def telemetry_retention_cascade(spark, sf):
+    tele = tele_v(spark, sf)
+    return telemetry.cascade(tele, telemetry.retained(runs_v(tele), 20, "1")).select("event_id", "run_id")
+
+
+@query("telemetry_event_cap", f"WITH {TELE}, n AS (SELECT run_id, count(*) AS c FROM tele GROUP BY run_id) SELECT run_id, least(c, 4) AS accepted, greatest(c - 4, 0) AS dropped FROM n")
+def telemetry_event_cap(spark, sf):
+    return telemetry.event_cap(tele_v(spark, sf), 4)[1]
+
+
+@query("telemetry_capped_events", f"WITH {TELE} SELECT event_id, run_id FROM tele QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY event_id) <= 4")
+def telemetry_capped_events(spark, sf):
+    return telemetry.event_cap(tele_v(spark, sf), 4)[0].select("event_id", "run_id")
+
+
+@query("telemetry_interrupted_recovery", f"WITH {TELE}, {RUNS} SELECT run_id, CASE WHEN status = 'running' THEN 'interrupted' ELSE status END AS status FROM runs")
+def telemetry_interrupted_recovery(spark, sf):
+    return telemetry.recovered(runs_v(tele_v(spark, sf))).select("run_id", "status")
+
+
+@query(
+    "telemetry_final_metrics",
+    f"WITH {TELE} SELECT CASE WHEN grouping(worker) = 1 THEN 'all' ELSE 'worker.' || worker END AS scope, count(*) AS tasks, CAST(sum(bytes) AS BIGINT) AS bytes, max(duration_ms) AS max_ms, count(*) FILTER (WHERE severity = 'error') AS errors FROM tele GROUP BY ROLLUP (worker)",
+)
+def telemetry_final_metrics(spark, sf):
+    return telemetry.final_metrics(tele_v(spark, sf)).select("scope", "tasks", "bytes", "max_ms", "errors")
+
+
+@query(
+    "telemetry_metric_rows",
+    f"WITH {TELE}, t AS (SELECT CASE WHEN grouping(worker) = 1 THEN 'all' ELSE 'worker.' || worker END AS scope, count(*) AS tasks, sum(bytes) AS bytes, max(duration_ms) AS max_ms, count(*) FILTER (WHERE severity = 'error') AS errors FROM tele GROUP BY ROLLUP (worker)) "
+    "SELECT scope || '.tasks' AS name, CAST(tasks AS DOUBLE) AS value FROM t UNION ALL SELECT scope || '.bytes', CAST(bytes AS DOUBLE) FROM t UNION ALL SELECT scope || '.max_ms', max_ms FROM t UNION ALL SELECT scope || '.errors', CAST(errors AS DOUBLE) FROM t",
+)
+def telemetry_metric_rows(spark, sf):
+    return telemetry.as_metrics(telemetry.final_metrics(tele_v(spark, sf)))
+
+
+@query("telemetry_totals_check", f"WITH {TELE} SELECT count(*) AS tasks, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS errors FROM tele WHERE false GROUP BY run_id")
+def telemetry_totals_check(spark, sf):
+    return telemetry.inconsistent_totals(telemetry.final_metrics(tele_v(spark, sf)))
+
+
+@query("telemetry_last_metric", f"WITH {TELE} SELECT run_id, name, max(event_id) AS event_id, arg_max(duration_ms, event_id) AS value FROM tele GROUP BY run_id, name")
+def telemetry_last_metric(spark, sf):
+    rows = tele_v(spark, sf).select("run_id", "name", "event_id", F.col("duration_ms").alias("value"))
+    return telemetry.last_per_name(rows, ["run_id", "name"], "event_id")
+
+
+@query("span_parent_child", f"WITH {TELE}, s AS (SELECT event_id, run_id, event_id AS span_id, event_id // 2 * 2 - 2 AS parent_span_id, bytes AS duration_ns FROM tele WHERE type = 'span') SELECT c.run_id, c.event_id, p.event_id AS parent_event_id FROM s c JOIN s p ON c.run_id = p.run_id AND c.parent_span_id = p.span_id")
+def span_parent_child(spark, sf):
+    rows = tele_v(spark, sf).withColumns({"span_id": F.col("event_id"), "parent_span_id": F.expr("event_id div 2 * 2 - 2"), "duration_ns": F.col("bytes")})
+    return telemetry.span_children(rows).select("run_id", "event_id", "parent_event_id")
+
+
+@query("sampling_every_64", f"WITH {TELE} SELECT event_id, worker FROM tele QUALIFY row_number() OVER (PARTITION BY worker ORDER BY event_id) % 64 = 0")
+def sampling_every_64(spark, sf):
+    return telemetry.sampled(tele_v(spark, sf), 64).select("event_id", "worker")
+
+
+# --- histories
+
+_HISTORY = f"""{TELE}, {RUNS}, aruns AS (SELECT * FROM runs WHERE CAST(run_id AS BIGINT) % 3 <> 0), bruns AS (SELECT * FROM runs WHERE CAST(run_id AS BIGINT) % 2 = 0),
+  aev AS (SELECT event_id, run_id, name, bytes FROM tele WHERE run_id IN (SELECT run_id FROM aruns)),
+  bev AS (SELECT event_id + 1000000 AS event_id, run_id, name, bytes + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS bytes FROM tele WHERE run_id IN (SELECT run_id FROM bruns))"""
+
+
+def histories(spark, sf, planted: bool) -> tuple[archive.History, archive.History]:
+    """Two histories with runs in common; with `planted` some common events differ."""
+    tele = tele_v(spark, sf)
+    runs = runs_v(tele)
+    out = []
+    for where, shift, odd in (("cast(run_id as long) % 3 <> 0", 0, False), ("cast(run_id as long) % 2 = 0", 1_000_000, planted)):
+        extra = F.when(F.col("event_id") % 97 == 0, F.lit(1)).otherwise(F.lit(0)) if odd else F.lit(0)
+        events = tele.where(where).select((F.col("event_id") + shift).alias("event_id"), "run_id", "name", (F.col("bytes") + extra).alias("bytes"))
+        metrics = tele.where(where).groupBy("run_id", "name").agg(F.max("duration_ms").alias("value"))
+        parameters = runs.where(where).select("run_id", F.lit("config").alias("category"), F.lit("user").alias("name"), F.col("run_id").alias("value"))
+        out.append(archive.History(runs.where(where), events, metrics, parameters))
+    return out[0], out[1]
+
+
+@query("telemetry_merge_by_run", f"WITH {_HISTORY} SELECT event_id, run_id, bytes FROM aev UNION ALL SELECT event_id, run_id, bytes FROM bev WHERE run_id NOT IN (SELECT run_id FROM aruns)")
+def telemetry_merge_by_run(spark, sf):
+    return archive.merge_by_run(*histories(spark, sf, True)).events.select("event_id", "run_id", "bytes")
+
+
+@query("archive_union", f"WITH {_HISTORY}, u AS (SELECT * FROM aruns UNION ALL SELECT * FROM bruns WHERE run_id NOT IN (SELECT run_id FROM aruns)) SELECT run_id, started_unix_ns, status FROM u")
+def archive_union(spark, sf):
+    a, b = histories(spark, sf, False)
+    return archive.archive_union([(1, a), (2, b)])[0].runs.select("run_id", "started_unix_ns", "status")
+
+
+@query("archive_totals", f"WITH {_HISTORY} SELECT CAST(1 AS BIGINT) AS source_id, count(*) AS runs_added, CAST(0 AS BIGINT) AS runs_duplicate, count(*) FILTER (WHERE status = 'running') AS runs_running FROM aruns UNION ALL SELECT 2, count(*) FILTER (WHERE run_id NOT IN (SELECT run_id FROM aruns)), count(*) FILTER (WHERE run_id IN (SELECT run_id FROM aruns)), count(*) FILTER (WHERE status = 'running') FROM bruns")
+def archive_totals(spark, sf):
+    a, b = histories(spark, sf, False)
+    return archive.source_totals(a.runs, a.runs.limit(0), 1).unionByName(archive.source_totals(b.runs, a.runs, 2))
+
+
+@query(
+    "archive_conflicts",
+    f"WITH {_HISTORY}, x AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS pos FROM aev WHERE run_id IN (SELECT run_id FROM bruns)), y AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS pos FROM bev WHERE run_id IN (SELECT run_id FROM aruns)) "
+    "SELECT coalesce(x.run_id, y.run_id) AS run_id, CAST(coalesce(x.pos, y.pos) AS INTEGER) AS pos, x.run_id IS NOT NULL AS in_target, y.run_id IS NOT NULL AS in_source FROM x FULL JOIN y ON x.run_id = y.run_id AND x.pos = y.pos WHERE x.name IS DISTINCT FROM y.name OR x.bytes IS DISTINCT FROM y.bytes",
+)
+def archive_conflicts(spark, sf):
+    a, b = histories(spark, sf, True)
+    return archive.conflicts(archive.ordinal(a.events), archive.ordinal(b.events), ["run_id", "pos"])
+
+
+@query("archive_sources", f"WITH {_HISTORY} SELECT run_id, CAST(1 AS BIGINT) AS source_id FROM aruns UNION ALL SELECT run_id, 2 FROM bruns")
+def archive_sources(spark, sf):
+    a, b = histories(spark, sf, False)
+    return archive.archive_union([(1, a), (2, b)])[1]
+
+
+@query("archive_import_order", f"WITH {_HISTORY} SELECT row_number() OVER (ORDER BY started_unix_ns, a.run_id, event_id) AS event_id, a.run_id, a.name FROM aev a JOIN aruns r ON a.run_id = r.run_id")
+def archive_import_order(spark, sf):
+    a, _ = histories(spark, sf, False)
+    return archive.import_order(a.runs, a.events).select(F.col("event_id").cast("long").alias("event_id"), "run_id", "name")
+
+
+@query("archive_orphans", f"WITH {_HISTORY} SELECT event_id, run_id FROM bev WHERE run_id NOT IN (SELECT run_id FROM aruns)")
+def archive_orphans(spark, sf):
+    a, b = histories(spark, sf, True)
+    return telemetry.orphans(b.events, a.runs).select("event_id", "run_id")
+
+
+# --- model
+
+
+@query("latency_histogram", f"WITH {TELE} SELECT CASE WHEN duration_ms < 0.002 THEN 0 WHEN duration_ms >= 2147483.648 THEN 31 ELSE CAST(length(bin(CAST(floor(duration_ms * 1000) AS BIGINT))) - 1 AS INTEGER) END AS bucket, count(*) AS n FROM tele GROUP BY 1")
+def latency_histogram(spark, sf):
+    return model.latency_histogram(tele_v(spark, sf), "duration_ms")
+
+
+@query(
+    "histogram_quantiles",
+    f"WITH {TELE}, h AS (SELECT name, CASE WHEN duration_ms < 0.002 THEN 0 WHEN duration_ms >= 2147483.648 THEN 31 ELSE CAST(length(bin(CAST(floor(duration_ms * 1000) AS BIGINT))) - 1 AS INTEGER) END AS bucket, count(*) AS n FROM tele GROUP BY 1, 2), "
+    "c AS (SELECT name, bucket, sum(n) OVER (PARTITION BY name ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY name) AS total FROM h), p AS (SELECT unnest([50, 95, 99]) AS percent), "
+    "q AS (SELECT name, percent, min(bucket) AS bucket FROM c, p WHERE cum >= total // 100 * percent + (total % 100 * percent + 99) // 100 GROUP BY 1, 2) "
+    "SELECT name, percent, bucket, CASE WHEN bucket > 0 THEN CAST(1::BIGINT << bucket AS VARCHAR) ELSE '0' END || CASE WHEN bucket = 31 THEN '+' ELSE '..' || CAST((1::BIGINT << (bucket + 1)) - 1 AS VARCHAR) END AS range_us FROM q",
+)
+def histogram_quantiles(spark, sf):
+    return model.histogram_quantiles(model.latency_histogram(tele_v(spark, sf), "duration_ms", ("name",)), [50, 95, 99], ("name",))
+
+
+def observations(spark, sf):
+    return tele_v(spark, sf).select(F.col("name").alias("backend"), "event_id", (F.pmod("event_id", F.lit(50)) * 997 + 1).alias("bytes"), F.col("duration_ms").alias("ms"))
+
+
+_BANDS = (
+    f"WITH {TELE}, o AS (SELECT name AS backend, event_id, event_id % 50 * 997 + 1 AS bytes, duration_ms AS ms FROM tele WHERE duration_ms > 0), b AS (SELECT *, CAST((length(bin(bytes)) - 1) // 2 AS INTEGER) AS band, ms / bytes AS c FROM o), "
+    "l AS (SELECT backend, band, count(*) AS samples, list_reduce(list(struct_pack(c := c, e := 0.0::DOUBLE, m := ms, b := bytes::DOUBLE) ORDER BY event_id), lambda a, x: struct_pack(c := a.c * 0.875 + x.c * 0.125, e := a.e * 0.875 + abs(x.m - a.c * x.b) / x.b * 0.125, m := x.m, b := x.b)) AS s FROM b GROUP BY 1, 2) "
+)
+
+
+@query("band_ewma", _BANDS + "SELECT backend, band, round(s.c, 9) AS cost, samples FROM l")
+def band_ewma(spark, sf):
+    return model.band_model(observations(spark, sf), "event_id").select("backend", "band", F.round("cost", 9).alias("cost"), "samples")
+
+
+@query("band_error_ewma", _BANDS + "SELECT backend, band, round(s.e, 9) AS error, samples FROM l")
+def band_error_ewma(spark, sf):
+    return model.band_model(observations(spark, sf), "event_id").select("backend", "band", F.round("error", 9).alias("error"), "samples")
+
+
+@query("known_bands", _BANDS + "SELECT backend, count(*) AS known_bands FROM l GROUP BY backend")
+def known_bands(spark, sf):
+    return model.known_bands(model.band_model(observations(spark, sf), "event_id"))
+
+
+@query("band_predict", _BANDS + "SELECT o.event_id, round(s.c * o.bytes, 6) AS predicted_ms FROM o JOIN l ON o.backend = l.backend AND CAST((length(bin(o.bytes)) - 1) // 2 AS INTEGER) = l.band")
+def band_predict(spark, sf):
+    rows = observations(spark, sf)
+    return model.predict_band(rows.where("ms > 0"), model.band_model(rows, "event_id")).select("event_id", F.round("predicted_ms", 6).alias("predicted_ms"))
+
+
+def contexts(spark, sf):
+    """Observations with a known linear cost and some noise, from lineitem."""
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("backend"), "l_orderkey", "l_linenumber", (F.col("l_partkey") * 4096 + 1).alias("bytes"), F.lit(65536).cast("long").alias("batch_bytes"), F.col("l_linenumber").cast("double").alias("contention")
+    )
+    mib = F.col("bytes") / 1048576.0
+    batches = F.floor((F.col("bytes") + 65535) / 65536)
+    return rows.withColumn("ms", 2.0 + 0.3 * mib + 7.0 * batches / 1024.0 + 40.0 * mib * F.col("contention") / 1024.0 + (F.col("l_orderkey") % 7) / 100.0)
+
+
+_CONTEXTS = (
+    "o AS (SELECT l_linestatus AS backend, l_orderkey, l_linenumber, l_partkey * 4096 + 1 AS bytes, CAST(l_linenumber AS DOUBLE) AS contention FROM lineitem), "
+    "x AS (SELECT *, 1.0::DOUBLE AS x0, bytes / 1048576.0 AS x1, ((bytes + 65535) // 65536) / 1024.0 AS x2, bytes / 1048576.0 * contention / 1024.0 AS x3 FROM o), "
+    "y AS (SELECT *, 2.0 + 0.3 * x1 + 7.0 * x2 + 40.0 * x3 + (l_orderkey % 7) / 100.0 AS ms FROM x)"
+)
+_MEANS = ", ".join([f"round(sum(x{i}::DOUBLE * x{j}) / count(*), 8) AS xtx{i}{j}" for i in range(4) for j in range(i, 4)] + [f"round(sum(x{i}::DOUBLE * ms) / count(*), 8) AS xty{i}" for i in range(4)] + ["round(sum(ms::DOUBLE * ms) / count(*), 8) AS yty"])
+
+
+def _means(state, keys):
+    return state.select(*keys, *(F.round(F.col(c) / F.col("weight"), 8).alias(c) for c in model.MOMENTS if c != "weight"), "samples", *(F.round(f"{n}{i}", 8).alias(f"{n}{i}") for n in ("min", "max") for i in range(4)))
+
+
+_SPREAD = ", ".join(f"round({f}(x{i}::DOUBLE), 8) AS {f}{i}" for f in ("min", "max") for i in range(4))
+
+
+@query("regression_moments", f"WITH {_CONTEXTS} SELECT backend, {_MEANS}, count(*) AS samples, {_SPREAD} FROM y GROUP BY backend")
+def regression_moments(spark, sf):
+    return _means(model.moments(contexts(spark, sf)), ["backend"])
+
+
+_WEIGHTED = ", ".join([f"round(sum(w * x{i} * x{j}) / sum(w), 8) AS xtx{i}{j}" for i in range(4) for j in range(i, 4)] + [f"round(sum(w * x{i} * ms) / sum(w), 8) AS xty{i}" for i in range(4)] + ["round(sum(w * ms * ms) / sum(w), 8) AS yty"])
+
+
+@query("regression_merge_decay", f"WITH {_CONTEXTS}, z AS (SELECT *, CASE WHEN l_linenumber <= 3 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS w FROM y) SELECT backend, {_WEIGHTED}, count(*) AS samples, {_SPREAD} FROM z GROUP BY backend")
+def regression_merge_decay(spark, sf):
+    rows = contexts(spark, sf)
+    old, new = model.moments(rows.where("l_linenumber <= 3")), model.moments(rows.where("l_linenumber > 3"))
+    return _means(model.merged(model.decayed(old, 0.9).unionByName(new)), ["backend"])
+
+
+@query("model_materialize", f"WITH {_CONTEXTS}, z AS (SELECT *, 'k' || backend AS key, 1.0::DOUBLE / l_linenumber AS w FROM y) SELECT key, backend, {_WEIGHTED}, count(*) AS samples, {_SPREAD} FROM z GROUP BY key, backend")
+def model_materialize(spark, sf):
+    parts = model.moments(contexts(spark, sf), ("l_linenumber", "backend")).withColumn("key", F.concat(F.lit("k"), F.col("backend"))).withColumn("attenuation", 1.0 / F.col("l_linenumber"))
+    return _means(model.materialized_model(parts), ["key", "backend"])
+
+
+@query("regression_fit")
+def regression_fit(spark, sf):
+    ship(spark)
+    return model.fit(model.moments(contexts(spark, sf))).select("backend", "samples", *(F.round(f"beta{i}", 4).alias(f"beta{i}") for i in range(4)), F.round("residual", 4).alias("residual"))
+
+
+@query("regression_predict")
+def regression_predict(spark, sf):
+    ship(spark)
+    rows = contexts(spark, sf)
+    return model.predict(rows, model.fit(model.moments(rows))).select("backend", "l_orderkey", "l_linenumber", F.round("predicted_ms", 4).alias("predicted_ms"), "out_of_domain")
+
+
+@query("regression_line", "SELECT l_linestatus AS backend, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY l_linestatus")
+def regression_line(spark, sf):
+    return table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("backend")).agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"))
+
+
+@query("prediction_error", f"WITH {_CONTEXTS}, p AS (SELECT backend, ms, 2.0 + 0.35 * x1 AS q, l_linenumber > 5 AS o FROM y) SELECT backend, count(*) AS n, round(avg(abs(ms - q)), 8) AS mae, round(sqrt(sum((ms - q) * (ms - q)) / count(*)), 8) AS rmse, count(*) FILTER (WHERE o) AS out_of_domain FROM p GROUP BY backend")
+def prediction_error(spark, sf):
+    rows = contexts(spark, sf).withColumn("predicted_ms", 2.0 + 0.35 * F.col("bytes") / 1048576.0).withColumn("out_of_domain", F.col("l_linenumber") > 5)
+    return model.prediction_error(rows).select("backend", "n", F.round("mae", 8).alias("mae"), F.round(F.sqrt(F.col("sq_error") / F.col("n")), 8).alias("rmse"), "out_of_domain")
+
+
+@query("model_validity")
+def model_validity(spark, sf):
+    ship(spark)
+    state = model.moments(contexts(spark, sf))
+    forged = state.withColumn("yty", F.col("yty") / 2)
+    return model.valid_states(state.unionByName(forged)).select("backend", "samples", "valid")
+
+
+# --- ledgers
+
+_LEDGER = """target AS (SELECT 's' || (s_suppkey % 5) AS source, 'k' || lpad(CAST(s_suppkey // 5 AS VARCHAR), 6, '0') AS key, CAST(s_nationkey + 1 AS BIGINT) AS revision, s_acctbal AS payload FROM supplier),
+  source AS (SELECT source, key, CAST(13 AS BIGINT) AS revision, payload + 1 AS payload FROM target WHERE CAST(substr(key, 2) AS BIGINT) % 2 = 0)"""
+
+
+def ledgers(spark, sf):
+    s = F.col("s_suppkey")
+    target = table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), (s % 5).cast("string")).alias("source"), F.concat(F.lit("k"), F.lpad(F.floor(s / 5).cast("string"), 6, "0")).alias("key"), (F.col("s_nationkey") + 1).cast("long").alias("revision"), F.col("s_acctbal").alias("payload")
+    )
+    source = target.where(F.substring("key", 2, 6).cast("long") % 2 == 0).select("source", "key", F.lit(13).cast("long").alias("revision"), (F.col("payload") + 1).alias("payload"))
+    return target, source
+
+
+@query("ledger_newest_revision", f"WITH {_LEDGER} SELECT t.source, t.key, CASE WHEN s.revision > t.revision THEN s.revision ELSE t.revision END AS revision, round(CASE WHEN s.revision > t.revision THEN s.payload ELSE t.payload END, 6) AS payload FROM target t LEFT JOIN (SELECT * FROM source WHERE source <> 's0') s ON t.source = s.source AND t.key = s.key")
+def ledger_newest_revision(spark, sf):
+    return model.newest_revisions(*ledgers(spark, sf), local="s0").select("source", "key", "revision", F.round("payload", 6).alias("payload"))
+
+
+@query("ledger_prune", f"WITH {_LEDGER}, keys AS (SELECT DISTINCT key FROM target), kept AS (SELECT key FROM (SELECT key, row_number() OVER (ORDER BY key) AS n FROM keys WHERE key <> 'k000009') WHERE n <= 7 UNION ALL SELECT key FROM keys WHERE key = 'k000009') SELECT source, key, revision FROM target WHERE key IN (SELECT key FROM kept)")
+def ledger_prune(spark, sf):
+    target, _ = ledgers(spark, sf)
+    return model.pruned_ledger(target, model.kept_keys(target.select("key").distinct(), "k000009", 8)).select("source", "key", "revision")
+
+
+@query("setup_history", f"WITH {_LEDGER} SELECT key, round(arg_max(payload, source), 6) AS last_ms, round(sum(payload * revision) / sum(revision), 6) AS mean_ms, round(max(payload), 6) AS max_ms, CAST(sum(revision) AS BIGINT) AS samples FROM target GROUP BY key")
+def setup_history(spark, sf):
+    parts = ledgers(spark, sf)[0].select("source", "key", F.col("payload").alias("last_ms"), F.col("payload").alias("mean_ms"), F.col("payload").alias("max_ms"), F.col("revision").alias("samples"))
+    return model.setup_history(parts).select("key", *(F.round(c, 6).alias(c) for c in ("last_ms", "mean_ms", "max_ms")), "samples")
+
+
+# --- routing and training
+
+
+def tasks(spark, sf):
+    """Tasks of many sizes with predictions that are sometimes unknown."""
+    e = F.col("event_id")
+    size = F.when(e % 11 == 0, F.lit(0)).otherwise(F.pmod(e * 7919, F.lit(200)) * F.pmod(e, F.lit(13)) * 65536).cast("long")
+    rows = tele_v(spark, sf).select("event_id", "worker", size.alias("bytes"), F.col("duration_ms"))
+    rows = rows.withColumns({"cpu_available": F.lit(True), "cuda_available": e % 3 != 0, "igpu_available": e % 5 != 0})
+    rows = rows.withColumns({f"{b}_known": e % k != 1 for b, k in (("cpu", 4), ("cuda", 6), ("igpu", 7))} | {f"{b}_ms": F.col("duration_ms") * k for b, k in (("cpu", 1.0), ("cuda", 0.9), ("igpu", 0.8))})
+    return rows.withColumns({f"{b}_error": F.col("duration_ms") * k for b, k in (("cpu", 0.05), ("cuda", 0.1), ("igpu", 0.02))} | {f"{b}_probes": F.pmod(F.floor(e / k), F.lit(4)) for b, k in (("cpu", 10), ("cuda", 20), ("igpu", 30))})
+
+
+_ROUTE = (
+    f"WITH {TELE}, t AS (SELECT event_id AS e, worker, CAST(CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id * 7919 % 200 * (event_id % 13) * 65536 END AS BIGINT) AS bytes, duration_ms AS d FROM tele), "
+    "b AS (SELECT *, CASE WHEN bytes = 0 THEN -1 ELSE (length(bin(bytes)) - 1) // 2 END AS band FROM t), a AS (SELECT *, row_number() OVER (PARTITION BY worker, band ORDER BY e) - 1 AS arrival, bytes >= 67108864 AS large FROM b), "
+    "f AS (SELECT *, true AS c_av, e % 3 <> 0 AS g_av, e % 5 <> 0 AS i_av, e % 4 <> 1 AS c_kn, e % 6 <> 1 AND e % 3 <> 0 AS g_kn, e % 7 <> 1 AND e % 5 <> 0 AS i_kn, e // 10 % 4 AS c_pr, e // 20 % 4 AS g_pr, e // 30 % 4 AS i_pr, "
+    "CASE WHEN e % 4 <> 1 THEN 0.95 * d - d * 0.05 END AS c_s, CASE WHEN e % 6 <> 1 AND e % 3 <> 0 THEN d * 0.9 + d * 0.1 END AS g_s, CASE WHEN e % 7 <> 1 AND e % 5 <> 0 THEN d * 0.8 + d * 0.02 END AS i_s FROM a), "
+    "s AS (SELECT *, list_filter([CASE arrival // 64 % 3 WHEN 0 THEN 'cpu' WHEN 1 THEN CASE WHEN g_av THEN 'cuda' END ELSE CASE WHEN i_av THEN 'igpu' END END, CASE arrival // 64 % 3 WHEN 0 THEN CASE WHEN g_av THEN 'cuda' END WHEN 1 THEN CASE WHEN i_av THEN 'igpu' END ELSE 'cpu' END, CASE arrival // 64 % 3 WHEN 0 THEN CASE WHEN i_av THEN 'igpu' END WHEN 1 THEN 'cpu' ELSE CASE WHEN g_av THEN 'cuda' END END], lambda x: x IS NOT NULL)[1] AS turn, "
+    "list_sort(list_filter([CASE WHEN NOT c_kn AND c_pr < 2 THEN struct_pack(n := c_pr, i := CASE WHEN large THEN 1 ELSE 0 END, b := 'cpu') END, CASE WHEN g_av AND NOT g_kn AND g_pr < 2 THEN struct_pack(n := g_pr, i := CASE WHEN large THEN 0 ELSE 1 END, b := 'cuda') END, CASE WHEN i_av AND NOT i_kn AND i_pr < 2 THEN struct_pack(n := i_pr, i := 2, b := 'igpu') END], lambda x: x IS NOT NULL))[1].b AS probe, "
+    "list_sort(list_filter([CASE WHEN c_s IS NOT NULL THEN struct_pack(s := c_s, i := 0, b := 'cpu') END, CASE WHEN g_s IS NOT NULL THEN struct_pack(s := g_s, i := 1, b := 'cuda') END, CASE WHEN i_s IS NOT NULL THEN struct_pack(s := i_s, i := 2, b := 'igpu') END], lambda x: x IS NOT NULL))[1].b AS best, "
+    "CASE WHEN large AND g_av THEN 'cuda' WHEN large AND i_av THEN 'igpu' ELSE 'cpu' END AS preferred FROM f) "
+    "SELECT e AS event_id, CASE WHEN bytes < 4096 THEN 'cpu' WHEN arrival > 0 AND arrival % 64 = 0 THEN turn WHEN probe IS NOT NULL THEN probe WHEN best IS NOT NULL THEN best ELSE preferred END AS backend, "
+    "CASE WHEN bytes < 4096 THEN 'size' WHEN arrival > 0 AND arrival % 64 = 0 THEN 'explore' WHEN probe IS NOT NULL THEN 'explore' WHEN best IS NOT NULL THEN 'model' ELSE 'fixed' END AS reason FROM s"
+)
+
+
+@query("route_decision", _ROUTE)
+def route_decision(spark, sf):
+    return routing.choose_backend(routing.with_arrivals(tasks(spark, sf))).select("event_id", "backend", "reason")
+
+
+@query("route_static", f"WITH {TELE}, t AS (SELECT event_id, CAST(CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id * 7919 % 200 * (event_id % 13) * 65536 END AS BIGINT) AS bytes FROM tele) SELECT event_id, CASE WHEN bytes < 65536 THEN 'cpu_only' WHEN bytes >= 16777216 AND bytes < 67108864 THEN 'gpu_preferred' ELSE 'cpu_preferred' END AS route FROM t")
+def route_static(spark, sf):
+    evidence = {"decision": "measured", "block_complete": True, "block_gpu_preferred": True, "stream_complete": True, "stream_gpu_preferred": False}
+    return tasks(spark, sf).select("event_id", routing.classify_hash(F.col("bytes"), 65536, 16 << 20, evidence).alias("route"))
+
+
+@query("cold_credit", f"WITH {TELE}, c AS (SELECT event_id, run_id, duration_ms, sum(duration_ms * 0.05 / 4) OVER (PARTITION BY run_id ORDER BY event_id) AS credit FROM tele) SELECT event_id, round(credit, 6) AS credit_ms, event_id % 10 = 0 OR credit - 0.5 >= event_id % 10 AS admitted FROM c")
+def cold_credit(spark, sf):
+    rows = tele_v(spark, sf).select("event_id", "run_id", F.col("duration_ms").alias("cpu_ms"), F.pmod("event_id", F.lit(10)).alias("estimate_ms"), F.lit(0.5).alias("spent_ms"))
+    return routing.admitted(routing.cold_credit(rows, 4)).select("event_id", F.round("credit_ms", 6).alias("credit_ms"), "admitted")
+
+
+_FNV = "list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(string_split('root/' || path, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+_TRAIN = f"{FILES}, e AS (SELECT path, size, CAST((length(bin(size)) - 1) // 2 AS INTEGER) AS band, {_FNV} AS rank FROM files WHERE size > 0 AND size <= 1073741824), t AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY rank, path) AS place FROM e QUALIFY place <= 64)"
+
+
+@query("train_stratified", f"WITH {_TRAIN} SELECT path, size, band, CAST(rank AS VARCHAR) AS rank, CAST(place AS INTEGER) AS place FROM t")
+def train_stratified(spark, sf):
+    rows = training.stratified(training.eligible(files_v(spark, sf).select("path", "size"), 1 << 30))
+    return rows.select("path", "size", "band", F.col("rank").cast("string").alias("rank"), "place")
+
+
+@query(
+    "train_budget_select",
+    f"WITH RECURSIVE {_TRAIN}, q AS (SELECT path, size, row_number() OVER (ORDER BY place, band, size, path) AS n FROM t), "
+    "go AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS taken, CAST(NULL AS VARCHAR) AS path UNION ALL "
+    "SELECT q.n, go.total + CASE WHEN go.taken < 100 AND q.size <= 200000 - go.total THEN q.size ELSE 0 END, go.taken + CASE WHEN go.taken < 100 AND q.size <= 200000 - go.total THEN 1 ELSE 0 END, CASE WHEN go.taken < 100 AND q.size <= 200000 - go.total THEN q.path END FROM go JOIN q ON q.n = go.n + 1) "
+    "SELECT path, CAST(taken - 1 AS INTEGER) AS turn FROM go WHERE path IS NOT NULL",
+)
+def train_budget_select(spark, sf):
+    chosen = training.stratified(training.eligible(files_v(spark, sf).select("path", "size"), 1 << 30))
+    return training.budgeted(chosen, 100, 200_000).select("path", "turn")
+
+
+@query("backend_verification", f"WITH {FILES} SELECT path, CAST(2 AS BIGINT) AS n FROM files WHERE doc_id % 50 = 0")
+def backend_verification(spark, sf):
+    rows = files_v(spark, sf).select("path", F.explode(F.array(F.col("digest"), F.col("digest"), F.when(F.col("doc_id") % 50 == 0, F.lit("bad")).otherwise(F.col("digest")))).alias("digest"))
+    return training.backend_mismatches(rows)
+
+
+# --- benchmark statistics
+
+_PAIRS = "p AS (SELECT l_returnflag AS bench, l_orderkey AS trial, max(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS treated, max(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS untreated FROM lineitem GROUP BY 1, 2 HAVING treated IS NOT NULL AND untreated IS NOT NULL)"
+
+
+def pairs(spark, sf):
+    return benchstats.paired(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("bench"), F.col("l_orderkey").alias("trial"), F.col("l_linestatus").alias("arm"), F.col("l_extendedprice").alias("ms")), ["bench"], "trial", "arm", "ms", "O", "F")
+
+
+@query("paired_ratio", f"WITH {_PAIRS} SELECT bench, count(*) AS pairs, round(avg(treated / untreated), 6) AS mean_ratio, round(median(treated / untreated), 6) AS median_ratio, round(avg(treated - untreated), 4) AS mean_delta, round(median(treated - untreated), 6) AS median_delta FROM p GROUP BY bench")
+def paired_ratio(spark, sf):
+    return benchstats.paired_summary(pairs(spark, sf), ["bench"]).select("bench", "pairs", *(F.round(c, 6).alias(c) for c in ("mean_ratio", "median_ratio")), F.round("mean_delta", 4).alias("mean_delta"), F.round("median_delta", 6).alias("median_delta"))
+
+
+@query("bench_medians", "SELECT l_orderkey, count(*) AS n, median(l_quantity) AS median, min(l_quantity) AS low, max(l_quantity) AS high, list(CAST(l_linenumber AS BIGINT) ORDER BY l_linenumber) = [1, 2, 3] AS complete FROM lineitem GROUP BY l_orderkey")
+def bench_medians(spark, sf):
+    return benchstats.medians(table(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity", "l_linenumber", [1, 2, 3])
+
+
+@query("stable_win", f"WITH {_PAIRS} SELECT bench, trial % 100 AS block, bool_and(treated <= 0.8 * untreated) AND max(treated) <= 0.8 * min(untreated) AS stable_win FROM p GROUP BY bench, block")
+def stable_win(spark, sf):
+    return benchstats.stable_win(pairs(spark, sf).withColumn("block", F.col("trial") % 100), ["bench", "block"])
+
+
+@query("bootstrap_upper")
+def bootstrap_upper(spark, sf):
+    ship(spark)
+    few = pairs(spark, sf).groupBy("bench", (F.col("trial") % 20).alias("trial")).agg(F.avg("ratio").alias("ratio"))  # a benchmark has few trials
+    return benchstats.bootstrap_upper(few, ["bench"])
+
+
+# --- text and formats
+
+
+@query("log_kv_parse", "WITH l AS (SELECT event_id, 'run.id=' || user_id || ' name=' || event_type || ' ms=' || CAST(event_id % 1000 AS VARCHAR) || '.5 done' AS line FROM events) SELECT event_id, unnest(regexp_extract_all(line, '([\\w.]+)=(\\d+(?:\\.\\d+)?)', 1)) AS key, CAST(unnest(regexp_extract_all(line, '([\\w.]+)=(\\d+(?:\\.\\d+)?)', 2)) AS DOUBLE) AS value FROM l")
+def log_kv_parse(spark, sf):
+    line = F.concat(F.lit("run.id="), F.col("user_id").cast("string"), F.lit(" name="), F.col("event_type"), F.lit(" ms="), (F.col("event_id") % 1000).cast("string"), F.lit(".5 done"))
+    return table(spark, sf, "events").select("event_id", F.explode(key_values(line)).alias("x")).select("event_id", "x.key", "x.value")
+
+
+@query("config_json_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"run\":\"' || user_id || '\",\"type\":\"' || event_type || '\"}' AS config_json FROM events")
+def config_json_extract(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.to_json(F.struct(F.col("user_id").cast("string").alias("run"), F.col("event_type").alias("type"))).alias("config_json"))
+
+
+_UNIT = "CASE " + " ".join(f"WHEN size < {1024 ** (i + 1)} THEN printf('%.2f {u}', size / {float(1024**i)})" for i, u in enumerate(("B", "KiB", "MiB"))) + " END"
+
+
+@query("human_units", f"WITH {FILES} SELECT path, CASE WHEN size = 0 THEN '0 B' ELSE {_UNIT} END AS size_text, CASE WHEN size = 0 THEN '0 ms' WHEN size / 4.0 < 1000 THEN printf('%.2f ms', size / 4.0) WHEN size / 4.0 < 60000 THEN printf('%.2f s', size / 4.0 / 1000) ELSE printf('%.2f min', size / 4.0 / 60000) END AS time_text FROM files")
+def human_units(spark, sf):
+    return files_v(spark, sf).select("path", scalars.human_bytes(F.col("size")).alias("size_text"), scalars.human_duration(F.col("size") / 4.0).alias("time_text"))
+
+
+@query("fnv1a_rank", f"WITH {FILES} SELECT path, CAST({_FNV} AS VARCHAR) AS rank FROM files")
+def fnv1a_rank(spark, sf):
+    return files_v(spark, sf).select("path", scalars.train_rank(F.lit("root"), F.col("path")).cast("string").alias("rank"))
+
+
+@query("path_keys", f"WITH {FILES} SELECT path, '/ws/' || path AS absolute_path, path AS relative_path, 'doc/' || doc_id AS normal_path, length(path) || ':' || path || length(digest) || ':' || digest AS learning_key, lpad(printf('%X', size), 16, '0') AS size_key FROM files")
+def path_keys(spark, sf):
+    absolute = scalars.absolute_key(F.lit("/ws/"), F.col("path"))
+    odd = F.concat(F.lit("./x/../"), F.col("path"), F.lit("/."))
+    return files_v(spark, sf).select("path", absolute.alias("absolute_path"), scalars.relative_key(F.lit("/ws"), absolute).alias("relative_path"), scalars.normal_path(odd).alias("normal_path"), scalars.learning_key(F.col("path"), F.col("digest")).alias("learning_key"), F.hex(scalars.big_endian(F.col("size"))).alias("size_key"))
+
+
+@query("blake3_digest")
+def blake3_digest(spark, sf):
+    ship(spark)
+    return files_v(spark, sf).select("path", blake3_hex("content").alias("blake3"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
