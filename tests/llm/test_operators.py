@@ -380,3 +380,26 @@ def test_digest_of_queries(spark):
     row = piece_digests(spark.createDataFrame([(1, [5, 7], "é"), (2, [], "")], "doc_id long, ids array<int>, decoded string")).collect()
     assert row[0].ids_sha256 == hashlib.sha256(b"5,7").hexdigest() and row[0].decoded_sha256 == hashlib.sha256("é".encode()).hexdigest()
     assert row[1].ids_sha256 == hashlib.sha256(b"").hexdigest() and row[1].n_tokens == 0
+
+
+def test_drops(spark):
+    """One row of each group stays, repeated rows included; both ways of joining agree; other columns are untouched."""
+    from twinspark.llm.decontaminate import drop_contaminated
+    from twinspark.llm.exact_dedup import drop_copies
+    from twinspark.llm.shared import shared_root, stored, without
+    from twinspark.llm.simhash import drop_near_copies
+
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, "a"), (2, "a"), (2, "a"), (2, "b"), (3, "c"), (None, "a"), (4, None), (5, ""), (6, long), (7, long), (8, "  ")]
+    docs = docs_of(spark, rows)
+    for keep, want in (("max", [(2, "a"), (2, "b"), (3, "c"), (None, "a"), (5, ""), (7, long), (8, "  ")]), ("min", [(1, "a"), (2, "b"), (3, "c"), (None, "a"), (4, None), (6, long), (8, "  ")])):
+        out = drop_copies(docs, keep=keep)
+        assert out.columns == docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
+    out = drop_near_copies(docs)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, "a"), (2, "a"), (2, "a"), (2, "b"), (3, "c"), (None, "a"), (4, None), (5, ""), (6, long), (8, "  ")])
+    assert drop_contaminated(docs, spark.createDataFrame([(1, long)], "item_id long, text string")).count() == len(rows) - 2
+    ids = stored(docs.where("doc_id in (2, 6)").select("doc_id").distinct(), shared_root(spark))
+    assert without(docs, ids, ["doc_id"], 0).exceptAll(without(docs, ids, ["doc_id"])).count() == 0 and without(docs, ids, ["doc_id"], 0).count() == 7
+    for f in (drop_copies, drop_near_copies):
+        assert f(docs_of(spark, [])).count() == 0

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import ascii_lower, ship
+from twinspark.llm.shared import ascii_lower, shared_root, ship, stored, without
 from twinspark.llm.substring_dedup import fold
 
 WORDS, THRESHOLD = 5, 0.8
@@ -122,6 +122,6 @@ def _find_joined(texts: DataFrame, wanted: DataFrame, words: int, threshold: flo
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that contain no item, with their own columns."""
+    """The rows of docs that contain no item, with their own columns; rows without an id stay."""
     found = find_items(docs, items, id_col, text_col, **options).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(docs.columns)
+    return without(docs, stored(found, f"{shared_root(docs.sparkSession)}/found"), [id_col]).select(docs.columns)

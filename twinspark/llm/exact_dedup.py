@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import shared_root, stored
+from twinspark.llm.shared import fresh, shared_root, stored, without
 
 #: Hits up to this many (about 20 MB) are broadcast to pick the texts to verify; beyond it all texts are grouped.
 MAX_BROADCAST_HITS = 200_000
@@ -102,6 +102,18 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that stay, with their own columns. Rows that repeat id and text both stay once."""
-    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns)
+    """The rows of docs that stay, with their own columns: one of each group; rows without an id all stay.
+
+    What goes is joined to docs, not what stays, so texts are shuffled only where very many rows go."""
+    found = exact_dedup(docs, id_col, text_col, keep)
+    root = shared_root(docs.sparkSession)
+    key = fresh(docs, "text_digest")
+    rows = stored(found.select(F.col("id").alias(id_col), F.col("digest").alias(key), "kept"), f"{root}/found")
+    dropped = stored(rows.where("not kept").drop("kept").distinct(), f"{root}/dropped")
+    hashed = docs.withColumn(key, sha256_digest(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    out = without(hashed, dropped, [id_col, key])
+    again = rows.where(f"kept and `{id_col}` is not null").groupBy(id_col, key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if not again.isEmpty():  # rows that repeat id and text: one of them stays
+        twice = out.join(again, [id_col, key], "left_semi").dropDuplicates([id_col, key])
+        out = out.join(again, [id_col, key], "left_anti").select(docs.columns).unionByName(twice.select(docs.columns))
+    return out.select(docs.columns)

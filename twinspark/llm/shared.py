@@ -51,6 +51,16 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+#: Identifiers of rows to drop are broadcast up to this many (about 20 MB); beyond it rows are joined by a shuffle.
+MAX_BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """docs without the rows whose keys are in dropped (a stored table); rows with a null key stay."""
+    few = dropped.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(dropped) if few else dropped, keys, "left_anti")
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

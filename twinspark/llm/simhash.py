@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspark.llm.components import components
-from twinspark.llm.shared import shared_root, ship, stored
+from twinspark.llm.shared import shared_root, ship, stored, without
 
 BITS = 64
 #: Buckets with up to this many fingerprints compare them inside; larger ones are split exactly, see near_links.
@@ -104,7 +104,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
     """The rows of docs that stay, one document of each group (its smallest id), with their own columns.
 
-    Documents without words have no shingles to compare; all of them stay, as near copies of nothing."""
-    found = simhash_groups(docs, id_col, text_col, radius, shingle).where("fp = 0 or id = component_id")
-    keep = found.select(F.col("id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi").select(docs.columns)
+    Documents without words have no shingles to compare; all of them stay, as near copies of nothing, and so do rows
+    without an id. Rows of one id go or stay together."""
+    root = shared_root(docs.sparkSession)
+    found = stored(simhash_groups(docs, id_col, text_col, radius, shingle), f"{root}/found")
+    kept = found.where("fp = 0 or id = component_id").select("id")
+    dropped = stored(found.select("id").distinct().join(kept, "id", "left_anti").select(F.col("id").alias(id_col)), f"{root}/dropped")
+    return without(docs, dropped, [id_col]).select(docs.columns)
