@@ -159,6 +159,8 @@ def test_toxicity(spark):
     assert all(0 <= s <= 1 for s in got.values())
     assert {r.doc_id for r in docs.where(held_out()).select("doc_id").collect()} == {i for i, _ in rows + ODD[:-2] if zlib.crc32(str(i).encode()) % 5 == 0}
     assert drop_toxic(docs, given).columns == docs.columns
+    joined = train_on_labels(docs.where("doc_id >= 10"), given, max_broadcast_labels=0)
+    assert joined.bias == pytest.approx(model.bias) and abs(joined.weights - model.weights).max() < 1e-9
     assert score(docs_of(spark, []), model).count() == 0
     flat = train_on_labels(docs, given.where("toxic = 0"))
     assert len({r.score for r in score(docs, flat).collect()}) == 1
