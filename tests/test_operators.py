@@ -141,3 +141,16 @@ def test_training_budget(spark):
     taken = training.budgeted(chosen, 5, 1000).orderBy("turn").collect()
     assert len(taken) <= 5 and sum(r["size"] for r in taken) <= 1000 and [r.turn for r in taken] == list(range(len(taken)))
     assert training.budgeted(chosen, 100, 0).count() == 0
+
+
+def test_ordered_groups(spark):
+    from pyspark.sql import Window
+
+    from twinspark.operators.ordered import row_positions, running_sums
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("o"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"), (F.col("id") % 11).alias("v")).repartition(7)
+    w = Window.partitionBy("k").orderBy("o")
+    want = df.select("k", "o", F.row_number().over(w).cast("long").alias("n"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    got = row_positions(df, ["k"], ["o"], "n").join(running_sums(df, ["k"], ["o"], "v", "s").select("k", "o", "s"), ["k", "o"]).select("k", "o", F.col("n").cast("long"), "s")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert row_positions(df.limit(0), ["k"], ["o"], "n").count() == 0

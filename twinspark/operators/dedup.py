@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspark.functions.scalars import quoted_path
+from twinspark.operators.ordered import row_positions
 
 
 def dup_candidates(files: DataFrame) -> DataFrame:
@@ -34,11 +35,9 @@ def matches(files: DataFrame) -> DataFrame:
 
 
 def numbered(groups: DataFrame) -> DataFrame:
-    """With group_number from 1 in the representatives' order; the window sees one row a group."""
-    from pyspark.sql import Window
-
-    order = groups.select("representative").distinct().withColumn("group_number", F.row_number().over(Window.orderBy("representative")).cast("long"))
-    return groups.join(order, "representative")
+    """With group_number from 1 in the representatives' order, by range partitions and their offsets."""
+    order = row_positions(groups.select("representative").distinct().withColumn("all", F.lit(0)), ["all"], ["representative"], "group_number")
+    return groups.join(order.drop("all"), "representative")
 
 
 def unique_files(files: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinspark.functions.scalars import size_band
+from twinspark.operators.ordered import row_positions, running_sums
 
 BACKENDS = ("cpu", "cuda", "igpu")
 LARGE_BYTES = 64 << 20
@@ -17,7 +18,8 @@ CREDIT_SHARE = 0.05
 
 def with_arrivals(tasks: DataFrame, order: str = "event_id") -> DataFrame:
     """arrival: how many tasks of the same worker and size band came before."""
-    return tasks.withColumn("band", size_band(F.col("bytes"))).withColumn("arrival", F.row_number().over(Window.partitionBy("worker", "band").orderBy(order)) - 1)
+    banded = tasks.withColumn("band", F.when(F.col("bytes") > 0, size_band(F.col("bytes"))).otherwise(F.lit(-1)))
+    return row_positions(banded, ["worker", "band"], [order], "arrival").withColumn("arrival", F.col("arrival") - 1)
 
 
 def _rotating(arrival: Column, available: dict[str, Column]) -> Column:
@@ -72,8 +74,7 @@ def classify_hash(size: Column, floor: int, block: int, evidence: dict) -> Colum
 
 def cold_credit(tasks: DataFrame, workers: int, order: str = "event_id", keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """Running credit of each run: a share of the CPU time of its tasks so far, over the workers."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return tasks.withColumn("credit_ms", F.sum(F.col("cpu_ms") * CREDIT_SHARE / workers).over(w))
+    return running_sums(tasks.withColumn("_share", F.col("cpu_ms") * CREDIT_SHARE / workers), list(keys), [order], "_share", "credit_ms").drop("_share")
 
 
 def admitted(credited: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinspark.operators.ordered import row_positions
+
 
 def logs(events: DataFrame) -> DataFrame:
     return events.where("type = 'log'")
@@ -108,5 +110,4 @@ def last_per_name(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def sampled(tasks: DataFrame, every: int = 64) -> DataFrame:
     """Every `every`-th task of each worker by event_id."""
-    w = Window.partitionBy("worker").orderBy("event_id")
-    return tasks.withColumn("turn", F.row_number().over(w)).where(F.col("turn") % every == 0)
+    return row_positions(tasks, ["worker"], ["event_id"], "turn").where(F.col("turn") % every == 0)
