@@ -13,15 +13,16 @@ def components(edges: DataFrame, root: str, most_rounds: int = 60) -> DataFrame:
 
     Every round joins each edge to the smallest neighbour of its end, so the number of rounds grows with the
     logarithm of the diameter; each is written to the shared folder `root`. Only minima are grouped, with partial
-    aggregation, so a node with very many neighbours is no bottleneck."""
+    aggregation, and they are written before the join back, so adaptive execution splits a node with very many edges."""
     links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{root}/links-0")
     mark = None
     for i in range(1, most_rounds + 1):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), f"{root}/low-{i}")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         # Every edge of `large` now points from a larger to a smaller node.
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        large = stored(large, f"{root}/large-{i}")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("low")), f"{root}/lower-{i}")
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.low").alias("b"))
         links = stored(small.where("a <> b").distinct(), f"{root}/links-{i}")
         now = links.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("cast(b as decimal(38, 0))"))).first()

@@ -117,13 +117,15 @@ def repeated_runs(texts: DataFrame, root: str, length: int = LENGTH, most_contex
 
     spark = texts.sparkSession
     found = stored(texts.mapInArrow(cells, "core long, full long, id long, tag int, first int, windows int"), f"{root}/anchors")
-    again = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    # Written, so that the join has an exchange of its own and adaptive execution can split a hot core.
+    again = stored(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), f"{root}/again")
     found = stored(found.join(again, "core", "left_semi"), f"{root}/candidates")
     release(spark, f"{root}/anchors")
 
     # A core is mixed if one of its fulls occurs once; then one context of each of its fulls must be compared.
     fulls = found.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("of"))
     mixed = fulls.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("contexts")).where("least = 1 and contexts > 1")
+    mixed = stored(mixed, f"{root}/mixed")
     known = stored(fulls.join(mixed, "core", "left").select("core", "full", "n", "of", F.coalesce("contexts", F.lit(0)).alias("contexts")).where("n > 1 or contexts > 0"), f"{root}/fulls")
     joined = stored(found.join(known, ["core", "full"]), f"{root}/joined")
     resolved = joined.where("n > 1").select("id", "tag", "first", "windows")

@@ -75,6 +75,8 @@ def near_links(nodes: DataFrame, radius: int, root: str, small_bucket: int = SMA
     keys = F.array(*(F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)))
     rows = nodes.select("node", "fp", F.explode(keys).alias("x")).select("node", "fp", "x.t", "x.key")
     sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join has an exchange of its own and adaptive execution can split a hot bucket.
+    sizes = stored(sizes, f"{root}/sizes")
     crowded = stored(rows.join(sizes, ["t", "key"]), f"{root}/crowded")
 
     small = crowded.where(F.col("n") <= small_bucket).groupBy("t", "key").agg(F.collect_list(F.struct("node", "fp")).alias("all"))

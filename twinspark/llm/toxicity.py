@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import ship
+from twinspark.llm.shared import shared_root, ship, stored
 
 BITS = 18
 SIZE = 1 << BITS
@@ -25,8 +25,8 @@ GRAMS = (3, 4, 5, 6)
 MAX_FIT_ROWS = 6_000
 #: And of these on at most this many features in sum, so the driver's share stays under about 100 MB.
 MAX_FIT_FEATURES = 12_000_000
-#: Labels up to this many (some 20 MB) are broadcast to the documents.
-MAX_BROADCAST_LABELS = 500_000
+#: Labels up to this many (some 10 MB) are broadcast to the documents.
+MAX_BROADCAST_LABELS = 200_000
 #: The regression uses the buckets that tell the classes apart best, this many at most.
 MAX_BUCKETS = 512
 PENALTY = 0.3
@@ -163,11 +163,12 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def train_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_broadcast_labels: int = MAX_BROADCAST_LABELS) -> Model:
     """Trains on the documents that have a label and are not held out. A document labelled twice counts once a label.
 
-    Within the bound labels are broadcast and texts stay where they are; beyond it both are joined by a shuffle."""
+    Within the bound labels are broadcast and texts stay where they are; beyond it both are joined by a shuffle, once."""
     wanted = labels.where(~held_out(id_col)).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).distinct()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     few = wanted.limit(max_broadcast_labels + 1).count() <= max_broadcast_labels
-    return train(texts.join(F.broadcast(wanted) if few else wanted, "id"), "text", "label", "id")
+    labelled = texts.join(F.broadcast(wanted), "id") if few else stored(texts.join(wanted, "id"), f"{shared_root(docs.sparkSession)}/labelled")
+    return train(labelled, "text", "label", "id")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
