@@ -123,3 +123,28 @@ def test_cli(tmp_path, spark):
     assert main(["scan", str(tmp_path), "--output", f"{tmp_path}-report"]) == 0
     assert 'a"' in "".join(p.read_text() for p in Path(f"{tmp_path}-report").glob("part-*"))
     assert main(["merge", str(tmp_path), str(tmp_path / "nowhere")]) in (0, 2) and main(["clean", str(tmp_path)]) == 0
+
+
+def test_archive_and_train_commands(spark, tmp_path):
+    from twinspark.cli import main
+    from twinspark.schema import EVENTS, METRICS, PARAMETERS, RUNS
+    from twinspark.sources.history import at_most, read_history
+
+    def put_history(name, run, odd=0):
+        rows = {"runs": (RUNS, [(run, 1, None, "complete", *[None] * 5, *[0] * 6)]), "events": (EVENTS, [(k, run, "log", "n", "info", "m", "cpu", 0, 0, 0, k, k, odd, 1.0, "u", 0) for k in (1, 2)]), "metrics": (METRICS, [(run, "n", 1.0, "u")]), "parameters": (PARAMETERS, [(run, "c", "n", "v")])}
+        for table, (schema, values) in rows.items():
+            spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}/{table}")
+        return f"{tmp_path}/{name}"
+
+    a, b, c = put_history("a", "ra"), put_history("b", "rb"), put_history("c", "ra", 7)
+    assert main(["archive", a, b, a, "--output", f"{tmp_path}/u"]) == 0
+    union = read_history(spark, f"{tmp_path}/u")
+    assert union.runs.count() == 2 and union.events.count() == 4
+    assert main(["archive", a, c, "--output", f"{tmp_path}/v"]) == 2 and not (tmp_path / "v").exists()
+    assert main(["archive", a, "--output", f"{tmp_path}/u"]) == 2
+    spark.range(1).write.parquet(f"{tmp_path}/d/runs")
+    assert main(["archive", f"{tmp_path}/d", "--output", f"{tmp_path}/w"]) == 2
+    with pytest.raises(ValueError):
+        at_most(spark.range(4), 3, "models")
+    spark.range(50).selectExpr("'cpu' as backend", "(id + 1) * 1000000 as bytes", "65536L as batch_bytes", "double(id % 3) as contention", "1.0 + id as ms").write.parquet(f"{tmp_path}/obs")
+    assert main(["train", f"{tmp_path}/obs", "--output", f"{tmp_path}/fits"]) == 0 and spark.read.parquet(f"{tmp_path}/fits").count() == 1

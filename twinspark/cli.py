@@ -1,9 +1,11 @@
-"""python -m twinspark.cli scan|merge|new|clean ...; exit status 0, or 2 on failure."""
+"""python -m twinspark.cli scan|merge|archive|train|new|clean ...; exit status 0, or 2 on failure."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+import time
 
 from twinspark.session import session
 
@@ -22,6 +24,12 @@ def main(args: list[str] | None = None) -> int:
     merge = commands.add_parser("merge")
     merge.add_argument("target")
     merge.add_argument("sources", nargs="+")
+    union = commands.add_parser("archive")
+    union.add_argument("inputs", nargs="+")
+    union.add_argument("--output", required=True)
+    train = commands.add_parser("train")
+    train.add_argument("observations", help="Parquet with backend, bytes, batch_bytes, contention, ms")
+    train.add_argument("--output", required=True)
     given = parser.parse_args(args)
     try:
         from twinspark.plans.merge import clean_workspace, initialize_workspace, merge_workspaces
@@ -32,16 +40,36 @@ def main(args: list[str] | None = None) -> int:
             print(clean_workspace(given.root, given.recursive))
         elif given.command == "merge":
             print(merge_workspaces(session(), given.target, given.sources))
+        elif given.command == "archive":
+            from twinspark.operators.archive import archive_union, publish, totals_json
+            from twinspark.sources.history import read_history
+
+            spark = session()
+            whole, _, totals = archive_union([(i, read_history(spark, path)) for i, path in enumerate(given.inputs, 1)])
+            publish(whole, given.output)
+            print("\n".join(r.totals for r in totals_json(totals).orderBy("source_id").collect()))
+        elif given.command == "train":
+            from twinspark.plans.train import learn
+            from twinspark.storage import ship
+
+            spark = session()
+            ship(spark)
+            _, fits = learn(spark.read.parquet(given.observations))
+            fits.write.mode("errorifexists").parquet(given.output)
         else:
             from twinspark.operators.dedup import write_report
             from twinspark.plans.scan import scan, summary
+            from twinspark.sources.config import use_color
             from twinspark.sources.inventory import with_content
 
-            spark = session()
+            from twinspark.plans.report import pretty
+
+            spark, began = session(), time.monotonic()
             found = scan(spark, given.root)
             if given.output:
                 write_report(with_content(found.files, given.root), given.output, given.unmatched)
             print(summary(spark, found.counters), file=sys.stderr)
+            print(pretty(spark, found.counters, time.monotonic() - began, use_color("auto", sys.stdout.isatty(), "NO_COLOR" in os.environ)))
     except Exception as error:
         print(f"twinspark: {error}", file=sys.stderr)
         return 2

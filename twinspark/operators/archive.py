@@ -85,6 +85,11 @@ def source_totals(runs: DataFrame, known: DataFrame, source_id: int) -> DataFram
     )
 
 
+def totals_json(totals: DataFrame) -> DataFrame:
+    """One JSON text a source."""
+    return totals.select("source_id", F.to_json(F.struct("source_id", "runs_added", "runs_duplicate", "runs_running")).alias("totals"))
+
+
 def publish(history: History, path: str) -> None:
     """Writes an archive where none is; an existing one is never overwritten."""
     for name in ("runs", *CHILDREN):

@@ -71,7 +71,7 @@ def known_bands(model: DataFrame) -> DataFrame:
 
 def with_features(observations: DataFrame) -> DataFrame:
     """Valid observations (bytes, batch_bytes, contention, ms) with x0..x3."""
-    rows = observations.withColumn("x", features(F.col("bytes"), F.col("batch_bytes"), F.col("contention"))).where(F.col("x").isNotNull() & (F.col("ms") > 0) & (F.col("ms") <= 1e9))
+    rows = observations.withColumn("ms", F.col("ms").cast("double")).withColumn("x", features(F.col("bytes"), F.col("batch_bytes"), F.col("contention").cast("double"))).where(F.col("x").isNotNull() & (F.col("ms") > 0) & (F.col("ms") <= 1e9))
     return rows.select("*", *(F.col("x")[i].alias(f"x{i}") for i in range(4))).drop("x")
 
 
@@ -226,3 +226,12 @@ def kept_keys(models: DataFrame, current: str, most: int = 32) -> DataFrame:
 
 def pruned_ledger(ledger: DataFrame, models: DataFrame) -> DataFrame:
     return ledger.join(models.select("key").distinct(), "key", "left_semi")
+
+
+def valid_setup(parts: DataFrame) -> DataFrame:
+    """Setup rows with samples, and finite times of which none is negative and the mean is no more than the largest."""
+    times = [F.col(c) for c in ("last_ms", "mean_ms", "max_ms")]
+    ok = F.col("samples") > 0
+    for t in times:
+        ok = ok & (t >= 0) & ~F.isnan(t) & (t < float("inf"))
+    return parts.where(ok & (F.col("mean_ms") <= F.col("max_ms")) & (F.col("last_ms") <= F.col("max_ms")))

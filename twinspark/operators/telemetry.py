@@ -111,3 +111,20 @@ def last_per_name(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def sampled(tasks: DataFrame, every: int = 64) -> DataFrame:
     """Every `every`-th task of each worker by event_id."""
     return row_positions(tasks, ["worker"], ["event_id"], "turn").where(F.col("turn") % every == 0)
+
+
+def finished(runs: DataFrame, run_id: str, status: str, ended_unix_ns: int, error: str | None = None) -> DataFrame:
+    """The run table with the terminal record of one run, which does not pass the event queue."""
+    mine = F.col("run_id") == run_id
+    return runs.withColumns({"status": F.when(mine, F.lit(status)).otherwise(F.col("status")), "ended_unix_ns": F.when(mine, F.lit(ended_unix_ns)).otherwise(F.col("ended_unix_ns")), "error": F.when(mine, F.lit(error)).otherwise(F.col("error"))})
+
+
+def tail(rows: DataFrame, skip: int, order: list) -> DataFrame:
+    """All rows behind the first `skip` in order: an anti join with a top-k, where OFFSET would sort everything into one task."""
+    first = rows.orderBy(*order).limit(skip)
+    return rows.join(first.select("run_id"), "run_id", "left_anti")
+
+
+def profile_snapshot(events: DataFrame) -> DataFrame:
+    """Sums over all workers a name."""
+    return events.groupBy("name").agg(F.count_distinct("worker").alias("workers"), F.count(F.lit(1)).alias("tasks"), F.sum("bytes").alias("bytes"))

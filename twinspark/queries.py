@@ -382,6 +382,33 @@ def archive_orphans(spark, sf):
     return telemetry.orphans(b.events, a.runs).select("event_id", "run_id")
 
 
+@query("archive_totals_json", f"WITH {_HISTORY} SELECT CAST(1 AS BIGINT) AS source_id, '{{\"source_id\":1,\"runs_added\":' || count(*) || ',\"runs_duplicate\":0,\"runs_running\":' || count(*) FILTER (WHERE status = 'running') || '}}' AS totals FROM aruns")
+def archive_totals_json(spark, sf):
+    a, _ = histories(spark, sf, False)
+    return archive.totals_json(archive.source_totals(a.runs, a.runs.limit(0), 1))
+
+
+@query("telemetry_finish_run", f"WITH {TELE}, {RUNS} SELECT run_id, CASE WHEN run_id = '5' THEN 'failed' ELSE status END AS status, CASE WHEN run_id = '5' THEN 99 ELSE -1 END AS ended_unix_ns, CASE WHEN run_id = '5' THEN 'disk full' ELSE '' END AS error FROM runs")
+def telemetry_finish_run(spark, sf):
+    runs = runs_v(tele_v(spark, sf)).withColumns({"ended_unix_ns": F.lit(-1), "error": F.lit("")})
+    return telemetry.finished(runs, "5", "failed", 99, "disk full").select("run_id", "status", "ended_unix_ns", "error")
+
+
+@query("telemetry_tail", f"WITH {TELE}, {RUNS} SELECT run_id, started_unix_ns FROM (SELECT * FROM runs ORDER BY started_unix_ns DESC, run_id DESC OFFSET 20)")
+def telemetry_tail(spark, sf):
+    return telemetry.tail(runs_v(tele_v(spark, sf)), 20, [F.desc("started_unix_ns"), F.desc("run_id")]).select("run_id", "started_unix_ns")
+
+
+@query("profile_snapshot", f"WITH {TELE} SELECT name, count(DISTINCT worker) AS workers, count(*) AS tasks, CAST(sum(bytes) AS BIGINT) AS bytes FROM tele GROUP BY name")
+def profile_snapshot(spark, sf):
+    return telemetry.profile_snapshot(tele_v(spark, sf))
+
+
+@query("scan_throughput", f"WITH {TELE} SELECT run_id, round(CASE WHEN sum(duration_ms) > 0 THEN sum(bytes) / 1048576.0 / (sum(duration_ms) / 1000) ELSE 0 END, 6) AS mib_s FROM tele GROUP BY run_id")
+def scan_throughput(spark, sf):
+    return tele_v(spark, sf).groupBy("run_id").agg(F.round(scalars.throughput_mib(F.sum("bytes"), F.sum("duration_ms") / 1000), 6).alias("mib_s"))
+
+
 # --- model
 
 
@@ -542,6 +569,12 @@ def setup_history(spark, sf):
     return model.setup_history(parts).select("key", *(F.round(c, 6).alias(c) for c in ("last_ms", "mean_ms", "max_ms")), "samples")
 
 
+@query("setup_valid", f"WITH {_LEDGER} SELECT source, key FROM target WHERE payload >= 0 AND revision > 0")
+def setup_valid(spark, sf):
+    parts = ledgers(spark, sf)[0].select("source", "key", *(F.col("payload").alias(c) for c in ("last_ms", "mean_ms", "max_ms")), F.col("revision").alias("samples"))
+    return model.valid_setup(parts).select("source", "key")
+
+
 # --- routing and training
 
 
@@ -679,6 +712,13 @@ def path_keys(spark, sf):
     return files_v(spark, sf).select("path", absolute.alias("absolute_path"), scalars.relative_key(F.lit("/ws"), absolute).alias("relative_path"), scalars.normal_path(odd).alias("normal_path"), scalars.learning_key(F.col("path"), F.col("digest")).alias("learning_key"), F.hex(scalars.big_endian(F.col("size"))).alias("size_key"))
 
 
+@query("safe_paths", f"WITH {_PATHS}, p AS (SELECT CASE WHEN length(path) % 3 = 0 THEN '/' || path WHEN length(path) % 3 = 1 THEN path || '/../z' ELSE path END AS path FROM paths) SELECT path, NOT (path LIKE '/%' OR list_contains(string_split(path, '/'), '..') OR list_contains(string_split(path, '/'), '.') OR path = '') AS safe FROM p")
+def safe_paths(spark, sf):
+    p, n = F.col("path"), F.length("path") % 3
+    rows = rule_paths(spark, sf).select(F.when(n == 0, F.concat(F.lit("/"), p)).when(n == 1, F.concat(p, F.lit("/../z"))).otherwise(p).alias("path"))
+    return rows.select("path", scalars.safe_relative(F.col("path")).alias("safe"))
+
+
 @query("blake3_digest")
 def blake3_digest(spark, sf):
     ship(spark)
