@@ -41,6 +41,18 @@ def test_exact_dedup(spark):
     assert exact_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_digest_index(spark):
+    from twinspark.llm.exact_dedup import DigestIndex, sha256_digest
+
+    index = DigestIndex(spark)
+    for batch in ([(1, "a"), (4, "b"), (3, "a")], [(0, "c"), (2, "a")]):
+        index.flush(docs_of(spark, batch).select(F.col("doc_id").alias("id"), sha256_digest(F.col("text")).alias("digest")))
+    assert sorted((r.min_id, r.max_id, r.n) for r in index.compact().collect()) == [(0, 0, 1), (1, 3, 3), (4, 4, 1)]
+    key = hashlib.sha256(b"a").digest()
+    found = index.lookup([key, b"absent"])
+    assert [(r.min_id, r.n) for r in found.collect()] == [(1, 3)] and "PushedFilters: [In(digest" in found._jdf.queryExecution().toString()
+
+
 def brute_fingerprint(text):
     import xxhash
 

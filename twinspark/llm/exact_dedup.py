@@ -48,6 +48,11 @@ class DigestIndex:
         merged.sortWithinPartitions("digest").write.mode("overwrite").option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.root}/level1")
         return self.spark.read.schema(merged.schema).parquet(f"{self.root}/level1")
 
+    def lookup(self, digests: list[bytes]) -> DataFrame:
+        """Rows of the compacted level for a short list of digests: the filter is pushed to the scan, where the files'
+        Bloom filters leave out row groups without them. Later batches are checked so before they are flushed."""
+        return self.spark.read.parquet(f"{self.root}/level1").where(F.col("digest").isin(digests))
+
 
 def exact_dedup(
     docs: DataFrame,
