@@ -205,7 +205,7 @@ def test_decontamination(spark):
     docs, bench = docs_of(spark, rows), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id long")
     for options in ({}, {"max_broadcast_bytes": 0}):
         got = find_items(docs, bench, **options)
-        assert Counter((r.id, r.item_id, r.item_shingles, r.shared_shingles) for r in got.collect()) == want
+        assert Counter((r.id, r.item_id, r.item_shingles, r.shared_shingles) for r in got.collect()) == want, options
         assert find_items(docs_of(spark, []), bench, **options).count() == 0
         assert find_items(docs, bench.limit(0), **options).count() == 0
     kept = drop_contaminated(docs, bench)

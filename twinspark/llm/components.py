@@ -27,6 +27,7 @@ def components(edges: DataFrame, root: str, most_rounds: int = 60) -> DataFrame:
         links = stored(small.where("a <> b").distinct(), f"{root}/links-{i}")
         now = links.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("cast(b as decimal(38, 0))"))).first()
         if now == mark:
-            return links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+            found = links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+            return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
         mark = now
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")

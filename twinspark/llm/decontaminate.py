@@ -102,12 +102,14 @@ def _find_joined(texts: DataFrame, wanted: DataFrame, words: int, threshold: flo
     split = F.filter(F.split(F.regexp_replace(ascii_lower(F.col("text")), NO_WORD, " "), " "), lambda w: w != "")
     grams = lambda n: F.array_distinct(F.expr(f"transform(sequence(1, greatest(1, size(w) - {n} + 1)), i -> array_join(slice(w, i, {n}), ' '))"))
     items = wanted.withColumn("w", split).where("size(w) > 0").withColumn("n", F.least(F.size("w"), F.lit(words)))
-    items = items.withColumn("key", F.monotonically_increasing_id()).select("key", "item_id", "n", grams("n").alias("parts"))
+    # Written, as row numbers are only the same in every use if the rows are not dealt anew.
+    root = shared_root(texts.sparkSession)
+    items = stored(items.withColumn("key", F.monotonically_increasing_id()).select("key", "item_id", "n", grams("n").alias("parts")), f"{root}/items")
     sizes = [r[0] for r in items.select("n").distinct().collect()]  # at most `words` values
     bound = F.expr("shiftleft(1L, cast(ceil(log2(size(parts))) as int))")
     k = F.least(F.size("parts"), (F.floor(F.lit(1 - threshold) * bound + 1e-9) + 1).cast("int"))
     sketch = items.withColumn("k", k).select("key", "n", F.explode(F.expr("slice(array_sort(transform(parts, s -> struct(xxhash64(s) as h, s))), 1, k)")).alias("x")).select("key", "n", F.col("x.s").alias("s"))
-    own = texts.withColumn("row", F.monotonically_increasing_id()).withColumn("w", split)
+    own = stored(texts.withColumn("row", F.monotonically_increasing_id()), f"{root}/texts").withColumn("w", split)
     mine = None
     for n in sizes:
         part = own.where(F.size("w") >= n).select("row", "id", F.lit(n).alias("n"), F.explode(grams(n)).alias("s"))
