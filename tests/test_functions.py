@@ -30,14 +30,14 @@ def test_blake3(spark):
     assert [r[0] for r in df.orderBy("i").select(blake3_hex("content")).collect()] == [VECTORS[65], None, VECTORS[0]]
 
 
-RULES_A = "*.tmp\nbuild/\n!build/keep.txt\n/root.txt\na/**/b?.dat\n!.same/state.db\n"
+RULES_A = "*.tmp\nbuild/\n!build/keep.txt\n/root.txt\na/**/b?.dat\n!.twinspark/state.db\n"
 RULES_B = "﻿\\#literal\n\\!literal\n[a-c].txt\n[!a-c].dat\n[[:digit:]].log\nliteral\\*.txt\nab**cd\nparent/\n!parent/\nparent/*\n!parent/keep\n/root-only/\na/**/target\nescaped\\ \ntrailing   \n"
 CASES = [
-    (RULES_A, {"x.tmp": 1, "sub/x.tmp": 1, "build": 0, "build/x.txt": 1, "build/keep.txt": 1, "root.txt": 1, "sub/root.txt": 0, "a/b1.dat": 1, "a/x/y/b2.dat": 1, "a/x/b22.dat": 0, ".same/state.db": 1, "normal": 0}),
+    (RULES_A, {"x.tmp": 1, "sub/x.tmp": 1, "build": 0, "build/x.txt": 1, "build/keep.txt": 1, "root.txt": 1, "sub/root.txt": 0, "a/b1.dat": 1, "a/x/y/b2.dat": 1, "a/x/b22.dat": 0, ".twinspark/state.db": 1, "normal": 0}),
     (
         RULES_B,
         {"#literal": 1, "!literal": 1, "trailing": 1, "escaped ": 1, "trailing ": 0, "escaped": 0, "b.txt": 1, "d.txt": 0, "z.dat": 1, "b.dat": 0, "5.log": 1, "x.log": 0, "literal*.txt": 1, "literalX.txt": 0, "abZZcd": 1, "ab/x/cd": 0,
-         "parent/keep": 0, "parent/other": 1, "parent/other/keep": 1, "root-only/a": 1, "sub/root-only/a": 0, "a/target": 1, "a/b/c/target": 1, "nested/.same/state.db": 1},
+         "parent/keep": 0, "parent/other": 1, "parent/other/keep": 1, "root-only/a": 1, "sub/root-only/a": 0, "a/target": 1, "a/b/c/target": 1, "nested/.twinspark/state.db": 1},
     ),
 ]
 

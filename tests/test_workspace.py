@@ -24,7 +24,7 @@ def test_scan_twice_and_change(spark, tmp_path):
     root = str(tmp_path)
     assert initialize_workspace(root) == ["config.toml", "ignore"] and initialize_workspace(root) == []
     put(root, a="abcd", b="abcd", sub__c="other", sub__d="abcd", skip="abcd")
-    (tmp_path / ".same" / "ignore").write_text("skip\n")
+    (tmp_path / ".twinspark" / "ignore").write_text("skip\n")
     os.symlink(tmp_path / "a", tmp_path / "link")
     first = scan(spark, root)
     assert {k: first.counters[k] for k in ("scanned", "hashed", "cached", "groups", "matches", "unique_files")} == {"scanned": 4, "hashed": 4, "cached": 0, "groups": 1, "matches": 3, "unique_files": 1}
@@ -61,7 +61,7 @@ def test_merge_is_idempotent(spark, tmp_path):
     for name in ("one", "two"):
         initialize_workspace(str(tmp_path / name))
         put(tmp_path / name, **{f"{name}.txt": name})
-        (tmp_path / name / ".same" / "ignore").write_text(f"*.{name}\n")
+        (tmp_path / name / ".twinspark" / "ignore").write_text(f"*.{name}\n")
         scan(spark, str(tmp_path / name))
     initialize_workspace(str(tmp_path))
     assert discover_workspaces(str(tmp_path), skip=str(tmp_path)) == [str(tmp_path / "one"), str(tmp_path / "two")]
@@ -70,9 +70,9 @@ def test_merge_is_idempotent(spark, tmp_path):
     again = merge_workspaces(spark, str(tmp_path), sources)
     assert first == {"workspaces": 2, "cache_rows": 2, "rules_added": 2, "warnings": 0}
     assert again == {"workspaces": 2, "cache_rows": 0, "rules_added": 0, "warnings": 0}
-    assert "/one/**/*.one" in (tmp_path / ".same" / "ignore").read_text()
+    assert "/one/**/*.one" in (tmp_path / ".twinspark" / "ignore").read_text()
     with pytest.raises(ValueError):
-        discover_workspaces(str(tmp_path / "one" / ".same"))
+        discover_workspaces(str(tmp_path / "one" / ".twinspark"))
     assert merged_rules(["x"], [("s", ["x", "# no", "y"]), ("s", ["y"])])[0] == ["x", "/s/**/x", "/s/**/y"]
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STATE_DIR = ".same"
+STATE_DIR = ".twinspark"
 MAX_BYTES, MAX_RULES = 1 << 20, 4096
 #: POSIX classes as ASCII regular expression classes.
 POSIX = {

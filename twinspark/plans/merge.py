@@ -19,7 +19,7 @@ from twinspark.storage import materialized
 
 def initialize_workspace(root: str) -> list[str]:
     """Writes config and ignore file where they are missing; returns which."""
-    folder = Path(root) / ".same"
+    folder = Path(root) / ".twinspark"
     folder.mkdir(parents=True, exist_ok=True)
     made = []
     for name, text in (("config.toml", 'digest = "sha256"\n'), ("ignore", DEFAULT_IGNORE)):
@@ -32,7 +32,7 @@ def initialize_workspace(root: str) -> list[str]:
 def clean_workspace(root: str, recursive: bool = False) -> int:
     """Removes state folders (no links) and returns how many."""
     top = Path(root)
-    found = [p for p in (top.rglob(".same") if recursive else [top / ".same"]) if p.is_dir() and not p.is_symlink()]
+    found = [p for p in (top.rglob(".twinspark") if recursive else [top / ".twinspark"]) if p.is_dir() and not p.is_symlink()]
     for p in found:
         shutil.rmtree(p)
     return len(found)
@@ -72,7 +72,7 @@ def merge_caches(old: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFr
 
 def merge_workspaces(spark: SparkSession, target: str, sources: list[str]) -> dict:
     """Merges the sources' digests and ignore rules into target's; merging again changes nothing. Returns counters."""
-    archive = Path(target) / ".same" / "absolute"
+    archive = Path(target) / ".twinspark" / "absolute"
     states = [(s, StateTable(spark, s).read()) for s in sorted({str(Path(s).resolve()) for s in sources})]
     old = spark.read.parquet(f"file://{archive.resolve()}") if archive.exists() else states[0][1].limit(0)
     merged = materialized(merge_caches(old, states))
@@ -82,11 +82,11 @@ def merge_workspaces(spark: SparkSession, target: str, sources: list[str]) -> di
     merged.write.parquet(f"file://{temporary.resolve()}")
     shutil.rmtree(archive, ignore_errors=True)
     os.replace(temporary, archive)
-    ignore = Path(target) / ".same" / "ignore"
+    ignore = Path(target) / ".twinspark" / "ignore"
     before = ignore.read_text(encoding="utf-8").splitlines() if ignore.exists() else []
     own = []
     for source, _ in states:
-        file = Path(source) / ".same" / "ignore"
+        file = Path(source) / ".twinspark" / "ignore"
         own.append((os.path.relpath(source, Path(target).resolve()), file.read_text(encoding="utf-8").splitlines() if file.exists() else []))
     rules, warnings = merged_rules(before, own)
     if rules != before:

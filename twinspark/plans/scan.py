@@ -33,7 +33,7 @@ class StateTable:
     """Digests by generation: generation N is a Parquet folder; a manifest renamed into place names the current one."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.folder = spark, Path(root) / ".same" / "state"
+        self.spark, self.folder = spark, Path(root) / ".twinspark" / "state"
 
     def generation(self) -> int:
         manifest = self.folder / "current.json"
@@ -57,7 +57,7 @@ class StateTable:
 def scan(spark: SparkSession, root: str, config: Config | None = None) -> Scan:
     """Scans a workspace on a file system that driver and executors share. Every file without a valid cached digest is
     hashed; the cache commits before groups are compared; a member that changed meanwhile fails the scan."""
-    config = config or Config.load(Path(root) / ".same" / "config.toml")
+    config = config or Config.load(Path(root) / ".twinspark" / "config.toml")
     inventory = stamped_inventory(spark, root, config.recursive)
     inventory = materialized(inventory.where(~is_ignored(load_ignore(root), F.col("path"))))
     state = StateTable(spark, root)

@@ -60,7 +60,7 @@ class Config:
 
 
 def load_ignore(root: str | Path) -> list[Rule]:
-    file = Path(root) / ".same" / "ignore"
+    file = Path(root) / ".twinspark" / "ignore"
     return parse_rules(file.read_text(encoding="utf-8")) if file.exists() else []
 
 

@@ -83,7 +83,7 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
 def discover_workspaces(root: str, recursive: bool = False, skip: str | None = None) -> list[str]:
     """Folders with a state folder below root, sorted, once each, without `skip`; none is an error."""
     top = Path(root)
-    found = {str(p.parent.resolve()) for p in (top.rglob(".same") if recursive else [*top.glob(".same"), *top.glob("*/.same")]) if p.is_dir()}
+    found = {str(p.parent.resolve()) for p in (top.rglob(".twinspark") if recursive else [*top.glob(".twinspark"), *top.glob("*/.twinspark")]) if p.is_dir()}
     found.discard(skip and str(Path(skip).resolve()))
     if not found:
         raise ValueError(f"no workspace under {root}")
