@@ -320,6 +320,8 @@ def test_sentencepiece(spark):
     for i, t in rows:
         assert got[i].ids == library.encode(t or "")
         assert got[i].decoded == (library.decode(got[i].ids) if t else "")
+    both = {r.doc_id: (r.ids, r.decoded) for r in encode_pieces(docs_of(spark, rows), path, decode=True).collect()}
+    assert both == {i: (r.ids, r.decoded) for i, r in got.items()}
     table = MergeTable(library)
     for _ in range(300):
         word = "".join(random.choice("theainrs▁") for _ in range(random.randint(1, LONG_WORD)))

@@ -9,7 +9,7 @@ from twinspark.llm.chat_format import format_chats, read_back
 from twinspark.llm.decontaminate import find_items
 from twinspark.llm.exact_dedup import exact_dedup
 from twinspark.llm.long_repeats import remove_long_repeats
-from twinspark.llm.sentencepiece_bpe import decode_pieces, encode_pieces
+from twinspark.llm.sentencepiece_bpe import encode_pieces
 from twinspark.llm.shared import shared_root
 from twinspark.llm.simhash import simhash_groups
 from twinspark.llm.sstable import read_sstables, write_sstables
@@ -81,7 +81,7 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
-    return piece_digests(decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model))
+    return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), model, decode=True))
 
 
 def piece_digests(decoded: DataFrame) -> DataFrame:

@@ -195,8 +195,9 @@ def encoder(model_path: str) -> tuple[MergeTable, WordCache]:
     return table, WordCache(table.encode_words)
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """id_col and ids, one row for each row of docs: what the sentencepiece library's encode() gives for the whole text.
+    With decode also `decoded`, as decode_pieces adds it, in the same pass and worker.
 
     Null text counts as empty and gives no ids; repeated rows are encoded each; an empty table gives no rows.
     Words are encoded once a task and kept in a cache of bounded size. Other columns are not read."""
@@ -213,9 +214,14 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 ends = np.cumsum([len(words) for words in split])
                 sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]) // 4
                 offsets = np.concatenate([[0], sizes[ends]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))], names=[id_col, "ids"])
-
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, ids array<int>")
+                flat = np.frombuffer(b"".join(parts), "<i4")
+                columns = [batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                if decode:
+                    columns.append(pa.array([table.processor.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(offsets, offsets[1:], strict=False)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [id_col, "ids", *(["decoded"] if decode else [])]
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decode)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -236,7 +236,7 @@ def word_encoder(tokenizer_path: str, end_id: int) -> Callable[[list[str | None]
             out[i] = array("I", code.ids).tobytes()
         return out
 
-    cache, end = WordCache(words_to_ids), np.array([end_id], "<u4").tobytes()
+    cache, end = WordCache(words_to_ids, most=600_000), np.array([end_id], "<u4").tobytes()
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]

@@ -9,9 +9,9 @@ class WordCache:
     """Maps words to what encode() gives for a list of new words.
 
     Two generations of half of `most` words each: when the young one is full it takes the old one's place, and words
-    that are met again come back from there, so frequent words stay."""
+    that are met again come back from there, so frequent words stay. The default takes about 70 MB."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 600_000, longest: int = 256):
+    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 300_000, longest: int = 256):
         self.encode, self.half, self.longest, self.young, self.old = encode, most // 2, longest, {}, {}
 
     def get(self, words: list[str]) -> list:
