@@ -1,0 +1,19 @@
+"""Long texts in remove_long_repeats: borders of pieces, and periodic texts."""
+
+import random
+
+import pytest
+
+pytest.importorskip("twinspark.llm")
+
+
+def test_piece_borders(spark):
+    """A unique text loses nothing at the borders of its pieces; a repeat across one goes whole."""
+    from twinspark.llm.long_repeats import remove_long_repeats
+
+    random.seed(5)
+    text = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    shared = text(90)
+    rows = [(1, text(3000)), (2, text(260) + shared + text(300)), (3, text(35) + shared)]
+    got = remove_long_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=24, segment=100).collect()
+    assert {r.id: (r.n_removed, [(x.start, x.stop) for x in r.removed]) for r in got} == {1: (0, []), 2: (90, [(260, 350)]), 3: (90, [(35, 125)])}

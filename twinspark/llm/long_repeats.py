@@ -33,12 +33,15 @@ CHUNK = 2_048  # contexts compared at a time
 NO_ID = -(1 << 63)
 
 
-def anchors_of(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """anchor, first window, number of windows: arrays, for each piece of the text."""
+def anchors_of(data: bytes, length: int, segment: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """anchor, first window, number of windows: arrays, for each piece of the text. An anchor that governs windows on
+    both sides of a border comes once, with all of them."""
+    segment = segment or SEGMENT
+    held = None
     k = 1 << max(1, (length // 3).bit_length() - 1)  # a power of two from a sixth to a third of the window
     span = length - k + 1  # k-grams in a window
-    for at in range(0, max(0, len(data) - length + 1), SEGMENT):
-        h = (np.frombuffer(data, np.uint8, min(SEGMENT + length - 1, len(data) - at), at).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, max(0, len(data) - length + 1), segment):
+        h = (np.frombuffer(data, np.uint8, min(segment + length - 1, len(data) - at), at).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
         step = 1
         while step < k:
@@ -54,7 +57,16 @@ def anchors_of(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarra
             low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
         anchor = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-        yield anchor[first] + at, first + at, np.diff(np.append(first, len(anchor)))
+        runs = np.array([anchor[first] + at, first + at, np.diff(np.append(first, len(anchor)))])
+        if held is not None:
+            if held[0, 0] == runs[0, 0]:
+                runs[1:, 0] = held[1, 0], held[2, 0] + runs[2, 0]
+            else:
+                runs = np.hstack([held, runs])
+        held = runs[:, -1:]
+        yield tuple(runs[:, :-1])
+    if held is not None:
+        yield tuple(held)
 
 
 def anchor_digests(data: bytes, anchor: int, length: int) -> tuple[int, int]:
@@ -97,7 +109,7 @@ def runs_of(hit: np.ndarray) -> Iterator[tuple[int, int]]:
         yield a, b - a
 
 
-def repeated_runs(texts: DataFrame, root: str, length: int = LENGTH, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+def repeated_runs(texts: DataFrame, root: str, length: int = LENGTH, most_contexts: int = MOST_CONTEXTS, segment: int = SEGMENT) -> DataFrame:
     """id, tag, first, windows: runs of start positions (in bytes) whose `length` bytes occur elsewhere too.
 
     texts: id (long, not null), tag (int, tells rows of one id apart), text (not null)."""
@@ -108,7 +120,7 @@ def repeated_runs(texts: DataFrame, root: str, length: int = LENGTH, most_contex
                 batch, rows = whole.slice(at, 500), [[] for _ in range(6)]
                 for doc_id, tag, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     data = text.encode("utf-8")
-                    for anchor, first, windows in anchors_of(data, length):
+                    for anchor, first, windows in anchors_of(data, length, segment):
                         digests = [anchor_digests(data, a, length) for a in anchor.tolist()]
                         for column, values in zip(rows, ([d[0] for d in digests], [d[1] for d in digests], [doc_id] * len(anchor), [tag] * len(anchor), first.tolist(), windows.tolist()), strict=True):
                             column += values
@@ -185,7 +197,7 @@ def repeated_runs(texts: DataFrame, root: str, length: int = LENGTH, most_contex
     return resolved.unionByName(few).unionByName(many)
 
 
-def remove_long_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+def remove_long_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_contexts: int = MOST_CONTEXTS, segment: int = SEGMENT) -> DataFrame:
     """One row for each row of docs: id, n_bytes, n_removed, n_spans, removed (byte spans), kept (the bytes that stay).
 
     A byte goes if it lies in a string of `length` bytes that starts at another place too, in the same document or in
@@ -198,7 +210,7 @@ def remove_long_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = F.col(f"`{id_col}`").cast("long")
     texts = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("id"), text.alias("text")).select("id", (F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))).cast("int").alias("tag"), "text")
-    runs = stored(repeated_runs(texts, root, length, most_contexts), f"{root}/runs")
+    runs = stored(repeated_runs(texts, root, length, most_contexts, segment), f"{root}/runs")
     release(spark, f"{root}/contexts", f"{root}/joined")
     spans = runs.distinct().groupBy("id", "tag").agg(F.sort_array(F.collect_list(F.struct("first", "windows"))).alias("runs"))
     kind = "id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start: int, stop: int>>, kept binary"
