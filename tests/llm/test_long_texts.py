@@ -17,3 +17,16 @@ def test_piece_borders(spark):
     rows = [(1, text(3000)), (2, text(260) + shared + text(300)), (3, text(35) + shared)]
     got = remove_long_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=24, segment=100).collect()
     assert {r.id: (r.n_removed, [(x.start, x.stop) for x in r.removed]) for r in got} == {1: (0, []), 2: (90, [(260, 350)]), 3: (90, [(35, 125)])}
+
+
+def test_periodic_text_opens_one_context_a_full(spark):
+    """A repeated full is compared once, however often it occurs in the document that holds it."""
+    from twinspark.llm.long_repeats import remove_long_repeats, repeated_runs
+    from twinspark.llm.shared import shared_root, ship
+
+    ship(spark)
+    root, text = shared_root(spark), "a" * 40_000
+    repeated_runs(spark.createDataFrame([(1, 7, text), (2, 8, "xyz" + "a" * 30)], "id long, tag int, text string"), root, 24)
+    assert 0 < spark.read.parquet(f"{root}/contexts").count() < 200
+    got = remove_long_repeats(spark.createDataFrame([(1, text), (2, "xyz" + "a" * 30)], "doc_id long, text string"), length=24).collect()
+    assert {r.id: r.n_removed for r in got} == {1: 40_000, 2: 30}

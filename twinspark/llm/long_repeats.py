@@ -135,16 +135,16 @@ def repeated_runs(texts: DataFrame, root: str, length: int = LENGTH, most_contex
     release(spark, f"{root}/anchors")
 
     # A core is mixed if one of its fulls occurs once; then one context of each of its fulls must be compared.
-    fulls = found.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("of"))
+    fulls = found.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "first")).alias("of"))
     mixed = fulls.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("contexts")).where("least = 1 and contexts > 1")
     mixed = stored(mixed, f"{root}/mixed")
     known = stored(fulls.join(mixed, "core", "left").select("core", "full", "n", "of", F.coalesce("contexts", F.lit(0)).alias("contexts")).where("n > 1 or contexts > 0"), f"{root}/fulls")
     joined = stored(found.join(known, ["core", "full"]), f"{root}/joined")
     resolved = joined.where("n > 1").select("id", "tag", "first", "windows")
-    open_ = joined.where("contexts > 0 and (n = 1 or id = of)").select("id", "tag", "first", "windows", "core", "contexts")
+    open_ = joined.where("contexts > 0 and struct(id, tag, first) = of").select("id", "tag", "first", "windows", "core", "contexts").distinct()
     release(spark, f"{root}/candidates", f"{root}/fulls")
 
-    # The bytes of what is to be compared; an array here has at most as many entries as its document has anchors.
+    # The bytes of what is to be compared; one row for each core and full, so repeated fulls add none.
     asked = open_.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "windows", "core", "contexts")).alias("asked"))
     kind = "id long, tag int, first int, core long, contexts long, data binary"
 
@@ -169,6 +169,8 @@ def repeated_runs(texts: DataFrame, root: str, length: int = LENGTH, most_contex
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in ("id", "tag", "first", "core", "data")), strict=True):
+                if held and row == held[-1]:  # rows that repeat an id and text; their windows are known to be repeated
+                    continue
                 if len(held) >= CHUNK and row[3] != held[-1][3]:
                     yield done(held)
                     held = []
@@ -178,7 +180,7 @@ def repeated_runs(texts: DataFrame, root: str, length: int = LENGTH, most_contex
 
     run_kind = "id long, tag int, first int, windows int"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = contexts.where(F.col("contexts") <= most_contexts).repartition(n, "core").sortWithinPartitions("core").select("id", "tag", "first", "core", "data").mapInArrow(compare, run_kind)
+    few = contexts.where(F.col("contexts") <= most_contexts).repartition(n, "core").sortWithinPartitions("core", "id", "tag", "first").select("id", "tag", "first", "core", "data").mapInArrow(compare, run_kind)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
