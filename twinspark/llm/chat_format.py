@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import ship
+from twinspark.llm.shared import full_text, kind_of, picked, ship
 
 #: The template's control strings. A turn is OPEN role BODY text CLOSE.
 OPEN, BODY, CLOSE = "<s>[INST]", "[/INST]", "</s>"
@@ -90,8 +90,9 @@ def format_chats(
     tokenizer_path: a tokenizers file; control strings inside texts are ordinary text to it.
     """
     ship(turns.sparkSession)
-    one = F.struct(F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    convs = turns.groupBy(F.col(f"`{conv_col}`").alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    rows = picked(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
+    one = F.struct("turn", full_text("role").alias("role"), full_text().alias("text"))
+    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
     convs = convs.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
     roles = frozenset(trained)
 
@@ -116,7 +117,7 @@ def format_chats(
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *arrays], names=["conv_id", *(x.split()[0] for x in FORMATTED.split(", "))])
 
-    return convs.mapInArrow(run, f"conv_id {convs.schema['conv_id'].dataType.simpleString()}, {FORMATTED}")
+    return convs.mapInArrow(run, f"conv_id {kind_of(convs, 'conv_id')}, {FORMATTED}")
 
 
 def read_back(chats: DataFrame) -> DataFrame:

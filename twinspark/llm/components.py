@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import stored
+from twinspark.llm.shared import remove, stored
 
 
 def components(edges: DataFrame, root: str, most_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, root: str, most_rounds: int = 60) -> DataFrame:
 
     Every round joins each edge to the smallest neighbour of its end, so the number of rounds grows with the
     logarithm of the diameter; each is written to the shared folder `root`. Only minima are grouped, with partial
-    aggregation, and they are written before the join back, so adaptive execution splits a node with very many edges."""
+    aggregation, and they are written before the join back, so adaptive execution splits a node with very many edges.
+    The tables of a round are deleted when the next one is written."""
     links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{root}/links-0")
     mark = None
     for i in range(1, most_rounds + 1):
@@ -25,6 +26,7 @@ def components(edges: DataFrame, root: str, most_rounds: int = 60) -> DataFrame:
         low = stored(large.groupBy("a").agg(F.min("b").alias("low")), f"{root}/lower-{i}")
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.low").alias("b"))
         links = stored(small.where("a <> b").distinct(), f"{root}/links-{i}")
+        remove(edges.sparkSession, *(f"{root}/{name}" for name in (f"links-{i - 1}", f"low-{i}", f"large-{i}", f"lower-{i}")))
         now = links.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("cast(b as decimal(38, 0))"))).first()
         if now == mark:
             found = links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")

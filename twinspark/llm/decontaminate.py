@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import ascii_lower, shared_root, ship, stored, without
+from twinspark.llm.shared import ascii_lower, full_text, kind_of, picked, positional, shared_root, ship, small_batches, stored, without
 from twinspark.llm.substring_dedup import fold
 
 WORDS, THRESHOLD = 5, 0.8
@@ -50,8 +50,8 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     are searched each, null text counts as empty, empty tables give no rows, null ids are carried along. Other columns
     are not read. Documents are read once and not shuffled while the items are within the bound."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    wanted = items.select(F.col(f"`{item_col}`").alias("item_id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text"))
+    texts = picked(docs, id=id_col, text=text_col).select("id", full_text().alias("text"))
+    wanted = picked(items, item_id=item_col, text=item_text).select("item_id", full_text().alias("text"))
     size = wanted.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if size > max_broadcast_bytes:
         return _find_joined(texts, wanted, words, threshold)
@@ -71,7 +71,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     sketches[n][s].append(len(full))
                 full.append((n, parts))
                 item_ids.append(item_id)
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for i, text in enumerate(batch.column("text")):
                 own = fold(text.as_py()).split()
@@ -93,8 +93,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     from pyspark.sql.pandas.types import to_arrow_type
 
     whole_item = pa.field("item_id", to_arrow_type(wanted.schema["item_id"].dataType))
-    kinds = [d.schema[c].dataType.simpleString() for d, c in ((texts, "id"), (wanted, "item_id"))]
-    return texts.mapInArrow(run, f"id {kinds[0]}, item_id {kinds[1]}, item_shingles long, shared_shingles long, containment double")
+    return texts.mapInArrow(run, f"id {kind_of(texts, 'id')}, item_id {kind_of(wanted, 'item_id')}, item_shingles long, shared_shingles long, containment double")
 
 
 def _find_joined(texts: DataFrame, wanted: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -124,6 +123,7 @@ def _find_joined(texts: DataFrame, wanted: DataFrame, words: int, threshold: flo
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that contain no item, with their own columns; rows without an id stay."""
-    found = find_items(docs, items, id_col, text_col, **options).select(F.col("id").alias(id_col)).distinct()
-    return without(docs, stored(found, f"{shared_root(docs.sparkSession)}/found"), [id_col]).select(docs.columns)
+    """The rows of docs that contain no item, with their own columns, whatever these are called; rows without an id stay."""
+    plain, (own, text) = positional(docs, id_col, text_col)
+    found = find_items(plain, items, own, text, **options).select(F.col("id").alias(own)).distinct()
+    return without(plain, stored(found, f"{shared_root(docs.sparkSession)}/found"), [own]).select(plain.columns).toDF(*docs.columns)

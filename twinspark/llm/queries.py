@@ -17,15 +17,19 @@ from twinspark.llm.substring_dedup import substring_dedup
 from twinspark.llm.toxicity import held_out, score, train_on_labels
 from twinspark.llm.url_filter import UrlRule, judge_urls, site_rule, word_rule
 
-#: Where the public tokenizers' files are.
-TOKENIZERS = "/opt/tokenizers"
-
 #: The site rules of the URL query.
 SITE_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Words in a row in a host that block a page which no site rule names.
 BLOCKED_WORDS = (("spam", "farm"), ("cheap", "pills"), ("free", "casino"), ("online", "casino"), ("adult", "cams"), ("xxx",), ("porn",), ("warez",))
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file. The package is installed wherever tasks run, so its path holds there too."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def url_rules() -> list[UrlRule]:
     return [*(site_rule(*r) for r in SITE_RULES), *(word_rule("block", *w) for w in BLOCKED_WORDS)]
 
@@ -70,27 +74,27 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], turns.schema)
-    found = read_back(format_chats(turns.unionByName(extra), f"{TOKENIZERS}/byte_bpe_50k.json"))
+    found = read_back(format_chats(turns.unionByName(extra), vocabulary("byte_bpe_50k.json")))
     return found.select("conv_id", "n_turns", F.sha2("turns_text", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_sstables(table(spark, sf_dir, "documents"), shared_root(spark), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    manifest = write_sstables(table(spark, sf_dir, "documents"), shared_root(spark), vocabulary("word_bpe_49k.json"), end_id=1)
     return read_sstables(manifest, digest=True).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = vocabulary("piece_bpe_32k.model")
     return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), model, decode=True))
 
 
 def piece_digests(decoded: DataFrame) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), url_rules())
+    return judge_urls(table(spark, sf_dir, "pages"), url_rules()).withColumnRenamed("id", "page_id")
 
 
 def queries() -> dict:
@@ -120,9 +124,11 @@ placed AS (
   FROM (SELECT *, """
     + _FOLDED.format("unit")
     + r""" AS f FROM units)),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY form ORDER BY doc_id, pos) AS r FROM placed WHERE words >= 5),
-gone AS (SELECT doc_id, pos FROM ranked WHERE r > 1),
+worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, row_number() OVER (PARTITION BY form ORDER BY doc_id, pos) AS r
+  FROM placed WHERE words > 0),
+later AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM worded WHERE r > 1),
+gone AS (SELECT doc_id, pos FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS total FROM later) WHERE total >= 20),
 parts AS (SELECT p.*, g.pos IS NOT NULL AS removed FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos),
 summed AS (
   SELECT doc_id, count(*) FILTER (WHERE removed) AS n_removed, coalesce(sum(n) FILTER (WHERE removed), 0) AS removed_chars,

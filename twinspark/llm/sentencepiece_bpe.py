@@ -1,13 +1,17 @@
 """SentencePiece BPE by vectorised merge rounds.
 
 The symbols of many words lie in one flat numpy array. Each round looks up the rank of every adjacent pair, takes
-the minimum of each word by segments, merges the leftmost pair of that rank in all words at once, and compacts the
-array, until no pair is left. One merge a word and round keeps the order of merges the same as a sequential encoder's.
+the minimum of each word by segments, merges the pairs of that rank from the left in all words at once, and compacts
+the array, until no pair is left. A sequential encoder takes the leftmost pair of the smallest rank: it would go on to
+the next pair of that rank, unless the symbol just made has a pair of a smaller rank. Symbols for which the table has
+such pairs are merged once a word and round, all others everywhere at once.
+
+Between two characters that no piece has side by side nothing ever merges, so words are cut there first: a text
+without spaces is many short words for the rounds.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,14 +19,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from twinspark.llm.shared import ship
+from twinspark.llm.shared import kind_of, picked, ship, small_batches
 from twinspark.llm.words import WordCache
 
 SPACE = "\u2581"
 NONE = np.iinfo(np.int64).max
-LONG_WORD = 256  # beyond it a heap of pairs replaces the rounds, whose number grows with the longest word
+ROUND_CHARS = 1 << 20  # words of about this many characters in sum go through the rounds together
 
 
 class MergeTable:
@@ -62,6 +65,13 @@ class MergeTable:
         chars = {ord(c): i for c, i in symbols.items() if len(c) == 1}
         self.by_code = np.full(max(chars, default=0) + 1, -1, np.int64)
         self.by_code[list(chars)] = list(chars.values())
+        least = np.full(n + len(self.extra) + 1, NONE)  # the smallest rank of a pair with the symbol
+        for side in (keys >> 32, keys & 0xFFFFFFFF):
+            np.minimum.at(least, side, self.ranks[:-1])
+        self.everywhere = np.append(self.ranks[:-1] < least[self.merged[:-1]], False)
+        self.back = {i: c for c, i in self.extra.items()}
+        beside = {symbols[a] << 32 | symbols[b] for piece in self.id_of for a, b in zip(piece, piece[1:], strict=False)}
+        self.beside = np.append(np.array(sorted(beside), np.int64), NONE)
         # Words may be parted before a run of spaces, and around a line feed, if no piece spans such a place.
         self.parted = not any(SPACE in p.lstrip(SPACE) for p in self.id_of)
         self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+" if not any("\n" in p for p in self.id_of) else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -80,48 +90,52 @@ class MergeTable:
 
     def final(self, symbols: list[int]) -> list[int]:
         """Pieces' ids; what is no piece becomes its bytes' pieces."""
-        back = {i: c for c, i in self.extra.items()}
         out: list[int] = []
         for s in symbols:
             if 0 <= s < self.size:
                 out.append(s)
             else:
-                out += (self.bytes[b] for b in (back[s] if s >= 0 else chr(-1 - s)).encode("utf-8"))
+                out += (self.bytes[b] for b in (self.back[s] if s >= 0 else chr(-1 - s)).encode("utf-8"))
         return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = np.array(self.final(self._by_heap(self.symbols([w]).tolist())), "<i4").tobytes()
-            else:
-                short.append(i)
-        for at in range(0, len(short), 1 << 15):
-            part = short[at : at + (1 << 15)]
-            flat, sizes = self._by_rounds(self.symbols(chosen := [words[i] for i in part]), np.fromiter(map(len, chosen), np.int64, len(part)))
-            ends = np.cumsum(sizes)
-            odd = np.unique(np.searchsorted(ends, np.flatnonzero((flat < 0) | (flat >= self.size)), "right")).tolist()
-            data, ends = flat.astype("<i4").tobytes(), (ends * 4).tolist()
-            for i, a, b in zip(part, [0, *ends], ends, strict=False):
-                out[i] = data[a:b]
-            for k in odd:
-                out[part[k]] = np.array(self.final(flat[ends[k] // 4 - sizes[k] : ends[k] // 4].tolist()), "<i4").tobytes()
+        """The ids of each word, of one character or more, as little-endian 32-bit integers."""
+        out, at, chars = [], 0, np.cumsum([0, *map(len, words)])
+        while at < len(words):
+            stop = max(at + 1, int(np.searchsorted(chars, chars[at] + ROUND_CHARS, "right")) - 1)
+            out += self._encode_some(words[at:stop])
+            at = stop
+        return out
+
+    def _encode_some(self, words: list[str]) -> list[bytes]:
+        symbols, lengths = self.symbols(words), np.fromiter(map(len, words), np.int64, len(words))
+        pair = np.where((symbols[:-1] >= 0) & (symbols[1:] >= 0), symbols[:-1] << 32 | np.maximum(symbols[1:], 0), NONE - 1)
+        first = np.append(True, self.beside[np.searchsorted(self.beside, pair)] != pair)  # of a part that merges on its own
+        starts = np.cumsum(lengths) - lengths
+        first[starts] = True
+        parts = np.flatnonzero(first)
+        flat, sizes = self._by_rounds(symbols, np.diff(np.append(parts, len(symbols))))
+        sizes = np.add.reduceat(sizes, np.searchsorted(parts, starts))
+        ends = np.cumsum(sizes)
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero((flat < 0) | (flat >= self.size)), "right")).tolist()
+        data, stops = flat.astype("<i4").tobytes(), (ends * 4).tolist()
+        out = [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        for k in odd:
+            out[k] = np.array(self.final(flat[ends[k] - sizes[k] : ends[k]].tolist()), "<i4").tobytes()
         return out
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged symbol of each pair; the rank is NONE where the two don't merge."""
+        """Rank of each pair, NONE where the two don't merge, and its place in the table."""
         key = np.where((left >= 0) & (right >= 0), left << 32 | np.maximum(right, 0), NONE)
         at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE), self.merged[at]
+        return np.where(self.keys[at] == key, self.ranks[at], NONE), at
 
     def _by_rounds(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The merged symbols of all words, and how many each word has. sizes: at least one symbol a word."""
         count = len(sizes)
         pieces, owners = [], []
         which = np.arange(count)
-        rank, merged = self.look_up(flat, np.append(flat[1:], -1))
+        rank, entry = self.look_up(flat, np.append(flat[1:], -1))
         rank[np.cumsum(sizes) - 1] = NONE  # a word's last symbol has no right neighbour
         while len(which):
             starts = np.cumsum(sizes) - sizes
@@ -131,56 +145,31 @@ class MergeTable:
                 alive = np.repeat(live, sizes)
                 pieces.append(flat[~alive])
                 owners.append(np.repeat(which[~live], sizes[~live]))
-                flat, rank, merged, which, sizes, best = flat[alive], rank[alive], merged[alive], which[live], sizes[live], best[live]
+                flat, rank, entry, which, sizes, best = flat[alive], rank[alive], entry[alive], which[live], sizes[live], best[live]
                 if not len(which):
                     break
                 starts = np.cumsum(sizes) - sizes
             hits = np.flatnonzero(rank == np.repeat(best, sizes))
-            first = hits[np.searchsorted(hits, starts)]  # the leftmost pair of the minimum rank of each word
-            flat[first] = merged[first]
+            word = np.searchsorted(starts, hits, "right") - 1
+            leftmost = np.append(True, word[1:] != word[:-1])
+            begins = np.append(True, np.diff(hits) != 1)  # of pairs that overlap each other, every second one merges
+            order = np.arange(len(hits))
+            chosen = leftmost | self.everywhere[entry[hits]] & ((order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 0)
+            hits, word = hits[chosen], word[chosen]
+            flat[hits] = self.merged[entry[hits]]
             keep = np.ones(len(flat), bool)
-            keep[first + 1] = False
-            rank[first] = NONE
-            at = first - np.arange(len(first))  # where the merged symbols are after the compaction
-            flat, rank, merged, sizes = flat[keep], rank[keep], merged[keep], sizes - 1
+            keep[hits + 1] = False
+            rank[hits] = NONE
+            at = hits - np.arange(len(hits))  # where the merged symbols are after the compaction
+            flat, rank, entry, sizes = flat[keep], rank[keep], entry[keep], sizes - np.bincount(word, minlength=len(sizes))
             ends = np.cumsum(sizes)
-            for left, valid in ((at, at < ends - 1), (at - 1, at > ends - sizes)):  # only their two pairs are new
+            for left, valid in ((at, at < ends[word] - 1), (at - 1, at > ends[word] - sizes[word])):  # only their pairs are new
                 left = left[valid]
-                rank[left], merged[left] = self.look_up(flat[left], flat[left + 1])
+                rank[left], entry[left] = self.look_up(flat[left], flat[left + 1])
         owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         order = np.argsort(owner, kind="stable")
         return (np.concatenate(pieces) if pieces else flat)[order], np.bincount(owner, minlength=count)
 
-    def _by_heap(self, symbols: list[int]) -> list[int]:
-        """The same order of merges, in n log n for one long word."""
-        n = len(symbols)
-        ahead, behind = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive, heap, pairs = [True] * n, [], self.pairs
-
-        def offer(i: int, j: int) -> None:
-            a, b = symbols[i], symbols[j]
-            if a >= 0 <= b and (m := pairs.get(a << 32 | b)):
-                heapq.heappush(heap, (m[0], i, a, b, j, m[1]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, a, b, j, to = heapq.heappop(heap)
-            if not (alive[i] and symbols[i] == a and ahead[i] == j and j < n and symbols[j] == b):
-                continue
-            symbols[i], alive[j] = to, False
-            ahead[i] = ahead[j]
-            if ahead[i] < n:
-                behind[ahead[i]] = i
-                offer(i, ahead[i])
-            if behind[i] >= 0:
-                offer(behind[i], i)
-        out, i = [], 0
-        while i < n:
-            out.append(symbols[i])
-            i = ahead[i]
-        return out
-
 
 def load(model_path: str):
     import sentencepiece
@@ -196,37 +185,36 @@ def encoder(model_path: str) -> tuple[MergeTable, WordCache]:
 
 
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
-    """id_col and ids, one row for each row of docs: what the sentencepiece library's encode() gives for the whole text.
+    """id and ids, one row for each row of docs: what the sentencepiece library's encode() gives for the whole text.
     With decode also `decoded`, as decode_pieces adds it, in the same pass and worker.
 
     Null text counts as empty and gives no ids; repeated rows are encoded each; an empty table gives no rows.
     Words are encoded once a task and kept in a cache of bounded size. Other columns are not read."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = picked(docs, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, cache = encoder(model_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                split = [table.split(t or "") for t in batch.column("text").to_pylist()]
-                parts = cache.get([w for words in split for w in words])
-                ends = np.cumsum([len(words) for words in split])
-                sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]) // 4
-                offsets = np.concatenate([[0], sizes[ends]]).astype(np.int32)
-                flat = np.frombuffer(b"".join(parts), "<i4")
-                columns = [batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-                if decode:
-                    columns.append(pa.array([table.processor.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(offsets, offsets[1:], strict=False)], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    names = [id_col, "ids", *(["decoded"] if decode else [])]
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decode)
+        for batch in small_batches(batches, most=1 << 20):
+            split = [table.split(t or "") for t in batch.column("text").to_pylist()]
+            parts = cache.get([w for words in split for w in words])
+            ends = np.cumsum([len(words) for words in split])
+            sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]) // 4
+            offsets = np.concatenate([[0], sizes[ends]]).astype(np.int32)
+            flat = np.frombuffer(b"".join(parts), "<i4")
+            columns = [batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            if decode:
+                columns.append(pa.array([table.processor.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(offsets, offsets[1:], strict=False)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["id", "ids", *(["decoded"] if decode else [])]
+    return rows.mapInArrow(run, f"id {kind_of(rows, 'id')}, ids array<int>" + ", decoded string" * decode)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
-    """encoded with a column `decoded`: the library's decode(ids). No ids give the empty text."""
+    """id, ids and `decoded`: the library's decode(ids). Null or no ids give the empty text; other columns are not read."""
     ship(encoded.sparkSession)
+    rows = picked(encoded, id="id", ids="ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = load(model_path)
@@ -234,6 +222,6 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 texts = [processor.decode(ids) if ids else "" for ids in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string")
+    return rows.mapInArrow(run, f"id {kind_of(rows, 'id')}, ids array<int>, decoded string")

@@ -2,8 +2,9 @@
 occurrence stays, and the others are removed; their spans in the original text are kept.
 
 A line is cut further behind sentence ends, as passages are often pasted inside a line. A unit's normal form has
-A-Z lower-cased and every run of ASCII characters that are no letters or digits as one space; units of fewer than
-min_words words are never removed. Documents rank by identifier.
+A-Z lower-cased and every run of ASCII characters that are no letters or digits as one space. Short sentences recur by
+chance in texts that share nothing else, so later occurrences go only in paragraphs: runs of neighbouring units that
+all occurred before, with min_words words in sum. Documents rank by identifier.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import shared_root, ship, stored
+from twinspark.llm.shared import full_text, kind_of, picked, shared_root, ship, small_batches, stored
 
 #: Every character belongs to exactly one unit: a run up to and with its line or sentence ends and the white space behind.
 UNIT = r"[^\n.!?]+[\n.!?]*[ \t\n]*|[\n.!?]+[ \t\n]*"
-MIN_WORDS = 5
+#: On 12,000 documents of the check tables 20 words leave 0.93 of the documents without a shared passage of 51 words
+#: alone and catch 0.93 of those with one; single units of five words left 0.56 alone and caught 0.96.
+MIN_WORDS = 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -30,69 +33,86 @@ def fold(text: str) -> bytes:
     return b" ".join(text.encode("utf-8").translate(_FOLD).split())
 
 
-def units_of(text: str, min_words: int) -> Iterator[tuple[int, int, bytes | None]]:
-    """start, end, 16-byte digest or None where the unit is too short."""
+def units_of(text: str) -> Iterator[tuple[int, int, int, bytes]]:
+    """start, end, number of words, 16-byte digest of each unit that has words."""
     for m in re.finditer(UNIT, text):
         form = fold(m[0])
-        yield m.start(), m.end(), xxhash.xxh3_128_digest(form) if form.count(b" ") + 1 >= min_words else None
+        if form:
+            yield m.start(), m.end(), form.count(b" ") + 1, xxhash.xxh3_128_digest(form)
 
 
-def units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """id, high, low (the digest), start, stop, again: each unit long enough; again if the same document has it before."""
+def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, tie, pos, high, low (the digest), start, stop, words, again: the units of each document; again if the same
+    document has the unit before. tie, a hash of the text, tells rows of one id apart."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("id is not null")
+    rows = picked(docs, id=id_col, text=text_col).where("id is not null").select("id", F.xxhash64("text").alias("tie"), full_text().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids, digests, starts, stops, again = [], [], [], [], []
-                for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    seen: set[bytes] = set()
-                    for a, b, digest in units_of(text, min_words):
-                        if digest is not None:
-                            ids.append(doc_id)
-                            digests.append(digest)
-                            starts.append(a)
-                            stops.append(b)
-                            again.append(digest in seen)
-                            seen.add(digest)
-                both = np.frombuffer(b"".join(digests), ">i8").astype("<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(again, pa.bool_())], names=["id", "high", "low", "start", "stop", "again"])
-
-    return rows.mapInArrow(run, "id long, high long, low long, start int, stop int, again boolean")
-
-
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """id, start, stop (code points of the original text), first_id: one row for each unit to remove.
-
-    Of equal units the first one of the document with the smallest id stays. Rows that repeat an id rank alike: each
-    keeps what another row of that id keeps. Null ids are not compared, null text counts as empty, an empty table gives
-    no rows."""
-    # A hot unit leaves each task as one partial row; a join deals its occurrences, and splits if skewed.
+        for batch in small_batches(batches):
+            owner, pos, digests, starts, stops, words, again = [], [], [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                seen: set[bytes] = set()
+                for k, (a, b, n, digest) in enumerate(units_of(text)):
+                    owner.append(i)
+                    pos.append(k)
+                    digests.append(digest)
+                    starts.append(a)
+                    stops.append(b)
+                    words.append(n)
+                    again.append(digest in seen)
+                    seen.add(digest)
+            both = np.frombuffer(b"".join(digests), ">i8").astype("<i8").reshape(-1, 2)
+            index = pa.array(owner, pa.int32())
+            columns = [batch.column("id").take(index), batch.column("tie").take(index), pa.array(pos, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), *(pa.array(x, pa.int32()) for x in (starts, stops, words)), pa.array(again, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "tie", "pos", "high", "low", "start", "stop", "words", "again"])
+
+    return rows.mapInArrow(run, f"id {kind_of(rows, 'id')}, tie long, pos int, high long, low long, start int, stop int, words int, again boolean")
+
+
+def later_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, tie, pos, start, stop (code points of the original text), words, first_id: the units that are not the first
+    of their kind. The texts are read once; a hot unit leaves each task as one partial row, and a join deals its
+    occurrences, which adaptive execution splits."""
     root = shared_root(docs.sparkSession)
-    first = units(docs, id_col, text_col, min_words).groupBy("high", "low").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first = stored(first, f"{root}/first")
-    found = units(docs, id_col, text_col, min_words).join(first, ["high", "low"]).where("again or id <> first_id")
-    return found.select("id", "start", "stop", "first_id")
+    all_units = stored(units(docs, id_col, text_col), f"{root}/units")
+    first = all_units.groupBy("high", "low").agg(F.min(F.struct("id", "tie")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stored(first.select("high", "low", F.col("first.id").alias("first_id"), F.col("first.tie").alias("first_tie")), f"{root}/first")
+    found = all_units.join(first, ["high", "low"]).where("again or id <> first_id or tie <> first_tie")
+    return found.select("id", "tie", "pos", "start", "stop", "words", "first_id")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each row of docs: id, removed (sorted spans start, stop), n_removed, removed_chars, kept_text."""
-    spans = repeated_units(docs, id_col, text_col, min_words).distinct().groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    out = texts.join(spans, "id", "left").withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<struct<start: int, stop: int>>)")))
+    """One row for each row of docs: id, removed (sorted spans start, stop in code points), n_removed, removed_chars,
+    kept_text.
+
+    Of equal units the first one of the document with the smallest id stays, whatever it stands beside. Rows of one id
+    rank by a hash of their text, and rows that repeat both id and text are one document, so they lose the same. A row
+    without an id is not compared and keeps its text. Identifiers are of any type that has an order. Null text counts
+    as empty, an empty table gives no rows, other columns are not read. A document's spans meet in its row."""
+    spans = later_units(docs, id_col, text_col).distinct().groupBy("id", "tie").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "stop", "words"))).alias("later"))
+    texts = picked(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("tie"), full_text().alias("text"))
+    out = texts.join(spans, ["id", "tie"], "left").select("id", "text", "later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
+        for batch in small_batches(batches):
+            removed, kept = [], []
+            for text, later in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist(), strict=True):
+                gone, held, words = [], [], 0
+                for unit in [*(later or ()), None]:
+                    if held and (unit is None or unit["pos"] != held[-1]["pos"] + 1):  # the run ends
+                        gone += held if words >= min_words else ()
+                        held, words = [], 0
+                    if unit is not None:
+                        held.append(unit)
+                        words += unit["words"]
                 parts, at = [], 0
-                for span in removed:
-                    parts.append(text[at : span["start"]])
-                    at = span["stop"]
+                for unit in gone:
+                    parts.append(text[at : unit["start"]])
+                    at = unit["stop"]
+                removed.append([{"start": u["start"], "stop": u["stop"]} for u in gone])
                 kept.append("".join([*parts, text[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("removed"), pa.array(kept, pa.string())], names=["id", "removed", "kept_text"])
+            span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(removed, span), pa.array(kept, pa.string())], names=["id", "removed", "kept_text"])
 
-    applied = out.select("id", "text", "removed").mapInArrow(run, "id long, removed array<struct<start: int, stop: int>>, kept_text string")
+    applied = out.mapInArrow(run, f"id {kind_of(out, 'id')}, removed array<struct<start: int, stop: int>>, kept_text string")
     return applied.select("id", "removed", F.size("removed").cast("long").alias("n_removed"), F.expr("aggregate(removed, 0L, (n, x) -> n + x.stop - x.start)").alias("removed_chars"), "kept_text")

@@ -15,20 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import shared_root, ship, stored
+from twinspark.llm.shared import full_text, kind_of, picked, positional, shared_root, ship, small_batches, stored
 
 BITS = 18
 SIZE = 1 << BITS
 GRAMS = (3, 4, 5, 6)
-#: The regression is fitted on at most this many labelled rows, the first by a hash of the identifier. The log-count
-#: ratios are counted over all labelled rows.
+#: The regression is fitted on at most this many labelled rows, the first by a hash of identifier and text. The
+#: log-count ratios are counted over all labelled rows.
 MAX_FIT_ROWS = 6_000
 #: And of these on at most this many features in sum, so the driver's share stays under about 100 MB.
 MAX_FIT_FEATURES = 12_000_000
 #: Labels up to this many (some 10 MB) are broadcast to the documents.
 MAX_BROADCAST_LABELS = 200_000
-#: The regression uses the buckets that tell the classes apart best, this many at most.
-MAX_BUCKETS = 512
+#: A ratio counts if the document shares of its n-gram in the two classes differ by this many standard errors or more;
+#: a smaller difference is noise (5 is about one in 20 that any of SIZE equal ones passes). How many n-grams that leaves follows from the rows, there is no bound on it.
+LEAST_ERRORS = 5.0
 PENALTY = 0.3
 
 
@@ -55,10 +56,11 @@ def features(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """score = 1 / (1 + exp(-(bias + sum of the weights of the features)))"""
+    """score = 1 / (1 + exp(-(bias + sum of the weights of the features))). fitted: whether both classes were there."""
 
     weights: np.ndarray
     bias: float
+    fitted: bool = True
 
     def score(self, text: str | None) -> float:
         found = features(text or "")
@@ -66,12 +68,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def informative(counts: np.ndarray, docs: np.ndarray, most: int) -> np.ndarray:
-    """The buckets whose document shares in the two classes differ the most, in standard errors."""
+def ratios_of(counts: np.ndarray, docs: np.ndarray, least: float = LEAST_ERRORS) -> np.ndarray:
+    """The log-count ratio of each bucket, zero where the classes' document shares differ by under `least` standard
+    errors. counts: shape (2, SIZE), documents of each class that have the bucket; docs: documents of each class."""
     share = (counts + 0.5) / (docs[:, None] + 1)
     pooled = (counts.sum(axis=0) + 0.5) / (docs.sum() + 1)
-    z = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled).clip(1e-9) * (1 / docs[0] + 1 / docs[1]))
-    return np.sort(np.argsort(-z, kind="stable")[:most])
+    errors = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled).clip(1e-9) * (1 / docs[0] + 1 / docs[1]))
+    smooth = counts + 1
+    return np.where(errors >= least, np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum()), 0.0)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, penalty: float = PENALTY, steps: int = 200) -> Model:
@@ -95,11 +99,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, penalty:
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_fit_rows: int = MAX_FIT_ROWS, max_fit_features: int = MAX_FIT_FEATURES) -> Model:
-    """From labelled rows; rows with a null label are left out, null text counts as empty.
+    """From labelled rows; rows whose label is not 0 or 1 are left out, null text counts as empty.
 
-    Without rows, or with one class only, the model scores every text by the smoothed share of label 1."""
-    ship(labelled.sparkSession)
-    rows = labelled.where(F.col(f"`{label_col}`").isin(0, 1)).select(F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("order"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    Without rows, or with one class only, the model is not fitted: it scores every text alike, by the smoothed share of
+    label 1 (1/3 without rows), and drop_toxic drops nothing by it."""
+    spark = labelled.sparkSession
+    ship(spark)
+    rows = picked(labelled, id=id_col, text=text_col, label=label_col).where("label in (0, 1)")
+    rows = rows.select(F.xxhash64(F.col("id").cast("string"), full_text()).alias("order"), full_text().alias("text"), F.col("label").cast("int").alias("label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs = np.zeros((2, SIZE), np.int64), np.zeros(2, np.int64)
@@ -114,72 +121,68 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     counts = np.zeros((2, SIZE + 1))
     counts[:, table.column("bucket").to_numpy()] = [table.column("n0").to_numpy(), table.column("n1").to_numpy()]
     totals = counts[:, SIZE]
-    if counts[:, -1].min() == 0:
-        return Model(np.zeros(SIZE), float(np.log((totals[1] + 1) / (totals[0] + 1))))
-    smooth = counts[:, :SIZE] + 1
-    ratios = np.zeros(SIZE)
-    chosen = informative(counts[:, :SIZE], totals, MAX_BUCKETS)
-    ratios[chosen] = (np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum()))[chosen]
+    if totals.min() == 0:
+        return Model(np.zeros(SIZE), float(np.log((totals[1] + 0.5) / (totals[0] + 1))), False)
+    ratios = ratios_of(counts[:, :SIZE], totals)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([(x := features(t.as_py()))[ratios[x] != 0] for t in batch.column("text")], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), found], names=["order", "label", "found"])
-
-    first = rows.select("order").orderBy("order").limit(max_fit_rows).agg(F.max("order")).first()[0]
-    sample = rows.where(F.col("order") <= first).mapInArrow(extract, "order long, label int, found array<int>")
-    table = sample.toArrow()  # within max_fit_rows
-    order = np.argsort(table.column("order").to_numpy(), kind="stable")
-    found, labels, chosen, size = table.column("found"), table.column("label").to_numpy(), [], 0
-    rows_ = []
-    for i in order.tolist():
-        one = found[i].values.to_numpy()
-        size += len(one)
-        if size > max_fit_features and chosen:
-            break
-        chosen.append(i)
-        rows_.append(one)
-    return fit(rows_, labels[chosen].astype(float), ratios)
+            found = [(x := features(t.as_py()))[ratios[x] != 0] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["order", "label", "size", "found"])
+
+    last = rows.select("order").orderBy("order").limit(max_fit_rows).agg(F.max("order")).first()[0]
+    sample = stored(rows.where(F.col("order") <= last).mapInArrow(extract, "order long, label int, size long, found array<int>"), f"{shared_root(spark)}/sample")
+    sizes = sample.select("order", "size").orderBy("order").limit(max_fit_rows).toArrow()
+    order, ends = sizes.column("order").to_numpy(), np.cumsum(sizes.column("size").to_numpy())
+    most = max(1, int(np.searchsorted(ends, max_fit_features, "right")))
+    # Ties are rows that repeat both identifier and text; the limit holds for them too.
+    table = sample.where(F.col("order") <= int(order[most - 1])).orderBy("order", "label").limit(most).select("label", "found").toArrow()
+    return fit([x.values.to_numpy() for x in table.column("found")], table.column("label").to_numpy().astype(float), ratios)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1) for each row of docs, from its whole text; null text counts as empty. Other columns are not read."""
     ship(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias))  # SIZE numbers
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = picked(docs, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shipped.value.score(t.as_py()) for t in batch.column("text")], pa.float64())], names=["id", "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(run, f"id {kind_of(rows, 'id')}, score double")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
     """Rows never learnt from: crc32 of the identifier as text, mod 5, is 0; a null identifier is held out."""
-    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 5 == 0, F.lit(True))
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
 def train_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_broadcast_labels: int = MAX_BROADCAST_LABELS) -> Model:
     """Trains on the documents that have a label and are not held out. A document labelled twice counts once a label.
 
     Within the bound labels are broadcast and texts stay where they are; beyond it both are joined by a shuffle, once."""
-    wanted = labels.where(~held_out(id_col)).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    wanted = picked(labels, id=id_col, label=label_col).where(~held_out("id")).distinct()
+    texts = picked(docs, id=id_col, text=text_col)
     few = wanted.limit(max_broadcast_labels + 1).count() <= max_broadcast_labels
     labelled = texts.join(F.broadcast(wanted), "id") if few else stored(texts.join(wanted, "id"), f"{shared_root(docs.sparkSession)}/labelled")
     return train(labelled, "text", "label", "id")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs with a score under the threshold, with their own columns."""
+    """The rows of docs with a score under the threshold, with their own columns, whatever these are called.
+
+    Null text counts as empty and repeated rows are judged alike. Where no model can be fitted (no usable labels, or
+    one class only) no row goes; an empty table stays empty."""
     model = train_on_labels(docs, labels, id_col, text_col)
+    if not model.fitted:
+        return docs
     ship(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias))
+    rows, (text,) = positional(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index(text_col)
-            yield batch.filter(pa.array([shipped.value.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+        for batch in small_batches(batches, text):
+            yield batch.filter(pa.array([shipped.value.score(t.as_py()) < threshold for t in batch.column(text)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

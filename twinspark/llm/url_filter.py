@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import ascii_lower, ship
+from twinspark.llm.shared import ascii_lower, kind_of, picked, ship
 
 #: Up to this many rules travel to the tasks in the closure (some MB); beyond it URLs are joined to the rules.
 MAX_BROADCAST_RULES = 50_000
@@ -75,7 +75,7 @@ def filed(rules: list[UrlRule], counts: dict[str, int]) -> tuple[dict[str, list[
 
 
 def judge_urls(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_broadcast_rules: int = MAX_BROADCAST_RULES) -> DataFrame:
-    """One row for each row of pages: id_col, host, path, rule, pattern, verdict.
+    """One row for each row of pages: id, host, path, rule, pattern, verdict.
 
     The longest listed rule that fits gives verdict and `rule`; without one the unlisted pattern rules decide
     (`pattern` names the first by name; block before allow), and without those the default. A null or relative URL
@@ -83,13 +83,13 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id",
     """
     spark = pages.sparkSession
     ship(spark)
-    host, path = url_parts(F.col(f"`{url_col}`"))
-    urls = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
+    host, path = url_parts(F.col("url"))
+    urls = picked(pages, id=id_col, url=url_col).select("id", host.alias("host"), path.alias("path"))
     counts = token_counts(urls.select(F.concat("host", "path").alias("key")), sorted({t for r in rules for t in r.literals}))
     index, always = filed(rules, counts)
     order = {i: (not r.listed, -r.weight, r.action != "block", r.name) for i, r in enumerate(rules)}
     if len(rules) > max_broadcast_rules:
-        return _judge_joined(urls, rules, index, always, order, id_col, default)
+        return _judge_joined(urls, rules, index, always, order, default)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = re.compile(TOKEN)
@@ -106,13 +106,12 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id",
                 pattern.append(r.name if r and not r.listed else None)
                 verdict.append(r.action if r else default)
             text = lambda x: pa.array(x, pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), text(hosts), text(paths), text(rule), text(pattern), text(verdict)], names=[id_col, "host", "path", "rule", "pattern", "verdict"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), text(hosts), text(paths), text(rule), text(pattern), text(verdict)], names=["id", "host", "path", "rule", "pattern", "verdict"])
 
-    kind = urls.schema["id"].dataType.simpleString()
-    return urls.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, pattern string, verdict string")
+    return urls.mapInArrow(run, f"id {kind_of(urls, 'id')}, host string, path string, rule string, pattern string, verdict string")
 
 
-def _judge_joined(urls: DataFrame, rules: list[UrlRule], index: dict, always: list[int], order: dict, id_col: str, default: str) -> DataFrame:
+def _judge_joined(urls: DataFrame, rules: list[UrlRule], index: dict, always: list[int], order: dict, default: str) -> DataFrame:
     """The same by a join on the token, for rule lists too long to broadcast."""
     spark = urls.sparkSession
     ranks = {i: n for n, i in enumerate(sorted(order, key=order.get))}
@@ -124,5 +123,5 @@ def _judge_joined(urls: DataFrame, rules: list[UrlRule], index: dict, always: li
     hits = keys.withColumn("token", F.explode(tokens)).join(by_token, "token").where(F.expr("key rlike regex"))
     won = hits.groupBy("host", "path").agg(F.min("rank").alias("rank")).join(named, "rank")
     return urls.join(won, ["host", "path"], "left").select(
-        F.col("id").alias(id_col), "host", "path", F.when(F.col("listed"), F.col("name")).alias("rule"), F.when(~F.col("listed"), F.col("name")).alias("pattern"), F.coalesce("action", F.lit(default)).alias("verdict")
+        "id", "host", "path", F.when(F.col("listed"), F.col("name")).alias("rule"), F.when(~F.col("listed"), F.col("name")).alias("pattern"), F.coalesce("action", F.lit(default)).alias("verdict")
     )
