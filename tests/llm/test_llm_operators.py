@@ -236,9 +236,9 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most_contexts", [0, 3, 4096])
+@pytest.mark.parametrize("most_slices", [0, 3, 4096])
 @pytest.mark.parametrize("alphabet", ["ab", "abcdefghé", "a"])
-def test_long_repeats(spark, most_contexts, alphabet):
+def test_long_repeats(spark, most_slices, alphabet):
     from twinspark.llm.long_repeats import remove_long_repeats
 
     random.seed(6)
@@ -247,7 +247,7 @@ def test_long_repeats(spark, most_contexts, alphabet):
     rows = [(i, "".join(random.choice([text(random.randint(0, 60)), random.choice(shared)[random.randint(0, 5) :]]) for _ in range(6))) for i in range(80 if len(alphabet) > 1 else 8)]
     rows += [(3, rows[7][1]), (4, rows[7][1]), (2, None), (2, ""), (None, "x" * 23), (None, text(40))]
     want = Counter((i, len((t or "").encode()), n, s, k) for (i, t), (n, s, k) in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 24)))
-    got = remove_long_repeats(docs_of(spark, rows), length=24, most_contexts=most_contexts)
+    got = remove_long_repeats(docs_of(spark, rows), length=24, most_slices=most_slices, shard_bytes=most_slices * 100, queue_bytes=most_slices)
     assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == want
 
 
