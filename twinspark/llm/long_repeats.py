@@ -32,7 +32,7 @@ from twinspark.llm.shared import full_text, kind_of, picked, release, remove, sh
 
 LENGTH = 400
 #: Digests with more different slices than this count their windows one by one; fewer meet in a shard.
-MOST_SLICES = 4_096
+MOST_SLICES = 256
 SEGMENT = 1 << 20  # longer texts are read in pieces that overlap by a window; under 2^24
 SHARD_BYTES = 2 << 20  # of text whose suffixes are sorted together
 QUEUE_BYTES = 32 << 20  # of a shard's queues that stay in memory; the rest is in files of the shared folder
