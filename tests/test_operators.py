@@ -88,6 +88,83 @@ def test_ewma_golden(spark):
     assert len(out) == 1 and out[0].cost == pytest.approx(0.0087890625) and out[0].samples == 2
 
 
+def test_band_model_in_parts_and_seeded(spark):
+    """A group over many parts against one fold in order, from nothing and from an earlier state."""
+    import random
+
+    random.seed(13)
+    rows = [("cpu" if i % 4 else "gpu", i, random.choice([100, 120, 200, 70_000]), random.uniform(0.5, 9)) for i in range(3_000)]
+
+    def fold(rows, state):
+        state = dict(state)
+        for backend, _, size, ms in rows:
+            key = backend, (size.bit_length() - 1) // 2
+            if key not in state:
+                state[key] = (ms / size, 0.0, 1)
+            else:
+                cost, error, n = state[key]
+                state[key] = (cost * 0.875 + ms / size * 0.125, error * 0.875 + abs(ms - cost * size) / size * 0.125, n + 1)
+        return state
+
+    def run(rows, seed=None):
+        df = spark.createDataFrame(rows, "backend string, o long, bytes long, ms double").repartition(5)
+        return model.band_model(df, "o", seed=seed)
+
+    def same(df, want):
+        got = {(r.backend, r.band): (r.cost, r.error, r.samples) for r in df.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+    early, late = rows[:1_200], [r for r in rows[1_200:] if r[2] < 1_000]
+    state = run(early)
+    same(state, fold(early, {}))
+    same(run(late, state), fold(late, fold(early, {})))  # a band without new rows stays
+    calibrated = model.with_seeds(state, spark.createDataFrame([("cpu", 100, 1.0), ("igpu", 100, 5.0), ("igpu", 0, 5.0)], "backend string, bytes long, ms double"))
+    same(calibrated, fold(early, {}) | {("igpu", 3): (0.05, 0.0, 0)})
+    more = [("igpu", 1, 100, 10.0)]
+    same(run(more, calibrated), fold(early, {}) | {("igpu", 3): (0.05 * 0.875 + 0.1 * 0.125, 0.05 * 0.125, 1)})
+    assert run(rows[:0] or [("cpu", 1, 0, 1.0)]).count() == 0
+
+
+def test_bootstrap_upper(spark):
+    """The bound of a large group against the normal one, small groups' gates, and the same result for other orders."""
+    import random
+
+    from twinspark.operators.benchstats import bootstrap_upper
+
+    random.seed(14)
+    wide = [random.gauss(1.0, 0.2) for _ in range(4_000)]
+    rows = [("wide", x) for x in wide] + [("few", 1.0)] * 6 + [("fast", 0.5)] * 7 + [("slow", 1.03)] * 7
+    df = spark.createDataFrame(rows, "bench string, ratio double")
+    got = {r.bench: r for r in bootstrap_upper(df.repartition(3), ["bench"], resamples=2_000).collect()}
+    mean = sum(wide) / len(wide)
+    error = (sum((x - mean) ** 2 for x in wide) / len(wide) ** 2) ** 0.5
+    assert got["wide"].upper == pytest.approx(mean + 1.645 * error, abs=0.2 * error) and got["wide"].pairs == 4_000
+    assert {b: (got[b].upper, got[b].gate) for b in ("few", "fast", "slow")} == {"few": (1.0, "insufficient_trials"), "fast": (0.5, "pass"), "slow": (pytest.approx(1.03), "not_demonstrated")}
+
+
+def test_ledger_load(spark):
+    state = model.moments(observations(spark)).select(F.lit("peer").alias("source"), F.explode(F.array(*(F.lit(f"k{i:02}") for i in range(40)))).alias("key"), F.lit(1).cast("long").alias("revision"), F.lit(1.0).alias("attenuation"), "*")
+    assert model.loaded_ledger(state).count() == 32
+    assert {r.key for r in model.loaded_ledger(state, 3, "k39").collect()} == {"k00", "k01", "k39"}
+    with pytest.raises(RuntimeError, match="invalid"):
+        model.loaded_ledger(state.withColumn("yty", F.col("yty") / 2))
+
+
+def test_filter_lets_all_wanted_through(spark):
+    rows = spark.range(5_000).selectExpr("id as k", "id % 3 as v")
+    wanted = rows.where("k % 50 = 0").select("k")
+    passed = dedup.passing(rows, wanted, ["k"])
+    assert passed.join(wanted, "k").count() == 100 and passed.count() < 200 and passed.columns == rows.columns
+    assert dedup.passing(rows, wanted, ["k"], 1).join(wanted, "k").count() == 100 and dedup.passing(rows, wanted.limit(0), ["k"]).count() == 0
+
+
+def test_totals_check(spark):
+    totals = spark.createDataFrame([("all", 3, 30, 1), ("worker.0", 1, 10, 1), ("worker.1", 2, 20, 0)], "scope string, tasks long, bytes long, errors long")
+    assert telemetry.totals_check(totals).first().consistent and telemetry.inconsistent_totals(totals).count() == 0
+    odd = totals.withColumn("bytes", F.col("bytes") + (F.col("scope") == "all").cast("int"))
+    assert not telemetry.totals_check(odd).first().consistent and telemetry.inconsistent_totals(odd).count() == 1
+
+
 def observations(spark, n=256):
     rows = []
     for i in range(n):

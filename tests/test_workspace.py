@@ -68,14 +68,97 @@ def test_merge_is_idempotent(spark, tmp_path):
     sources = [str(tmp_path / n) for n in ("two", "one")]
     first = merge_workspaces(spark, str(tmp_path), sources)
     again = merge_workspaces(spark, str(tmp_path), sources)
-    assert first == {"workspaces": 2, "cache_rows": 2, "rules_added": 2, "warnings": 0}
-    assert again == {"workspaces": 2, "cache_rows": 0, "rules_added": 0, "warnings": 0}
+    none = dict.fromkeys(("model_parts", "setup_parts", "cache_rows", "telemetry_runs", "telemetry_events", "rules_added", "warnings", "sources_removed"), 0)
+    assert first == none | {"workspaces": 2, "cache_rows": 2, "rules_added": 2}
+    assert again == none | {"workspaces": 2}
     assert "/one/**/*.one" in (tmp_path / ".twinspark" / "ignore").read_text()
     with pytest.raises(ValueError):
         discover_workspaces(str(tmp_path / "one" / ".twinspark"))
     assert merged_rules(["x"], [("s", ["x", "# no", "y"]), ("s", ["y"])])[0] == ["x", "/s/**/x", "/s/**/y"]
 
 
+def test_merge_brings_telemetry_models_and_digests(spark, tmp_path):
+    """Counters of every part, a second merge that changes nothing, moved sources, and a scan that hashes nothing."""
+    from twinspark.plans.scan import StateTable
+    from twinspark.schema import EVENTS, METRICS, MODEL_PARTS, PARAMETERS, RUNS, SETUP_PARTS
+
+    def fill(root, run, revision):
+        initialize_workspace(root)
+        rows = {
+            "telemetry/runs": (RUNS, [(run, 1, None, "complete", *[None] * 5, *[0] * 6)]), "telemetry/events": (EVENTS, [(k, run, "log", "n", "info", "m", "cpu", 0, 0, 0, k, k, 0, 1.0, "u", 0) for k in (1, 2)]),
+            "telemetry/metrics": (METRICS, [(run, "n", 1.0, "u")]), "telemetry/parameters": (PARAMETERS, []),
+            "model": (MODEL_PARTS, [(b"peer", b"key", revision, 1.0, 0, [0.0] * 16, [0.0] * 4, [0.0] * 4, [0.0] * 4, 0.0, 0.0, 0)]), "setup": (SETUP_PARTS, [(b"peer", b"key", revision, 1.0, 1.0, 1.0, 1)]),
+        }
+        for name, (schema, values) in rows.items():
+            StateTable(spark, root, name, schema).commit(spark.createDataFrame(values, schema))
+
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    put(tmp_path, one__a="same", two__b="same", c="other")
+    for root, run, revision in ((one, "r1", 1), (two, "r2", 2)):
+        fill(root, run, revision)
+        scan(spark, root)
+    initialize_workspace(str(tmp_path))
+    first = merge_workspaces(spark, str(tmp_path), [one, two])
+    assert first == {"workspaces": 2, "model_parts": 1, "setup_parts": 1, "cache_rows": 2, "telemetry_runs": 2, "telemetry_events": 4, "rules_added": 0, "warnings": 0, "sources_removed": 0}
+    assert StateTable(spark, str(tmp_path), "model", MODEL_PARTS).read().first().revision == 2
+    again = merge_workspaces(spark, str(tmp_path), [one, two], move=True)
+    assert {k for k, v in again.items() if v} == {"workspaces", "sources_removed"} and not (tmp_path / "one" / ".twinspark").exists()
+    (tmp_path / ".twinspark" / "ignore").write_text(".twinspark/\n")
+    found = scan(spark, str(tmp_path))
+    assert (found.counters["scanned"], found.counters["cached"], found.counters["hashed"], found.counters["groups"]) == (3, 2, 1, 1)  # a and b from the archive
+    assert scan(spark, str(tmp_path), rehash=True).counters["hashed"] == 3
+
+
+def test_only_wanted_files_are_opened(spark, tmp_path):
+    import hashlib
+
+    from twinspark.sources.inventory import with_content, with_digest
+
+    put(tmp_path, a="one", sub__b="x" * 3_000_000)
+    os.mkfifo(tmp_path / "pipe")  # whoever opens it hangs
+    wanted = spark.createDataFrame([("a", 1), ("sub/b", 2)], "path string, n int")
+    got = {r.path: (r.n, r.digest) for r in with_digest(wanted, str(tmp_path)).collect()}
+    assert got == {"a": (1, hashlib.sha256(b"one").hexdigest()), "sub/b": (2, hashlib.sha256(b"x" * 3_000_000).hexdigest())}
+    assert len(with_digest(wanted, str(tmp_path), "blake3").first().digest) == 64
+    assert {r.path: len(r.content) for r in with_content(wanted, str(tmp_path)).collect()} == {"a": 3, "sub/b": 3_000_000}
+    with pytest.raises(Exception, match="No such file"):
+        with_digest(spark.createDataFrame([("gone",)], "path string"), str(tmp_path)).collect()
+
+
+def test_unsafe_state_files(spark, tmp_path):
+    from twinspark.plans.scan import StateTable, regular_state
+
+    initialize_workspace(str(tmp_path))
+    table = StateTable(spark, str(tmp_path), "setup", "a long")
+    table.commit(spark.range(2).withColumnRenamed("id", "a"))
+    assert table.read().count() == 2 and not regular_state(tmp_path / "none")
+    os.link(table.folder / "current.json", tmp_path / "second")
+    with pytest.raises(ValueError, match="unsafe"):
+        table.read()
+    os.unlink(tmp_path / "second")
+    os.rename(table.folder / "current.json", tmp_path / "moved")
+    os.symlink(tmp_path / "moved", table.folder / "current.json")
+    with pytest.raises(ValueError, match="unsafe"):
+        table.read()
+
+
+def test_stream_keeps_runs(spark, tmp_path):
+    """Counts go on over batches through the state table; the state keeps the latest runs."""
+    from twinspark.streaming.telemetry_stream import events_stream, read_events, write_events
+
+    schema = "event_id long, run_id string"
+    for k, runs in enumerate((["a", "a", "b"], ["a", "c", "c", "c"], ["d"])):
+        spark.createDataFrame([(10 * k + i, r) for i, r in enumerate(runs)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = events_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+        write_events(source, f"{tmp_path}/out", f"{tmp_path}/check", cap=2, keep_runs=2).awaitTermination()
+    state = spark.read.parquet(f"{tmp_path}/out_state/batch=2")
+    assert {(r.run_id, r.have, r.last_batch) for r in state.collect()} == {("d", 1, 2), ("c", 2, 1)}
+    drops = spark.read.parquet(f"{tmp_path}/out_drops/batch=1")
+    assert {(r.run_id, r.accepted, r.dropped) for r in drops.collect()} == {("a", 0, 1), ("c", 2, 1)}
+    held = read_events(spark, f"{tmp_path}/out", spark.createDataFrame([], schema).schema, 2)
+    assert sorted((r.run_id, r.event_id) for r in held.collect()) == [("c", 11), ("c", 12), ("d", 20)]
+
+
 def test_config(tmp_path):
     (tmp_path / "c.toml").write_text('digest = "blake3"\nunknown = 1\ndecay = 1\n')
     assert Config.load(tmp_path / "c.toml").digest == "blake3" and Config.load(tmp_path / "none.toml") == Config()
@@ -141,7 +224,9 @@ def test_archive_and_train_commands(spark, tmp_path):
     union = read_history(spark, f"{tmp_path}/u")
     assert union.runs.count() == 2 and union.events.count() == 4
     assert main(["archive", a, c, "--output", f"{tmp_path}/v"]) == 2 and not (tmp_path / "v").exists()
-    assert main(["archive", a, "--output", f"{tmp_path}/u"]) == 2
+    assert main(["archive", a, "--output", f"{tmp_path}/u"]) == 2 and not [p for p in os.listdir(tmp_path) if ".new-" in p]
+    put(tmp_path, corpus__x="12345678" * 1000, corpus__y="1")
+    assert main(["select", f"{tmp_path}/corpus"]) == 0 and main(["select", f"{tmp_path}/corpus", f"{tmp_path}"]) == 2
     spark.range(1).write.parquet(f"{tmp_path}/d/runs")
     assert main(["archive", f"{tmp_path}/d", "--output", f"{tmp_path}/w"]) == 2
     with pytest.raises(ValueError):

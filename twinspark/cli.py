@@ -1,4 +1,4 @@
-"""python -m twinspark.cli scan|merge|archive|train|new|clean ...; exit status 0, or 2 on failure."""
+"""python -m twinspark.cli scan|merge|archive|train|select|new|clean ...; exit status 0, or 2 on failure."""
 
 from __future__ import annotations
 
@@ -19,17 +19,22 @@ def main(args: list[str] | None = None) -> int:
         if name == "scan":
             one.add_argument("--unmatched", action="store_true")
             one.add_argument("--output")
+            one.add_argument("--rehash", action="store_true", help="use no cached digest")
         if name == "clean":
             one.add_argument("--recursive", action="store_true")
     merge = commands.add_parser("merge")
     merge.add_argument("target")
-    merge.add_argument("sources", nargs="+")
+    merge.add_argument("sources", nargs="*", help="none: the workspaces below the target")
+    merge.add_argument("-r", "--recursive", action="store_true", help="look for them at any depth")
+    merge.add_argument("--move", action="store_true", help="remove the sources' state afterwards")
     union = commands.add_parser("archive")
     union.add_argument("inputs", nargs="+")
     union.add_argument("--output", required=True)
     train = commands.add_parser("train")
     train.add_argument("observations", help="Parquet with backend, bytes, batch_bytes, contention, ms")
     train.add_argument("--output", required=True)
+    select = commands.add_parser("select", help="the files of corpora that training would take")
+    select.add_argument("corpora", nargs="+")
     given = parser.parse_args(args)
     try:
         from twinspark.plans.merge import clean_workspace, initialize_workspace, merge_workspaces
@@ -39,7 +44,10 @@ def main(args: list[str] | None = None) -> int:
         elif given.command == "clean":
             print(clean_workspace(given.root, given.recursive))
         elif given.command == "merge":
-            print(merge_workspaces(session(), given.target, given.sources))
+            from twinspark.sources.inventory import discover_workspaces
+
+            sources = given.sources or discover_workspaces(given.target, given.recursive, given.target)
+            print(" ".join(f"merge_{k}={v}" for k, v in merge_workspaces(session(), given.target, sources, given.move).items()))
         elif given.command == "archive":
             from twinspark.operators.archive import archive_union, publish, totals_json
             from twinspark.sources.history import read_history
@@ -56,6 +64,18 @@ def main(args: list[str] | None = None) -> int:
             ship(spark)
             _, fits = learn(spark.read.parquet(given.observations))
             fits.write.mode("errorifexists").parquet(given.output)
+        elif given.command == "select":
+            from twinspark.operators.cache import fail_if_any
+            from twinspark.plans.train import select as choose
+            from twinspark.sources.config import Config
+            from twinspark.sources.inventory import overlapping_roots, stamped_inventory
+
+            spark = session()
+            roots = [os.path.abspath(c) for c in given.corpora]
+            fail_if_any(overlapping_roots(spark, roots), "corpora overlap")
+            for root in roots:
+                for row in choose(stamped_inventory(spark, root).select("path", "size"), Config(), root).orderBy("turn").collect():  # within training_files
+                    print(f"{root}/{row.path}")
         else:
             from twinspark.operators.dedup import write_report
             from twinspark.plans.scan import scan, summary
@@ -65,7 +85,7 @@ def main(args: list[str] | None = None) -> int:
             from twinspark.plans.report import pretty
 
             spark, began = session(), time.monotonic()
-            found = scan(spark, given.root)
+            found = scan(spark, given.root, rehash=given.rehash)
             if given.output:
                 write_report(with_content(found.files, given.root), given.output, given.unmatched)
             print(summary(spark, found.counters), file=sys.stderr)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspark.operators.cache import fail_if_any
+from twinspark.operators.ordered import row_positions, running_sums
+from twinspark.storage import materialized
 
 CHILDREN = ("events", "metrics", "parameters")
 
@@ -28,8 +31,9 @@ def merge_by_run(target: History, source: History) -> History:
 
 
 def ordinal(events: DataFrame) -> DataFrame:
-    """Position of each event in its run; event ids are local to a database and are no content."""
-    return events.withColumn("pos", F.row_number().over(Window.partitionBy("run_id").orderBy("event_id"))).drop("event_id")
+    """Position of each event in its run; event ids are local to a database and are no content. A run with very many
+    events is dealt to many tasks."""
+    return row_positions(events, ["run_id"], ["event_id"], "pos").drop("event_id")
 
 
 def conflicts(known: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,8 +61,9 @@ def import_order(runs: DataFrame, events: DataFrame) -> DataFrame:
     """events in the order an archive takes them, by (run's start, run, event): a prefix sum over runs and the position in
     the run give the new ids, so no task numbers all events."""
     sizes = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).join(runs.select("run_id", "started_unix_ns"), "run_id")
-    before = F.coalesce(F.sum("n").over(Window.orderBy("started_unix_ns", "run_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ordinal(events).join(sizes.select("run_id", before.alias("before")), "run_id").withColumn("event_id", F.col("before") + F.col("pos")).drop("before", "pos")
+    summed = running_sums(sizes.withColumn("all", F.lit(0)), ["all"], ["started_unix_ns", "run_id"], "n", "upto")
+    before = materialized(summed.select("run_id", (F.col("upto") - F.col("n")).alias("before")))
+    return ordinal(events).join(before, "run_id").withColumn("event_id", F.col("before") + F.col("pos")).drop("before", "pos")
 
 
 def archive_union(sources: list[tuple[int, History]]) -> tuple[History, DataFrame, DataFrame]:
@@ -91,6 +96,16 @@ def totals_json(totals: DataFrame) -> DataFrame:
 
 
 def publish(history: History, path: str) -> None:
-    """Writes an archive where none is; an existing one is never overwritten."""
+    """Writes an archive where none is; an existing one is never overwritten. The tables are written beside it and
+    renamed in one step, so a crash leaves no half archive."""
+    spark = history.runs.sparkSession
+    jvm = spark.sparkContext._jvm
+    target, beside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise ValueError(f"{path} exists")
     for name in ("runs", *CHILDREN):
-        getattr(history, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+        getattr(history, name).write.parquet(f"{beside.toString()}/{name}")
+    if fs.exists(target) or not fs.rename(beside, target):
+        fs.delete(beside, True)
+        raise ValueError(f"{path} exists")

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinspark.operators.ordered import in_parts
+from twinspark.storage import materialized, ship
+
 RESAMPLES, GATE, LEAST_TRIALS = 10_000, 1.02, 7
 
 
@@ -30,17 +33,38 @@ def paired_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bootstrap_upper(pairs: DataFrame, keys: list[str], seed: int = 1, resamples: int = RESAMPLES) -> DataFrame:
-    """keys, upper (one-sided 95 % bound of the mean ratio), gate. A group holds one benchmark's trials."""
+    """keys, pairs, upper (one-sided 95 % bound of the mean ratio over `resamples` draws with replacement), gate.
+
+    A group may have any number of pairs. Its rows lie in parts; how many of a resample's draws fall into each part is
+    one multinomial draw, which every part makes alike from the seed and the parts' sizes, and then draws its own. Only
+    sums, `resamples` numbers a group and part, are shuffled. The same pairs give the same result whatever their order,
+    as long as the partitioning is the same. keys are not null."""
+    spark = pairs.sparkSession
+    ship(spark)
+    parts = in_parts(pairs.select(*keys, "ratio"), keys, ["ratio"]).select(*keys, "_part", "ratio")
+    sizes = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("n"))
+    layout = materialized(sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_part", "n"))).alias("layout"), F.sum("n").alias("pairs")))
+    rows = parts.join(layout.select(*keys, "layout"), keys)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ratios = np.sort(pdf["ratio"].to_numpy())
-        draws = np.random.default_rng(seed).choice(ratios, (resamples, len(ratios))).mean(axis=1)
-        upper = float(np.sort(draws)[int(0.95 * (resamples - 1))])
-        gate = "insufficient_trials" if len(ratios) < LEAST_TRIALS else "pass" if upper <= GATE else "not_demonstrated"
-        return pd.DataFrame([(*key, len(ratios), upper, gate)])
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        held = list(frame["layout"].iloc[0])
+        counts = np.array([x["n"] for x in held], float)
+        mine = [x["_part"] for x in held].index(key[-1])
+        share = np.random.default_rng([seed, 0]).multinomial(int(counts.sum()), counts / counts.sum(), resamples)[:, mine]
+        ratios, own, sums = np.sort(frame["ratio"].to_numpy()), np.random.default_rng([seed, 1, int(key[-1])]), np.zeros(resamples)
+        at, most = 0, max(1, (1 << 22) // max(1, len(ratios)))
+        for at in range(0, resamples, most):
+            part = share[at : at + most]
+            drawn = ratios[own.integers(0, len(ratios), int(part.sum()))]
+            sums[at : at + most] = np.bincount(np.repeat(np.arange(len(part)), part), drawn, len(part))
+        return pd.DataFrame({**dict(zip(keys, key, strict=False)), "resample": np.arange(resamples), "total": sums})
 
     kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    return pairs.groupBy(*keys).applyInPandas(run, f"{kinds}, pairs long, upper double, gate string")
+    drawn = rows.groupBy(*keys, "_part").applyInPandas(run, f"{kinds}, resample int, total double")
+    means = drawn.groupBy(*keys, "resample").agg(F.sum("total").alias("total")).join(layout.select(*keys, "pairs"), keys).withColumn("mean", F.col("total") / F.col("pairs"))
+    found = means.groupBy(*keys, "pairs").agg(F.sort_array(F.collect_list("mean"))[int(0.95 * (resamples - 1))].alias("upper"))  # `resamples` numbers a group
+    gate = F.when(F.col("pairs") < LEAST_TRIALS, "insufficient_trials").when(F.col("upper") <= GATE, "pass").otherwise("not_demonstrated")
+    return found.select(*keys, "pairs", "upper", gate.alias("gate"))
 
 
 def stable_win(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspark.functions.scalars import quoted_path
+from twinspark.operators.cache import fail_if_any
 from twinspark.operators.ordered import row_positions
+from twinspark.storage import materialized
+
+#: Words of the filter over buckets, some 8 MB when broadcast.
+FILTER_WORDS = 1 << 18
 
 
 def dup_candidates(files: DataFrame) -> DataFrame:
@@ -15,40 +20,56 @@ def dup_candidates(files: DataFrame) -> DataFrame:
     return files.join(buckets, ["size", "digest"])
 
 
+def passing(rows: DataFrame, wanted: DataFrame, keys: list[str], words: int = FILTER_WORDS) -> DataFrame:
+    """The rows whose keys may be among the wanted ones: a Bloom filter of one hash and 64 * words bits, broadcast as a
+    table of at most `words` rows whatever the input's size. Whoever needs exactly the wanted ones joins behind it."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(64 * words))
+    marks = wanted.select(bit.alias("_bit")).groupBy((F.col("_bit") / 64).cast("long").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_bits"))
+    placed = rows.withColumn("_bit", bit).withColumn("_word", (F.col("_bit") / 64).cast("long"))
+    return placed.join(F.broadcast(marks), "_word").where("shiftrightunsigned(_bits, cast(_bit % 64 as int)) & 1 = 1").drop("_bit", "_word", "_bits")
+
+
 def content_classes(files: DataFrame) -> DataFrame:
-    """size, digest, content, representative (smallest path), members: one row for each class of two files or more.
+    """path, size, digest, content_id (SHA-256 of the bytes) of the files whose bytes another file has too.
 
-    Contents are shuffled for candidates only (semi-join reduction), and copies meet before the shuffle."""
-    candidates = dup_candidates(files.select("path", "size", "digest")).select("path")
-    return (
-        files.join(candidates, "path", "left_semi")
-        .groupBy("size", "digest", "content")
-        .agg(F.min("path").alias("representative"), F.count(F.lit(1)).alias("members"))
-        .where("members > 1")
-    )
+    Contents move for candidates only: a bounded filter of the buckets (size, digest) with two files or more goes before
+    the scan, and what passes is grouped by its bytes with nothing but a count, so that copies meet before the shuffle.
+    Bytes decide: two contents of one bucket that share their SHA-256 would fail the step."""
+    buckets = materialized(files.groupBy("size", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "digest"))
+    may = passing(files.select("path", "size", "digest", "content"), buckets, ["size", "digest"])
+    counted = may.groupBy("size", "digest", "content").agg(F.count(F.lit(1)).alias("n")).select("size", "digest", F.sha2("content", 256).alias("content_id"), "n")
+    classes = materialized(counted.groupBy("size", "digest", "content_id").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("members")).where("members > 1"))
+    fail_if_any(classes.where("contents > 1"), "different contents share a SHA-256")
+    named = may.select("path", "size", "digest", F.sha2("content", 256).alias("content_id"))
+    return named.join(classes.drop("contents"), ["size", "digest", "content_id"])
 
 
 def matches(files: DataFrame) -> DataFrame:
-    """representative, member for every member of a class, the representative itself included."""
-    classes = content_classes(files)
-    return files.join(classes, ["size", "digest", "content"]).select("representative", F.col("path").alias("member"), "size", "members").dropDuplicates(["representative", "member"])
+    """representative (the smallest path), member, size, members: every member of a class of two files or more, the
+    representative itself included. A stored table; classes are joined by their id, never by their bytes."""
+    key = ["size", "digest", "content_id"]
+    rows = materialized(content_classes(files).dropDuplicates([*key, "path"]))
+    first = materialized(rows.groupBy(*key).agg(F.min("path").alias("representative")))
+    return materialized(rows.join(first, key).select("representative", F.col("path").alias("member"), "size", "members"))
 
 
 def numbered(groups: DataFrame) -> DataFrame:
     """With group_number from 1 in the representatives' order, by range partitions and their offsets."""
-    order = row_positions(groups.select("representative").distinct().withColumn("all", F.lit(0)), ["all"], ["representative"], "group_number")
+    order = row_positions(groups.where("representative = member").select("representative").withColumn("all", F.lit(0)), ["all"], ["representative"], "group_number")
     return groups.join(order.drop("all"), "representative")
 
 
-def unique_files(files: DataFrame) -> DataFrame:
-    return files.join(matches(files).select(F.col("member").alias("path")), "path", "left_anti")
+def unique_files(files: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """The files without a copy; groups: what matches() gave for them, if that is known."""
+    return files.join((groups or matches(files)).select(F.col("member").alias("path")), "path", "left_anti")
 
 
 def report_lines(files: DataFrame, unmatched: bool = True) -> DataFrame:
     """group_number, path, line: the TSV report's rows; group 0 has files without copies."""
-    rows = numbered(matches(files)).select("group_number", F.col("member").alias("path"))
+    groups = matches(files)
+    rows = numbered(groups).select("group_number", F.col("member").alias("path"))
     if unmatched:
-        rows = rows.unionByName(unique_files(files).select(F.lit(0).cast("long").alias("group_number"), "path"))
+        rows = rows.unionByName(unique_files(files.select("path"), groups).select(F.lit(0).cast("long").alias("group_number"), "path"))
     return rows.withColumn("line", F.concat(F.col("group_number").cast("string"), F.lit("\t"), quoted_path(F.col("path"))))
 
 

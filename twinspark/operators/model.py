@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinspark.functions.scalars import bucket_range, features, latency_bucket, size_band, valid_observation
+from twinspark.operators.cache import fail_if_any
+from twinspark.operators.ordered import in_parts
+from twinspark.storage import materialized, ship
 
 ALPHA = 0.125
 RIDGE = 1e-8
@@ -31,32 +34,97 @@ def histogram_quantiles(histogram: DataFrame, percents: list[int], keys: tuple[s
     return first.withColumn("range_us", bucket_range(F.col("bucket")))
 
 
-def _ewma(values: Column) -> Column:
-    """Over an ordered array; null for an empty one."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(a * (1 - ALPHA) + v * ALPHA))
-
-
-def band_model(observations: DataFrame, order: str, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
+def _folds(frames: Iterator[pd.DataFrame], keys: list[str], errors: bool) -> Iterator[pd.DataFrame]:
+    """One row for each group in a sorted part: keys, samples, and what the part adds to a moving average that begins
+    with zero. errors: of the residuals, for which the rows carry the cost before the part (null: there is none)."""
+    group, cost, total, n = None, None, 0.0, 0
+
+    def row() -> pd.DataFrame:
+        return pd.DataFrame([(*group, n, total)], columns=[*keys, "samples", "added"])
+
+    def smoothed(start: float, values: np.ndarray) -> np.ndarray:
+        return pd.Series(np.append(start, values)).ewm(alpha=ALPHA, adjust=False).mean().to_numpy()
+
+    for frame in frames:
+        marks = frame[keys].ne(frame[keys].shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(marks) if len(frame) else []
+        for a, b in zip(starts, [*starts[1:], len(frame)], strict=True):
+            one = frame.iloc[a:b]
+            key = tuple(one.iloc[0][keys])
+            if key != group:
+                if n:
+                    yield row()
+                group, total, n = key, 0.0, 0
+                cost = one["cost"].iloc[0] if errors and not pd.isna(one["cost"].iloc[0]) else None
+            values = one["x"].to_numpy()
+            if errors:
+                if cost is None:  # the first observation of all sets the cost and has no error
+                    before, cost = np.append(values[0], smoothed(values[0], values[1:])[:-1]), None
+                    after = smoothed(values[0], values[1:])
+                else:
+                    after = smoothed(cost, values)
+                    before = after[:-1]
+                cost, values = float(after[-1]), np.abs(one["ms"].to_numpy() - before * one["bytes"].to_numpy()) / one["bytes"].to_numpy()
+            total, n = float(smoothed(total, values)[-1]), n + len(values)
+    if n:
+        yield row()
+
+
+def band_model(observations: DataFrame, order: str, keys: tuple[str, ...] = ("backend",), seed: DataFrame | None = None) -> DataFrame:
     """keys, band, cost and error in ms a byte, samples: the state after all valid observations (bytes, ms) in order.
 
-    The error is smoothed only from the second observation on, with the cost before it. The fold needs a band's history
-    in order; ordered arrays hold two numbers an observation and are compacted a day or a run at a time by seeding the
-    next fold (column arrays of a key and band stay bounded that way)."""
-    ok = observations.where(valid_observation(F.col("bytes"), F.col("ms")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("bytes").alias("b"), F.col("ms").alias("m")))), lambda x: F.struct(x["b"].cast("double").alias("b"), x["m"].alias("m")))
-
-    def step(s: Column, x: Column) -> Column:
-        cost = x["m"] / x["b"]
-        residual = F.abs(x["m"] - s["cost"] * x["b"]) / x["b"]
-        return F.struct(
-            F.when(s["n"] > 0, s["cost"] * (1 - ALPHA) + cost * ALPHA).otherwise(cost).alias("cost"),
-            F.when(s["n"] > 0, s["error"] * (1 - ALPHA) + residual * ALPHA).otherwise(F.lit(0.0)).alias("error"),
-            (s["n"] + 1).alias("n"),
-        )
-
-    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0.0).alias("error"), F.lit(0).cast("long").alias("n"))
-    folded = ok.withColumn("band", size_band(F.col("bytes"))).groupBy(*keys, "band").agg(F.aggregate(ordered, start, step).alias("s"))
-    return folded.select(*keys, "band", F.col("s.cost").alias("cost"), F.col("s.error").alias("error"), F.col("s.n").alias("samples"))
+    The first observation sets the cost; the error is smoothed from the second one on, with the cost before it. seed: an
+    earlier state (the same columns) that the observations follow; its bands without new ones stay. A moving average
+    maps the value before some rows to the one behind by a factor and a sum, so range partitions in order are folded on
+    their own, and one row a group and part carries the value through; no group meets in one task. order must tell the
+    rows of a group apart; keys are not null."""
+    spark = observations.sparkSession
+    ship(spark)
+    group = [*keys, "band"]
+    ok = observations.where(valid_observation(F.col("bytes"), F.col("ms"))).withColumn("band", size_band(F.col("bytes")))
+    ok = ok.select(*group, F.col(order).alias("_order"), F.col("bytes").cast("double").alias("bytes"), F.col("ms").cast("double").alias("ms")).withColumn("x", F.col("ms") / F.col("bytes"))
+    parts = in_parts(ok, group, ["_order"]).drop("_at")
+    whole = [*group, "_part"]
+    kind = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in whole) + ", samples long, added double"
+    given = seed.select(*group, F.col("cost").alias("seed_cost"), F.col("error").alias("seed_error"), F.col("samples").alias("seed_samples")) if seed is not None else None
+    keep = F.lit(1 - ALPHA)
+
+    def carried(sums: DataFrame, start: Column, first: Column) -> DataFrame:
+        """sums with the value before each part: one row a group and part, so the window stays small."""
+        steps = F.collect_list(F.struct("samples", "added")).over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        return sums.withColumn("before", F.aggregate(steps, start, lambda v, s: F.when(v.isNull(), first).otherwise(v * F.pow(keep, s["samples"])) + s["added"]))
+
+    # Costs: in the group's first part without a seed the first observation is the value before, so it counts as one.
+    sums = materialized(parts.mapInPandas(lambda frames: _folds(frames, whole, False), kind))
+    opening = parts.groupBy(*group).agg(F.min_by("x", "_order").alias("opening"))
+    sums = materialized(sums.join(opening, group) if given is None else sums.join(opening, group).join(given, group, "left"))
+    seeded = F.col("seed_cost") if given is not None else F.lit(None).cast("double")
+    costs = carried(sums, F.coalesce(seeded, F.col("opening")), F.lit(0.0))
+    last = costs.groupBy(*group).agg(F.max_by(F.col("before") * F.pow(keep, F.col("samples")) + F.col("added"), "_part").alias("cost"), F.sum("samples").alias("samples"))
+
+    # Errors, with each part's cost before it; none where the group begins.
+    begins = F.row_number().over(Window.partitionBy(*group).orderBy("_part")) == 1
+    before = materialized(costs.withColumn("cost", F.when(begins, seeded).otherwise(F.col("before"))).select(*whole, "cost"))
+    rows = parts.join(before, whole).repartition(*whole).sortWithinPartitions(*whole, "_order")
+    errors = materialized(rows.mapInPandas(lambda frames: _folds(frames, whole, True), kind))
+    errors = errors if given is None else errors.join(given, group, "left")
+    seeded_error = F.coalesce(F.col("seed_error"), F.lit(0.0)) if given is not None else F.lit(0.0)
+    ends = carried(errors, seeded_error, F.lit(0.0))
+    error = ends.groupBy(*group).agg(F.max_by(F.col("before") * F.pow(keep, F.col("samples")) + F.col("added"), "_part").alias("error"))
+    found = last.join(error, group)
+    if given is None:
+        return found.select(*group, "cost", "error", "samples")
+    both = found.join(given, group, "full_outer")
+    return both.select(*group, F.coalesce("cost", "seed_cost").alias("cost"), F.coalesce("error", "seed_error").alias("error"), (F.coalesce("samples", F.lit(0)) + F.coalesce("seed_samples", F.lit(0))).alias("samples"))
+
+
+def with_seeds(state: DataFrame, measured: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
+    """state with a cost, and no sample, for each band that it does not know and that measured (keys, bytes, ms) has one
+    valid row for; of several rows the one with the fewest bytes. band_model takes it as its seed."""
+    ok = measured.where(valid_observation(F.col("bytes"), F.col("ms"))).withColumn("band", size_band(F.col("bytes")))
+    one = ok.groupBy(*keys, "band").agg(F.min_by(F.col("ms") / F.col("bytes"), F.struct("bytes", "ms")).alias("cost"))
+    new = one.join(state.select(*keys, "band"), [*keys, "band"], "left_anti")
+    return state.unionByName(new.select(*keys, "band", "cost", F.lit(0.0).alias("error"), F.lit(0).cast("long").alias("samples")))
 
 
 def predict_band(tasks: DataFrame, model: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
@@ -114,26 +182,33 @@ def run_delta(ledger: DataFrame, delta: DataFrame, local: str, decay: float = 0.
     return older.where(F.col("source") != local).unionByName(folded.select(older.columns))
 
 
-def _matrix(row: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    a = np.array([[row[f"xtx{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)], float)
-    return a, np.array([row[f"xty{i}"] for i in range(4)], float)
+def _matrices(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """XtX (n, 4, 4) and Xty (n, 4) of all rows."""
+    a = np.stack([frame[f"xtx{min(i, j)}{max(i, j)}"].to_numpy(float) for i in range(4) for j in range(4)], 1).reshape(-1, 4, 4)
+    return a, np.stack([frame[f"xty{i}"].to_numpy(float) for i in range(4)], 1)
+
+
+def _scaled(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matrices on a diagonal of one with the ridge added, the scales, and which of them are positive definite."""
+    scale = np.sqrt(np.maximum(np.diagonal(a, axis1=1, axis2=2), 1e-24))
+    with np.errstate(all="ignore"):
+        whole = a / (scale[:, :, None] * scale[:, None, :]) + RIDGE * np.eye(a.shape[1])
+    finite = np.isfinite(whole).all((1, 2))
+    whole[~finite] = -np.eye(a.shape[1])
+    return whole, scale, finite & (np.linalg.eigvalsh(whole)[:, 0] > 0)
 
 
-def solve_row(row: pd.Series) -> dict | None:
-    """Ridge solution on the diagonally scaled normal equations; None where they are no valid state."""
-    a, b = _matrix(row)
-    if not row["weight"] > 0:
-        return None
-    scale = np.sqrt(np.maximum(np.diag(a), 1e-24))
-    try:
-        factor = np.linalg.cholesky(a / np.outer(scale, scale) + RIDGE * np.eye(4))
-    except np.linalg.LinAlgError:
-        return None
-    beta = np.linalg.solve(factor.T, np.linalg.solve(factor, b / scale)) / scale
-    sse = row["yty"] - 2 * beta @ b + beta @ a @ beta
-    if not np.isfinite(beta).all() or not np.isfinite(sse) or sse < -1e-6 * max(1.0, row["yty"]):
-        return None
-    return {**{f"beta{i}": beta[i] for i in range(4)}, "residual": float(np.sqrt(max(0.0, sse) / row["weight"]))}
+def solved(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(valid, beta (n, 4), residual): ridge solutions on the diagonally scaled normal equations, all rows at once."""
+    a, b = _matrices(frame)
+    weight, yty = frame["weight"].to_numpy(float), frame["yty"].to_numpy(float)
+    whole, scale, valid = _scaled(a)
+    whole[~valid] = np.eye(4)
+    with np.errstate(all="ignore"):
+        beta = np.linalg.solve(whole, (b / scale)[:, :, None])[:, :, 0] / scale
+        sse = yty - 2 * np.einsum("ni,ni->n", beta, b) + np.einsum("ni,nij,nj->n", beta, a, beta)
+        valid = valid & (weight > 0) & np.isfinite(beta).all(1) & np.isfinite(sse) & (sse >= -1e-6 * np.maximum(1.0, yty))
+        return valid, beta, np.sqrt(np.maximum(0.0, sse) / np.where(weight > 0, weight, 1))
 
 
 def fit(states: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
@@ -141,9 +216,10 @@ def fit(states: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
     carried = [*keys, "samples", *(f"{n}{i}" for n in ("min", "max") for i in range(4))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(*(row[c] for c in carried), *s.values()) for _, row in pdf.iterrows() if (s := solve_row(row))]
-            yield pd.DataFrame(rows, columns=[*carried, "beta0", "beta1", "beta2", "beta3", "residual"])
+        for frame in frames:
+            valid, beta, residual = solved(frame)
+            out = frame[carried].assign(**{f"beta{i}": beta[:, i] for i in range(4)}, residual=residual)
+            yield out[valid]
 
     kinds = ", ".join(f"{c} {states.schema[c].dataType.simpleString()}" for c in carried)
     return states.mapInPandas(run, f"{kinds}, beta0 double, beta1 double, beta2 double, beta3 double, residual double")
@@ -169,40 +245,48 @@ def prediction_error(predicted: DataFrame, keys: tuple[str, ...] = ("backend",))
     )
 
 
+#: The bounds of a stored state.
+MOST_SUM, MOST_WEIGHT, MOST_FEATURE, MEAN_SLACK = 1e32, 1e12, 1e9, 1e-10
+
+
+def validity(frame: pd.DataFrame) -> np.ndarray:
+    """Which rows are states that observations can have given: bounded numbers, means inside the ranges, and the Gram
+    matrix with the response positive semidefinite; a state without weight holds nothing at all."""
+    a, b = _matrices(frame)
+    weight, samples, yty = (frame[c].to_numpy(float) for c in ("weight", "samples", "yty"))
+    low, high = (np.stack([frame[f"{n}{i}"].to_numpy(float) for i in range(4)], 1) for n in ("min", "max"))
+    numbers = np.concatenate([a.reshape(-1, 16), b, low, high, yty[:, None], weight[:, None]], 1)
+    with np.errstate(all="ignore"):
+        bounded = np.isfinite(numbers).all(1) & (numbers >= 0).all(1) & (numbers <= MOST_SUM).all(1) & (weight <= MOST_WEIGHT) & (high <= MOST_FEATURE).all(1) & (low <= high).all(1)
+        counted = ((weight == 0) == (samples == 0)) & (a[:, 0, 0] == weight)
+        mean = a[:, 0] / weight[:, None]
+        slack = MEAN_SLACK * np.maximum(1.0, np.abs(mean))
+        inside = (low[:, 0] == 1) & (high[:, 0] == 1) & (mean >= low - slack).all(1) & (mean <= high + slack).all(1)
+        single = (samples != 1) | (np.maximum(np.abs(low - mean), np.abs(high - mean)) <= slack).all(1)
+    whole = np.concatenate([np.concatenate([a, b[:, :, None]], 2), np.concatenate([b, yty[:, None]], 1)[:, None]], 1)
+    return bounded & counted & np.where(weight == 0, ~numbers.any(1), inside & single & _scaled(whole)[2])
+
+
 def valid_states(states: DataFrame) -> DataFrame:
-    """states with `valid`: bounded, means inside ranges, and the Gram matrix with the response positive semidefinite."""
-
-    def check(row: pd.Series) -> bool:
-        a, b = _matrix(row)
-        low, high = (np.array([row[f"{n}{i}"] for i in range(4)], float) for n in ("min", "max"))
-        numbers = np.concatenate([a.ravel(), b, low, high, [row["yty"], row["weight"]]])
-        if not np.isfinite(numbers).all() or (numbers < 0).any() or (numbers > 1e32).any() or row["weight"] > 1e12 or (high > 1e9).any() or (low > high).any():
-            return False
-        if (row["weight"] == 0) != (row["samples"] == 0) or a[0, 0] != row["weight"]:
-            return False
-        if row["weight"] == 0:
-            return not numbers.any()
-        mean = a[0] / row["weight"]
-        slack = 1e-10 * np.maximum(1.0, np.abs(mean))
-        if low[0] != 1 or high[0] != 1 or (mean < low - slack).any() or (mean > high + slack).any():
-            return False
-        if row["samples"] == 1 and (np.maximum(np.abs(low - mean), np.abs(high - mean)) > slack).any():
-            return False
-        whole = np.block([[a, b[:, None]], [b[None], np.array([[row["yty"]]])]])
-        scale = np.sqrt(np.maximum(np.diag(whole), 1e-24))
-        try:
-            np.linalg.cholesky(whole / np.outer(scale, scale) + RIDGE * np.eye(5))
-        except np.linalg.LinAlgError:
-            return False
-        return True
+    """states with `valid`, see validity."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.assign(valid=[check(row) for _, row in pdf.iterrows()])
+        for frame in frames:
+            yield frame.assign(valid=validity(frame))
 
     return states.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in states.schema) + ", valid boolean")
 
 
+def loaded_ledger(ledger: DataFrame, most: int = 32, current: str | None = None) -> DataFrame:
+    """A stored ledger as it may be used: every state valid, or the load fails; of the keys the current one and the first
+    others in key order, `most` in sum, and the parts of these."""
+    ship(ledger.sparkSession)
+    fail_if_any(valid_states(ledger.where("samples > 0")).where(~F.col("valid")).select("source", "key"), "an invalid model state")
+    keys = ledger.select("key").distinct()
+    chosen = keys.orderBy("key").limit(most) if current is None else kept_keys(keys, current, most)
+    return pruned_ledger(ledger, chosen)
+
+
 def setup_history(parts: DataFrame) -> DataFrame:
     """A key's setup times over its sources: weighted mean, largest, count, and the last of the last source in key order."""
     return parts.groupBy("key").agg(

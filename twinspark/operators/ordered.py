@@ -15,7 +15,7 @@ from twinspark.storage import materialized
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id counts rows of a partition in these
 
 
-def _parts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def in_parts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """df sorted by keys and order over range partitions, with `_part` and the place in it, `_at`; a stored table."""
     ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     return materialized(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
@@ -30,7 +30,7 @@ def _before(parts: DataFrame, keys: list[str], value, start) -> DataFrame:
 
 def row_positions(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """df with `name`: the row's number in its group, from 1. order must be unique inside a group; keys are not null."""
-    parts = _parts(df, keys, order)
+    parts = in_parts(df, keys, order)
     offsets = _before(parts, keys, F.count(F.lit(1)), F.min("_at"))
     out = parts.join(offsets, [*keys, "_part"]).withColumn(name, F.col("_at") - F.col("_start") + 1 + F.col("_before"))
     return out.select(*df.columns, name)
@@ -38,7 +38,7 @@ def row_positions(df: DataFrame, keys: list[str], order: list[str], name: str) -
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """df with `name`: the sum of `value` over the group's rows up to this one."""
-    parts = _parts(df, keys, order)
+    parts = in_parts(df, keys, order)
     offsets = _before(parts, keys, F.sum(value), F.min("_at"))
     w = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     out = parts.withColumn("_own", F.sum(value).over(w)).join(offsets, [*keys, "_part"]).withColumn(name, F.col("_own") + F.col("_before"))

@@ -65,8 +65,7 @@ def orphans(children: DataFrame, runs: DataFrame) -> DataFrame:
 
 def event_cap(events: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
     """(events kept, counts a run): the first `cap` of each run by event_id are accepted, the others dropped and counted."""
-    w = Window.partitionBy("run_id").orderBy("event_id")
-    ranked = events.withColumn("n", F.row_number().over(w))
+    ranked = row_positions(events, ["run_id"], ["event_id"], "n")
     counts = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("emitted"))
     counts = counts.select("run_id", F.least("emitted", F.lit(cap)).cast("long").alias("accepted"), F.greatest(F.col("emitted") - cap, F.lit(0)).cast("long").alias("dropped"))
     return ranked.where(F.col("n") <= cap).drop("n"), counts
@@ -96,6 +95,16 @@ def as_metrics(totals: DataFrame) -> DataFrame:
     )
 
 
+def totals_check(totals: DataFrame) -> DataFrame:
+    """One row: the workers' sums beside the global ones, and whether all of them agree."""
+    sums = [F.sum(F.when(F.col("scope") == "all", F.col(c))).alias(f"all_{c}") for c in ("tasks", "bytes", "errors")]
+    sums += [F.sum(F.when(F.col("scope") != "all", F.col(c))).alias(f"worker_{c}") for c in ("tasks", "bytes", "errors")]
+    same = F.lit(True)
+    for c in ("tasks", "bytes", "errors"):
+        same = same & F.col(f"all_{c}").eqNullSafe(F.col(f"worker_{c}"))
+    return totals.agg(*sums).withColumn("consistent", same)
+
+
 def inconsistent_totals(totals: DataFrame) -> DataFrame:
     """Empty if the workers' sums equal the global ones."""
     parts = totals.where("scope <> 'all'").agg(F.sum("tasks").alias("tasks"), F.sum("bytes").alias("bytes"), F.sum("errors").alias("errors"))

@@ -8,12 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from twinspark.functions.ignore import scoped_rule
 from twinspark.functions.scalars import absolute_key, absolute_or_fail, safe_relative
+from twinspark.operators.archive import History, merge_by_run
 from twinspark.operators.cache import difference, latest_wins
-from twinspark.plans.scan import StateTable
+from twinspark.operators.model import newest_revisions
+from twinspark.plans.scan import StateTable, regular_state
+from twinspark.schema import MODEL_PARTS, SETUP_PARTS
 from twinspark.sources.config import DEFAULT_IGNORE
+from twinspark.sources.history import SCHEMAS
 from twinspark.storage import materialized
 
 
@@ -70,25 +75,65 @@ def merge_caches(old: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFr
     return latest_wins(rows, "turn").select(old.columns)
 
 
-def merge_workspaces(spark: SparkSession, target: str, sources: list[str]) -> dict:
-    """Merges the sources' digests and ignore rules into target's; merging again changes nothing. Returns counters."""
-    archive = Path(target) / ".twinspark" / "absolute"
-    states = [(s, StateTable(spark, s).read()) for s in sorted({str(Path(s).resolve()) for s in sources})]
-    old = spark.read.parquet(f"file://{archive.resolve()}") if archive.exists() else states[0][1].limit(0)
-    merged = materialized(merge_caches(old, states))
+def merge_histories(spark: SparkSession, target: str, sources: list[str]) -> tuple[int, int]:
+    """Runs that the target does not know, with their rows, from each source in turn; returns how many runs and events."""
+    tables = {n: StateTable(spark, target, f"telemetry/{n}", s) for n, s in SCHEMAS.items()}
+    have = History(*(tables[n].read() for n in SCHEMAS))
+    before, merged = have, have
+    for source in sources:
+        merged = merge_by_run(merged, History(*(StateTable(spark, source, f"telemetry/{n}", s).read() for n, s in SCHEMAS.items())))
+    merged = History(*(materialized(getattr(merged, n)) for n in SCHEMAS))
+    added = merged.runs.count() - before.runs.count(), merged.events.count() - before.events.count()
+    if added[0]:
+        for name in reversed(list(SCHEMAS)):  # runs last: children without their run are not met by any reader
+            tables[name].commit(getattr(merged, name))
+    return added
+
+
+def merge_parts(spark: SparkSession, target: str, sources: list[str], name: str, schema: StructType, local: str) -> int:
+    """Model or setup contributions of a strictly greater revision than the target's; returns how many rows changed."""
+    table = StateTable(spark, target, name, schema)
+    old = table.read()
+    merged = old
+    for source in sources:
+        merged = newest_revisions(merged, StateTable(spark, source, name, schema).read(), local)
+    merged = materialized(merged)
+    changed = merged.join(old.select("source", "key", "revision"), ["source", "key", "revision"], "left_anti").count()
+    if changed:
+        table.commit(merged)
+    return changed
+
+
+def merge_workspaces(spark: SparkSession, target: str, sources: list[str], move: bool = False) -> dict:
+    """Merges the sources' digests, telemetry, model and setup contributions and ignore rules into target's; merging again
+    changes nothing. With move the sources' state folders are removed at the end, none before all is merged. Returns
+    counters."""
+    table = StateTable(spark, target, "absolute")
+    whole = sorted({str(Path(s).resolve()) for s in sources} - {str(Path(target).resolve())})
+    states = [(s, StateTable(spark, s).read()) for s in whole]
+    old = table.read()
+    merged = old
+    for source in whole:  # what the source itself has merged before, by absolute path
+        merged = latest_wins(merged.withColumn("turn", F.lit(0)).unionByName(StateTable(spark, source, "absolute").read().withColumn("turn", F.lit(1))), "turn").select(old.columns)
+    merged = materialized(merge_caches(merged, states))
     changed = difference(merged, old).where("side = 'left'").count()
-    temporary = archive.with_name("absolute.new")
-    shutil.rmtree(temporary, ignore_errors=True)
-    merged.write.parquet(f"file://{temporary.resolve()}")
-    shutil.rmtree(archive, ignore_errors=True)
-    os.replace(temporary, archive)
+    if changed:
+        table.commit(merged)
+    local = str(Path(target).resolve()).encode("utf-8")
+    runs, events = merge_histories(spark, target, whole)
+    models = merge_parts(spark, target, whole, "model", MODEL_PARTS, local)
+    setups = merge_parts(spark, target, whole, "setup", SETUP_PARTS, local)
     ignore = Path(target) / ".twinspark" / "ignore"
-    before = ignore.read_text(encoding="utf-8").splitlines() if ignore.exists() else []
+    before = ignore.read_text(encoding="utf-8").splitlines() if regular_state(ignore) else []
     own = []
-    for source, _ in states:
+    for source in whole:
         file = Path(source) / ".twinspark" / "ignore"
-        own.append((os.path.relpath(source, Path(target).resolve()), file.read_text(encoding="utf-8").splitlines() if file.exists() else []))
+        own.append((os.path.relpath(source, Path(target).resolve()), file.read_text(encoding="utf-8").splitlines() if regular_state(file) else []))
     rules, warnings = merged_rules(before, own)
     if rules != before:
         replace_text(str(ignore), rules)
-    return {"workspaces": len(states), "cache_rows": changed, "rules_added": len(rules) - len(before), "warnings": len(warnings)}
+    removed = sum(clean_workspace(s) for s in whole) if move else 0
+    return {
+        "workspaces": len(whole), "model_parts": models, "setup_parts": setups, "cache_rows": changed, "telemetry_runs": runs, "telemetry_events": events, "rules_added": len(rules) - len(before), "warnings": len(warnings),
+        "sources_removed": removed,
+    }

@@ -9,14 +9,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from twinspark.functions.blake3 import blake3_hex
 from twinspark.functions.ignore import is_ignored
 from twinspark.functions.scalars import human_bytes
 from twinspark.operators import cache, dedup
 from twinspark.schema import STAMP
 from twinspark.sources.config import Config, load_ignore
-from twinspark.sources.inventory import stamped_inventory, with_content
+from twinspark.sources.inventory import stamped_inventory, with_content, with_digest
 from twinspark.storage import materialized, scratch
 
 CACHED = f"path string, {', '.join(f'{c} {"bigint" if c == "size" else "string"}' for c in STAMP)}, digest string"
@@ -29,47 +29,73 @@ class Scan:
     counters: dict
 
 
+def regular_state(path: Path) -> bool:
+    """Whether the file is there; a link, a special file or one with a second name is no state file and an error."""
+    if not path.exists() and not path.is_symlink():
+        return False
+    if path.is_symlink() or not path.is_file() or path.stat().st_nlink != 1:
+        raise ValueError(f"unsafe state file: {path}")
+    return True
+
+
 class StateTable:
-    """Digests by generation: generation N is a Parquet folder; a manifest renamed into place names the current one."""
+    """A table by generation: generation N is a Parquet folder; a manifest renamed into place names the current one, so a
+    crash leaves the old one whole."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.folder = spark, Path(root) / ".twinspark" / "state"
+    def __init__(self, spark: SparkSession, root: str, name: str = "state", schema: str | StructType = CACHED):
+        self.spark, self.folder, self.schema = spark, Path(root) / ".twinspark" / name, schema
 
     def generation(self) -> int:
         manifest = self.folder / "current.json"
-        return json.loads(manifest.read_text())["generation"] if manifest.exists() else 0
+        if any(p.is_symlink() for p in (self.folder.parent, self.folder)):
+            raise ValueError(f"unsafe state folder: {self.folder}")
+        return json.loads(manifest.read_text())["generation"] if regular_state(manifest) else 0
 
     def read(self) -> DataFrame:
         n = self.generation()
-        reader = self.spark.read.schema(CACHED)
-        return reader.parquet(f"file://{self.folder.resolve()}/gen={n}") if n else self.spark.createDataFrame([], CACHED)
+        reader = self.spark.read.schema(self.schema)
+        return reader.parquet(f"file://{self.folder.resolve()}/gen={n}") if n else self.spark.createDataFrame([], self.schema)
 
-    def commit(self, files: DataFrame) -> int:
-        """The next generation; paths that were not seen are gone with the old one."""
+    def commit(self, rows: DataFrame) -> int:
+        """The next generation; what rows do not hold is gone with the old one."""
         n = self.generation() + 1
-        files.select(*(f.split()[0] for f in CACHED.split(", "))).write.mode("overwrite").parquet(f"file://{self.folder.resolve()}/gen={n}")
+        names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
+        rows.select(*names).write.mode("overwrite").parquet(f"file://{self.folder.resolve()}/gen={n}")
         temporary = self.folder / "current.json.new"
         temporary.write_text(json.dumps({"generation": n}))
         os.replace(temporary, self.folder / "current.json")
         return n
 
 
-def scan(spark: SparkSession, root: str, config: Config | None = None) -> Scan:
-    """Scans a workspace on a file system that driver and executors share. Every file without a valid cached digest is
-    hashed; the cache commits before groups are compared; a member that changed meanwhile fails the scan."""
+def archived(spark: SparkSession, root: str) -> DataFrame:
+    """The digests that merges have brought to the workspace, of the files below it, by their paths from it."""
+    base = str(Path(root).resolve()).rstrip("/") + "/"
+    rows = StateTable(spark, root, "absolute").read()
+    return rows.where(F.col("path").startswith(base)).withColumn("path", F.substring("path", len(base) + 1, 1 << 30))
+
+
+def scan(spark: SparkSession, root: str, config: Config | None = None, rehash: bool = False) -> Scan:
+    """Scans a workspace on a file system that driver and executors share.
+
+    A digest comes from the last scan, or else from the merged archive, if all of a file's stamp is equal; only the other
+    files are opened and hashed, all of them with rehash. The cache commits before groups are compared, for which the
+    candidates alone are read; a member that changed meanwhile fails the scan."""
     config = config or Config.load(Path(root) / ".twinspark" / "config.toml")
     inventory = stamped_inventory(spark, root, config.recursive)
     inventory = materialized(inventory.where(~is_ignored(load_ignore(root), F.col("path"))))
     state = StateTable(spark, root)
-    old = state.read()
-    hits = cache.cache_hits(inventory, old).select("path", *STAMP, F.col("cached_digest").alias("digest"))
-    digest = blake3_hex if config.digest == "blake3" else lambda c: F.sha2(c, 256)
-    misses = with_content(cache.cache_misses(inventory, old), root).select("path", *STAMP, digest(F.col("content")).alias("digest"))
-    files = materialized(hits.unionByName(misses), f"{scratch(spark)}/files")
+    hits, misses = inventory.limit(0).withColumn("digest", F.lit("")), inventory
+    for known in () if rehash else (state.read(), archived(spark, root)):
+        known = known.where(F.length("digest") == 64)
+        hits = hits.unionByName(cache.cache_hits(misses, known).select("path", *STAMP, F.col("cached_digest").alias("digest")))
+        misses = materialized(cache.cache_misses(misses, known))
+    hits = materialized(hits)
+    hashed = with_digest(misses, root, config.digest).select("path", *STAMP, "digest")
+    files = materialized(hits.unionByName(hashed), f"{scratch(spark)}/files")
     state.commit(files)
 
     candidates = dedup.dup_candidates(files).select("path", "size", "digest")
-    groups = materialized(dedup.matches(with_content(candidates, root)))
+    groups = dedup.matches(materialized(with_content(candidates, root)))
     cache.fail_if_any(cache.changed_members(files.join(groups.select(F.col("member").alias("path")), "path", "left_semi"), stamped_inventory(spark, root, config.recursive)), "a member changed during the scan")
     counters = dedup.scan_counters(inventory, hits, groups).first().asDict()
     return Scan(files, groups, counters)

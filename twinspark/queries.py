@@ -294,9 +294,14 @@ def telemetry_metric_rows(spark, sf):
     return telemetry.as_metrics(telemetry.final_metrics(tele_v(spark, sf)))
 
 
-@query("telemetry_totals_check", f"WITH {TELE} SELECT count(*) AS tasks, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS errors FROM tele WHERE false GROUP BY run_id")
+@query(
+    "telemetry_totals_check",
+    f"WITH {TELE}, w AS (SELECT worker, count(*) AS t, sum(bytes) AS b, count(*) FILTER (WHERE severity = 'error') AS e FROM tele GROUP BY worker), a AS (SELECT count(*) AS t, sum(bytes) AS b, count(*) FILTER (WHERE severity = 'error') AS e FROM tele) "
+    "SELECT (SELECT t FROM a) AS all_tasks, CAST((SELECT b FROM a) AS BIGINT) AS all_bytes, (SELECT e FROM a) AS all_errors, CAST(sum(t) AS BIGINT) AS worker_tasks, CAST(sum(b) AS BIGINT) AS worker_bytes, CAST(sum(e) AS BIGINT) AS worker_errors, "
+    "sum(t) = (SELECT t FROM a) AND sum(b) = (SELECT b FROM a) AND sum(e) = (SELECT e FROM a) AS consistent FROM w",
+)
 def telemetry_totals_check(spark, sf):
-    return telemetry.inconsistent_totals(telemetry.final_metrics(tele_v(spark, sf)))
+    return telemetry.totals_check(telemetry.final_metrics(tele_v(spark, sf)))
 
 
 @query("telemetry_last_metric", f"WITH {TELE} SELECT run_id, name, max(event_id) AS event_id, arg_max(duration_ms, event_id) AS value FROM tele GROUP BY run_id, name")
@@ -529,7 +534,7 @@ def prediction_error(spark, sf):
     return model.prediction_error(rows).select("backend", "n", F.round("mae", 8).alias("mae"), F.round(F.sqrt(F.col("sq_error") / F.col("n")), 8).alias("rmse"), "out_of_domain")
 
 
-@query("model_validity")
+@query("model_validity", "SELECT l_linestatus AS backend, count(*) AS samples, unnest([true, false]) AS valid FROM lineitem GROUP BY l_linestatus")
 def model_validity(spark, sf):
     ship(spark)
     state = model.moments(contexts(spark, sf))
@@ -673,9 +678,7 @@ def stable_win(spark, sf):
 
 @query("bootstrap_upper")
 def bootstrap_upper(spark, sf):
-    ship(spark)
-    few = pairs(spark, sf).groupBy("bench", (F.col("trial") % 20).alias("trial")).agg(F.avg("ratio").alias("ratio"))  # a benchmark has few trials
-    return benchstats.bootstrap_upper(few, ["bench"])
+    return benchstats.bootstrap_upper(pairs(spark, sf), ["bench"])
 
 
 # --- text and formats

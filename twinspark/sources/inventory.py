@@ -7,15 +7,23 @@ entries, each walked by one task; any error ends the scan, nothing is skipped.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import stat as mode
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from twinspark.functions.blake3 import blake3
+from twinspark.storage import ship
+
+BLOCK = 1 << 20  # of a file that is hashed
+PARTS, DEEP = 256, 4  # tasks of a listing, and how many levels the driver opens to make them
 STAMPED = "path string, size bigint, identity string, modified string, changed string"
 
 
@@ -31,10 +39,21 @@ class StampReader(DataSourceReader):
         self.root, self.recursive = root, recursive
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(name) for name in sorted(os.listdir(self.root))]
+        """Folders are opened here, breadth first, until there are PARTS entries or only files and deep ones are left;
+        each task then walks a share of the entries."""
+        entries, folders, depth = [], [""], 0
+        while folders and len(entries) + len(folders) < PARTS and depth < (DEEP if self.recursive else 1):
+            below = []
+            for folder in folders:
+                with os.scandir(os.path.join(self.root, folder)) as found:
+                    for e in found:
+                        (below if e.is_dir(follow_symlinks=False) else entries).append(f"{folder}/{e.name}" if folder else e.name)
+            folders, depth = below, depth + 1
+        entries = sorted(entries + folders) if self.recursive or depth else []
+        return [InputPartition(entries[i::PARTS]) for i in range(min(PARTS, len(entries)))] or [InputPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        pending = [partition.value]
+        pending = list(partition.value)
         while pending:
             relative = pending.pop()
             full = os.path.join(self.root, relative)
@@ -75,9 +94,42 @@ def binary_inventory(spark: SparkSession, root: str, recursive: bool = True) ->
     return raw.select(relative.alias("path"), F.col("length").alias("size"), F.lit("").alias("identity"), F.col("modificationTime").cast("string").alias("modified"), F.lit("").alias("changed"), "content")
 
 
+def _read(files: DataFrame, root: str, value: Callable[[str], object], kind: pa.DataType, name: str) -> DataFrame:
+    """files with a column made of each file below root, which driver and executors share. Only these files are opened,
+    and a file that cannot be read fails the job. Paths are dealt out anew, as neighbours are often of one size."""
+    ship(files.sparkSession)
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                made = pa.array([value(os.path.join(root, p)) for p in batch.column("path").to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+
+    schema = StructType([*files.schema.fields, StructField(name, StringType() if kind == pa.string() else BinaryType())])
+    return files.repartition(n, "path").mapInArrow(run, schema)
+
+
 def with_content(files: DataFrame, root: str) -> DataFrame:
-    """Contents by Spark's reader, joined on the path; only where bytes are needed."""
-    return files.join(binary_inventory(files.sparkSession, root).select("path", "content"), "path")
+    """files (path) with content; each file is one cell, so this is for candidates of comparison and not for hashing."""
+    return _read(files, root, lambda path: Path(path).read_bytes(), pa.binary(), "content")
+
+
+def with_digest(files: DataFrame, root: str, digest: str = "sha256") -> DataFrame:
+    """files (path) with the hexadecimal digest of each, read block by block, so files may be of any size. A BLAKE3 tree
+    takes the file whole."""
+
+    def of(path: str) -> str:
+        if digest == "blake3":
+            return blake3(Path(path).read_bytes()).hex()
+        state = hashlib.sha256()
+        with open(path, "rb") as f:
+            while block := f.read(BLOCK):
+                state.update(block)
+        return state.hexdigest()
+
+    return _read(files, root, of, pa.string(), "digest")
 
 
 def discover_workspaces(root: str, recursive: bool = False, skip: str | None = None) -> list[str]:

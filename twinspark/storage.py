@@ -21,12 +21,20 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+#: Of local sessions without spark.checkpoint.dir, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is not set."""
+    """A new folder under spark.checkpoint.dir. Where that is not set a local master takes a temporary folder of its
+    own; on a cluster it is an error, as no such folder is shared there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="twinspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        key = spark.sparkContext.applicationId
+        base = _LOCAL.get(key) or _LOCAL.setdefault(key, "file://" + tempfile.mkdtemp(prefix="twinspark-"))
     return f"{base.rstrip('/')}/twinspark-{uuid.uuid4().hex}"
 
 

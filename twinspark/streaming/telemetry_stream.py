@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from twinspark.operators.telemetry import event_cap
+from twinspark.operators.ordered import row_positions
+from twinspark.storage import materialized
 
 
 def events_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -18,32 +19,42 @@ def events_stream(spark: SparkSession, path: str, schema: StructType, files_per_
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
-def write_events(events: DataFrame, target: str, checkpoint: str, cap: int, available_now: bool = True) -> StreamingQuery:
+STATE = "run_id string, have long, last_batch long"
+
+
+def write_events(events: DataFrame, target: str, checkpoint: str, cap: int, available_now: bool = True, keep_runs: int | None = None) -> StreamingQuery:
     """Appends micro-batches to target, each run's events beyond `cap` dropped and counted under target_drops.
 
-    A batch is written under its own number and replaced when it is run again, so a restart adds nothing twice. What a
-    run has already is read from the batches before."""
+    A batch is written under its own number and replaced when it is run again, so a restart adds nothing twice. What each
+    run has already is one row of a state table under target_state, of which every batch writes its own version from the
+    one before; batches never read the events of earlier ones. keep_runs: the state holds that many runs, those with the
+    latest batches (ties by id); read_events leaves out the events of others, and a run that comes back begins anew."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        df = df.persist()
-        earlier = spark.read.schema(df.schema).option("basePath", target).option("recursiveFileLookup", True).parquet(*[f"{target}/batch={i}" for i in range(number)]) if number else df.limit(0)
-        have = earlier.join(df.select("run_id").distinct(), "run_id", "left_semi").groupBy("run_id").agg(F.count(F.lit(1)).alias("have"))
-        kept, _ = event_cap(df, cap)
-        from pyspark.sql import Window
-
-        place = F.row_number().over(Window.partitionBy("run_id").orderBy("event_id"))
-        kept = kept.withColumn("n", place).join(have, "run_id", "left").where(F.col("n") + F.coalesce("have", F.lit(0)) <= cap).select(df.columns)
+        before = spark.read.schema(STATE).parquet(f"{target}_state/batch={number - 1}") if number else spark.createDataFrame([], STATE)
+        mine = materialized(row_positions(df, ["run_id"], ["event_id"], "place"))  # computed once; a lost executor costs nothing
+        counts = mine.groupBy("run_id").agg(F.count(F.lit(1)).alias("emitted"))
+        seen = materialized(counts.join(before, "run_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).select("run_id", "emitted", "have"))
+        kept = mine.join(seen.select("run_id", "have"), "run_id").where(F.col("place") + F.col("have") <= cap).select(df.columns)
         kept.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        emitted = df.groupBy("run_id").agg(F.count(F.lit(1)).alias("emitted"))
-        counts = emitted.join(have, "run_id", "left").select("run_id", F.greatest(F.lit(0), F.least("emitted", F.lit(cap) - F.coalesce("have", F.lit(0)))).alias("accepted"), "emitted")
-        counts.select("run_id", F.col("accepted").cast("long").alias("accepted"), (F.col("emitted") - F.col("accepted")).cast("long").alias("dropped")).write.mode("overwrite").parquet(f"{target}_drops/batch={number}")
-        df.unpersist()
+        accepted = F.greatest(F.lit(0), F.least("emitted", F.lit(cap) - F.col("have"))).cast("long")
+        seen.select("run_id", accepted.alias("accepted"), (F.col("emitted") - accepted).cast("long").alias("dropped")).write.mode("overwrite").parquet(f"{target}_drops/batch={number}")
+        state = before.join(seen.select("run_id"), "run_id", "left_anti").unionByName(seen.select("run_id", (F.col("have") + accepted).alias("have"), F.lit(number).cast("long").alias("last_batch")))
+        if keep_runs is not None:
+            state = state.orderBy(F.desc("last_batch"), F.desc("run_id")).limit(keep_runs)
+        state.write.mode("overwrite").parquet(f"{target}_state/batch={number}")
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="250 milliseconds")).start()
 
 
+def read_events(spark: SparkSession, target: str, schema: StructType, number: int) -> DataFrame:
+    """The events after batch `number`, of the runs that its state holds."""
+    held = spark.read.schema(STATE).parquet(f"{target}_state/batch={number}").select("run_id")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(target).join(held, "run_id", "left_semi").select(*(f.name for f in schema))
+
+
 def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """An extension: counts by event-time window and name, late rows up to the watermark included."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
