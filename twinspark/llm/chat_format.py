@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,19 +65,21 @@ def mask_tokens(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.n
 
 def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray, spans: np.ndarray) -> str:
     """All text under the mask, unescaped: masked tokens cut to the spans they touch, each character once."""
-    out, done = [], 0
-    for a, b in zip(starts[mask].tolist(), ends[mask].tolist(), strict=True):
-        i = int(np.searchsorted(spans[:, 1], a, "right"))
-        while i < len(spans) and spans[i, 0] < b:
-            lo, hi = max(a, int(spans[i, 0]), done), min(b, int(spans[i, 1]))
-            if lo < hi:
-                out.append((i, formatted[lo:hi]))
-                done = hi
-            i += 1
-    by_span: dict[int, list[str]] = {}
-    for i, piece in out:
-        by_span.setdefault(i, []).append(piece)
-    return "".join(unescape("".join(pieces)) for _, pieces in sorted(by_span.items()))
+    first, stop = starts[mask], np.maximum.accumulate(ends[mask])
+    if not len(first) or not len(spans):
+        return ""
+    apart = np.append(True, first[1:] > stop[:-1])  # masked tokens that touch or share characters are one stretch
+    low, high = first[apart], stop[np.append(apart[1:], True)]
+    # The spans that each stretch meets, by binary search; a span's pieces are unescaped together.
+    begin, end = np.searchsorted(spans[:, 1], low, "right"), np.searchsorted(spans[:, 0], high, "left")
+    count = np.maximum(0, end - begin)
+    stretch = np.repeat(np.arange(len(low)), count)
+    span = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    cut = zip(span.tolist(), np.maximum(low[stretch], spans[span, 0]).tolist(), np.minimum(high[stretch], spans[span, 1]).tolist(), strict=True)
+    pieces: dict[int, list[str]] = {}
+    for i, a, b in cut:
+        pieces.setdefault(i, []).append(formatted[a:b])
+    return "".join(unescape("".join(own)) for own in pieces.values())
 
 
 def format_chats(
@@ -108,7 +111,7 @@ def format_chats(
                 done = [render(list(zip(r, t, strict=True)), roles) for r, t in zip(batch.column("roles").to_pylist(), batch.column("texts").to_pylist(), strict=True)]
                 columns = [[] for _ in range(8)]
                 for (text, spans), code in zip(done, tokenizer.encode_batch([d[0] for d in done], add_special_tokens=False), strict=True):
-                    offsets = np.array(code.offsets, np.int32).reshape(-1, 2)
+                    offsets = np.fromiter(chain.from_iterable(code.offsets), np.int32, 2 * len(code)).reshape(-1, 2)
                     cut = np.array(spans, np.int32).reshape(-1, 2)
                     values = (text, text.count(CLOSE), np.array(code.ids, np.int32), offsets[:, 0], offsets[:, 1], mask_tokens(offsets[:, 0], offsets[:, 1], cut), cut[:, 0], cut[:, 1])
                     for column, value in zip(columns, values, strict=True):
