@@ -190,6 +190,119 @@ def test_toxicity(spark):
     assert len({r.score for r in score(docs, flat).collect()}) == 1
 
 
+def test_toxicity_against_brute_force(spark):
+    """Counts, ratios and scores again in plain Python; empty labels and one class fit nothing and drop nothing."""
+    import math
+
+    import numpy as np
+
+    from twinspark.llm import toxicity as T
+
+    random.seed(15)
+    word = lambda: "".join(random.choice("aeioulnrst") for _ in range(4))
+    rows = [(i, " ".join([word() for _ in range(random.randint(0, 12))] + ["Foul, mouth!"] * (i % 3 == 0))) for i in range(150)] + [(150, None), (151, "Grüße, 世界 ΣΑ")]
+    labels = [(i, 0, int(i % 3 == 0)) for i, _ in rows if i % 5] + [(2, 0, None), (4, 0, 7)]
+    docs, given = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    def grams(text):
+        text = "".join(c.lower() if c.isascii() else c for c in f" {text or ''} ")
+        text = re.sub("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", text)
+        return {text[i : i + n] for n in (3, 4, 5, 6) for i in range(len(text) - n + 1)}
+
+    def bucket(gram):
+        h, m = 0, (1 << 64) - 1
+        for c in gram:
+            h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 & m
+            h ^= h >> 29
+        return (h * 0xBF58476D1CE4E5B9 & m) >> 64 - T.BITS
+
+    texts = dict(rows)
+    assert all(T.features(t or "").tolist() == sorted({bucket(g) for g in grams(t)}) for t in texts.values())
+    learnt = [(texts[i], y) for i, _, y in labels if y in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    counts, size = (Counter(), Counter()), Counter(y for _, y in learnt)
+    for t, y in learnt:
+        counts[y].update({bucket(g) for g in grams(t)})
+    total = [sum(c.values()) + T.SIZE for c in counts]
+    ratios = {}
+    for b in counts[0].keys() | counts[1].keys():
+        share = [(counts[y][b] + 0.5) / (size[y] + 1) for y in (0, 1)]
+        pooled = (counts[0][b] + counts[1][b] + 0.5) / (size[0] + size[1] + 1)
+        if abs(share[1] - share[0]) / math.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / size[0] + 1 / size[1])) >= T.LEAST_ERRORS:
+            ratios[b] = math.log((counts[1][b] + 1) / total[1]) - math.log((counts[0][b] + 1) / total[0])
+    assert ratios
+    # Gradient descent on the same loss, feature by feature.
+    weight, bias = dict.fromkeys(ratios, 0.0), math.log((size[1] + 1) / (size[0] + 1))
+    found = [[b for b in {bucket(g) for g in grams(t)} if b in ratios] for t, _ in learnt]
+    m, v, mb, vb = dict.fromkeys(ratios, 0.0), dict.fromkeys(ratios, 0.0), 0.0, 0.0
+    for step in range(1, 201):
+        errors = [1 / (1 + math.exp(-(bias + sum(weight[b] * ratios[b] for b in own)))) - y for own, (_, y) in zip(found, learnt)]
+        slope = {b: T.PENALTY / len(learnt) * weight[b] for b in ratios}
+        for own, e in zip(found, errors):
+            for b in own:
+                slope[b] += ratios[b] * e / len(learnt)
+        adam = lambda m, v: 0.02 * (m / (1 - 0.9**step)) / (math.sqrt(v / (1 - 0.999**step)) + 1e-8)  # noqa: B023, E731
+        for b, g in slope.items():
+            m[b], v[b] = 0.9 * m[b] + 0.1 * g, 0.999 * v[b] + 0.001 * g * g
+            weight[b] -= adam(m[b], v[b])
+        g = sum(errors) / len(errors)
+        mb, vb = 0.9 * mb + 0.1 * g, 0.999 * vb + 0.001 * g * g
+        bias -= adam(mb, vb)
+    model = T.train_on_labels(docs, given)
+    got = {r.id: r.score for r in T.score(docs, model).collect()}
+    for i, t in rows:
+        z = bias + sum(weight[b] * ratios[b] for b in {bucket(g) for g in grams(t)} if b in ratios)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+    few = T.train(docs.join(given, "doc_id"), max_fit_rows=3, max_fit_features=1)  # bounded, with ties
+    assert np.isfinite(few.weights).all()
+    for odd in (given.limit(0), given.where("toxic = 1"), given.where("toxic = 0"), given.where("toxic = 7")):
+        assert not T.train_on_labels(docs, odd).fitted and T.drop_toxic(docs, odd).count() == len(rows)
+
+
+ODD_SCHEMA = "`doc.id` string, `Te.xt` string, `text_digest` string, ID int, `key` int, c0 int, `a b` array<int>"
+
+
+def test_any_schema(spark):
+    """Dotted and clashing names, string identifiers: the dropping stages keep the columns, the operators their rows."""
+    from twinspark.llm.chat_format import format_chats, read_back
+    from twinspark.llm.decontaminate import drop_contaminated, find_items
+    from twinspark.llm.exact_dedup import drop_copies, exact_dedup
+    from twinspark.llm.long_repeats import remove_long_repeats
+    from twinspark.llm.sentencepiece_bpe import encode_pieces
+    from twinspark.llm.shared import shared_root
+    from twinspark.llm.similar import drop_similar
+    from twinspark.llm.simhash import drop_near_copies, simhash_groups
+    from twinspark.llm.sstable import open_shard, read_sstables, write_sstables
+    from twinspark.llm.substring_dedup import substring_dedup
+    from twinspark.llm.toxicity import drop_toxic, score, train
+    from twinspark.llm.url_filter import judge_urls, site_rule
+
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [("b", long), ("a", long), ("c", "short"), (None, "no id"), ("d", None), ("e", "")]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, 3, [4]) for i, t in rows], ODD_SCHEMA)
+    names = {"id_col": "doc.id", "text_col": "te.xt"}  # in another case
+    items = spark.createDataFrame([(1, "nothing of this is in any document at all")], "item_id long, text string")
+    labels = spark.createDataFrame([("a", 1), ("c", 0), ("b", 0)], "`doc.id` string, toxic int")
+    for drop, left in ((drop_copies, 4), (drop_near_copies, 5), (drop_similar, 5), (lambda d, **o: drop_contaminated(d, items, **o), 6), (lambda d, **o: drop_toxic(d, labels, **o), None)):
+        out = drop(docs, **names)
+        assert out.schema == docs.schema and (left is None or out.count() == left)
+        assert drop(docs.limit(0), **names).count() == 0
+    assert {r.id: r.component_id for r in simhash_groups(docs, **names).collect()}["b"] == "a"
+    assert {r.id: r.keep_id for r in exact_dedup(docs, **names).collect()}["b"] == "a"
+    assert {r.id for r in substring_dedup(docs, **names).collect() if r.n_removed == 0} == {"a", "c", "d", "e", None} - set()  # units of one document
+    assert {r.id: r.n_removed > 0 for r in remove_long_repeats(docs, **names).collect()} == {"b": True, "a": True, "c": False, "d": False, "e": False, None: False}
+    assert find_items(docs, items, **names).count() == 0 and score(docs, train(docs.withColumn("toxic", F.lit(1)), id_col="doc.id", text_col="Te.xt"), **names).count() == 6
+    manifest = write_sstables(docs, shared_root(spark), f"{TOKENIZERS}/word_bpe_49k.json", 1, **names, shards=2)
+    assert [r.doc_id for r in read_sstables(manifest, id_kind="string").orderBy("start").collect()] == [None, "a", "b", "c", "d", "e"]
+    assert sum(len(open_shard(r.shard_path).lookup("c")) for r in manifest.collect()) == 1
+    pieces = encode_pieces(docs.withColumnRenamed("doc.id", "ids"), f"{TOKENIZERS}/piece_bpe_32k.model", id_col="ids", text_col="Te.xt", decode=True)
+    assert {r.id: r.decoded for r in pieces.collect()} == {i: t or "" for i, t in rows}
+    pages = spark.createDataFrame([("http://a.com/en/x", 7)], "host string, `u.rl` int")
+    assert [tuple(r)[:4] for r in judge_urls(pages, [site_rule("block", "com", "/en/")], id_col="host", url_col="host").collect()] == [("http://a.com/en/x", "a.com", "/en/x", "com/en/")]
+    turns = spark.createDataFrame([("k", 1, "user", "hi"), ("k", 2, "assistant", "yes")], "`conv.id` string, `Turn` int, `ro.le` string, `text` string")
+    assert read_back(format_chats(turns, f"{TOKENIZERS}/byte_bpe_50k.json", "conv.id", "turn", "ro.le")).first().loss_text == "yes"
+
+
 def test_decontamination(spark):
     from twinspark.llm.decontaminate import drop_contaminated, find_items, shingles
     from twinspark.llm.substring_dedup import fold
@@ -372,6 +485,37 @@ def test_url_filter(spark):
         assert judge_urls(pages.limit(0), url_rules(), **options).count() == 0
 
 
+def test_url_filter_runs_candidates_only(spark):
+    """Thousands of rules: those that a URL does not fetch by their rarest token are never run, and both ways agree."""
+    from twinspark.llm.url_filter import UrlRule, filed, judge_urls, site_rule, token_counts
+
+    rules = [site_rule("block" if k % 2 else "allow", f"site{k}.com", f"/{'en' if k % 3 else 'de'}/") for k in range(5_000)]
+    broken = [UrlRule(f"bad{k}", "block", "(", ("never", f"rare{k}"), 1) for k in range(2)]  # no expression: running it fails
+    urls = [(k, f"http://www.site{k % 700}.com/{'en' if k % 2 else 'de'}/never") for k in range(1_500)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    counts = token_counts(spark.createDataFrame([(u.split("://")[1],) for _, u in urls], "key string"), sorted({t for r in rules + broken for t in r.literals}))
+    assert counts["com"] == counts["never"] == 1_500 and counts["site3"] == 3 and "rare0" not in counts
+    index, always = filed(rules + broken, counts)
+    assert not always and max(map(len, index.values())) == 1 and "com" not in index and "rare0" in index
+    want = {k: f"site{k % 700}.com/{'en' if k % 2 else 'de'}/" if (k % 700 % 3 != 0) == (k % 2 == 1) else None for k, _ in urls}
+    with pytest.raises(re.error):
+        re.compile(broken[0].pattern)
+    for options in ({}, {"max_broadcast_rules": 0}):
+        got = {r.id: r.rule for r in judge_urls(pages, rules, **options).collect()}
+        assert got == want
+
+
+def test_pipeline_without_labels(spark, tmp_path):
+    """Empty labels, or one class only, cost no document in the first stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+    docs = docs_of(spark, [(i, f"a harmless text number {i}") for i in range(50)])
+    for n, labels in enumerate(([], [(i, 1, 1) for i in range(50)])):
+        sf = str(tmp_path / str(n))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        assert corpus_pipeline.toxicity(spark, docs, sf).count() == 50
+
+
 def test_pipeline(spark, tmp_path):
     """Against the stages' own operators applied one by one to rows held in Python, where that is feasible."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
