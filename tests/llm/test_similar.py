@@ -44,6 +44,23 @@ def test_drop_similar(spark, small_bucket, rounds):
     assert {r.doc_id for r in drop_similar(docs, small_bucket=small_bucket, rounds=rounds).collect()} == brute_kept(rows)
 
 
+def test_bitmaps_rule_out_no_similar_pair():
+    import numpy as np
+
+    from twinspark.llm.similar import bitmap_of
+
+    rng = np.random.default_rng(16)
+    for _ in range(300):
+        n = int(rng.integers(1, 4_000))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.append(a[: len(a) - int(rng.integers(0, max(1, n // 4)))], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 4)))).astype(np.uint64)))
+        differ = len(np.setxor1d(a, b))
+        bits = np.unpackbits((bitmap_of(a) ^ bitmap_of(b)).view(np.uint8)).sum()
+        assert bits <= differ
+        if len(b) and len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b)):
+            assert 9 * bits <= len(a) + len(b)
+
+
 def test_stage_takes_similarity(spark):
     """A pair at a similarity of 0.8 or more whose fingerprints differ by more than two bits."""
     from corpus_pipeline import near_dedup
