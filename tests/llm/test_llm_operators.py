@@ -227,7 +227,7 @@ def test_toxicity_against_brute_force(spark):
     for b in counts[0].keys() | counts[1].keys():
         share = [(counts[y][b] + 0.5) / (size[y] + 1) for y in (0, 1)]
         pooled = (counts[0][b] + counts[1][b] + 0.5) / (size[0] + size[1] + 1)
-        if abs(share[1] - share[0]) / math.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / size[0] + 1 / size[1])) >= T.LEAST_ERRORS:
+        if abs(share[1] - share[0]) / math.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / size[0] + 1 / size[1])) >= T.LEAST_ERRORS and max(share) >= T.LEAST_SHARE * min(share):
             ratios[b] = math.log((counts[1][b] + 1) / total[1]) - math.log((counts[0][b] + 1) / total[0])
     assert ratios
     # Gradient descent on the same loss, feature by feature.

@@ -23,13 +23,15 @@ GRAMS = (3, 4, 5, 6)
 #: The regression is fitted on at most this many labelled rows, the first by a hash of identifier and text. The
 #: log-count ratios are counted over all labelled rows.
 MAX_FIT_ROWS = 6_000
-#: And of these on at most this many features in sum, so the driver's share stays under about 100 MB.
-MAX_FIT_FEATURES = 12_000_000
+#: And of these on at most this many features in sum, so the driver's share stays under about 200 MB.
+MAX_FIT_FEATURES = 4_000_000
 #: Labels up to this many (some 10 MB) are broadcast to the documents.
 MAX_BROADCAST_LABELS = 200_000
 #: A ratio counts if the document shares of its n-gram in the two classes differ by this many standard errors or more;
 #: a smaller difference is noise (5 is about one in 20 that any of SIZE equal ones passes). How many n-grams that leaves follows from the rows, there is no bound on it.
 LEAST_ERRORS = 5.0
+#: And if those shares are as 2 to 1 or more: among very many rows the smallest difference is no noise any more.
+LEAST_SHARE = 2.0
 PENALTY = 0.3
 
 
@@ -70,12 +72,13 @@ class Model:
 
 def ratios_of(counts: np.ndarray, docs: np.ndarray, least: float = LEAST_ERRORS) -> np.ndarray:
     """The log-count ratio of each bucket, zero where the classes' document shares differ by under `least` standard
-    errors. counts: shape (2, SIZE), documents of each class that have the bucket; docs: documents of each class."""
+    errors or LEAST_SHARE times. counts: shape (2, SIZE), documents of each class that have the bucket; docs: documents of each class."""
     share = (counts + 0.5) / (docs[:, None] + 1)
     pooled = (counts.sum(axis=0) + 0.5) / (docs.sum() + 1)
     errors = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled).clip(1e-9) * (1 / docs[0] + 1 / docs[1]))
     smooth = counts + 1
-    return np.where(errors >= least, np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum()), 0.0)
+    telling = (errors >= least) & (share.max(axis=0) >= LEAST_SHARE * share.min(axis=0))
+    return np.where(telling, np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum()), 0.0)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, penalty: float = PENALTY, steps: int = 200) -> Model:
