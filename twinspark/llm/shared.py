@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+BATCH_ROWS = 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,7 +62,10 @@ def release(spark: SparkSession, *paths: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it is not installed."""
+    """Lets Python workers import this package where it is not installed, and bounds what they get at once: whole texts
+    come in batches of BATCH_ROWS rows where the session has Spark's default, ten times as many."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
