@@ -55,12 +55,47 @@ def test_bitmaps_rule_out_no_similar_pair():
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         b = np.unique(np.append(a[: len(a) - int(rng.integers(0, max(1, n // 4)))], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 4)))).astype(np.uint64)))
         differ = len(np.setxor1d(a, b))
-        bits = np.unpackbits((bitmap_of(a) ^ bitmap_of(b)).view(np.uint8)).sum()
+        marks, width = [bitmap_of(a), bitmap_of(b)], min(len(bitmap_of(a)), len(bitmap_of(b)))
+        x, y = (np.bitwise_or.reduce(m.reshape(-1, width)) for m in marks)
+        bits = np.unpackbits((x ^ y).view(np.uint8)).sum()
         assert bits <= differ
         if len(b) and len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b)):
             assert 9 * bits <= len(a) + len(b)
 
 
+def test_bitmap_condition_in_spark(spark):
+    """near_pairs keeps every similar pair, bitmaps of other widths included, and none of unlike sets."""
+    import numpy as np
+
+    from twinspark.llm.similar import bitmap_of, near_pairs
+
+    rng, rows, similar, unlike = np.random.default_rng(5), [], set(), set()
+    for i in range(0, 240, 2):
+        n = int(rng.integers(2, 3_000))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = a[: max(1, len(a) - int(rng.integers(0, max(1, n // 4))))] if i % 8 else np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        rows += [(i, len(a), bitmap_of(a).tolist()), (i + 1, len(b), bitmap_of(b).tolist())]
+        if len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b)):
+            similar.add((i, i + 1))
+        elif not len(np.intersect1d(a, b)) and n > 20:
+            unlike.add((i, i + 1))
+    marked = spark.createDataFrame(rows, "key long, n long, bitmap array<long>")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 240, 2)], "a long, b long")
+    found = {(r.a, r.b) for r in near_pairs(pairs, marked).collect()}
+    assert similar <= found and not unlike & found and len(similar) > 20 and len(unlike) > 10
+
+
+def test_repeated_ids(spark):
+    """Rows of one id with other texts, and with one text many times, go or stay together."""
+    from twinspark.llm.similar import drop_similar
+
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base[:-1], "x"]), " ".join(f"o{i}" for i in range(60))
+    rows = [(5, " ".join(base)), (5, other), (7, near), (7, near), (9, other + " x")]
+    out = drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == [5, 5]
+
+
 def test_stage_takes_similarity(spark):
     """A pair at a similarity of 0.8 or more whose fingerprints differ by more than two bits."""
     from corpus_pipeline import near_dedup
