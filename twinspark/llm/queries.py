@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from twinspark.llm.chat_format import format_chats, read_back
 from twinspark.llm.decontaminate import find_items
 from twinspark.llm.exact_dedup import exact_dedup
+from twinspark.llm.fill_in_middle import fill_in_middle, restored
+from twinspark.llm.hard_negatives import mine_hard_negatives
 from twinspark.llm.long_repeats import remove_long_repeats
+from twinspark.llm.quality_rules import RIGHT, RULES, SHARE_BAD, STEPS, quality
 from twinspark.llm.sentencepiece_bpe import encode_pieces
 from twinspark.llm.shared import shared_root
 from twinspark.llm.simhash import simhash_groups
@@ -97,10 +100,27 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), url_rules()).withColumnRenamed("id", "page_id")
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return mine_hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": simhash, "op2_substring_dedup": substrings, "op3_exact_dedup": exact, "op4_toxicity": toxicity, "op5_decontamination": decontamination,
         "op6_long_repeats": long_repeats, "op7_chat_format": chats, "op8_token_files": token_files, "op9_sentencepiece": pieces, "op10_url_filter": urls,
+        "op11_hard_negatives": hard_negatives, "op12_quality_rules": quality_rules, "op13_fill_in_middle": middles,
     }
 
 
@@ -184,5 +204,68 @@ FROM parts p LEFT JOIN listed l ON p.page_id = l.page_id LEFT JOIN worded w ON p
 )
 
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE own = label) WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND p.own <> s.label AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+_ODDS = "ln((1 - share) / share)" + "".join(f" + CASE v[{i}] WHEN 1 THEN ln(r[{i}] / (1 - r[{i}])) WHEN 0 THEN -ln(r[{i}] / (1 - r[{i}])) ELSE 0 END" for i in range(1, len(RULES) + 1))
+QUALITY_SQL = (
+    r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lists AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM lists)),
+twice AS (SELECT doc_id, x FROM windows GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows JOIN twice USING (doc_id, x), (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
+measured AS (
+  SELECT lists.doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
+         length(text) - length(translate(text, '!?', '')) AS n_marks, length(text) - length(regexp_replace(text, '[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]', '', 'g')) AS n_punctuation,
+         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM lists LEFT JOIN covered ON lists.doc_id = covered.doc_id),
+voted AS (SELECT *, ["""
+    + ", ".join(f"CASE WHEN {r.drop} THEN 0 WHEN {r.keep} THEN 1 ELSE -1 END" for r in RULES)
+    + """] AS v FROM measured),
+patterns AS MATERIALIZED (SELECT v, count(*) AS n FROM voted GROUP BY v),
+em AS (
+  SELECT 0 AS step, """
+    + f"CAST({SHARE_BAD} AS DOUBLE) AS share, CAST([{', '.join([str(RIGHT)] * len(RULES))}] AS DOUBLE[]) AS r UNION ALL SELECT step + 1, (sum(n * (1 - good)) + {SHARE_BAD}) / (sum(n) + 1), ["
+    + ", ".join(f"greatest(0.5, (coalesce(sum(CASE v[{i}] WHEN 1 THEN n * good WHEN 0 THEN n * (1 - good) END), 0) + {RIGHT}) / (coalesce(sum(CASE WHEN v[{i}] >= 0 THEN n END), 0) + 1))" for i in range(1, len(RULES) + 1))
+    + f"] FROM (SELECT step, v, n, 1 / (1 + exp(-({_ODDS}))) AS good FROM em, patterns WHERE step < {STEPS}) GROUP BY step), "
+    + "judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, "
+    + f"1 / (1 + exp(-({_ODDS}))) AS good FROM voted, em WHERE step = {STEPS}) "
+    + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good >= 0.5 AS kept FROM judged"
+)
+
+MIDDLE_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+d AS (
+  SELECT *, length(text) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3,
+         CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRING_SQL, "op3_exact_dedup": EXACT_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op7_chat_format": CHAT_SQL, "op10_url_filter": URL_SQL}
+    return {"op2_substring_dedup": SUBSTRING_SQL, "op3_exact_dedup": EXACT_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op7_chat_format": CHAT_SQL, "op10_url_filter": URL_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_quality_rules": QUALITY_SQL, "op13_fill_in_middle": MIDDLE_SQL}
