@@ -122,7 +122,7 @@ def test_quality_measures(spark):
 
 
 def brute_em(patterns, steps):
-    from twinspark.llm.quality_rules import LEAST, RIGHT, SHARE_BAD
+    from twinspark.llm.quality_rules import LEAST, RIGHT, SHARE_BAD, TRUST
 
     rules = len(next(iter(patterns)))
     share, right = SHARE_BAD, [RIGHT] * rules
@@ -134,7 +134,7 @@ def brute_em(patterns, steps):
     for _ in range(steps):
         posterior = {v: good(v) for v in patterns}
         right = [
-            max(LEAST, (sum(n * (posterior[v] if v[i] else 1 - posterior[v]) for v, n in patterns.items() if v[i] >= 0) + RIGHT) / (sum(n for v, n in patterns.items() if v[i] >= 0) + 1))
+            max(LEAST, (sum(n * (posterior[v] if v[i] else 1 - posterior[v]) for v, n in patterns.items() if v[i] >= 0) / sum(n for v, n in patterns.items() if v[i] >= 0) + TRUST * RIGHT) / (1 + TRUST))
             for i in range(rules)
         ]
         share = (sum(n * (1 - posterior[v]) for v, n in patterns.items()) + SHARE_BAD) / (sum(patterns.values()) + 1)
@@ -153,10 +153,10 @@ def test_quality_votes_and_estimates(spark):
     df = spark.createDataFrame([(list(v), n) for v, n in patterns.items()], "v array<int>, n long")
     found = estimated(df, 3, 8)
     want, right = brute_em(patterns, 8)
-    assert np.allclose(found.right, right) and found.right[0] > 0.85 > found.right[2]
+    assert np.allclose(found.right, right) and found.right[0] > found.right[1] > found.right[2]
     got = {tuple(r.v): r.g for r in df.select("v", found.good([F.col("v")[i] for i in range(3)]).alias("g")).collect()}
     assert all(abs(got[v] - want[v]) < 1e-9 for v in want)
-    assert estimated(df.limit(0), 3, 2) == Estimate(0.1, (0.9,) * 3)
+    assert estimated(df.limit(0), 3, 2) == Estimate(0.1, (0.99,) * 3)
 
     prose = ["".join(random.choice("abcdefghij") for _ in range(random.randint(2, 8))) for _ in range(3000)]
     texts = {i: " ".join(random.sample(prose, 120)) + "." for i in range(200)}

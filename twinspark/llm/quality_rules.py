@@ -51,9 +51,11 @@ RULES = (
     Rule("word_length", "word_chars > 14 * n_words or word_chars < 2 * n_words"),
     Rule("prose", "false", "n_words >= 50 and 100 * n_punctuation <= 30 * n_words and 100 * n_symbols <= word_chars and 100 * n_capitals <= 15 * word_chars and 100 * n_repeat_words <= 20 * n_words"),
 )
-#: Where the search begins: the share of bad texts, and how often a vote is right. One text is added to the counts by
-#: these values, and no rule counts as right less often than by chance.
-SHARE_BAD, RIGHT, LEAST = 0.1, 0.9, 0.5
+#: Where the search begins: the share of bad texts (one text is added to the count by it), and how often a vote is right.
+SHARE_BAD, RIGHT = 0.1, 0.99
+#: Rules that only ever say drop do not tell by themselves whether they are all right or all wrong, so the first belief
+#: keeps counting as TRUST votes for each vote cast, at every size. No rule counts as right less often than by chance.
+TRUST, LEAST = 0.5, 0.5
 
 
 def _without(text: str, characters: str) -> Column:
@@ -122,7 +124,7 @@ def estimated(patterns: DataFrame, n_rules: int, steps: int = STEPS) -> Estimate
             vote = F.col("v")[i]
             sums += [F.sum(F.when(vote >= 0, F.col("n"))), F.sum(F.when(vote == 1, good).when(vote == 0, bad))]
         n, n_bad, *rest = (float(x or 0) for x in rows.agg(*sums).first())
-        right = tuple(max(LEAST, (rest[2 * i + 1] + RIGHT) / (rest[2 * i] + 1)) for i in range(n_rules))
+        right = tuple(max(LEAST, (rest[2 * i + 1] / rest[2 * i] + TRUST * RIGHT) / (1 + TRUST)) if rest[2 * i] else RIGHT for i in range(n_rules))
         found = Estimate((n_bad + SHARE_BAD) / (n + 1), right)
     return found
 

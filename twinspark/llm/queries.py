@@ -11,7 +11,7 @@ from twinspark.llm.exact_dedup import exact_dedup
 from twinspark.llm.fill_in_middle import fill_in_middle, restored
 from twinspark.llm.hard_negatives import mine_hard_negatives
 from twinspark.llm.long_repeats import remove_long_repeats
-from twinspark.llm.quality_rules import RIGHT, RULES, SHARE_BAD, STEPS, quality
+from twinspark.llm.quality_rules import LEAST, RIGHT, RULES, SHARE_BAD, STEPS, TRUST, quality
 from twinspark.llm.sentencepiece_bpe import encode_pieces
 from twinspark.llm.shared import shared_root
 from twinspark.llm.simhash import simhash_groups
@@ -245,7 +245,7 @@ patterns AS MATERIALIZED (SELECT v, count(*) AS n FROM voted GROUP BY v),
 em AS (
   SELECT 0 AS step, """
     + f"CAST({SHARE_BAD} AS DOUBLE) AS share, CAST([{', '.join([str(RIGHT)] * len(RULES))}] AS DOUBLE[]) AS r UNION ALL SELECT step + 1, (sum(n * (1 - good)) + {SHARE_BAD}) / (sum(n) + 1), ["
-    + ", ".join(f"greatest(0.5, (coalesce(sum(CASE v[{i}] WHEN 1 THEN n * good WHEN 0 THEN n * (1 - good) END), 0) + {RIGHT}) / (coalesce(sum(CASE WHEN v[{i}] >= 0 THEN n END), 0) + 1))" for i in range(1, len(RULES) + 1))
+    + ", ".join(f"greatest({LEAST}, (sum(CASE v[{i}] WHEN 1 THEN n * good WHEN 0 THEN n * (1 - good) END) / sum(CASE WHEN v[{i}] >= 0 THEN n END) + {TRUST * RIGHT}) / {1 + TRUST})" for i in range(1, len(RULES) + 1))
     + f"] FROM (SELECT step, v, n, 1 / (1 + exp(-({_ODDS}))) AS good FROM em, patterns WHERE step < {STEPS}) GROUP BY step), "
     + "judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, "
     + f"1 / (1 + exp(-({_ODDS}))) AS good FROM voted, em WHERE step = {STEPS}) "
