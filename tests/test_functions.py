@@ -1,12 +1,9 @@
 import hashlib
-import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from twinspark.functions import scalars
 from twinspark.functions.blake3 import blake3, blake3_hex, blake3_many
-from twinspark.functions.ignore import can_prune, glob_regex, is_ignored, parse_rules, scoped_rule
 
 #: Digests of the official test pattern (byte i is i mod 251), by length.
 VECTORS = {
@@ -30,61 +27,6 @@ def test_blake3(spark):
     assert [r[0] for r in df.orderBy("i").select(blake3_hex("content")).collect()] == [VECTORS[65], None, VECTORS[0]]
 
 
-RULES_A = "*.tmp\nbuild/\n!build/keep.txt\n/root.txt\na/**/b?.dat\n!.twinspark/state.db\n"
-RULES_B = "﻿\\#literal\n\\!literal\n[a-c].txt\n[!a-c].dat\n[[:digit:]].log\nliteral\\*.txt\nab**cd\nparent/\n!parent/\nparent/*\n!parent/keep\n/root-only/\na/**/target\nescaped\\ \ntrailing   \n"
-CASES = [
-    (RULES_A, {"x.tmp": 1, "sub/x.tmp": 1, "build": 0, "build/x.txt": 1, "build/keep.txt": 1, "root.txt": 1, "sub/root.txt": 0, "a/b1.dat": 1, "a/x/y/b2.dat": 1, "a/x/b22.dat": 0, ".twinspark/state.db": 1, "normal": 0}),
-    (
-        RULES_B,
-        {"#literal": 1, "!literal": 1, "trailing": 1, "escaped ": 1, "trailing ": 0, "escaped": 0, "b.txt": 1, "d.txt": 0, "z.dat": 1, "b.dat": 0, "5.log": 1, "x.log": 0, "literal*.txt": 1, "literalX.txt": 0, "abZZcd": 1, "ab/x/cd": 0,
-         "parent/keep": 0, "parent/other": 1, "parent/other/keep": 1, "root-only/a": 1, "sub/root-only/a": 0, "a/target": 1, "a/b/c/target": 1, "nested/.twinspark/state.db": 1},
-    ),
-]
-
-
-@pytest.mark.parametrize("rules,expected", CASES)
-def test_ignore(spark, rules, expected):
-    df = spark.createDataFrame([(p,) for p in expected], "path string")
-    got = {r.path: int(r.x) for r in df.select("path", is_ignored(parse_rules(rules), F.col("path")).alias("x")).collect()}
-    assert got == expected
-
-
-def test_prune_and_scope(spark):
-    assert one(spark, can_prune(parse_rules(RULES_A), F.lit("build"))).asDict().popitem()[1]
-    merged = "\n".join(scoped_rule(line, "nested")[0] for line in ("*.tmp", "!keep.tmp", "/build/", "foo/bar"))
-    expected = {"nested/a.tmp": 1, "nested/deep/a.tmp": 1, "other/a.tmp": 0, "nested/keep.tmp": 0, "nested/build/child": 1, "nested/deep/build/child": 0, "other/build/child": 0, "nested/foo/bar": 1}
-    df = spark.createDataFrame([(p,) for p in expected], "path string")
-    assert {r.path: int(r.x) for r in df.select("path", is_ignored(parse_rules(merged), F.col("path")).alias("x")).collect()} == expected
-    assert scoped_rule("*.x", "../out") == ("*.x", True)
-    with pytest.raises(ValueError):
-        scoped_rule("x", "a\nb")
-
-
-def brute_glob(p, s):
-    """Direct recursion over the glob's grammar, without classes."""
-    if not p:
-        return not s
-    if p.startswith("**/"):
-        return brute_glob(p[3:], s) or any(brute_glob(p[3:], s[i + 1 :]) for i, c in enumerate(s) if c == "/")
-    if p == "**":
-        return True
-    if p[0] == "*":
-        return any(brute_glob(p[1:], s[i:]) for i in range(len(s) + 1) if "/" not in s[:i])
-    return bool(s) and (s[0] == p[0] or (p[0] == "?" and s[0] != "/")) and brute_glob(p[1:], s[1:])
-
-
-def test_glob_against_brute_force():
-    import re
-
-    random.seed(1)
-    parts = ["a", "b", "*", "?", "ab", "*b", "a*"]
-    for _ in range(3000):
-        pattern = "/".join(random.choice([*parts, "**"]) for _ in range(random.randint(1, 4)))
-        path = "/".join("".join(random.choice("ab") for _ in range(random.randint(1, 3))) for _ in range(random.randint(1, 4)))
-        assert bool(re.search(glob_regex(pattern), path)) == brute_glob(pattern, path), (pattern, path)
-    assert not re.search(glob_regex("[a"), "[a") and not re.search(glob_regex("a\\"), "a\\")
-
-
 def test_scalars(spark):
     row = one(
         spark, scalars.quoted_path(F.lit('a"b\\c\x01\x7fé')).alias("q"), scalars.normal_path(F.lit("/a/../../b//c/.")).alias("n"), scalars.normal_path(F.lit("../a/..")).alias("m"), scalars.safe_relative(F.lit("a/../b")).alias("s"),

@@ -1,155 +1,71 @@
-"""Ignore rules in the style of .gitignore, compiled to native regular expressions.
-
-The last rule that fits decides, each ancestor is judged before its children, and an ignored ancestor is final.
-"""
+"""Ignore files as git reads them: the last rule that fits decides, and nothing comes back out of an ignored folder."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from twinspark.functions.rule_automaton import RuleAutomaton
+from twinspark.storage import ship
+
 STATE_DIR = ".twinspark"
 MAX_BYTES, MAX_RULES = 1 << 20, 4096
-#: POSIX classes as ASCII regular expression classes.
-POSIX = {
-    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "blank": " \\t", "cntrl": "\\x00-\\x1f\\x7f", "digit": "0-9", "graph": "\\x21-\\x7e", "lower": "a-z", "print": "\\x20-\\x7e",
-    "punct": "\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e", "space": " \\x09-\\x0d", "upper": "A-Z", "xdigit": "0-9A-Fa-f",
-}
-NEVER = r"(?!)"
+#: A line is a mark of negation, one of the root, the pattern, and one of folders.
+_LINE = re.compile(r"(?P<negate>!?)(?P<root>/?)(?P<body>.*?)(?P<folder>/?)", re.S)
+_SPECIAL = re.compile(r"[*?\[\]\\]")
+
 
+class Rule(NamedTuple):
+    """pattern: seen from the root, so what may be anywhere begins with **/."""
 
-@dataclass(frozen=True)
-class Rule:
     pattern: str
     negate: bool
     directory: bool
 
-    @property
-    def regex(self) -> str:
-        return glob_regex(self.pattern)
+
+def _trimmed(line: str) -> str:
+    """Without a carriage return and trailing spaces; an escaped one stays."""
+    characters = re.findall(r"\\.|.", line.removesuffix("\r"), re.S)
+    while characters and characters[-1] == " ":
+        characters.pop()
+    return "".join(characters)
 
 
 def parse_rules(text: str) -> list[Rule]:
-    """Rules of an ignore file: BOM, CR, comments, escapes of trailing spaces, ! and / marks."""
+    """The rules of an ignore file, without comments and empty lines; too large a file is an error."""
     if len(text.encode("utf-8")) > MAX_BYTES:
         raise ValueError("ignore file exceeds 1 MiB")
-    rules = []
-    for line in text.removeprefix("\ufeff").split("\n"):
-        line = line.removesuffix("\r")
-        while line.endswith(" ") and not re.search(r"(?<!\\)(?:\\\\)*\\ $", line):
-            line = line[:-1]
-        if not line or line.startswith("#"):
-            continue
-        negate = line.startswith("!")
-        line = line[negate:]
-        anchored = line.startswith("/")
-        line = line[anchored:]
-        directory = line.endswith("/")
-        line = line[: len(line) - directory]
-        if not line:
-            continue
-        if not anchored and "/" not in line:
-            line = "**/" + line
-        rules.append(Rule(line, negate, directory))
-        if len(rules) > MAX_RULES:
-            raise ValueError("ignore file exceeds 4096 rules")
-    return rules
-
-
-def _bracket(pattern: str, at: int) -> tuple[str, int]:
-    """Regular expression of the class that opens at `at`, and where it ends; NEVER if it has no end."""
-    i, parts = at + 1, []
-    negate = pattern[i : i + 1] in ("!", "^") and pattern[i : i + 1] != ""
-    i += negate
-    first = i
-    hexed = lambda c: f"\\x{{{ord(c):x}}}"
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "]" and i > first:
-            inside = "".join(parts)
-            if not inside:
-                return (r"[^/]" if negate else NEVER), i
-            return f"(?!/)[{'^' if negate else ''}{inside}]", i
-        if c == "[" and pattern[i + 1 : i + 2] == ":":
-            close = pattern.find(":]", i + 2)
-            if close < 0:
-                break
-            parts.append(POSIX.get(pattern[i + 2 : close], ""))
-            i = close + 2
-            continue
-        if c == "\\" and i + 1 < len(pattern):
-            i += 1
-            c = pattern[i]
-        if pattern[i + 1 : i + 2] == "-" and i + 2 < len(pattern) and pattern[i + 2] != "]":
-            i += 2
-            high = pattern[i]
-            if high == "\\" and i + 1 < len(pattern):
-                i += 1
-                high = pattern[i]
-            if c <= high:
-                parts.append(f"{hexed(c)}-{hexed(high)}")
-        else:
-            parts.append(hexed(c))
-        i += 1
-    return NEVER, len(pattern)
-
-
-def glob_regex(pattern: str) -> str:
-    """A Java regular expression that fits what the glob fits. Stars are possessive where nothing else could follow,
-    and a run of stars is one star, which keeps backtracking polynomial."""
-    out, i, n = [], 0, len(pattern)
-    while i < n:
-        c = pattern[i]
-        if c == "\\":
-            if i + 1 == n:
-                return NEVER
-            out.append(re.escape(pattern[i + 1]))
-            i += 2
-        elif c == "*":
-            end = i
-            while end + 1 < n and pattern[end + 1] == "*":
-                end += 1
-            cross = end > i and (i == 0 or pattern[i - 1] == "/") and (end + 1 == n or pattern[end + 1] == "/")
-            if cross and end + 1 < n:
-                out.append("(?:.*/)?")
-                end += 1
-            else:
-                out.append(".*" if cross else "[^/]*")
-            i = end + 1
-        elif c == "?":
-            out.append("[^/]")
-            i += 1
-        elif c == "[":
-            part, end = _bracket(pattern, i)
-            if part == NEVER:
-                return NEVER
-            out.append(part)
-            i = end + 1
-        else:
-            out.append(re.escape(c))
-            i += 1
-    return "(?s)^" + "".join(out) + "$"
-
-
-def _fits(rules: list[Rule], path: Column, is_dir: Column) -> Column:
-    """The verdict of the last fitting rule on one path; false without any."""
-    out = None
-    for rule in reversed(rules):
-        fit = path.rlike(rule.regex) & is_dir if rule.directory else path.rlike(rule.regex)
-        out = F.when(fit, F.lit(not rule.negate)) if out is None else out.when(fit, F.lit(not rule.negate))
-    return out.otherwise(F.lit(False)) if out is not None else F.lit(False)
+    lines = [_LINE.fullmatch(line) for line in map(_trimmed, text.removeprefix("\ufeff").split("\n")) if not line.startswith("#")]
+    found = [Rule(("" if m["root"] or "/" in m["body"] else "**/") + m["body"], bool(m["negate"]), bool(m["folder"])) for m in lines if m["body"]]
+    if len(found) > MAX_RULES:
+        raise ValueError("ignore file exceeds 4096 rules")
+    return found
+
+
+@lru_cache(maxsize=4)
+def _automaton(rules: tuple[Rule, ...]) -> RuleAutomaton:
+    """Once a Python worker and list of rules."""
+    return RuleAutomaton(rules, STATE_DIR)
 
 
 def is_ignored(rules: list[Rule], path: Column, is_dir: Column | bool = False) -> Column:
-    """Whether a relative path or any of its ancestors is ignored. The state folder always is."""
-    is_dir = F.lit(is_dir) if isinstance(is_dir, bool) else is_dir
-    parts = F.split(path, "/")
-    depths = F.sequence(F.lit(1), F.size(parts))
-    judged = F.exists(depths, lambda k: _fits(rules, F.array_join(F.slice(parts, 1, k), "/"), (k < F.size(parts)) | is_dir))
-    return F.array_contains(parts, STATE_DIR) | judged
+    """Whether a relative path or any of its ancestors is ignored, null for null. The state folder always is.
+
+    Names are compared as bytes, as git does. The rules travel with the function and are compiled where they run."""
+    ship(SparkSession.active())
+    shipped = tuple(rules)
+
+    @F.arrow_udf("boolean")
+    def run(paths: pa.Array, folders: pa.Array) -> pa.Array:
+        judge = _automaton(shipped).ignored
+        return pa.array([None if p is None else judge(p, bool(d)) for p, d in zip(paths.to_pylist(), folders.to_pylist(), strict=True)], pa.bool_())
+
+    return run(path, F.lit(is_dir) if isinstance(is_dir, bool) else is_dir)
 
 
 def can_prune(rules: list[Rule], directory: Column) -> Column:
@@ -159,26 +75,18 @@ def can_prune(rules: list[Rule], directory: Column) -> Column:
 
 def scoped_rule(line: str, subtree: str | None) -> tuple[str, bool]:
     """The rule for a subtree, seen from the root above it, and whether the source lies outside (then unchanged)."""
-    if subtree is None or subtree == "" or subtree.split("/")[0] == "..":
+    if not subtree or subtree.split("/", 1)[0] == "..":
         return line, True
-    if any(ord(c) < 32 or ord(c) == 127 for c in subtree):
+    if re.search(r"[\x00-\x1f\x7f]", subtree):
         raise ValueError("cannot scope ignore rules through a path with control characters")
-    prefix = re.sub(r"([*?\[\]\\])", r"\\\1", subtree)
-    negate = line.startswith("!")
-    body = line[negate:]
-    anchored = body.startswith("/")
-    body = body[anchored:]
-    anywhere = not anchored and "/" not in body.rstrip(" ").removesuffix("/")
-    return f"{'!' * negate}/{prefix}/{'**/' * anywhere}{body}", False
+    m = _LINE.fullmatch(line.rstrip(" "))
+    deep = "" if m["root"] or "/" in m["body"] else "**/"
+    place = _SPECIAL.sub(lambda c: "\\" + c[0], subtree)
+    return f"{m['negate']}/{place}/{deep}{line[m.start('body') :]}", False
 
 
 def scope_rules(rules: Column, subtree: Column) -> Column:
     """scoped_rule on columns, for rules kept in tables; the subtree must lie inside."""
-    prefix = F.regexp_replace(subtree, r"([*?\[\]\\])", r"\\$1")
-    negate = F.startswith(rules, F.lit("!"))
-    body = F.when(negate, F.substr(rules, F.lit(2))).otherwise(rules)
-    anchored = F.startswith(body, F.lit("/"))
-    body = F.when(anchored, F.substr(body, F.lit(2))).otherwise(body)
-    bare = F.regexp_replace(F.regexp_replace(body, " +$", ""), "/$", "")
-    anywhere = ~anchored & (F.instr(bare, "/") == 0)
-    return F.concat(F.when(negate, F.lit("!")).otherwise(F.lit("")), F.lit("/"), prefix, F.lit("/"), F.when(anywhere, F.lit("**/")).otherwise(F.lit("")), body)
+    place = F.regexp_replace(subtree, r"([*?\[\]\\])", r"\\$1")
+    deep = F.when(F.rlike(rules, F.lit(r"(?s)^!?[^/]*/? *$")) & ~F.rlike(rules, F.lit("^!?/")), "**/").otherwise("")
+    return F.concat(F.regexp_extract(rules, "^(!?)", 1), F.lit("/"), place, F.lit("/"), deep, F.regexp_replace(rules, "^!?/?", ""))

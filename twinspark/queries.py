@@ -193,20 +193,20 @@ def ignore_prune(spark, sf):
     return folders.select("folder", can_prune(parse_rules(RULES), F.col("folder")).alias("pruned"))
 
 
-_LINES = ["*.tmp", "!keep.tmp", "/build/", "foo/bar", "a b ", "x/"]
-
-
 @query(
     "scope_rules",
-    "WITH lines AS (SELECT unnest(['*.tmp', '!keep.tmp', '/build/', 'foo/bar', 'a b ', 'x/']) AS rule), sub AS (SELECT r_regionkey, 'ne*st' || r_regionkey AS subtree FROM region), "
-    "b AS (SELECT rule, subtree, CASE WHEN rule LIKE '!%' THEN '!' ELSE '' END AS neg, CASE WHEN rule LIKE '!%' THEN substr(rule, 2) ELSE rule END AS body FROM lines CROSS JOIN sub), "
-    "c AS (SELECT *, body LIKE '/%' AS anchored, CASE WHEN body LIKE '/%' THEN substr(body, 2) ELSE body END AS rest FROM b) "
-    "SELECT rule, subtree, neg || '/' || replace(subtree, '*', chr(92) || '*') || '/' || CASE WHEN NOT anchored AND instr(regexp_replace(rtrim(rest), '/$', ''), '/') = 0 THEN '**/' ELSE '' END || rest AS scoped FROM c",
+    "WITH lines AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '*.' || source WHEN 1 THEN '!draft-' || doc_id WHEN 2 THEN '/' || lang || '/' WHEN 3 THEN 'notes/*/' || doc_id WHEN 4 THEN source || ' ' ELSE '!' || lang || '/' END AS rule, "
+    "'s*b' || source AS subtree FROM documents), "
+    "c AS (SELECT *, regexp_replace(rule, '^!', '') AS body FROM lines) "
+    "SELECT doc_id, rule, subtree, CASE WHEN rule LIKE '!%' THEN '!' ELSE '' END || '/' || replace(subtree, '*', chr(92) || '*') || '/' || "
+    "CASE WHEN instr(regexp_replace(rtrim(body), '/$', ''), '/') = 0 THEN '**/' ELSE '' END || regexp_replace(body, '^/', '') AS scoped FROM c",
 )
 def scope_rules_query(spark, sf):
-    subtrees = table(spark, sf, "region").select(F.concat(F.lit("ne*st"), F.col("r_regionkey").cast("string")).alias("subtree"))
-    rows = subtrees.select("subtree", F.explode(F.array(*map(F.lit, _LINES))).alias("rule"))
-    return rows.select("rule", "subtree", scope_rules(F.col("rule"), F.col("subtree")).alias("scoped"))
+    n, source, lang, kind = F.col("doc_id").cast("string"), F.col("source"), F.col("lang"), F.col("doc_id") % 6
+    rule = F.when(kind == 0, F.concat(F.lit("*."), source)).when(kind == 1, F.concat(F.lit("!draft-"), n)).when(kind == 2, F.concat(F.lit("/"), lang, F.lit("/"))).when(kind == 3, F.concat(F.lit("notes/*/"), n))
+    rule = rule.when(kind == 4, F.concat(source, F.lit(" "))).otherwise(F.concat(F.lit("!"), lang, F.lit("/")))
+    rows = table(spark, sf, "documents").select("doc_id", rule.alias("rule"), F.concat(F.lit("s*b"), source).alias("subtree"))
+    return rows.select("doc_id", "rule", "subtree", scope_rules(F.col("rule"), F.col("subtree")).alias("scoped"))
 
 
 # --- telemetry
