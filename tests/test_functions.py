@@ -3,7 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from twinspark.functions import scalars
-from twinspark.functions.blake3 import blake3, blake3_hex, blake3_many
+from twinspark.functions.blake3 import Blake3, blake3, blake3_hex, blake3_many, joined
 
 #: Digests of the official test pattern (byte i is i mod 251), by length.
 VECTORS = {
@@ -27,6 +27,22 @@ def test_blake3(spark):
     assert [r[0] for r in df.orderBy("i").select(blake3_hex("content")).collect()] == [VECTORS[65], None, VECTORS[0]]
 
 
+def test_blake3_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(Blake3, "PIECE", 4096)
+    data = bytes(i % 251 for i in range(102_400))
+    for n, want in VECTORS.items():
+        for step in (1000, 4096, 50_000):
+            state = Blake3()
+            for at in range(0, n, step):
+                state.update(data[at : min(at + step, n)])
+            assert state.value().hex() == want and len(state.stack) <= 6
+    for n in (0, 1, 4096, 4097, 8192, 12_288, 12_289, 40_000, 65_536, 102_400):
+        for size in (4096, 16_384):
+            starts = range(0, max(n, 1), size)
+            parts = [Blake3(at).update(data[at : min(at + size, n)]).value(root=len(starts) == 1) for at in starts]
+            assert joined(parts) == blake3(data[:n]), (n, size)
+
+
 def test_scalars(spark):
     row = one(
         spark, scalars.quoted_path(F.lit('a"b\\c\x01\x7fé')).alias("q"), scalars.normal_path(F.lit("/a/../../b//c/.")).alias("n"), scalars.normal_path(F.lit("../a/..")).alias("m"), scalars.safe_relative(F.lit("a/../b")).alias("s"),

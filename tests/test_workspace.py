@@ -112,19 +112,103 @@ def test_merge_brings_telemetry_models_and_digests(spark, tmp_path):
 def test_only_wanted_files_are_opened(spark, tmp_path):
     import hashlib
 
-    from twinspark.sources.inventory import with_content, with_digest
+    from twinspark.sources.blocks import with_digest
 
     put(tmp_path, a="one", sub__b="x" * 3_000_000)
     os.mkfifo(tmp_path / "pipe")  # whoever opens it hangs
-    wanted = spark.createDataFrame([("a", 1), ("sub/b", 2)], "path string, n int")
+    wanted = spark.createDataFrame([("a", 1, 3), ("sub/b", 2, 3_000_000)], "path string, n int, size long")
     got = {r.path: (r.n, r.digest) for r in with_digest(wanted, str(tmp_path)).collect()}
     assert got == {"a": (1, hashlib.sha256(b"one").hexdigest()), "sub/b": (2, hashlib.sha256(b"x" * 3_000_000).hexdigest())}
-    assert len(with_digest(wanted, str(tmp_path), "blake3").first().digest) == 64
-    assert {r.path: len(r.content) for r in with_content(wanted, str(tmp_path)).collect()} == {"a": 3, "sub/b": 3_000_000}
     with pytest.raises(Exception, match="No such file"):
         with_digest(spark.createDataFrame([("gone",)], "path string"), str(tmp_path)).collect()
 
 
+def test_digest_by_segments(spark, tmp_path):
+    from twinspark.functions.blake3 import blake3
+    from twinspark.sources.blocks import with_digest
+
+    sizes = [0, 1, 1024, 1 << 20, (1 << 20) + 1, (2 << 20) - 1, 2 << 20, (5 << 20) + 77]
+    data = os.urandom(6 << 20)
+    for i, n in enumerate(sizes):
+        (tmp_path / f"f{i}").write_bytes(data[:n])
+    files = stamped_inventory(spark, str(tmp_path))
+    want = {f"f{i}": blake3(data[:n]).hex() for i, n in enumerate(sizes)}
+    for segment in (1 << 20, 2 << 20, 64 << 20):
+        assert {r.path: r.digest for r in with_digest(files, str(tmp_path), "blake3", segment).collect()} == want
+    with pytest.raises(Exception, match="ends before"):
+        with_digest(files.withColumn("size", F.col("size") + 1), str(tmp_path), "blake3").collect()
+
+
+def test_equal_files_by_blocks(spark, tmp_path):
+    """Bytes decide, whatever the digests say; no file is held whole."""
+    import random
+
+    from twinspark.sources.blocks import equal_files, equal_pairs
+
+    random.seed(5)
+    base = random.randbytes((3 << 20) + 5)
+    texts = {"a": base, "b": base, "c": base[:-1] + b"x", "d": b"y" + base[1:], "e": base[:-1] + b"x", "f": base, "g": b"", "h": b"", "i": base[: 1 << 20], "j": base[1 : (1 << 20) + 1]}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    files = stamped_inventory(spark, str(tmp_path)).select("path", "size", F.lit("0" * 64).alias("digest"))  # all digests collide
+    for segment in (1 << 20, 64 << 20):
+        got = sorted(tuple(r) for r in equal_files(files, str(tmp_path), segment).collect())
+        n = len(base)
+        assert got == [("a", "a", n, 3), ("a", "b", n, 3), ("a", "f", n, 3), ("c", "c", n, 2), ("c", "e", n, 2), ("g", "g", 0, 2), ("g", "h", 0, 2)]
+    assert equal_files(files.limit(0), str(tmp_path)).count() == 0
+    pairs = spark.createDataFrame([("a", "b", len(base)), ("a", "d", len(base))], "path string, other string, size long")
+    plan = equal_pairs(pairs, str(tmp_path))._jdf.queryExecution().toString()
+    assert "content" not in plan and {r.other: r.same for r in equal_pairs(pairs, str(tmp_path), 1 << 20).collect()} == {"b": True, "d": False}
+
+
+def test_walk_of_a_flat_folder_in_rounds(spark, tmp_path):
+    from twinspark.sources.config import load_ignore
+    from twinspark.sources.inventory import names_below
+
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(100_000):
+        os.mknod(flat / f"f{i}")
+    for i in range(40):
+        put(tmp_path, **{f"tree__{i % 7}__{i}__deep__x.log": "1", f"tree__{i % 7}__{i}__y": "2"})
+    put(tmp_path, skip__me="3", **{".twinspark__ignore": "*.log\nskip/\n"})
+    os.chmod(tmp_path / "skip", 0o000)  # an ignored folder is never opened
+    rules = load_ignore(str(tmp_path))
+    for enough in (50, 20_000):
+        names = names_below(spark, str(tmp_path), True, rules, enough)
+        assert names.count() == 100_040 and names.distinct().count() == 100_040 and names.where("path like 'tree/%/y'").count() == 40
+    assert names.agg(F.max(F.length("path"))).first()[0] < 20
+    os.chmod(tmp_path / "skip", 0o755)
+    assert names_below(spark, str(tmp_path), False).count() == 0 and stamped_inventory(spark, str(flat)).count() == 100_000
+
+
+def test_report_opens_no_file(spark, tmp_path):
+    """After the scan, files may be gone: the report is written from what the scan found."""
+    from twinspark.operators.dedup import write_report
+
+    root = str(tmp_path / "w")
+    initialize_workspace(root)
+    put(root, a="same", b="same", c="alone", d="also alone")
+    found = scan(spark, root)
+    for name in "abcd":
+        os.remove(f"{root}/{name}")
+    write_report(found.files, f"{tmp_path}/report", True, found.groups)
+    lines = sorted(line for p in Path(f"{tmp_path}/report").glob("part-*") for line in p.read_text().splitlines())
+    assert lines == ['0\t"c"', '0\t"d"', '1\t"a"', '1\t"b"']
+
+
+def test_generations(spark, tmp_path):
+    from twinspark.plans.scan import StateTable
+
+    initialize_workspace(str(tmp_path))
+    one, two = (StateTable(spark, str(tmp_path), "setup", "a long") for _ in range(2))
+    rows = spark.range(2).withColumnRenamed("id", "a")
+    (one.folder / "gen=1").mkdir(parents=True)  # another writer is at work on it
+    assert one.commit(rows) == 2 and two.commit(rows) == 3 and two.read().count() == 2
+    assert one.commit(two.read().limit(1)) == 4 and one.read().count() == 1
+    assert sorted(p.name for p in one.folder.glob("gen=*")) == ["gen=1", "gen=3", "gen=4"] and not list(one.folder.glob("current.json.*"))
+
+
 def test_unsafe_state_files(spark, tmp_path):
     from twinspark.plans.scan import StateTable, regular_state
 

@@ -78,16 +78,14 @@ def main(args: list[str] | None = None) -> int:
                     print(f"{root}/{row.path}")
         else:
             from twinspark.operators.dedup import write_report
+            from twinspark.plans.report import pretty
             from twinspark.plans.scan import scan, summary
             from twinspark.sources.config import use_color
-            from twinspark.sources.inventory import with_content
-
-            from twinspark.plans.report import pretty
 
             spark, began = session(), time.monotonic()
             found = scan(spark, given.root, rehash=given.rehash)
             if given.output:
-                write_report(with_content(found.files, given.root), given.output, given.unmatched)
+                write_report(found.files, given.output, given.unmatched, found.groups)
             print(summary(spark, found.counters), file=sys.stderr)
             print(pretty(spark, found.counters, time.monotonic() - began, use_color("auto", sys.stdout.isatty(), "NO_COLOR" in os.environ)))
     except Exception as error:

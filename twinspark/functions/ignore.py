@@ -48,7 +48,7 @@ def parse_rules(text: str) -> list[Rule]:
 
 
 @lru_cache(maxsize=4)
-def _automaton(rules: tuple[Rule, ...]) -> RuleAutomaton:
+def automaton(rules: tuple[Rule, ...]) -> RuleAutomaton:
     """Once a Python worker and list of rules."""
     return RuleAutomaton(rules, STATE_DIR)
 
@@ -62,7 +62,7 @@ def is_ignored(rules: list[Rule], path: Column, is_dir: Column | bool = False) -
 
     @F.arrow_udf("boolean")
     def run(paths: pa.Array, folders: pa.Array) -> pa.Array:
-        judge = _automaton(shipped).ignored
+        judge = automaton(shipped).ignored
         return pa.array([None if p is None else judge(p, bool(d)) for p, d in zip(paths.to_pylist(), folders.to_pylist(), strict=True)], pa.bool_())
 
     return run(path, F.lit(is_dir) if isinstance(is_dir, bool) else is_dir)

@@ -61,21 +61,22 @@ def numbered(groups: DataFrame) -> DataFrame:
 
 def unique_files(files: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The files without a copy; groups: what matches() gave for them, if that is known."""
-    return files.join((groups or matches(files)).select(F.col("member").alias("path")), "path", "left_anti")
+    return files.join((matches(files) if groups is None else groups).select(F.col("member").alias("path")), "path", "left_anti")
 
 
-def report_lines(files: DataFrame, unmatched: bool = True) -> DataFrame:
-    """group_number, path, line: the TSV report's rows; group 0 has files without copies."""
-    groups = matches(files)
+def report_lines(files: DataFrame, unmatched: bool = True, groups: DataFrame | None = None) -> DataFrame:
+    """group_number, path, line: the TSV report's rows; group 0 has files without copies. groups: what matches() gave
+    for files, if that is known; then nothing but their paths is read."""
+    groups = matches(files) if groups is None else groups
     rows = numbered(groups).select("group_number", F.col("member").alias("path"))
     if unmatched:
         rows = rows.unionByName(unique_files(files.select("path"), groups).select(F.lit(0).cast("long").alias("group_number"), "path"))
     return rows.withColumn("line", F.concat(F.col("group_number").cast("string"), F.lit("\t"), quoted_path(F.col("path"))))
 
 
-def write_report(files: DataFrame, path: str, unmatched: bool = False) -> None:
+def write_report(files: DataFrame, path: str, unmatched: bool = False, groups: DataFrame | None = None) -> None:
     """The report as text files in group and path order, one range of groups a file."""
-    report_lines(files, unmatched).repartitionByRange("group_number", "path").sortWithinPartitions("group_number", "path").select("line").write.mode("errorifexists").text(path)
+    report_lines(files, unmatched, groups).repartitionByRange("group_number", "path").sortWithinPartitions("group_number", "path").select("line").write.mode("errorifexists").text(path)
 
 
 def scan_counters(inventory: DataFrame, cached: DataFrame, groups: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from twinspark.functions.ignore import is_ignored
 from twinspark.functions.scalars import human_bytes
 from twinspark.operators import cache, dedup
 from twinspark.schema import STAMP
 from twinspark.sources.config import Config, load_ignore
-from twinspark.sources.inventory import stamped_inventory, with_content, with_digest
+from twinspark.sources.blocks import equal_files, with_digest
+from twinspark.sources.inventory import stamped, stamped_inventory
 from twinspark.storage import materialized, scratch
 
 CACHED = f"path string, {', '.join(f'{c} {"bigint" if c == "size" else "string"}' for c in STAMP)}, digest string"
@@ -57,13 +58,28 @@ class StateTable:
         return reader.parquet(f"file://{self.folder.resolve()}/gen={n}") if n else self.spark.createDataFrame([], self.schema)
 
     def commit(self, rows: DataFrame) -> int:
-        """The next generation; what rows do not hold is gone with the old one."""
-        n = self.generation() + 1
+        """The next generation; what rows do not hold is gone with the old one.
+
+        Its number is taken by making its folder, so two writers never share one; the manifest only moves forward. The
+        generation before stays for those who read it, older ones are removed."""
+        before = self.generation()
+        self.folder.mkdir(parents=True, exist_ok=True)
+        n = 1 + max((int(p.name.removeprefix("gen=")) for p in self.folder.glob("gen=*")), default=before)
+        while True:
+            try:
+                (self.folder / f"gen={n}").mkdir()
+                break
+            except FileExistsError:
+                n += 1
         names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
-        rows.select(*names).write.mode("overwrite").parquet(f"file://{self.folder.resolve()}/gen={n}")
-        temporary = self.folder / "current.json.new"
-        temporary.write_text(json.dumps({"generation": n}))
-        os.replace(temporary, self.folder / "current.json")
+        rows.select(*names).write.mode("append").parquet(f"file://{self.folder.resolve()}/gen={n}")
+        if self.generation() < n:
+            temporary = self.folder / f"current.json.{n}"
+            temporary.write_text(json.dumps({"generation": n}))
+            os.replace(temporary, self.folder / "current.json")
+        for old in self.folder.glob("gen=*"):  # those that are being written have no mark of success yet
+            if int(old.name.removeprefix("gen=")) < before and (old / "_SUCCESS").exists():
+                shutil.rmtree(old, ignore_errors=True)
         return n
 
 
@@ -81,8 +97,7 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, rehash: b
     files are opened and hashed, all of them with rehash. The cache commits before groups are compared, for which the
     candidates alone are read; a member that changed meanwhile fails the scan."""
     config = config or Config.load(Path(root) / ".twinspark" / "config.toml")
-    inventory = stamped_inventory(spark, root, config.recursive)
-    inventory = materialized(inventory.where(~is_ignored(load_ignore(root), F.col("path"))))
+    inventory = stamped_inventory(spark, root, config.recursive, load_ignore(root))
     state = StateTable(spark, root)
     hits, misses = inventory.limit(0).withColumn("digest", F.lit("")), inventory
     for known in () if rehash else (state.read(), archived(spark, root)):
@@ -95,8 +110,9 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, rehash: b
     state.commit(files)
 
     candidates = dedup.dup_candidates(files).select("path", "size", "digest")
-    groups = dedup.matches(materialized(with_content(candidates, root)))
-    cache.fail_if_any(cache.changed_members(files.join(groups.select(F.col("member").alias("path")), "path", "left_semi"), stamped_inventory(spark, root, config.recursive)), "a member changed during the scan")
+    groups = equal_files(candidates, root)
+    members = files.join(groups.select(F.col("member").alias("path")), "path", "left_semi")
+    cache.fail_if_any(cache.changed_members(members, stamped(members, root)), "a member changed during the scan")
     counters = dedup.scan_counters(inventory, hits, groups).first().asDict()
     return Scan(files, groups, counters)
 

@@ -1,29 +1,26 @@
 """Directory inventory: (path, size, identity, modified, changed[, content]) of regular files, links left out.
 
 spark.read's binaryFile gives paths, sizes and contents of any store that Spark reads. Where inode and change time are
-wanted, a Python data source lists a file system that driver and executors share: its partitions are the top-level
-entries, each walked by one task; any error ends the scan, nothing is skipped.
+wanted, tasks walk a file system that driver and executors share: folders are rows, a task lists what its folders hold
+and goes down into it until it has met enough, and what it has not opened are the folders of the next round. Names are
+rows from the start and never come to the driver. Any error ends the walk, nothing is skipped.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
-import stat as mode
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from twinspark.functions.blake3 import blake3
-from twinspark.storage import ship
+from twinspark.functions.ignore import Rule, automaton
+from twinspark.storage import dropped, materialized, scratch, ship
 
-BLOCK = 1 << 20  # of a file that is hashed
-PARTS, DEEP = 256, 4  # tasks of a listing, and how many levels the driver opens to make them
+#: Entries after which a task leaves further folders to the next round, and rows that it hands over at once.
+ENOUGH, ROWS = 20_000, 2_000
 STAMPED = "path string, size bigint, identity string, modified string, changed string"
 
 
@@ -34,54 +31,72 @@ def stamp(path: str) -> tuple[int, str, str, str]:
     return s.st_size, f"{s.st_dev}:{s.st_ino}", nano(s.st_mtime_ns), nano(s.st_ctime_ns)
 
 
-class StampReader(DataSourceReader):
-    def __init__(self, root: str, recursive: bool):
-        self.root, self.recursive = root, recursive
+def tasks_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def partitions(self) -> list[InputPartition]:
-        """Folders are opened here, breadth first, until there are PARTS entries or only files and deep ones are left;
-        each task then walks a share of the entries."""
-        entries, folders, depth = [], [""], 0
-        while folders and len(entries) + len(folders) < PARTS and depth < (DEEP if self.recursive else 1):
-            below = []
-            for folder in folders:
-                with os.scandir(os.path.join(self.root, folder)) as found:
-                    for e in found:
-                        (below if e.is_dir(follow_symlinks=False) else entries).append(f"{folder}/{e.name}" if folder else e.name)
-            folders, depth = below, depth + 1
-        entries = sorted(entries + folders) if self.recursive or depth else []
-        return [InputPartition(entries[i::PARTS]) for i in range(min(PARTS, len(entries)))] or [InputPartition([])]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        pending = list(partition.value)
-        while pending:
-            relative = pending.pop()
-            full = os.path.join(self.root, relative)
-            kind = os.lstat(full).st_mode
-            if mode.S_ISDIR(kind):
-                if self.recursive:
-                    pending += (f"{relative}/{n}" for n in os.listdir(full))
-            elif mode.S_ISREG(kind):  # links and special files are no entries
-                yield (relative, *stamp(full))
+def names_below(spark: SparkSession, root: str, recursive: bool = True, rules: list[Rule] | None = None, enough: int = ENOUGH) -> DataFrame:
+    """path of each regular file below root that the rules do not ignore; ignored folders are not opened. A stored table.
 
+    One round lists the folders that are left, dealt out anew, so a folder of any size is one task's stream and trees of
+    many folders spread over all tasks. There are as many rounds as it takes with `enough` entries a task and round."""
+    ship(spark)
+    shipped, home = None if rules is None else tuple(rules), scratch(spark)
 
-class StampSource(DataSource):
-    """spark.read.format("stamped").option("recursive", "true").load(folder)"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "stamped"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = automaton(shipped).ignored if shipped is not None else lambda path, is_dir: False
+        met, rows = 0, []
+        for batch in batches:
+            pending = batch.column("path").to_pylist()
+            while pending:
+                folder = pending.pop()
+                if met > enough:
+                    rows.append((folder, True))
+                    continue
+                with os.scandir(os.path.join(root, folder)) as found:
+                    for entry in found:
+                        met += 1
+                        path = f"{folder}/{entry.name}" if folder else entry.name
+                        if entry.is_dir(follow_symlinks=False):
+                            if recursive and not judge(path, True):
+                                (rows if met > enough else pending).append((path, True) if met > enough else path)
+                        elif entry.is_file(follow_symlinks=False) and not judge(path, False):
+                            rows.append((path, False))
+                        if len(rows) >= ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["path", "folder"])
+                            rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["path", "folder"])
+
+    left, number, rounds = spark.createDataFrame([("",)], "path string"), 0, []
+    while True:
+        rounds.append(materialized(left.mapInArrow(run, "path string, folder boolean"), f"{home}/round-{number}"))
+        left = rounds[-1].where("folder").select("path")
+        if left.isEmpty():
+            break
+        left, number = left.repartition(tasks_of(spark), "path"), number + 1
+    return spark.read.schema("path string, folder boolean").parquet(*(f"{home}/round-{i}" for i in range(number + 1))).where("not folder").select("path")
+
+
+def stamped(paths: DataFrame, root: str) -> DataFrame:
+    """The stamps of the files that `path` names, from root; paths are dealt out anew, a file that is gone is an error."""
+    ship(paths.sparkSession)
 
-    def schema(self) -> str:
-        return STAMPED
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [stamp(os.path.join(root, p)) for p in batch.column("path").to_pylist()]
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), *[pa.string()] * 3))]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *columns], names=["path", "size", "identity", "modified", "changed"])
 
-    def reader(self, schema) -> DataSourceReader:
-        return StampReader(self.options["path"], self.options.get("recursive", "true") == "true")
+    return paths.select("path").repartition(tasks_of(paths.sparkSession), "path").mapInArrow(run, STAMPED)
 
 
-def stamped_inventory(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    spark.dataSource.register(StampSource)
-    return spark.read.format("stamped").option("recursive", str(recursive).lower()).load(root)
+def stamped_inventory(spark: SparkSession, root: str, recursive: bool = True, rules: list[Rule] | None = None) -> DataFrame:
+    """The regular files below root, without those that the rules ignore, with their stamps. A stored table."""
+    names = names_below(spark, root, recursive, rules)
+    out = materialized(stamped(names, root))
+    dropped(spark, names)
+    return out
 
 
 def binary_inventory(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -94,44 +109,6 @@ def binary_inventory(spark: SparkSession, root: str, recursive: bool = True) ->
     return raw.select(relative.alias("path"), F.col("length").alias("size"), F.lit("").alias("identity"), F.col("modificationTime").cast("string").alias("modified"), F.lit("").alias("changed"), "content")
 
 
-def _read(files: DataFrame, root: str, value: Callable[[str], object], kind: pa.DataType, name: str) -> DataFrame:
-    """files with a column made of each file below root, which driver and executors share. Only these files are opened,
-    and a file that cannot be read fails the job. Paths are dealt out anew, as neighbours are often of one size."""
-    ship(files.sparkSession)
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                made = pa.array([value(os.path.join(root, p)) for p in batch.column("path").to_pylist()], kind)
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
-
-    schema = StructType([*files.schema.fields, StructField(name, StringType() if kind == pa.string() else BinaryType())])
-    return files.repartition(n, "path").mapInArrow(run, schema)
-
-
-def with_content(files: DataFrame, root: str) -> DataFrame:
-    """files (path) with content; each file is one cell, so this is for candidates of comparison and not for hashing."""
-    return _read(files, root, lambda path: Path(path).read_bytes(), pa.binary(), "content")
-
-
-def with_digest(files: DataFrame, root: str, digest: str = "sha256") -> DataFrame:
-    """files (path) with the hexadecimal digest of each, read block by block, so files may be of any size. A BLAKE3 tree
-    takes the file whole."""
-
-    def of(path: str) -> str:
-        if digest == "blake3":
-            return blake3(Path(path).read_bytes()).hex()
-        state = hashlib.sha256()
-        with open(path, "rb") as f:
-            while block := f.read(BLOCK):
-                state.update(block)
-        return state.hexdigest()
-
-    return _read(files, root, of, pa.string(), "digest")
-
-
 def discover_workspaces(root: str, recursive: bool = False, skip: str | None = None) -> list[str]:
     """Folders with a state folder below root, sorted, once each, without `skip`; none is an error."""
     top = Path(root)

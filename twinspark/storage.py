@@ -38,6 +38,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/twinspark-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files of scratch tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for folder in {os.path.dirname(f) for t in tables for f in t.inputFiles()}:
+        there = jvm.org.apache.hadoop.fs.Path(folder)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def materialized(df: DataFrame, path: str | None = None) -> DataFrame:
     """df written as a table and read again: steps that use it twice compute it once, and survive a lost executor."""
     path = path or scratch(df.sparkSession)
