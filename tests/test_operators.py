@@ -74,9 +74,8 @@ def test_archive_union(spark):
 
 def test_event_cap_and_retention(spark):
     events = spark.createDataFrame([(i, "r") for i in range(100)], "event_id long, run_id string")
-    kept, counts = telemetry.event_cap(events, 4)
-    row = counts.first()
-    assert kept.count() == 4 and (row.accepted, row.dropped) == (4, 96)
+    row = telemetry.cap_counts(events, 4).first()
+    assert sorted(r.event_id for r in telemetry.capped_events(events, 4).collect()) == [0, 1, 2, 3] and (row.accepted, row.dropped) == (4, 96)
     runs = spark.createDataFrame([(str(i), i, i) for i in range(6)], "run_id string, started_unix_ns long, row_id long")
     assert {r.run_id for r in telemetry.retained(runs, 3, "0").collect()} == {"0", "5", "4"}
     assert telemetry.latest_run(runs, by_start=False).first().run_id == "5" and telemetry.latest_run(runs.limit(0)).count() == 0

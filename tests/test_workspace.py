@@ -226,21 +226,68 @@ def test_unsafe_state_files(spark, tmp_path):
         table.read()
 
 
-def test_stream_keeps_runs(spark, tmp_path):
-    """Counts go on over batches through the state table; the state keeps the latest runs."""
-    from twinspark.streaming.telemetry_stream import events_stream, read_events, write_events
-
-    schema = "event_id long, run_id string"
-    for k, runs in enumerate((["a", "a", "b"], ["a", "c", "c", "c"], ["d"])):
-        spark.createDataFrame([(10 * k + i, r) for i, r in enumerate(runs)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        source = events_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
-        write_events(source, f"{tmp_path}/out", f"{tmp_path}/check", cap=2, keep_runs=2).awaitTermination()
-    state = spark.read.parquet(f"{tmp_path}/out_state/batch=2")
-    assert {(r.run_id, r.have, r.last_batch) for r in state.collect()} == {("d", 1, 2), ("c", 2, 1)}
-    drops = spark.read.parquet(f"{tmp_path}/out_drops/batch=1")
-    assert {(r.run_id, r.accepted, r.dropped) for r in drops.collect()} == {("a", 0, 1), ("c", 2, 1)}
-    held = read_events(spark, f"{tmp_path}/out", spark.createDataFrame([], schema).schema, 2)
-    assert sorted((r.run_id, r.event_id) for r in held.collect()) == [("c", 11), ("c", 12), ("d", 20)]
+EVENT = "event_id long, run_id string, time_ns long"
+
+
+def run_batches(spark, folder, batches, **options):
+    """Each batch is added to the stream's folder and taken by a query that starts anew from the checkpoint."""
+    from twinspark.streaming.telemetry_stream import events_stream, write_events
+
+    schema = spark.createDataFrame([], EVENT).schema
+    for rows in batches:
+        spark.createDataFrame(rows, EVENT).repartition(2).write.mode("append").parquet(f"{folder}/in")
+        write_events(events_stream(spark, f"{folder}/in", schema), f"{folder}/out", f"{folder}/check", start="time_ns", **options).awaitTermination()
+    return schema
+
+
+def test_stream_caps_each_run(spark, tmp_path):
+    from twinspark.streaming.telemetry_stream import read_events, read_runs
+
+    batches = [[(0, "a", 5), (1, "a", 4), (2, "b", 9)], [(10, "a", 1), (11, "c", 7), (13, "c", 7), (12, "c", 8)], [(20, "d", 6)]]
+    schema = run_batches(spark, tmp_path, batches, cap=2)
+    assert sorted((r.run_id, r.event_id) for r in read_events(spark, f"{tmp_path}/out", schema).collect()) == [("a", 0), ("a", 1), ("b", 2), ("c", 11), ("c", 12), ("d", 20)]
+    runs = {r.run_id: (r.accepted, r.dropped, r.started_unix_ns) for r in read_runs(spark, f"{tmp_path}/out").collect()}
+    assert runs == {"a": (2, 1, 4), "b": (1, 0, 9), "c": (2, 1, 7), "d": (1, 0, 6)}  # the start is the first batch's
+    run_batches(spark, tmp_path, [[(30, "a", 0)]], cap=2)  # a restart goes on from the state
+    assert {r.run_id: (r.accepted, r.dropped) for r in read_runs(spark, f"{tmp_path}/out").collect()}["a"] == (2, 2)
+
+
+def test_stream_keeps_newest_runs_and_the_current_one(spark, tmp_path):
+    """Retention goes by start; a run that arrives last stays although its clock was set back."""
+    from twinspark.streaming.telemetry_stream import kept_runs, read_events, read_runs
+
+    schema = run_batches(spark, tmp_path, [[(1, "later", 2000), (2, "old", 500)], [(3, "earlier", 1000)]], cap=9)
+    held = lambda keep: sorted(r.run_id for r in kept_runs(read_runs(spark, f"{tmp_path}/out"), keep).collect())
+    assert held(1) == ["earlier"] and held(2) == ["earlier", "later"] and held(3) == ["earlier", "later", "old"]
+    assert [(r.event_id, r.run_id) for r in read_events(spark, f"{tmp_path}/out", schema, 1).collect()] == [(3, "earlier")]
+    assert kept_runs(read_runs(spark, f"{tmp_path}/out").limit(0), 2).count() == 0
+
+
+def test_generations_as_a_stream(spark, tmp_path):
+    from twinspark.streaming.snapshot_stream import changes_stream
+
+    root = str(tmp_path / "w")
+    initialize_workspace(root)
+    folder = f"{root}/.twinspark/state"
+
+    def taken():
+        out = changes_stream(spark, folder).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        out.awaitTermination()
+        return sorted((r.generation, r.change, r.path) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    put(root, a="one", b="two", c="three")
+    scan(spark, root)
+    first = [(1, "added", p) for p in "abc"]
+    assert taken() == first
+    put(root, b="2222", d="new")
+    os.remove(f"{root}/c")
+    scan(spark, root)
+    scan(spark, root)  # nothing changed
+    second = [(2, "added", "d"), (2, "changed", "b"), (2, "gone", "c")]
+    assert taken() == first + second and taken() == first + second  # restarted: each change once
+    put(root, e="x")
+    scan(spark, root)
+    assert taken() == first + second + [(4, "added", "e")]
 
 
 def test_config(tmp_path):
@@ -265,19 +312,16 @@ def test_records(spark, tmp_path):
     assert [tuple(x) for x in row.x] == [("run.a", 1.0), ("ms", 2.5)]
 
 
-def test_stream(spark, tmp_path):
-    from twinspark.streaming.telemetry_stream import events_stream, windowed_counts, write_events
+def test_stream_of_many_files(spark, tmp_path):
+    from twinspark.streaming.telemetry_stream import events_stream, read_events, read_runs, windowed_counts, write_events
 
-    source = spark.createDataFrame([(i, str(i % 3)) for i in range(30)], "event_id long, run_id string")
+    source = spark.createDataFrame([(i, str(i % 3), i) for i in range(30)], EVENT)
     source.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = events_stream(spark, f"{tmp_path}/in", source.schema, 1)
-    query = write_events(stream, f"{tmp_path}/out", f"{tmp_path}/check", cap=4)
-    query.awaitTermination()
-    kept = spark.read.option("recursiveFileLookup", True).schema(source.schema).parquet(f"{tmp_path}/out")
+    write_events(stream, f"{tmp_path}/out", f"{tmp_path}/check", cap=4).awaitTermination()
+    kept = read_events(spark, f"{tmp_path}/out", source.schema)
     assert kept.groupBy("run_id").count().where("count <> 4").count() == 0 and kept.count() == 12
-    drops = spark.read.option("recursiveFileLookup", True).schema("run_id string, accepted long, dropped long").parquet(f"{tmp_path}/out_drops")
-    row = drops.agg(F.sum("accepted"), F.sum("dropped")).first()
-    assert tuple(row) == (12, 18)
+    assert tuple(read_runs(spark, f"{tmp_path}/out").agg(F.sum("accepted"), F.sum("dropped")).first()) == (12, 18)
     timed = spark.readStream.schema("ts timestamp, event_type string").parquet(f"{tmp_path}/in")
     assert windowed_counts(timed).isStreaming
 

@@ -7,18 +7,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.operators.ordered import in_parts
+from twinspark.operators import selection
+from twinspark.operators.ordered import row_positions
 from twinspark.storage import materialized, ship
 
 RESAMPLES, GATE, LEAST_TRIALS = 10_000, 1.02, 7
+#: Pairs that are drawn from together; a power of two.
+DRAWN = 1024
 
 
 def medians(trials: DataFrame, keys: list[str], value: str, trial: str, expected: list[int]) -> DataFrame:
-    """count, median, min, max a key, and whether exactly the expected trials are there."""
-    want = F.array(*(F.lit(t).cast("long") for t in expected))
-    return trials.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"), (F.sort_array(F.collect_list(F.col(trial).cast("long"))) == want).alias("complete")
-    )
+    """count, median, min, max a key, and whether exactly the expected trials are there. keys are not null."""
+    once = F.count(F.lit(1)) == len(expected)
+    for t in expected:
+        once = once & (F.count_if(F.col(trial) == t) == 1)
+    rest = trials.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), once.alias("complete"))
+    return rest.join(selection.medians(trials, keys, {"median": value}), keys).select(*keys, "n", "median", "low", "high", "complete")
 
 
 def paired(trials: DataFrame, keys: list[str], trial: str, arm: str, value: str, treatment: str, control: str) -> DataFrame:
@@ -29,30 +33,42 @@ def paired(trials: DataFrame, keys: list[str], trial: str, arm: str, value: str,
 
 
 def paired_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.avg("ratio").alias("mean_ratio"), F.median("ratio").alias("median_ratio"), F.avg("delta").alias("mean_delta"), F.median("delta").alias("median_delta"))
+    means = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.avg("ratio").alias("mean_ratio"), F.avg("delta").alias("mean_delta"))
+    middle = selection.medians(pairs, keys, {"median_ratio": "ratio", "median_delta": "delta"})
+    return means.join(middle, keys).select(*keys, "pairs", "mean_ratio", "median_ratio", "mean_delta", "median_delta")
+
+
+def draws_of_block(n: int, block: int, resamples: int, seed: int) -> np.ndarray:
+    """How many of each resample's n draws from n pairs fall to one block of DRAWN pairs (the last may be shorter).
+
+    A range of blocks is halved again and again; how many of its draws go left is a binomial draw by a generator of that
+    range, which is the same for whoever asks, so all blocks agree and each walks down to its own."""
+    held, low, high = np.full(resamples, n), 0, -(-n // DRAWN)
+    while high - low > 1:
+        middle = (low + high) // 2
+        size, left = min(n, high * DRAWN) - low * DRAWN, (middle - low) * DRAWN
+        to_left = np.random.default_rng([seed, low, high]).binomial(held, left / size)
+        held, low, high = (to_left, low, middle) if block < middle else (held - to_left, middle, high)
+    return held
 
 
 def bootstrap_upper(pairs: DataFrame, keys: list[str], seed: int = 1, resamples: int = RESAMPLES) -> DataFrame:
     """keys, pairs, upper (one-sided 95 % bound of the mean ratio over `resamples` draws with replacement), gate.
 
-    A group may have any number of pairs. Its rows lie in parts; how many of a resample's draws fall into each part is
-    one multinomial draw, which every part makes alike from the seed and the parts' sizes, and then draws its own. Only
-    sums, `resamples` numbers a group and part, are shuffled. The same pairs give the same result whatever their order,
-    as long as the partitioning is the same. keys are not null."""
+    A group may have any number of pairs. They are numbered in the order of their ratios and drawn from in blocks of
+    DRAWN; generators go by block and range of blocks, see draws_of_block, so the result depends on the pairs and the
+    seed alone and not on how rows lie in partitions. Each block gives `resamples` sums, which meet in each task before
+    they are shuffled. keys are not null."""
     spark = pairs.sparkSession
     ship(spark)
-    parts = in_parts(pairs.select(*keys, "ratio"), keys, ["ratio"]).select(*keys, "_part", "ratio")
-    sizes = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("n"))
-    layout = materialized(sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_part", "n"))).alias("layout"), F.sum("n").alias("pairs")))
-    rows = parts.join(layout.select(*keys, "layout"), keys)
+    rows = row_positions(pairs.select(*keys, "ratio").where("ratio is not null"), keys, ["ratio"], "_rank").withColumn("_block", F.expr(f"(_rank - 1) div {DRAWN}"))
+    rows = materialized(rows.select(*keys, "ratio", "_block"))
+    sizes = materialized(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs")))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        held = list(frame["layout"].iloc[0])
-        counts = np.array([x["n"] for x in held], float)
-        mine = [x["_part"] for x in held].index(key[-1])
-        share = np.random.default_rng([seed, 0]).multinomial(int(counts.sum()), counts / counts.sum(), resamples)[:, mine]
-        ratios, own, sums = np.sort(frame["ratio"].to_numpy()), np.random.default_rng([seed, 1, int(key[-1])]), np.zeros(resamples)
-        at, most = 0, max(1, (1 << 22) // max(1, len(ratios)))
+        block, ratios = int(key[-1]), np.sort(frame["ratio"].to_numpy())
+        share, own, sums = draws_of_block(int(frame["pairs"].iloc[0]), block, resamples, seed), np.random.default_rng([seed, block]), np.zeros(resamples)
+        most = max(1, (1 << 22) // len(ratios))
         for at in range(0, resamples, most):
             part = share[at : at + most]
             drawn = ratios[own.integers(0, len(ratios), int(part.sum()))]
@@ -60,8 +76,8 @@ def bootstrap_upper(pairs: DataFrame, keys: list[str], seed: int = 1, resamples:
         return pd.DataFrame({**dict(zip(keys, key, strict=False)), "resample": np.arange(resamples), "total": sums})
 
     kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    drawn = rows.groupBy(*keys, "_part").applyInPandas(run, f"{kinds}, resample int, total double")
-    means = drawn.groupBy(*keys, "resample").agg(F.sum("total").alias("total")).join(layout.select(*keys, "pairs"), keys).withColumn("mean", F.col("total") / F.col("pairs"))
+    drawn = rows.join(sizes, keys).groupBy(*keys, "_block").applyInPandas(run, f"{kinds}, resample int, total double")
+    means = drawn.groupBy(*keys, "resample").agg(F.sum("total").alias("total")).join(sizes, keys).withColumn("mean", F.col("total") / F.col("pairs"))
     found = means.groupBy(*keys, "pairs").agg(F.sort_array(F.collect_list("mean"))[int(0.95 * (resamples - 1))].alias("upper"))  # `resamples` numbers a group
     gate = F.when(F.col("pairs") < LEAST_TRIALS, "insufficient_trials").when(F.col("upper") <= GATE, "pass").otherwise("not_demonstrated")
     return found.select(*keys, "pairs", "upper", gate.alias("gate"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from twinspark.functions.scalars import bucket_range, features, latency_bucket, size_band, valid_observation
 from twinspark.operators.cache import fail_if_any
-from twinspark.operators.ordered import in_parts
+from twinspark.operators.ordered import in_parts, row_positions, running
 from twinspark.storage import materialized, ship
 
 ALPHA = 0.125
@@ -143,14 +143,18 @@ def with_features(observations: DataFrame) -> DataFrame:
     return rows.select("*", *(F.col("x")[i].alias(f"x{i}") for i in range(4))).drop("x")
 
 
-def moments(observations: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
-    """Sufficient statistics a key, one partial row a task: upper triangle of XtX, Xty, yty, weight, samples, min and max."""
-    rows = with_features(observations)
+def _sums(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Sufficient statistics of rows with x0..x3 and ms."""
     sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"xtx{i}{j}") for i in range(4) for j in range(i, 4)] + [F.sum(F.col(f"x{i}") * F.col("ms")).alias(f"xty{i}") for i in range(4)]
     spread = [f(f"x{i}").alias(f"{n}{i}") for n, f in (("min", F.min), ("max", F.max)) for i in range(4)]
     return rows.groupBy(*keys).agg(*sums, F.sum(F.col("ms") * F.col("ms")).alias("yty"), F.sum(F.lit(1.0)).alias("weight"), F.count(F.lit(1)).alias("samples"), *spread)
 
 
+def moments(observations: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
+    """Sufficient statistics a key, one partial row a task: upper triangle of XtX, Xty, yty, weight, samples, min and max."""
+    return _sums(with_features(observations), keys)
+
+
 def decayed(parts: DataFrame, factor: Column | float) -> DataFrame:
     """Sums and weight scaled; samples and ranges stay."""
     factor = F.lit(factor) if isinstance(factor, float) else factor
@@ -237,6 +241,43 @@ def predict(contexts: DataFrame, fits: DataFrame, keys: tuple[str, ...] = ("back
     return rows.select(*contexts.columns, F.when((ms > 0) & (ms <= 1e9), ms).alias("predicted_ms"), "residual", outside.alias("out_of_domain"))
 
 
+#: A model is solved anew after each of its first FIRST observations, and after each EVERY-th.
+FIRST, EVERY = 4, 16
+
+
+def prequential(observations: DataFrame, order: list[str], keys: tuple[str, ...] = ("backend",), prior: DataFrame | None = None) -> DataFrame:
+    """The valid observations with n (their number in the key's order) and the prediction that was made before each of
+    them: predicted_ms (null where there was none), residual and out_of_domain, see predict.
+
+    Observations between two solutions are summed first, and the running sums of these, a row for up to EVERY
+    observations, are the states that are solved; each observation joins the last solution before it. A state that
+    cannot be solved leaves the solution before it in place. prior: states (keys and moments) that count from the start
+    and give the first solution. order tells the rows of a key apart; keys are not null."""
+    ship(observations.sparkSession)
+    stop, last = f"if(n <= {FIRST}, n, (n + {EVERY - 1}) div {EVERY} * {EVERY})", f"if(n <= {EVERY}, least(n - 1, {FIRST}L), (n - 1) div {EVERY} * {EVERY})"
+    placed = materialized(row_positions(with_features(observations), list(keys), order, "n").withColumn("stop", F.expr(stop)))
+    state = [*MOMENTS, "samples", *(f"{n}{i}" for n in ("min", "max") for i in range(4))]
+    steps = _sums(placed, (*keys, "stop"))
+    sums = running(steps, list(keys), ["stop"], {c: ("sum" if c in MOMENTS or c == "samples" else c[:3], c) for c in state}).where(F.col("samples") == F.col("stop"))
+    if prior is not None:
+        sums = merged_into(sums, prior.select(*keys, *state), [*keys, "stop"], keys)
+        sums = sums.unionByName(prior.select(*keys, F.lit(0).cast("long").alias("stop"), *state))
+    sums = materialized(sums)
+    fits = materialized(fit(sums, (*keys, "stop")))
+    asked = placed.drop("stop", *(f"x{i}" for i in range(4))).withColumn("stop", F.expr(last))
+    if fits.count() < sums.count():  # some have no solution: the last one before them stays
+        valid = fits.select(*keys, "stop", F.col("stop").alias("solved"))
+        known = running(sums.select(*keys, "stop").join(valid, [*keys, "stop"], "left"), list(keys), ["stop"], {"solved": ("max", "solved")})
+        asked = asked.join(known, [*keys, "stop"], "left").drop("stop").withColumnRenamed("solved", "stop")
+    return predict(asked, fits, (*keys, "stop")).drop("stop")
+
+
+def merged_into(states: DataFrame, addition: DataFrame, keys: list[str], on: tuple[str, ...]) -> DataFrame:
+    """states, each with the addition of the same `on` summed in; both have moments, keys tell the states apart."""
+    both = states.select(*keys, *addition.drop(*on).columns).unionByName(states.select(*keys).join(addition, list(on)).select(*keys, *addition.drop(*on).columns))
+    return merged(both, tuple(keys))
+
+
 def prediction_error(predicted: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
     """n, sum |e|, sum e^2, mean |e|, out of domain count of rows with ms and predicted_ms."""
     e = F.col("ms") - F.col("predicted_ms")

@@ -36,10 +36,37 @@ def row_positions(df: DataFrame, keys: list[str], order: list[str], name: str) -
     return out.select(*df.columns, name)
 
 
+#: How the parts of a running value come together, and what it is called here.
+_RUNNING = {"sum": (F.sum, lambda own, before: own + F.coalesce(before, F.lit(0))), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with, for each name of values, the (sum, min or max) of (a column) over the group's rows up to this one."""
+    parts = in_parts(df, keys, order)
+    totals = parts.groupBy(*keys, "_part").agg(*(_RUNNING[how][0](column).alias(f"_t{i}") for i, (how, column) in enumerate(values.values())))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "_part", *(_RUNNING[how][0](f"_t{i}").over(earlier).alias(f"_b{i}") for i, (how, _) in enumerate(values.values())))
+    here = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    own = parts.select("*", *(_RUNNING[how][0](column).over(here).alias(f"_o{i}") for i, (how, column) in enumerate(values.values())))
+    made = [_RUNNING[how][1](F.col(f"_o{i}"), F.col(f"_b{i}")).alias(name) for i, (name, (how, _)) in enumerate(values.items())]
+    return own.join(before, [*keys, "_part"]).select(*(c for c in df.columns if c not in values), *made)
+
+
 def running_sums(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """df with `name`: the sum of `value` over the group's rows up to this one."""
+    return running(df, keys, order, {name: ("sum", value)}).select(*df.columns, name)
+
+
+def lagged(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """df with, for each name of values, a column of the row before in the group; null for the first. The last row of
+    each part is carried to the next part that the group has."""
     parts = in_parts(df, keys, order)
-    offsets = _before(parts, keys, F.sum(value), F.min("_at"))
-    w = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    out = parts.withColumn("_own", F.sum(value).over(w)).join(offsets, [*keys, "_part"]).withColumn(name, F.col("_own") + F.col("_before"))
-    return out.select(*df.columns, name)
+    last = F.max_by(F.struct(*(F.col(c).alias(n) for n, c in values.items())), "_at").alias("_last")
+    ends = parts.groupBy(*keys, "_part").agg(last)
+    earlier = Window.partitionBy(*keys).orderBy("_part")
+    before = ends.select(*keys, "_part", F.lag("_last").over(earlier).alias("_before"))
+    here = Window.partitionBy("_part", *keys).orderBy("_at")
+    first = F.row_number().over(here) == 1
+    own = parts.select("*", first.alias("_first"), *(F.lag(c).over(here).alias(f"_l_{n}") for n, c in values.items()))
+    made = [F.when(F.col("_first"), F.col(f"_before.{n}")).otherwise(F.col(f"_l_{n}")).alias(n) for n in values]
+    return own.join(before, [*keys, "_part"]).select(*df.columns, *made)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.operators.ordered import row_positions
+from twinspark.operators.ordered import lagged, row_positions
 
 
 def logs(events: DataFrame) -> DataFrame:
@@ -28,9 +28,9 @@ def recent_errors(events: DataFrame, n: int = 100) -> DataFrame:
 
 
 def timeline(events: DataFrame) -> DataFrame:
-    """Spans of each run in order of time and event, with the gap to the one before."""
-    w = Window.partitionBy("run_id").orderBy("time_ns", "event_id")
-    return spans(events).withColumn("gap_ns", F.col("time_ns") - F.lag("time_ns").over(w))
+    """Spans of each run with the gap to the one before in order of time and event; a run may be of any length."""
+    found = lagged(spans(events), ["run_id"], ["time_ns", "event_id"], {"_before": "time_ns"})
+    return found.withColumn("gap_ns", F.col("time_ns") - F.col("_before")).drop("_before")
 
 
 def events_per_run(events: DataFrame) -> DataFrame:
@@ -63,12 +63,15 @@ def orphans(children: DataFrame, runs: DataFrame) -> DataFrame:
     return children.join(runs.select("run_id"), "run_id", "left_anti")
 
 
-def event_cap(events: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """(events kept, counts a run): the first `cap` of each run by event_id are accepted, the others dropped and counted."""
-    ranked = row_positions(events, ["run_id"], ["event_id"], "n")
+def capped_events(events: DataFrame, cap: int) -> DataFrame:
+    """The first `cap` events of each run by event_id."""
+    return row_positions(events, ["run_id"], ["event_id"], "n").where(F.col("n") <= cap).drop("n")
+
+
+def cap_counts(events: DataFrame, cap: int) -> DataFrame:
+    """run_id, accepted and dropped under the cap: counts alone, nothing is ordered."""
     counts = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("emitted"))
-    counts = counts.select("run_id", F.least("emitted", F.lit(cap)).cast("long").alias("accepted"), F.greatest(F.col("emitted") - cap, F.lit(0)).cast("long").alias("dropped"))
-    return ranked.where(F.col("n") <= cap).drop("n"), counts
+    return counts.select("run_id", F.least("emitted", F.lit(cap)).cast("long").alias("accepted"), F.greatest(F.col("emitted") - cap, F.lit(0)).cast("long").alias("dropped"))
 
 
 def recovered(runs: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from twinspark.sources.blocks import equal_files, with_digest
 from twinspark.sources.inventory import stamped, stamped_inventory
 from twinspark.storage import materialized, scratch
 
+CHANGES = "changes"
 CACHED = f"path string, {', '.join(f'{c} {"bigint" if c == "size" else "string"}' for c in STAMP)}, digest string"
 
 
@@ -57,8 +58,9 @@ class StateTable:
         reader = self.spark.read.schema(self.schema)
         return reader.parquet(f"file://{self.folder.resolve()}/gen={n}") if n else self.spark.createDataFrame([], self.schema)
 
-    def commit(self, rows: DataFrame) -> int:
-        """The next generation; what rows do not hold is gone with the old one.
+    def commit(self, rows: DataFrame, key: str | None = None) -> int:
+        """The next generation; what rows do not hold is gone with the old one. key: the column that tells rows apart;
+        with it the changes are written as well, for streaming.snapshot_stream.
 
         Its number is taken by making its folder, so two writers never share one; the manifest only moves forward. The
         generation before stays for those who read it, older ones are removed."""
@@ -72,7 +74,12 @@ class StateTable:
             except FileExistsError:
                 n += 1
         names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
-        rows.select(*names).write.mode("append").parquet(f"file://{self.folder.resolve()}/gen={n}")
+        target = f"file://{self.folder.resolve()}"
+        old = self.read() if key else None
+        rows.select(*names).write.mode("append").parquet(f"{target}/gen={n}")
+        if key:
+            new = self.spark.read.schema(self.schema).parquet(f"{target}/gen={n}")
+            changed_rows(old, new, key).write.mode("overwrite").parquet(f"{target}/{CHANGES}/gen={n}")
         if self.generation() < n:
             temporary = self.folder / f"current.json.{n}"
             temporary.write_text(json.dumps({"generation": n}))
@@ -83,6 +90,13 @@ class StateTable:
         return n
 
 
+def changed_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows that are added, changed or gone (then as they were), with `change`; rows that are alike are left out."""
+    both = old.select(key, F.struct(*old.columns).alias("_old")).join(new.select(key, F.struct(*old.columns).alias("_new")), key, "full_outer")
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "gone").otherwise("changed")
+    return both.where(~F.col("_old").eqNullSafe(F.col("_new"))).select(F.coalesce("_new", "_old").alias("_row"), change.alias("change")).select("_row.*", "change")
+
+
 def archived(spark: SparkSession, root: str) -> DataFrame:
     """The digests that merges have brought to the workspace, of the files below it, by their paths from it."""
     base = str(Path(root).resolve()).rstrip("/") + "/"
@@ -107,7 +121,7 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, rehash: b
     hits = materialized(hits)
     hashed = with_digest(misses, root, config.digest).select("path", *STAMP, "digest")
     files = materialized(hits.unionByName(hashed), f"{scratch(spark)}/files")
-    state.commit(files)
+    state.commit(files, key="path")
 
     candidates = dedup.dup_candidates(files).select("path", "size", "digest")
     groups = equal_files(candidates, root)

@@ -264,12 +264,12 @@ def telemetry_retention_cascade(spark, sf):
 
 @query("telemetry_event_cap", f"WITH {TELE}, n AS (SELECT run_id, count(*) AS c FROM tele GROUP BY run_id) SELECT run_id, least(c, 4) AS accepted, greatest(c - 4, 0) AS dropped FROM n")
 def telemetry_event_cap(spark, sf):
-    return telemetry.event_cap(tele_v(spark, sf), 4)[1]
+    return telemetry.cap_counts(tele_v(spark, sf), 4)
 
 
 @query("telemetry_capped_events", f"WITH {TELE} SELECT event_id, run_id FROM tele QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY event_id) <= 4")
 def telemetry_capped_events(spark, sf):
-    return telemetry.event_cap(tele_v(spark, sf), 4)[0].select("event_id", "run_id")
+    return telemetry.capped_events(tele_v(spark, sf), 4).select("event_id", "run_id")
 
 
 @query("telemetry_interrupted_recovery", f"WITH {TELE}, {RUNS} SELECT run_id, CASE WHEN status = 'running' THEN 'interrupted' ELSE status END AS status FROM runs")
@@ -366,7 +366,7 @@ def archive_totals(spark, sf):
 )
 def archive_conflicts(spark, sf):
     a, b = histories(spark, sf, True)
-    return archive.conflicts(archive.ordinal(a.events), archive.ordinal(b.events), ["run_id", "pos"])
+    return archive.event_conflicts(a.events, b.events)
 
 
 @query("archive_sources", f"WITH {_HISTORY} SELECT run_id, CAST(1 AS BIGINT) AS source_id FROM aruns UNION ALL SELECT run_id, 2 FROM bruns")
@@ -510,19 +510,59 @@ def model_materialize(spark, sf):
     return _means(model.materialized_model(parts), ["key", "backend"])
 
 
-@query("regression_fit")
+def _solved_sql(source: str, keys: str) -> str:
+    """Ridge solutions of the normal equations in source: scaled to a diagonal of one, by a triangular factor."""
+    entry = lambda i, j: f"xtx{min(i, j)}{max(i, j)}"
+    out = [f"sqrt(greatest({entry(i, i)}, 1e-24)) AS s{i}" for i in range(4)]
+    for i in range(4):
+        for j in range(i + 1):
+            rest = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            value = f"{entry(j, i)} / s{i} / s{j}{' + 1e-8' if i == j else ''}{rest}"
+            out.append(f"sqrt({value}) AS l{i}{j}" if i == j else f"({value}) / l{j}{j} AS l{i}{j}")
+    out += [f"(xty{i} / s{i}{''.join(f' - l{i}{k} * f{k}' for k in range(i))}) / l{i}{i} AS f{i}" for i in range(4)]
+    out += [f"(f{i}{''.join(f' - l{k}{i} * g{k}' for k in range(i + 1, 4))}) / l{i}{i} AS g{i}" for i in (3, 2, 1, 0)]
+    out += [f"g{i} / s{i} AS beta{i}" for i in range(4)]
+    sse = "yty" + "".join(f" - 2 * beta{i} * xty{i}" for i in range(4)) + "".join(f" + beta{i} * {entry(i, j)} * beta{j}" for i in range(4) for j in range(4))
+    return f"SELECT {keys}, samples, min0, min1, min2, min3, max0, max1, max2, max3, {', '.join(out)}, sqrt(greatest({sse}, 0) / samples) AS residual FROM {source}"
+
+
+def _state_sql(over: str = "") -> str:
+    spread = [f"{f}(x{i}::DOUBLE){over} AS {f}{i}" for f in ("min", "max") for i in range(4)]
+    sums = [f"sum(x{i}::DOUBLE * x{j}){over} AS xtx{i}{j}" for i in range(4) for j in range(i, 4)] + [f"sum(x{i}::DOUBLE * ms){over} AS xty{i}" for i in range(4)]
+    return ", ".join([*sums, f"sum(ms::DOUBLE * ms){over} AS yty", f"count(*){over} AS samples", *spread])
+
+
+_OUTSIDE = " OR ".join(f"y.x{i} < f.min{i} OR y.x{i} > f.max{i}" for i in range(4))
+_PREDICTED = " + ".join(f"f.beta{i} * y.x{i}" for i in range(4))
+
+
+@query("regression_fit", f"WITH {_CONTEXTS}, m AS (SELECT backend, {_state_sql()} FROM y GROUP BY backend), f AS ({_solved_sql('m', 'backend')}) SELECT backend, samples, {', '.join(f'round(beta{i}, 3) AS beta{i}' for i in range(4))}, round(residual, 4) AS residual FROM f")
 def regression_fit(spark, sf):
     ship(spark)
-    return model.fit(model.moments(contexts(spark, sf))).select("backend", "samples", *(F.round(f"beta{i}", 4).alias(f"beta{i}") for i in range(4)), F.round("residual", 4).alias("residual"))
+    return model.fit(model.moments(contexts(spark, sf))).select("backend", "samples", *(F.round(f"beta{i}", 3).alias(f"beta{i}") for i in range(4)), F.round("residual", 4).alias("residual"))
 
 
-@query("regression_predict")
+@query("regression_predict", f"WITH {_CONTEXTS}, m AS (SELECT backend, {_state_sql()} FROM y GROUP BY backend), f AS ({_solved_sql('m', 'backend')}), p AS (SELECT y.backend, l_orderkey, l_linenumber, {_PREDICTED} AS ms, {_OUTSIDE} AS out_of_domain FROM y JOIN f USING (backend)) SELECT backend, l_orderkey, l_linenumber, CASE WHEN ms > 0 AND ms <= 1e9 THEN round(ms, 4) END AS predicted_ms, out_of_domain FROM p")
 def regression_predict(spark, sf):
     ship(spark)
     rows = contexts(spark, sf)
     return model.predict(rows, model.fit(model.moments(rows))).select("backend", "l_orderkey", "l_linenumber", F.round("predicted_ms", 4).alias("predicted_ms"), "out_of_domain")
 
 
+@query(
+    "model_prequential",
+    f"WITH {_CONTEXTS}, n AS (SELECT *, row_number() OVER w AS n, {_state_sql(' OVER w')} FROM y WINDOW w AS (PARTITION BY backend ORDER BY l_orderkey, l_linenumber, bytes ROWS UNBOUNDED PRECEDING)), "
+    f"c AS (SELECT * FROM n WHERE n <= 4 OR n % 16 = 0), f AS ({_solved_sql('c', 'backend, n AS stop')}), "
+    f"p AS (SELECT y.backend, y.ms, {_PREDICTED} AS predicted, {_OUTSIDE} AS outside FROM n y LEFT JOIN f ON f.backend = y.backend AND f.stop = CASE WHEN y.n <= 16 THEN least(y.n - 1, 4) ELSE (y.n - 1) // 16 * 16 END), "
+    "k AS (SELECT * FROM p WHERE predicted > 0 AND predicted <= 1e9) "
+    "SELECT backend, count(*) AS n, round(avg(abs(ms - predicted)), 6) AS mae, round(sqrt(sum((ms - predicted) * (ms - predicted)) / count(*)), 5) AS rmse, count(*) FILTER (WHERE outside) AS out_of_domain FROM k GROUP BY backend",
+)
+def model_prequential(spark, sf):
+    """Each observation is predicted by what was known before it."""
+    rows = model.prequential(contexts(spark, sf), ["l_orderkey", "l_linenumber", "bytes"])
+    return model.prediction_error(rows).select("backend", "n", F.round("mae", 6).alias("mae"), F.round(F.sqrt(F.col("sq_error") / F.col("n")), 5).alias("rmse"), "out_of_domain")
+
+
 @query("regression_line", "SELECT l_linestatus AS backend, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY l_linestatus")
 def regression_line(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("backend")).agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"))
