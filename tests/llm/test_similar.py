@@ -26,8 +26,8 @@ def brute_kept(rows):
     return {i for (i, _), g, s in zip(rows, group, sets) if not s or best[g] == i}
 
 
-@pytest.mark.parametrize("small_bucket, rounds", [(32, 4), (2, 3), (2, 0)])
-def test_drop_similar(spark, small_bucket, rounds):
+@pytest.mark.parametrize("small_bucket, met", [(32, 64), (2, 64), (2, 1)])
+def test_drop_similar(spark, small_bucket, met):
     from twinspark.llm.similar import drop_similar
 
     random.seed(11)
@@ -41,7 +41,7 @@ def test_drop_similar(spark, small_bucket, rounds):
         rows.append((i, " ".join(own)))
     random.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {r.doc_id for r in drop_similar(docs, small_bucket=small_bucket, rounds=rounds).collect()} == brute_kept(rows)
+    assert {r.doc_id for r in drop_similar(docs, small_bucket=small_bucket, met=met).collect()} == brute_kept(rows)
 
 
 def test_bitmaps_rule_out_no_similar_pair():
