@@ -230,3 +230,51 @@ def test_ordered_groups(spark):
     got = row_positions(df, ["k"], ["o"], "n").join(running_sums(df, ["k"], ["o"], "v", "s").select("k", "o", "s"), ["k", "o"]).select("k", "o", F.col("n").cast("long"), "s")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert row_positions(df.limit(0), ["k"], ["o"], "n").count() == 0
+
+
+def test_measures_over_grouping_sets(spark):
+    rows = [(i, None if i == 7 else i % 3, "ab"[i % 2], "log" if i % 2 else "span", "error" if i == 5 else "info", float(i * 300), i * 20_000, i * 10) for i in range(12)]
+    events = spark.createDataFrame(rows, "event_id long, worker long, name string, type string, severity string, duration_ms double, bytes long, time_ns long").repartition(3)
+    found = telemetry.measures(events)
+    metrics = {r.name: (r.value, r.unit) for r in telemetry.metric_rows(found).collect()}
+    assert metrics["all.tasks"] == (12, "count") and metrics["all.bytes"] == (sum(r[6] for r in rows), "bytes") and metrics["worker.null.tasks"] == (1, "count")
+    own = [r for r in rows if r[1] == 2 and r[2] == "b"]
+    assert metrics["worker.2.name.b.total_ms"] == (sum(r[5] for r in own), "ms") and metrics["worker.2.name.b.max_bytes"] == (max(r[6] for r in own), "bytes")
+    assert metrics["name.a.over_second"] == (sum(r[5] >= 1000 for r in rows if r[2] == "a"), "count") and metrics["all.errors"] == (1, "count") and metrics["all.elapsed_ns"] == (110, "ns")
+    assert metrics["all.mib_s"][0] == pytest.approx(sum(r[6] for r in rows) / 2**20 / (sum(r[5] for r in rows) / 1000))
+    assert telemetry.inconsistent_measures(found).count() == 0
+    forged = found.withColumn("bytes", F.when((F.col("all_workers") == 0) & (F.col("all_names") == 1) & (F.col("worker") == 1), F.col("bytes") + 1).otherwise(F.col("bytes")))
+    assert {tuple(r) for r in telemetry.inconsistent_measures(forged).collect()} == {("bytes", "workers")}
+    assert telemetry.inconsistent_measures(telemetry.measures(events.limit(0))).count() == 0
+
+
+def test_backends_agree(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("a", "text"), ("b", ""), ("c", "x" * 10_000), ("n", None)], "path string, content string")
+    got = {r.path: (r.backends, r.digests, r.digest) for r in training.backend_agreement(training.digests_by_backend(df)).collect()}
+    assert got == {p: (3, 1, hashlib.sha256(c.encode()).hexdigest()) for p, c in (("a", "text"), ("b", ""), ("c", "x" * 10_000))} | {"n": (3, 0, None)}
+    odd = training.digests_by_backend(df).withColumn("digest", F.when((F.col("path") == "c") & (F.col("backend") == "pieces"), F.lit("0")).otherwise(F.col("digest")))
+    assert [r.path for r in training.backend_mismatches(odd).collect()] == ["c"] and training.backend_mismatches(training.digests_by_backend(df)).count() == 0
+
+
+def test_filter_grows_with_its_keys():
+    words = [dedup.filter_words(n) for n in (0, 1000, 10**5, 10**7, 10**8, 10**10)]
+    assert words == sorted(words) and words[0] == 1024 and words[-1] == dedup.MOST_WORDS
+    passing = [1 - 2.718281828 ** (-n / (64 * dedup.filter_words(n))) for n in (1000, 10**5, 10**7, 16 * 10**6)]
+    assert max(passing) < 0.063  # the share of other rows that pass
+
+
+def test_fnv_against_the_definition(spark):
+    from twinspark.functions.scalars import fnv1a_64
+
+    def fnv(data):
+        h = 14695981039346656037
+        for b in data:
+            h = (h ^ b) * 1099511628211 % (1 << 64)
+        return str(h)
+
+    texts = ["", "a", "foobar", "é世🎉", "x" * 3000, "\0\0", None] + [f"path/{i}" for i in range(50)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    assert {r.t: r.h for r in df.select("t", fnv1a_64(F.col("t")).cast("string").alias("h")).collect()} == {t: None if t is None else fnv(t.encode()) for t in texts}
+    assert df.limit(0).select(fnv1a_64(F.col("t"))).count() == 0

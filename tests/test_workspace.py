@@ -333,6 +333,19 @@ def test_cli(tmp_path, spark):
     put(tmp_path, a="q", b="q")
     assert main(["scan", str(tmp_path), "--output", f"{tmp_path}-report"]) == 0
     assert 'a"' in "".join(p.read_text() for p in Path(f"{tmp_path}-report").glob("part-*"))
+    assert main(["scan", str(tmp_path)]) == 0
+    from twinspark.plans.scan import StateTable
+    from twinspark.schema import METRICS, RUNS
+
+    runs = StateTable(spark, str(tmp_path), "telemetry/runs", RUNS).read()
+    assert runs.count() == 2 and {r.status for r in runs.collect()} == {"complete"}
+    (tmp_path / ".twinspark" / "config.toml").write_text("history_runs = 1\nunmatched = true\n")
+    put(tmp_path, c="alone")
+    assert main(["scan", str(tmp_path), "--output", f"{tmp_path}-all"]) == 0
+    assert '0\t"c"' in "".join(p.read_text() for p in Path(f"{tmp_path}-all").glob("part-*"))  # unmatched, by the settings
+    last = StateTable(spark, str(tmp_path), "telemetry/runs", RUNS).read().collect()
+    metrics = {r.name: r.value for r in StateTable(spark, str(tmp_path), "telemetry/metrics", METRICS).read().where(F.col("run_id") == last[0].run_id).collect()}
+    assert len(last) == 1 and metrics["scanned"] == 3 and metrics["matches"] == 2
     assert main(["merge", str(tmp_path), str(tmp_path / "nowhere")]) in (0, 2) and main(["clean", str(tmp_path)]) == 0
 
 
@@ -353,6 +366,8 @@ def test_archive_and_train_commands(spark, tmp_path):
     assert union.runs.count() == 2 and union.events.count() == 4
     assert main(["archive", a, c, "--output", f"{tmp_path}/v"]) == 2 and not (tmp_path / "v").exists()
     assert main(["archive", a, "--output", f"{tmp_path}/u"]) == 2 and not [p for p in os.listdir(tmp_path) if ".new-" in p]
+    assert main(["archive", a, b, "--output", f"{tmp_path}/late", "--timeout", "0.01"]) == 2 and not (tmp_path / "late").exists()
+    assert main(["archive", a, b, "--output", f"{tmp_path}/soon", "--timeout", "600"]) == 0
     put(tmp_path, corpus__x="12345678" * 1000, corpus__y="1")
     assert main(["select", f"{tmp_path}/corpus"]) == 0 and main(["select", f"{tmp_path}/corpus", f"{tmp_path}"]) == 2
     spark.range(1).write.parquet(f"{tmp_path}/d/runs")
@@ -361,3 +376,43 @@ def test_archive_and_train_commands(spark, tmp_path):
         at_most(spark.range(4), 3, "models")
     spark.range(50).selectExpr("'cpu' as backend", "(id + 1) * 1000000 as bytes", "65536L as batch_bytes", "double(id % 3) as contention", "1.0 + id as ms").write.parquet(f"{tmp_path}/obs")
     assert main(["train", f"{tmp_path}/obs", "--output", f"{tmp_path}/fits"]) == 0 and spark.read.parquet(f"{tmp_path}/fits").count() == 1
+
+
+def test_training_on_corpora(spark, tmp_path):
+    """Files are measured in tasks; a second training starts from what the first one left, decayed."""
+    import random
+
+    from twinspark.cli import main
+    from twinspark.plans.train import BACKENDS, COSTS, estimated, measured
+    from twinspark.plans.scan import StateTable
+
+    work, one, two = (str(tmp_path / n) for n in ("work", "one", "two"))
+    initialize_workspace(work)
+    (tmp_path / "work" / ".twinspark" / "ignore").write_text("skip*\n")
+    random.seed(3)
+    for folder in (one, two):
+        os.makedirs(folder)
+        for i in range(12):
+            (Path(folder) / f"f{i}").write_bytes(random.randbytes(1000 * 4 ** (i % 6)))
+        (Path(folder) / "skipped").write_bytes(b"x" * 100)
+    assert main(["train", one, "--workspace", work]) == 0
+    state = {r.backend: r for r in StateTable(spark, work, "costs", COSTS).read().collect()}
+    assert state.keys() == BACKENDS.keys() and all(r.samples == 12 and r.weight == 12 for r in state.values())
+    assert main(["train", two, "--workspace", work, "--output", f"{tmp_path}/fits"]) == 0
+    state = {r.backend: r for r in StateTable(spark, work, "costs", COSTS).read().collect()}
+    assert all(r.samples == 24 and r.weight == pytest.approx(12 * 0.9 + 12) for r in state.values()) and spark.read.parquet(f"{tmp_path}/fits").count() == len(BACKENDS)
+    files = spark.createDataFrame([("x", 1 << 20)], "path string, size long")
+    assert {r.backend for r in estimated(spark, work, files).collect()} == set(BACKENDS)
+    assert main(["train", one, f"{one}/", "--workspace", work]) == 2 and main(["train", one]) == 2  # overlapping; no output
+    rows = measured(stamped_inventory(spark, one), one, ("sha256",)).collect()
+    assert len(rows) == 13 and all(r.ms > 0 and r.bytes == os.path.getsize(f"{one}/{r.path}") for r in rows)
+
+
+def test_absolute_paths_are_checked(spark):
+    from twinspark.functions.scalars import absolute_or_fail
+
+    df = spark.createDataFrame([("/a",), ("/b/c",)], "path string")
+    assert [r.p for r in df.select(absolute_or_fail(F.col("path")).alias("p")).collect()] == ["/a", "/b/c"]
+    for bad in ("a", "", "./a"):
+        with pytest.raises(Exception, match="not an absolute path"):
+            df.unionByName(spark.createDataFrame([(bad,)], "path string")).select(absolute_or_fail(F.col("path")).alias("p")).collect()

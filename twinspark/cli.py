@@ -5,9 +5,39 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import threading
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
 
 from twinspark.session import session
+from twinspark.storage import clear_scratch
+
+
+@contextmanager
+def limited(spark, seconds: float) -> Iterator[None]:
+    """Jobs that run or begin later than that are cancelled, and it is an error; 0: never."""
+    late, done = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not done.wait(seconds):
+            late.set()
+            while not done.wait(0.05):
+                spark.sparkContext.cancelAllJobs()
+
+    if seconds > 0:
+        threading.Thread(target=watch, daemon=True).start()
+    try:
+        yield
+    except Exception:
+        if not late.is_set():
+            raise
+    finally:
+        done.set()
+    if late.is_set():
+        raise TimeoutError(f"not done within {seconds} seconds")
 
 
 def main(args: list[str] | None = None) -> int:
@@ -30,9 +60,11 @@ def main(args: list[str] | None = None) -> int:
     union = commands.add_parser("archive")
     union.add_argument("inputs", nargs="+")
     union.add_argument("--output", required=True)
+    union.add_argument("--timeout", type=float, default=0, help="seconds after which the union is given up; 0: never")
     train = commands.add_parser("train")
-    train.add_argument("observations", help="Parquet with backend, bytes, batch_bytes, contention, ms")
-    train.add_argument("--output", required=True)
+    train.add_argument("inputs", nargs="+", help="with --workspace: corpora, else Parquet with backend, bytes, batch_bytes, contention, ms")
+    train.add_argument("--workspace", help="measures the corpora and keeps what is learnt here")
+    train.add_argument("--output", help="Parquet for the solutions")
     select = commands.add_parser("select", help="the files of corpora that training would take")
     select.add_argument("corpora", nargs="+")
     given = parser.parse_args(args)
@@ -53,17 +85,24 @@ def main(args: list[str] | None = None) -> int:
             from twinspark.sources.history import read_history
 
             spark = session()
-            whole, _, totals = archive_union([(i, read_history(spark, path)) for i, path in enumerate(given.inputs, 1)])
-            publish(whole, given.output)
+            with limited(spark, given.timeout):
+                whole, _, totals = archive_union([(i, read_history(spark, path)) for i, path in enumerate(given.inputs, 1)])
+                publish(whole, given.output)
             print("\n".join(r.totals for r in totals_json(totals).orderBy("source_id").collect()))
         elif given.command == "train":
-            from twinspark.plans.train import learn
-            from twinspark.storage import ship
+            from twinspark.plans.train import learn, train_corpora
 
             spark = session()
-            ship(spark)
-            _, fits = learn(spark.read.parquet(given.observations))
-            fits.write.mode("errorifexists").parquet(given.output)
+            if given.workspace:
+                _, fits = train_corpora(spark, given.workspace, given.inputs)
+            elif len(given.inputs) == 1 and given.output:
+                _, fits = learn(spark.read.parquet(given.inputs[0]))
+            else:
+                raise ValueError("train takes --workspace and corpora, or one table and --output")
+            if given.output:
+                fits.write.mode("errorifexists").parquet(given.output)
+            else:
+                print("\n".join(" ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in fits.orderBy("backend").collect()))  # one a backend
         elif given.command == "select":
             from twinspark.operators.cache import fail_if_any
             from twinspark.plans.train import select as choose
@@ -79,18 +118,23 @@ def main(args: list[str] | None = None) -> int:
         else:
             from twinspark.operators.dedup import write_report
             from twinspark.plans.report import pretty
-            from twinspark.plans.scan import scan, summary
-            from twinspark.sources.config import use_color
+            from twinspark.plans.scan import record_run, scan, summary
+            from twinspark.sources.config import Config, use_color
 
-            spark, began = session(), time.monotonic()
-            found = scan(spark, given.root, rehash=given.rehash)
+            spark, began, started = session(), time.monotonic(), time.time_ns()
+            config = Config.load(os.path.join(given.root, ".twinspark", "config.toml"))
+            found = scan(spark, given.root, config, rehash=given.rehash)
             if given.output:
-                write_report(found.files, given.output, given.unmatched, found.groups)
+                write_report(found.files, given.output, given.unmatched or config.unmatched, found.groups)
+            record_run(spark, given.root, found.counters, started, config)
             print(summary(spark, found.counters), file=sys.stderr)
-            print(pretty(spark, found.counters, time.monotonic() - began, use_color("auto", sys.stdout.isatty(), "NO_COLOR" in os.environ)))
+            print(pretty(spark, found.counters, time.monotonic() - began, use_color(config.color, sys.stdout.isatty(), "NO_COLOR" in os.environ)))
     except Exception as error:
         print(f"twinspark: {error}", file=sys.stderr)
         return 2
+    finally:
+        if (spark := SparkSession.getActiveSession()) is not None:
+            clear_scratch(spark)
     return 0
 
 

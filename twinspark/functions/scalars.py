@@ -1,15 +1,20 @@
-"""Scalar functions as native Spark columns."""
+"""Scalar functions as native Spark columns; FNV-1a alone runs over Arrow batches."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
+
+from twinspark.storage import ship
 
 #: Fixed values.
 BYTE_UNITS = ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB")
-FNV_OFFSET, FNV_PRIME, U64 = "14695981039346656037", "1099511628211", "18446744073709551616"
+FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 
 
 def hex_digest(digest: Column) -> Column:
@@ -115,22 +120,27 @@ def bucket_range(bucket: Column) -> Column:
     return F.when(bucket == 31, F.concat(low.cast("string"), F.lit("+"))).otherwise(F.concat_ws("..", low.cast("string"), (F.pow(F.lit(2), bucket + 1) - 1).cast("long").cast("string")))
 
 
-def fnv1a_64(text: Column) -> Column:
-    """FNV-1a over the UTF-8 bytes as decimal(20, 0): a long would overflow under ANSI.
-
-    The exclusive or touches the lowest byte alone, and the product modulo 2^64 is taken in two 32-bit halves."""
-    raw = F.hex(F.encode(text, "UTF-8"))
-    octets = F.transform(F.filter(F.sequence(F.lit(1), F.length(raw)), lambda i: i % 2 == 1), lambda i: F.conv(F.substr(raw, i, F.lit(2)), 16, 10).cast("int"))
-    octets = F.when(F.length(raw) > 0, octets).otherwise(F.array().cast("array<int>"))
+@F.arrow_udf(DecimalType(20, 0))
+def _fnv1a(texts: pa.Array) -> pa.Array:
+    """All texts of a batch byte by byte side by side, the longest first, so that those at work are always in front."""
+    raw = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] else np.zeros(0, np.uint8)
+    sizes = np.diff(ends)
+    order = np.argsort(-sizes, kind="stable")
+    starts, lengths, out = ends[:-1][order], sizes[order], np.full(len(raw), FNV_OFFSET, np.uint64)
+    for i in range(int(lengths[0]) if len(raw) else 0):
+        n = int(np.searchsorted(-lengths, -i, "left"))
+        out[:n] = (out[:n] ^ data[starts[:n] + i]) * np.uint64(FNV_PRIME)
+    found = np.empty(len(raw), np.uint64)
+    found[order] = out
+    return pa.array(found, mask=texts.is_null().to_numpy(zero_copy_only=False)).cast(pa.decimal128(20, 0))
 
-    def step(h: Column, b: Column) -> Column:
-        low = (h % 256).cast("int")
-        h = h - low + low.bitwiseXOR(b)
-        high, rest = F.floor(h / F.expr("4294967296BD")), h % F.expr("4294967296BD")
-        carry = (high.cast("decimal(11, 0)") * F.expr(f"{FNV_PRIME}BD")) % F.expr("4294967296BD")
-        return ((carry * F.expr("4294967296BD") + rest.cast("decimal(11, 0)") * F.expr(f"{FNV_PRIME}BD")) % F.expr(f"{U64}BD")).cast("decimal(20, 0)")
 
-    return F.aggregate(octets, F.expr(f"cast({FNV_OFFSET}BD as decimal(20, 0))"), step)
+def fnv1a_64(text: Column) -> Column:
+    """FNV-1a over the UTF-8 bytes as decimal(20, 0), since a long is signed; null stays null."""
+    ship(SparkSession.active())
+    return _fnv1a(text)
 
 
 def train_rank(root: Column, path: Column) -> Column:

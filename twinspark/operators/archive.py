@@ -131,8 +131,12 @@ def publish(history: History, path: str) -> None:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(target):
         raise ValueError(f"{path} exists")
-    for name in ("runs", *CHILDREN):
-        getattr(history, name).write.parquet(f"{beside.toString()}/{name}")
+    try:
+        for name in ("runs", *CHILDREN):
+            getattr(history, name).write.parquet(f"{beside.toString()}/{name}")
+    except Exception:
+        fs.delete(beside, True)
+        raise
     if fs.exists(target) or not fs.rename(beside, target):
         fs.delete(beside, True)
         raise ValueError(f"{path} exists")

@@ -10,8 +10,9 @@ from twinspark.operators.cache import fail_if_any
 from twinspark.operators.ordered import row_positions
 from twinspark.storage import materialized
 
-#: Words of the filter over buckets, some 8 MB when broadcast.
-FILTER_WORDS = 1 << 18
+#: Bits of the filter for each wanted key, and its 64-bit words at most (some 100 MB as a broadcast table). With n keys and
+#: m bits a share of 1 - exp(-n / m) of the other rows passes: 6 % up to 16 million keys, 31 % at 10^8.
+BITS_A_KEY, MOST_WORDS = 16, 1 << 22
 
 
 def dup_candidates(files: DataFrame) -> DataFrame:
@@ -20,9 +21,15 @@ def dup_candidates(files: DataFrame) -> DataFrame:
     return files.join(buckets, ["size", "digest"])
 
 
-def passing(rows: DataFrame, wanted: DataFrame, keys: list[str], words: int = FILTER_WORDS) -> DataFrame:
-    """The rows whose keys may be among the wanted ones: a Bloom filter of one hash and 64 * words bits, broadcast as a
-    table of at most `words` rows whatever the input's size. Whoever needs exactly the wanted ones joins behind it."""
+def filter_words(keys: int, most: int = MOST_WORDS) -> int:
+    """64-bit words of a filter for so many keys, a power of two."""
+    return min(most, max(1024, 1 << (keys * BITS_A_KEY // 64).bit_length()))
+
+
+def passing(rows: DataFrame, wanted: DataFrame, keys: list[str], words: int | None = None) -> DataFrame:
+    """The rows whose keys may be among the wanted ones: a Bloom filter of one hash whose size follows the number of
+    wanted keys up to a bound, broadcast as a table of its words. Whoever needs exactly the wanted ones joins behind it."""
+    words = words or filter_words(wanted.count())
     bit = F.pmod(F.xxhash64(*keys), F.lit(64 * words))
     marks = wanted.select(bit.alias("_bit")).groupBy((F.col("_bit") / 64).cast("long").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_bits"))
     placed = rows.withColumn("_bit", bit).withColumn("_word", (F.col("_bit") / 64).cast("long"))

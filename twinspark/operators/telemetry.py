@@ -98,6 +98,48 @@ def as_metrics(totals: DataFrame) -> DataFrame:
     )
 
 
+#: Measures that add up over workers and names, and their units; the others are derived or extremes.
+ADDITIVE = {"tasks": "count", "logs": "count", "spans": "count", "errors": "count", "infos": "count", "bytes": "bytes", "total_ms": "ms", "empty_tasks": "count", "large_tasks": "count", "over_second": "count"}
+DERIVED = {"max_ms": "ms", "min_ms": "ms", "mean_ms": "ms", "max_bytes": "bytes", "mean_bytes": "bytes", "mib_s": "MiB/s", "error_share": "share", "first_ns": "ns", "last_ns": "ns", "elapsed_ns": "ns"}
+
+
+def measures(events: DataFrame) -> DataFrame:
+    """worker, name (null: over all of them) and every measure: grouping sets over one pass, a row for each worker, each
+    name, each worker's name and the whole."""
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    sums = [
+        F.count(F.lit(1)).alias("tasks"), is_("type", "log").alias("logs"), is_("type", "span").alias("spans"), is_("severity", "error").alias("errors"), is_("severity", "info").alias("infos"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("total_ms"), F.count_if(F.col("bytes") == 0).alias("empty_tasks"),
+        F.count_if(F.col("bytes") >= 65536).alias("large_tasks"), F.count_if(F.col("duration_ms") >= 1000).alias("over_second"),
+        F.max("duration_ms").alias("max_ms"), F.min("duration_ms").alias("min_ms"), F.max("bytes").alias("max_bytes"), F.min("time_ns").alias("first_ns"), F.max("time_ns").alias("last_ns"),
+        F.grouping("worker").alias("all_workers"), F.grouping("name").alias("all_names"),
+    ]
+    w, n = F.col("worker"), F.col("name")
+    rows = events.groupingSets([[], [w], [n], [w, n]], w, n).agg(*sums)
+    rate = F.when(F.col("total_ms") > 0, F.col("bytes") / 1048576.0 / (F.col("total_ms") / 1000.0))
+    return rows.withColumns({"mean_ms": F.col("total_ms") / F.col("tasks"), "mean_bytes": F.col("bytes") / F.col("tasks"), "mib_s": rate, "error_share": F.col("errors") / F.col("tasks"), "elapsed_ns": F.col("last_ns") - F.col("first_ns")})
+
+
+def metric_rows(found: DataFrame) -> DataFrame:
+    """measures as (name, value, unit): all.tasks, worker.3.tasks, name.click.tasks, worker.3.name.click.tasks and so on."""
+    worker = F.when(F.col("all_workers") == 0, F.concat(F.lit("worker."), F.coalesce(F.col("worker").cast("string"), F.lit("null"))))
+    name = F.when(F.col("all_names") == 0, F.concat(F.lit("name."), F.coalesce("name", F.lit("null"))))
+    scope = F.when((F.col("all_workers") == 1) & (F.col("all_names") == 1), F.lit("all")).otherwise(F.concat_ws(".", worker, name))
+    units = ADDITIVE | DERIVED
+    parts = F.array(*(F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("value"), F.lit(u).alias("unit")) for m, u in units.items()))
+    return found.select(scope.alias("scope"), F.explode(parts).alias("x")).select(F.concat_ws(".", "scope", "x.m").alias("name"), "x.value", "x.unit")
+
+
+def inconsistent_measures(found: DataFrame) -> DataFrame:
+    """measure, side: additive measures whose sum over workers, names or both is not the whole's (times to 1 part in
+    10^9). Empty when all agree."""
+    kinds = {"all": (1, 1), "workers": (0, 1), "names": (1, 0), "both": (0, 0)}
+    at = lambda kind: (F.col("all_workers") == kinds[kind][0]) & (F.col("all_names") == kinds[kind][1])
+    sums = found.agg(*(F.sum(F.when(at(kind), F.col(m).cast("double"))).alias(f"{kind}_{m}") for kind in kinds for m in ADDITIVE))
+    rows = [F.struct(F.lit(m).alias("measure"), F.lit(kind).alias("side"), (F.abs(F.col(f"{kind}_{m}") - F.col(f"all_{m}")) <= F.abs(F.col(f"all_{m}")) * 1e-9).alias("same")) for kind in kinds if kind != "all" for m in ADDITIVE]
+    return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("not same").drop("same")
+
+
 def totals_check(totals: DataFrame) -> DataFrame:
     """One row: the workers' sums beside the global ones, and whether all of them agree."""
     sums = [F.sum(F.when(F.col("scope") == "all", F.col(c))).alias(f"all_{c}") for c in ("tasks", "bytes", "errors")]

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from twinspark.functions.scalars import size_band, train_rank
+from twinspark.storage import ship
+
+PIECE = 4096
 
 
 def eligible(files: DataFrame, max_bytes: int) -> DataFrame:
@@ -31,6 +38,36 @@ def budgeted(chosen: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
     return chosen.join(folded.select(F.posexplode("taken").alias("turn", "path")), "path")
 
 
+@F.arrow_udf(StringType())
+def _whole(contents: pa.Array) -> pa.Array:
+    return pa.array([None if c is None else hashlib.sha256(c).hexdigest() for c in contents.to_pylist()], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _pieces(contents: pa.Array) -> pa.Array:
+    out = []
+    for content in contents.to_pylist():
+        state = hashlib.sha256()
+        for at in range(0, len(content or b""), PIECE):
+            state.update(content[at : at + PIECE])
+        out.append(None if content is None else state.hexdigest())
+    return pa.array(out, pa.string())
+
+
+def digests_by_backend(files: DataFrame, content: str = "content") -> DataFrame:
+    """path, backend, digest: SHA-256 of each content by the JVM, by Python at once, and by Python piece by piece."""
+    ship(files.sparkSession)
+    raw = F.col(content).cast("binary")
+    ways = {"jvm": F.sha2(raw, 256), "python": _whole(raw), "pieces": _pieces(raw)}
+    rows = files.select("path", *(digest.alias(name) for name, digest in ways.items()))
+    return rows.select("path", F.explode(F.array(*(F.struct(F.lit(name).alias("backend"), F.col(name).alias("digest")) for name in ways))).alias("x")).select("path", "x.*")
+
+
+def backend_agreement(digests: DataFrame) -> DataFrame:
+    """path, backends, digests (how many different ones) and the smallest of them."""
+    return digests.groupBy("path").agg(F.count(F.lit(1)).alias("backends"), F.count_distinct("digest").alias("digests"), F.min("digest").alias("digest"))
+
+
 def backend_mismatches(digests: DataFrame) -> DataFrame:
     """Files on whose digest the backends differ; must be empty."""
     return digests.groupBy("path").agg(F.count_distinct("digest").alias("n")).where("n > 1")

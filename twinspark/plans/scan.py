@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import time
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from twinspark.functions.scalars import human_bytes
+from twinspark.functions.scalars import run_id as new_run_id
 from twinspark.operators import cache, dedup
-from twinspark.schema import STAMP
+from twinspark.operators.telemetry import cascade, retained
+from twinspark.schema import METRICS, RUNS, STAMP
 from twinspark.sources.config import Config, load_ignore
 from twinspark.sources.blocks import equal_files, with_digest
 from twinspark.sources.inventory import stamped, stamped_inventory
@@ -131,6 +134,21 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, rehash: b
     return Scan(files, groups, counters)
 
 
+def record_run(spark: SparkSession, root: str, counters: dict, started_ns: int, config: Config) -> str:
+    """Puts a finished scan into the workspace's telemetry as a run with its counters as metrics, and keeps the newest
+    `history_runs` runs, this one among them. Returns its id."""
+    tables = {name: StateTable(spark, root, f"telemetry/{name}", schema) for name, schema in (("metrics", METRICS), ("runs", RUNS))}
+    run_id = spark.range(1).select(new_run_id().alias("id")).first().id
+    values = {"run_id": run_id, "started_unix_ns": started_ns, "ended_unix_ns": time.time_ns(), "status": "complete", "command": "scan", "root": str(Path(root).resolve()), "accepted": 0, "persisted": 0, "dropped": 0, "errors": 0, "truncated": 0, "queue_high_water": 0}
+    row = spark.createDataFrame([tuple(values.get(f.name) for f in RUNS)], RUNS)
+    runs = materialized(retained(tables["runs"].read().unionByName(row), config.history_runs, run_id))
+    units = {k: "bytes" if k.endswith("_bytes") else "count" for k in counters}
+    metrics = tables["metrics"].read().unionByName(spark.createDataFrame([(run_id, k, float(v), units[k]) for k, v in counters.items()], METRICS))
+    tables["metrics"].commit(cascade(metrics, runs))
+    tables["runs"].commit(runs)
+    return run_id
+
+
 def summary(spark: SparkSession, counters: dict) -> str:
     """key=value line of a scan."""
     text = {k: v for k, v in counters.items()}

@@ -294,6 +294,26 @@ def telemetry_metric_rows(spark, sf):
     return telemetry.as_metrics(telemetry.final_metrics(tele_v(spark, sf)))
 
 
+_MEASURES = {
+    "tasks": "count(*)", "logs": "count(*) FILTER (WHERE type = 'log')", "spans": "count(*) FILTER (WHERE type = 'span')", "errors": "count(*) FILTER (WHERE severity = 'error')", "infos": "count(*) FILTER (WHERE severity = 'info')",
+    "bytes": "coalesce(sum(bytes), 0)", "total_ms": "coalesce(sum(duration_ms), 0)", "empty_tasks": "count(*) FILTER (WHERE bytes = 0)", "large_tasks": "count(*) FILTER (WHERE bytes >= 65536)", "over_second": "count(*) FILTER (WHERE duration_ms >= 1000)",
+    "max_ms": "max(duration_ms)", "min_ms": "min(duration_ms)", "mean_ms": "coalesce(sum(duration_ms), 0) / count(*)", "max_bytes": "max(bytes)", "mean_bytes": "coalesce(sum(bytes), 0) / count(*)",
+    "mib_s": "CASE WHEN sum(duration_ms) > 0 THEN sum(bytes) / 1048576.0::DOUBLE / (sum(duration_ms) / 1000) END", "error_share": "count(*) FILTER (WHERE severity = 'error') / count(*)", "first_ns": "min(time_ns)", "last_ns": "max(time_ns)",
+    "elapsed_ns": "max(time_ns) - min(time_ns)",
+}
+
+
+@query(
+    "telemetry_all_metrics",
+    f"WITH {TELE}, m AS (SELECT CASE WHEN grouping(worker) = 1 AND grouping(name) = 1 THEN 'all' ELSE concat_ws('.', CASE WHEN grouping(worker) = 0 THEN 'worker.' || worker END, CASE WHEN grouping(name) = 0 THEN 'name.' || name END) END AS scope, "
+    + ", ".join(f"CAST({sql} AS DOUBLE) AS {m}" for m, sql in _MEASURES.items())
+    + " FROM tele GROUP BY GROUPING SETS ((), (worker), (name), (worker, name))) "
+    + " UNION ALL ".join(f"SELECT scope || '.{m}' AS name, round({m}, 6) AS value, '{(telemetry.ADDITIVE | telemetry.DERIVED)[m]}' AS unit FROM m" for m in _MEASURES),
+)
+def telemetry_all_metrics(spark, sf):
+    return telemetry.metric_rows(telemetry.measures(tele_v(spark, sf))).select("name", F.round("value", 6).alias("value"), "unit")
+
+
 @query(
     "telemetry_totals_check",
     f"WITH {TELE}, w AS (SELECT worker, count(*) AS t, sum(bytes) AS b, count(*) FILTER (WHERE severity = 'error') AS e FROM tele GROUP BY worker), a AS (SELECT count(*) AS t, sum(bytes) AS b, count(*) FILTER (WHERE severity = 'error') AS e FROM tele) "
@@ -686,10 +706,9 @@ def train_budget_select(spark, sf):
     return training.budgeted(chosen, 100, 200_000).select("path", "turn")
 
 
-@query("backend_verification", f"WITH {FILES} SELECT path, CAST(2 AS BIGINT) AS n FROM files WHERE doc_id % 50 = 0")
+@query("backend_verification", f"WITH {FILES} SELECT path, CAST(3 AS BIGINT) AS backends, CAST(1 AS BIGINT) AS digests, sha256(content) AS digest FROM files")
 def backend_verification(spark, sf):
-    rows = files_v(spark, sf).select("path", F.explode(F.array(F.col("digest"), F.col("digest"), F.when(F.col("doc_id") % 50 == 0, F.lit("bad")).otherwise(F.col("digest")))).alias("digest"))
-    return training.backend_mismatches(rows)
+    return training.backend_agreement(training.digests_by_backend(files_v(spark, sf)))
 
 
 # --- benchmark statistics

@@ -35,7 +35,13 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir names no shared folder")
         key = spark.sparkContext.applicationId
         base = _LOCAL.get(key) or _LOCAL.setdefault(key, "file://" + tempfile.mkdtemp(prefix="twinspark-"))
-    return f"{base.rstrip('/')}/twinspark-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/twinspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application; what reads them fails from then on."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.dirname(scratch(spark)))
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
