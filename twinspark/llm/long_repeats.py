@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspark.llm.induced import backed, sort_suffixes
-from twinspark.llm.shared import full_text, kind_of, picked, release, remove, shared_root, ship, small_batches, stored
+from twinspark.llm.shared import full_text, kind_of, picked, release, remove, shared_root, ship, small_batches, stored, with_spans
+from twinspark.operators.dedup import passing
 
 LENGTH = 400
 #: Digests with more different slices than this count their windows one by one; fewer meet in a shard.
@@ -188,7 +189,7 @@ def repeated_runs(texts: DataFrame, root: str, length: int = LENGTH, most_slices
             kinds = [*[pa.int64()] * 2, *[pa.int32()] * 3, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["hi", "lo", "context", "windows", "anchor", "data"])
 
-    contexts = texts.join(asked, ["hi", "lo"]).select("hi", "lo", "text", "asked").mapInArrow(cut, "hi long, lo long, context int, windows int, anchor int, data binary")
+    contexts = passing(texts, asked, ["hi", "lo"]).join(asked, ["hi", "lo"]).select("hi", "lo", "text", "asked").mapInArrow(cut, "hi long, lo long, context int, windows int, anchor int, data binary")
     contexts = stored(contexts, f"{root}/contexts")
     release(spark, f"{root}/asked")
 
@@ -283,5 +284,5 @@ def remove_long_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             kinds = [*[pa.int64()] * 3, span, pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
 
-    joined = texts.join(spans, ["hi", "lo"], "left").select("id", "text", "runs")
+    joined = with_spans(texts, spans, ["hi", "lo"], "runs").select("id", "text", "runs")
     return joined.mapInArrow(run, f"id {kind_of(joined, 'id')}, n_bytes long, n_removed long, n_spans long, removed array<struct<start: int, stop: int>>, kept binary")

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinspark.operators.dedup import filter_words
+
 ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS = 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -122,6 +124,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most:
             at = stop
 
 
+def with_spans(rows: DataFrame, spans: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with the column `name` of spans (a stored table, unique by keys), null where there is none: a left join that
+    shuffles only the rows whose keys may be in spans, by a filter that grows with it. Rows are read twice."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(64 * (words := filter_words(spans.count()))))
+    marks = spans.select(bit.alias("_bit")).groupBy((F.col("_bit") / 64).cast("long").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_bits"))
+    placed = rows.withColumn("_bit", bit).withColumn("_word", (F.col("_bit") / 64).cast("long")).join(F.broadcast(marks), "_word", "left")  # at most `words` rows
+    may = F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_bit % 64 as int)) & 1 = 1"), F.lit(False))
+    found = placed.where(may).select(rows.columns).join(spans.select(*keys, name), keys, "left").select(*rows.columns, name)
+    return found.unionByName(placed.where(~may).select(*rows.columns, F.lit(None).cast(spans.schema[name].dataType).alias(name)))
+
+
 def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = MAX_BROADCAST_IDS) -> DataFrame:
     """docs without the rows whose keys are in dropped (a stored table); rows with a null key stay."""
     few = dropped.limit(most + 1).count() <= most

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.shared import full_text, kind_of, picked, shared_root, ship, small_batches, stored
+from twinspark.llm.shared import full_text, kind_of, picked, release, shared_root, ship, small_batches, stored, with_spans
 
 #: Every character belongs to exactly one unit: a run up to and with its line or sentence ends and the white space behind.
 UNIT = r"[^\n.!?]+[\n.!?]*[ \t\n]*|[\n.!?]+[ \t\n]*"
@@ -69,11 +69,11 @@ def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind_of(rows, 'id')}, tie long, pos int, high long, low long, start int, stop int, words int, again boolean")
 
 
-def later_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def later_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root: str | None = None) -> DataFrame:
     """id, tie, pos, start, stop (code points of the original text), words, first_id: the units that are not the first
     of their kind. The texts are read once; a hot unit leaves each task as one partial row, and a join deals its
     occurrences, which adaptive execution splits."""
-    root = shared_root(docs.sparkSession)
+    root = root or shared_root(docs.sparkSession)
     all_units = stored(units(docs, id_col, text_col), f"{root}/units")
     first = all_units.groupBy("high", "low").agg(F.min(F.struct("id", "tie")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = stored(first.select("high", "low", F.col("first.id").alias("first_id"), F.col("first.tie").alias("first_tie")), f"{root}/first")
@@ -89,9 +89,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rank by a hash of their text, and rows that repeat both id and text are one document, so they lose the same. A row
     without an id is not compared and keeps its text. Identifiers are of any type that has an order. Null text counts
     as empty, an empty table gives no rows, other columns are not read. A document's spans meet in its row."""
-    spans = later_units(docs, id_col, text_col).distinct().groupBy("id", "tie").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "stop", "words"))).alias("later"))
+    root = shared_root(docs.sparkSession)
+    later = later_units(docs, id_col, text_col, root)
+    # What rows that repeat id and text have twice, a document's units tell apart again.
+    spans = stored(later.groupBy("id", "tie").agg(F.sort_array(F.collect_set(F.struct("pos", "start", "stop", "words"))).alias("later")), f"{root}/spans")
+    release(docs.sparkSession, f"{root}/units", f"{root}/first")
     texts = picked(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("tie"), full_text().alias("text"))
-    out = texts.join(spans, ["id", "tie"], "left").select("id", "text", "later")
+    out = with_spans(texts, spans, ["id", "tie"], "later").select("id", "text", "later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
