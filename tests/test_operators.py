@@ -278,3 +278,19 @@ def test_fnv_against_the_definition(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
     assert {r.t: r.h for r in df.select("t", fnv1a_64(F.col("t")).cast("string").alias("h")).collect()} == {t: None if t is None else fnv(t.encode()) for t in texts}
     assert df.limit(0).select(fnv1a_64(F.col("t"))).count() == 0
+
+
+def test_small_files_stay_on_the_cpu(spark):
+    """The route of a file that is smaller than both limits' larger one."""
+    df = spark.createDataFrame([(n,) for n in (0, 99, 100, 199, 200)], "size long")
+    for limits, first in (((100, 50), 100), ((100, 200), 200), ((0, 0), 0)):
+        assert [r.x for r in df.orderBy("size").select(routing.small_route(F.col("size"), *limits).alias("x")).collect()] == [n < first for n in (0, 99, 100, 199, 200)]
+
+
+def test_numbered_groups_and_members(spark):
+    df = files(spark, [("a1", "0", "AAAA"), ("a2", "0", "AAAA"), ("b1", "1", "BBBB"), ("b2", "1", "BBBB"), ("0", "1", "BBBB"), ("c", "0", "CCCC"), ("a1", "0", "AAAA")])
+    rows = lambda d: {(r.representative, r.member, r["size"], r.members, r.group_number) for r in d.collect()}
+    assert rows(dedup.numbered_groups(df)) == rows(dedup.numbered(dedup.matches(df))) and len(rows(dedup.numbered_groups(df))) == 5
+    counted = dedup.members(df)
+    assert counted.count() == 5 and counted.select("representative").distinct().count() == 2
+    assert dedup.numbered_groups(df.limit(0)).count() == 0 == dedup.members(df.limit(0)).count()

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspark.functions.scalars import quoted_path
-from twinspark.operators.cache import fail_if_any
 from twinspark.operators.ordered import row_positions
 from twinspark.storage import materialized
 
@@ -41,14 +40,20 @@ def content_classes(files: DataFrame) -> DataFrame:
 
     Contents move for candidates only: a bounded filter of the buckets (size, digest) with two files or more goes before
     the scan, and what passes is grouped by its bytes with nothing but a count, so that copies meet before the shuffle.
-    Bytes decide: two contents of one bucket that share their SHA-256 would fail the step."""
+    Bytes decide: two contents of one bucket that share their SHA-256 fail the step."""
     buckets = materialized(files.groupBy("size", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "digest"))
     may = passing(files.select("path", "size", "digest", "content"), buckets, ["size", "digest"])
     counted = may.groupBy("size", "digest", "content").agg(F.count(F.lit(1)).alias("n")).select("size", "digest", F.sha2("content", 256).alias("content_id"), "n")
     classes = materialized(counted.groupBy("size", "digest", "content_id").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("members")).where("members > 1"))
-    fail_if_any(classes.where("contents > 1"), "different contents share a SHA-256")
     named = may.select("path", "size", "digest", F.sha2("content", 256).alias("content_id"))
-    return named.join(classes.drop("contents"), ["size", "digest", "content_id"])
+    one = F.when(F.col("contents") > 1, F.raise_error(F.lit("different contents share a SHA-256"))).otherwise(F.col("members"))
+    return named.join(classes, ["size", "digest", "content_id"]).withColumn("members", one).drop("contents")
+
+
+def members(files: DataFrame) -> DataFrame:
+    """Like matches(), with the class's own name in place of the representative's path: enough to count, and to leave out."""
+    name = F.concat_ws(" ", F.col("size").cast("string"), "digest", "content_id")
+    return content_classes(files).select(name.alias("representative"), F.col("path").alias("member"), "size", "members").dropDuplicates(["representative", "member"])
 
 
 def matches(files: DataFrame) -> DataFrame:
@@ -66,16 +71,26 @@ def numbered(groups: DataFrame) -> DataFrame:
     return groups.join(order.drop("all"), "representative")
 
 
+def numbered_groups(files: DataFrame) -> DataFrame:
+    """numbered(matches(files)) with fewer tables on the way: the classes get their first path and number at once."""
+    key = ["size", "digest", "content_id"]
+    rows = materialized(content_classes(files).dropDuplicates([*key, "path"]))
+    first = rows.groupBy(*key).agg(F.min("path").alias("representative")).withColumn("all", F.lit(0))
+    order = row_positions(first, ["all"], ["representative"], "group_number").drop("all")
+    return rows.join(order, key).select("representative", F.col("path").alias("member"), "size", "members", "group_number")
+
+
 def unique_files(files: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The files without a copy; groups: what matches() gave for them, if that is known."""
-    return files.join((matches(files) if groups is None else groups).select(F.col("member").alias("path")), "path", "left_anti")
+    return files.join((members(files) if groups is None else groups).select(F.col("member").alias("path")), "path", "left_anti")
 
 
 def report_lines(files: DataFrame, unmatched: bool = True, groups: DataFrame | None = None) -> DataFrame:
     """group_number, path, line: the TSV report's rows; group 0 has files without copies. groups: what matches() gave
     for files, if that is known; then nothing but their paths is read."""
-    groups = matches(files) if groups is None else groups
-    rows = numbered(groups).select("group_number", F.col("member").alias("path"))
+    found = numbered_groups(files) if groups is None else numbered(groups)
+    groups = materialized(found) if unmatched and groups is None else found
+    rows = groups.select("group_number", F.col("member").alias("path"))
     if unmatched:
         rows = rows.unionByName(unique_files(files.select("path"), groups).select(F.lit(0).cast("long").alias("group_number"), "path"))
     return rows.withColumn("line", F.concat(F.col("group_number").cast("string"), F.lit("\t"), quoted_path(F.col("path"))))

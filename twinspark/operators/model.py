@@ -97,16 +97,16 @@ def band_model(observations: DataFrame, order: str, keys: tuple[str, ...] = ("ba
     # Costs: in the group's first part without a seed the first observation is the value before, so it counts as one.
     sums = materialized(parts.mapInPandas(lambda frames: _folds(frames, whole, False), kind))
     opening = parts.groupBy(*group).agg(F.min_by("x", "_order").alias("opening"))
-    sums = materialized(sums.join(opening, group) if given is None else sums.join(opening, group).join(given, group, "left"))
+    sums = sums.join(opening, group) if given is None else sums.join(opening, group).join(given, group, "left")
     seeded = F.col("seed_cost") if given is not None else F.lit(None).cast("double")
     costs = carried(sums, F.coalesce(seeded, F.col("opening")), F.lit(0.0))
     last = costs.groupBy(*group).agg(F.max_by(F.col("before") * F.pow(keep, F.col("samples")) + F.col("added"), "_part").alias("cost"), F.sum("samples").alias("samples"))
 
     # Errors, with each part's cost before it; none where the group begins.
     begins = F.row_number().over(Window.partitionBy(*group).orderBy("_part")) == 1
-    before = materialized(costs.withColumn("cost", F.when(begins, seeded).otherwise(F.col("before"))).select(*whole, "cost"))
+    before = costs.withColumn("cost", F.when(begins, seeded).otherwise(F.col("before"))).select(*whole, "cost")
     rows = parts.join(before, whole).repartition(*whole).sortWithinPartitions(*whole, "_order")
-    errors = materialized(rows.mapInPandas(lambda frames: _folds(frames, whole, True), kind))
+    errors = rows.mapInPandas(lambda frames: _folds(frames, whole, True), kind)
     errors = errors if given is None else errors.join(given, group, "left")
     seeded_error = F.coalesce(F.col("seed_error"), F.lit(0.0)) if given is not None else F.lit(0.0)
     ends = carried(errors, seeded_error, F.lit(0.0))
@@ -225,6 +225,7 @@ def fit(states: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
             out = frame[carried].assign(**{f"beta{i}": beta[:, i] for i in range(4)}, residual=residual)
             yield out[valid]
 
+    ship(states.sparkSession)
     kinds = ", ".join(f"{c} {states.schema[c].dataType.simpleString()}" for c in carried)
     return states.mapInPandas(run, f"{kinds}, beta0 double, beta1 double, beta2 double, beta3 double, residual double")
 
@@ -315,6 +316,7 @@ def valid_states(states: DataFrame) -> DataFrame:
         for frame in frames:
             yield frame.assign(valid=validity(frame))
 
+    ship(states.sparkSession)
     return states.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in states.schema) + ", valid boolean")
 
 

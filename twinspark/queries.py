@@ -59,7 +59,7 @@ def dup_candidates(spark, sf):
 
 @query("dup_groups", f"WITH {FILES}, {GROUPS} SELECT dense_rank() OVER (ORDER BY representative) AS group_number, representative, member, size FROM matches")
 def dup_groups(spark, sf):
-    return dedup.numbered(dedup.matches(files_v(spark, sf))).select("group_number", "representative", "member", "size")
+    return dedup.numbered_groups(files_v(spark, sf)).select("group_number", "representative", "member", "size")
 
 
 @query("unique_files", f"WITH {FILES}, {GROUPS} SELECT path, size FROM files WHERE path NOT IN (SELECT member FROM matches)")
@@ -85,7 +85,7 @@ def dup_report_tsv(spark, sf):
 )
 def scan_counters(spark, sf):
     files = files_v(spark, sf)
-    return dedup.scan_counters(files, cache.cache_hits(files, prev_v(files)), dedup.matches(files))
+    return dedup.scan_counters(files, cache.cache_hits(files, prev_v(files)), dedup.members(files))
 
 
 @query("reclaimable", f"WITH {FILES}, {GROUPS} SELECT representative, count(*) AS member_count, (count(*) - 1) * max(size) AS reclaimable_bytes FROM matches GROUP BY representative")
