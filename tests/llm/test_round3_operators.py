@@ -82,8 +82,9 @@ def test_bounds_lose_no_pair():
     rng = np.random.default_rng(5)
     for width in (1, 2, 3, 8, 33):
         vectors = np.floor(256 * rng.normal(size=(300, width)) * rng.uniform(0, 2, width))
-        axes = principal_axes(vectors[:50])
-        all_, first = Turned(vectors, axes), Turned(vectors[:40], axes)
+        axes, ends = principal_axes(vectors[:50])
+        assert ends == sorted(set(ends)) and 1 <= ends[0] <= ends[-1] <= width
+        all_, first = Turned(vectors, axes, ends), Turned(vectors[:40], axes, ends)
         scores = (vectors[:40] @ vectors.T).astype(np.int64)
         low, high = np.quantile(scores, 0.9, axis=1), np.quantile(scores, 0.97, axis=1)
         low[::2] = np.floor(low[::2])

@@ -30,19 +30,23 @@ NONE, LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 FOUND = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
 
-def principal_axes(sample: np.ndarray) -> np.ndarray:
-    """Columns: orthonormal axes, those with the largest second moments first."""
-    _, axes = np.linalg.eigh(sample.T @ sample)
-    return np.ascontiguousarray(axes[:, ::-1])
+#: Shares of the sample's squared length that the leading components hold where a product is looked at.
+SHARES = (0.5, 0.75, 0.9)
+
+
+def principal_axes(sample: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Columns: orthonormal axes, those with the largest second moments first. And after how many components a product
+    is looked at."""
+    energy, axes = np.linalg.eigh(sample.T @ sample)
+    share = np.cumsum(np.maximum(energy[::-1], 0)) / max(float(np.maximum(energy, 0).sum()), 1e-300)
+    return np.ascontiguousarray(axes[:, ::-1]), sorted({min(len(axes), int(np.searchsorted(share, s)) + 1) for s in SHARES})
 
 
 class Turned:
     """Vectors (integers, as doubles) on the axes: leading components, the lengths of the rests, and exact ones."""
 
-    def __init__(self, vectors: np.ndarray, axes: np.ndarray):
-        width = len(axes)
-        self.vectors, self.turned = vectors, vectors @ axes
-        self.ends = [width - width * 3 // 4, width - width // 2] if width > 3 else [width]
+    def __init__(self, vectors: np.ndarray, axes: np.ndarray, ends: list[int]):
+        self.vectors, self.turned, self.ends = vectors, vectors @ axes, ends
         squares = np.cumsum(np.square(self.turned)[:, ::-1], axis=1)[:, ::-1]
         rest = np.concatenate([squares, np.zeros((len(vectors), 1))], axis=1)
         self.rests = np.sqrt(rest[:, self.ends])
@@ -58,20 +62,26 @@ def slack(axes: np.ndarray) -> float:
 
 
 def may_score(anchors: Turned, rows: Turned, wanted: np.ndarray, low: np.ndarray, high: np.ndarray, loose: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (anchor, row) of wanted (a matrix) whose product may lie between low and high, which are given by anchor."""
-    end = anchors.ends[0]
-    product = anchors.turned[:, :end] @ rows.turned[:, :end].T
-    reach = np.outer(anchors.rests[:, 0], rows.rests[:, 0]) + loose * np.outer(anchors.lengths, rows.lengths)
-    kept = wanted & (product + reach >= low[:, None]) & (product - reach <= high[:, None])
+    """Pairs (anchor, row) of wanted (a matrix) whose product may lie between low and high, which are given by anchor.
+
+    Components are added for all pairs while over a quarter of them is left, then for those that are left."""
+    slackened, low_, high_, kept, end = loose * np.outer(anchors.lengths, rows.lengths), low[:, None], high[:, None], wanted, 0
+    product, step = np.zeros(wanted.shape), 0
+    while step < len(anchors.ends) and (not step or np.count_nonzero(kept) * 4 > kept.size):
+        more = anchors.ends[step]
+        product += anchors.turned[:, end:more] @ rows.turned[:, end:more].T
+        reach = np.outer(anchors.rests[:, step], rows.rests[:, step]) + slackened
+        kept = kept & (product + reach >= low_) & (product - reach <= high_)
+        end, step = more, step + 1
     a, r = np.nonzero(kept)
     product = product[kept]
-    for i, more in enumerate(anchors.ends[1:], 1):
+    for i, more in enumerate(anchors.ends[step:], step):
         for at in range(0, len(a), PAIRS // 8):
             part = slice(at, at + PAIRS // 8)
             product[part] += np.einsum("ij,ij->i", anchors.turned[a[part], end:more], rows.turned[r[part], end:more])
         reach = anchors.rests[a, i] * rows.rests[r, i] + loose * anchors.lengths[a] * rows.lengths[r]
-        kept = (product + reach >= low[a]) & (product - reach <= high[a])
-        a, r, product, end = a[kept], r[kept], product[kept], more
+        left = (product + reach >= low[a]) & (product - reach <= high[a])
+        a, r, product, end = a[left], r[left], product[left], more
     return a, r
 
 
@@ -130,16 +140,16 @@ def dense(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], axes: np.ndarray, step: int):
+def _pieces(batches: Iterator[pa.RecordBatch], axes: np.ndarray, ends: list[int], step: int):
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            yield part.column("id").to_numpy(), part.column("label").to_numpy(), Turned(dense(part.column("q"), len(axes)), axes)
+            yield part.column("id").to_numpy(), part.column("label").to_numpy(), Turned(dense(part.column("q"), len(axes)), axes, ends)
 
 
-def _parts(vectors: np.ndarray, axes: np.ndarray, step: int):
+def _parts(vectors: np.ndarray, axes: np.ndarray, ends: list[int], step: int):
     """Anchors in parts that a task compares with a piece of its rows at once."""
-    return [(slice(at, at + step), Turned(vectors[at : at + step], axes)) for at in range(0, len(vectors), step)]
+    return [(slice(at, at + step), Turned(vectors[at : at + step], axes, ends)) for at in range(0, len(vectors), step)]
 
 
 def _limits(best: np.ndarray) -> np.ndarray:
@@ -183,7 +193,7 @@ def mine_hard_negatives(
     width = max(width, 1)
     numbered = rows.withColumn("n", F.monotonically_increasing_id())
     sample = numbered.where(F.pmod(F.xxhash64("n"), F.lit(max(1, total // AXES_ROWS))) == 0).select("q").toArrow().column("q").combine_chunks()
-    axes = principal_axes(dense(sample, width) if len(sample) else np.eye(width))
+    axes, ends = principal_axes(dense(sample, width) if len(sample) else np.eye(width))
     loose = slack(axes)
 
     in_block = max(64, block_bytes // (16 * width))
@@ -204,8 +214,8 @@ def mine_hard_negatives(
 
         def first(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             ids, labels, vectors, axes = shipped.value
-            best, parts = Best(len(ids), positives), _parts(vectors, axes, step)
-            for own, label, piece in _pieces(batches, axes, PAIRS // step):
+            best, parts = Best(len(ids), positives), _parts(vectors, axes, ends, step)
+            for own, label, piece in _pieces(batches, axes, ends, PAIRS // step):
                 for part, anchors in parts:
                     wanted = (labels[part, None] == label) & (ids[part, None] != own)
                     a, r = may_score(anchors, piece, wanted, _limits(best.least[part]), np.full(len(anchors.vectors), np.inf), loose)
@@ -225,9 +235,9 @@ def mine_hard_negatives(
         def second(batches: Iterator[pa.RecordBatch], shipped=shipped, windows=windows) -> Iterator[pa.RecordBatch]:
             ids, labels, vectors, axes = shipped.value
             pos_ids, scores, lows, highs = windows.value
-            best, parts = Best(len(lows), negatives), _parts(vectors, axes, step)
+            best, parts = Best(len(lows), negatives), _parts(vectors, axes, ends, step)
             most = _limits(highs).reshape(-1, positives).max(axis=1)
-            for own, label, piece in _pieces(batches, axes, PAIRS // step):
+            for own, label, piece in _pieces(batches, axes, ends, PAIRS // step):
                 for part, anchors in parts:
                     wanted = (labels[part, None] != label) & (ids[part, None] != own)
                     slots = slice(part.start * positives, (part.start + len(anchors.vectors)) * positives)
