@@ -104,12 +104,12 @@ class Estimate:
     share_bad: float
     right: tuple[float, ...]
 
-    def good(self, votes: list[Column]) -> Column:
-        """Posterior probability that a text is good."""
-        odds = F.lit(math.log((1 - self.share_bad) / self.share_bad))
-        for vote, right in zip(votes, self.right, strict=True):
-            weight = math.log(right / (1 - right))
-            odds = odds + F.when(vote == 1, weight).when(vote == 0, -weight).otherwise(0.0)
+    def good(self, votes: Column) -> Column:
+        """Posterior probability that a text with these votes (an array) is good. The numbers are one array and not parts
+        of the expression, so that the steps of the estimate share their compiled code."""
+        weights = F.array(*(F.lit(math.log(right / (1 - right))) for right in self.right))
+        terms = F.zip_with(votes, weights, lambda v, w: F.when(v == 1, w).when(v == 0, -w).otherwise(F.lit(0.0)))
+        odds = F.aggregate(terms, F.lit(math.log((1 - self.share_bad) / self.share_bad)), lambda s, x: s + x)
         return 1 / (1 + F.exp(-odds))
 
 
@@ -117,7 +117,7 @@ def estimated(patterns: DataFrame, n_rules: int, steps: int = STEPS) -> Estimate
     """Expectation-maximisation over patterns: v (array of votes), n (texts). Without texts the start stays."""
     found = Estimate(SHARE_BAD, (RIGHT,) * n_rules)
     for _ in range(steps):
-        rows = patterns.select("n", "v", found.good([F.col("v")[i] for i in range(n_rules)]).alias("good"))
+        rows = patterns.select("n", "v", found.good(F.col("v")).alias("good"))
         good, bad = F.col("n") * F.col("good"), F.col("n") * (1 - F.col("good"))
         sums = [F.sum("n"), F.sum(bad)]
         for i in range(n_rules):
@@ -141,6 +141,5 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     patterns = stored(rows.groupBy(F.col("votes").alias("v")).agg(F.count(F.lit(1)).alias("n")).coalesce(1), f"{root}/patterns")  # at most 3^rules rows
     found = estimated(patterns, len(rules), steps)
     remove(docs.sparkSession, f"{root}/patterns")
-    good = found.good([F.col("votes")[i] for i in range(len(rules))])
-    rows = rows.withColumn("good", good).withColumn("base_failed", base_failed())
+    rows = rows.withColumn("good", found.good(F.col("votes"))).withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("good") >= threshold))
