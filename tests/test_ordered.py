@@ -46,7 +46,7 @@ def test_timeline_has_no_window_over_a_run(spark):
     assert "partitionBy(run_id" not in out._jdf.queryExecution().toString() and out.columns == [*events.columns, "gap_ns"]
 
 
-@pytest.mark.parametrize("small", [0, 40, 10_000])
+@pytest.mark.parametrize("small", [0, 40, selection.SMALL])
 def test_medians(spark, small):
     random.seed(22)
     odd = [0.0, -0.0, 1e300, -1e300, 5e-324, -5e-324, math.inf, -math.inf, 1.0, 1.0, 1.0 + 2**-52]

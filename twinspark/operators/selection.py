@@ -15,8 +15,8 @@ from pyspark.sql.types import DoubleType, LongType
 
 from twinspark.storage import materialized, ship
 
-#: Groups of up to this many rows take the built-in function.
-SMALL = 10_000
+#: Groups of up to this many rows take the built-in function, which holds their values (some 20 MB).
+SMALL = 200_000
 DIGIT = 16
 
 
