@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The columns of files that others write.
 DISPATCH = "backend string, trial bigint, `order` bigint, size bigint, block bigint, workers bigint, repeats bigint, init_ms double, steady_ms double, aggregate_mib_s double, verified_digests bigint, worker_jobs array<bigint>, cpu_jobs bigint, cuda_jobs bigint"
 STORE_CSV = "variant string, paired_trial bigint, shape string, phase string, rows bigint, cache_bytes bigint, operations bigint, elapsed_ms double, verified boolean"
 TELEMETRY_CSV = (

@@ -30,14 +30,13 @@ class RunCap(StatefulProcessor):
     """A run's first `cap` events go through, by event_id within a batch; the others are counted.
 
     Its state is three numbers a run: accepted and dropped events, and the start, which is the smallest time of the
-    run's first batch. Of a batch only as many events are held as may still go through. The state of a run that has been
-    idle for `idle_ms` is dropped by Spark."""
+    run's first batch. Of a batch only as many events are held as may still go through."""
 
-    def __init__(self, names: list[str], start: str | None, cap: int, idle_ms: int | None):
-        self.names, self.start, self.cap, self.idle_ms = names, start, cap, idle_ms
+    def __init__(self, names: list[str], start: str | None, cap: int):
+        self.names, self.start, self.cap = names, start, cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", RUN_STATE, self.idle_ms)
+        self.run = handle.getValueState("run", RUN_STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         known = self.run.get() if self.run.exists() else (0, 0, None)
@@ -68,17 +67,17 @@ def _written(schema: StructType) -> StructType:
     return StructType([StructField("event", schema), StructField("run", RUN)])
 
 
-def write_events(events: DataFrame, target: str, checkpoint: str, cap: int, start: str | None = None, available_now: bool = True, idle_ms: int | None = None) -> StreamingQuery:
+def write_events(events: DataFrame, target: str, checkpoint: str, cap: int, start: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Appends micro-batches to target, each run's events beyond `cap` dropped and counted; see read_events, read_runs.
 
     What a run has had is keyed state in Spark's state store (RocksDB), so a batch reads and writes the state of its own
     runs and nothing of earlier batches. A batch is written under its own number and replaced when it is run again, so a
-    restart adds nothing twice. start: the column whose smallest value in a run's first batch is when the run began;
+    restart adds nothing twice. The state keeps three numbers a run for ever. start: the column whose smallest value in a run's first batch is when the run began;
     without it runs are ordered by arrival."""
     spark = events.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    capped = events.groupBy("run_id").transformWithState(RunCap(events.columns, start, cap, idle_ms), _written(events.schema), "append", "processingtime" if idle_ms else "none")
+    capped = events.groupBy("run_id").transformWithState(RunCap(events.columns, start, cap), _written(events.schema), "append", "none")
 
     def batch(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{target}/batch={number}")
