@@ -80,18 +80,17 @@ def human_bytes(value: Column) -> Column:
     return out
 
 
-def human_duration(ms: Column) -> Column:
+def human_duration(ms: Column, smallest: str = "ns", largest: str = "h") -> Column:
+    """In units from `smallest` to `largest` (of ns, us, ms, s, min and h), two decimals; none for zero."""
     v = ms.cast("double")
     say = lambda x, unit: F.concat(two_decimals(x), F.lit(f" {unit}"))
-    return (
-        F.when(v == 0, F.lit("0 ms"))
-        .when(v < 0.001, say(v * 1_000_000, "ns"))
-        .when(v < 1, say(v * 1000, "us"))
-        .when(v < 1000, say(v, "ms"))
-        .when(v < 60_000, say(v / 1000, "s"))
-        .when(v < 3_600_000, say(v / 60_000, "min"))
-        .otherwise(say(v / 3_600_000, "h"))
-    )
+    steps = {"ns": (0.001, v * 1_000_000), "us": (1, v * 1000), "ms": (1000, v), "s": (60_000, v / 1000), "min": (3_600_000, v / 60_000), "h": (None, v / 3_600_000)}
+    units = list(steps)[list(steps).index(smallest) : list(steps).index(largest) + 1]
+    out = F.when(v == 0, F.lit("0 ms"))
+    for unit in units[:-1]:
+        end, scaled = steps[unit]
+        out = out.when(v < end, say(scaled, unit))
+    return out.otherwise(say(steps[units[-1]][1], units[-1]))
 
 
 def throughput_mib(size: Column, seconds: Column) -> Column:
