@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from twinspark.functions.scalars import bucket_range, features, latency_bucket, size_band, valid_observation
 from twinspark.operators.cache import fail_if_any
 from twinspark.operators.ordered import in_parts, row_positions, running
-from twinspark.storage import materialized, ship
+from twinspark.storage import lookup, materialized, ship
 
 ALPHA = 0.125
 RIDGE = 1e-8
@@ -129,7 +129,7 @@ def with_seeds(state: DataFrame, measured: DataFrame, keys: tuple[str, ...] = ("
 
 def predict_band(tasks: DataFrame, model: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
     """tasks (keys, bytes) with predicted ms and error of their band; null where it is unknown."""
-    rows = tasks.withColumn("band", size_band(F.col("bytes"))).join(model.select(*keys, "band", "cost", "error", "samples"), [*keys, "band"], "left")
+    rows = tasks.withColumn("band", size_band(F.col("bytes"))).join(lookup(model.select(*keys, "band", "cost", "error", "samples")), [*keys, "band"], "left")
     return rows.withColumn("predicted_ms", F.col("cost") * F.col("bytes")).withColumn("predicted_error_ms", F.col("error") * F.col("bytes")).drop("cost", "error")
 
 
@@ -233,8 +233,8 @@ def fit(states: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
 def predict(contexts: DataFrame, fits: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
     """contexts with predicted_ms, residual and out_of_domain; null prediction where it is not positive and finite.
 
-    fits has one row a key and joins by it."""
-    rows = contexts.withColumn("x", features(F.col("bytes"), F.col("batch_bytes"), F.col("contention"))).join(fits, list(keys), "left")
+    fits has one row a key and joins by it, where the contexts lie if there are few."""
+    rows = contexts.withColumn("x", features(F.col("bytes"), F.col("batch_bytes"), F.col("contention"))).join(lookup(fits), list(keys), "left")
     ms = sum((F.col(f"beta{i}") * F.col("x")[i] for i in range(1, 4)), F.col("beta0") * F.col("x")[0])
     outside = F.lit(False)
     for i in range(4):

@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 ROOT = str(Path(__file__).resolve().parents[1])
@@ -57,3 +58,14 @@ def materialized(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables of up to this many rows go to every task; joining by a shuffle would bring all rows of a key to one task.
+FEW = 200_000
+
+
+def lookup(df: DataFrame, few: int = FEW) -> DataFrame:
+    """df stored as the smaller side of a join: broadcast if it has up to `few` rows, so that the other side stays where
+    it lies, else as it is."""
+    df = materialized(df)
+    return F.broadcast(df) if df.count() <= few else df
