@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from twinspark.operators import selection
 from twinspark.operators.ordered import row_positions
-from twinspark.storage import materialized, ship
+from twinspark.storage import lookup, materialized, ship
 
 RESAMPLES, GATE, LEAST_TRIALS = 10_000, 1.02, 7
 #: Pairs that are drawn from together; a power of two.
 DRAWN = 1024
+#: Draws that are summed at once, blocks that a task walks through, and tasks that smaller tables are dealt to.
+AT_ONCE, BLOCKS, TASKS = 1 << 16, 64, 96
 
 
 def medians(trials: DataFrame, keys: list[str], value: str, trial: str, expected: list[int]) -> DataFrame:
@@ -58,25 +60,29 @@ def bootstrap_upper(pairs: DataFrame, keys: list[str], seed: int = 1, resamples:
     A group may have any number of pairs. They are numbered in the order of their ratios and drawn from in blocks of
     DRAWN; generators go by block and range of blocks, see draws_of_block, so the result depends on the pairs and the
     seed alone and not on how rows lie in partitions. Each block gives `resamples` sums, which meet in each task before
-    they are shuffled. keys are not null."""
+    they are shuffled. A block is 8 KB but millions of draws, so tasks are dealt by number of blocks; adaptive execution
+    would merge them by size. keys are not null."""
     spark = pairs.sparkSession
     ship(spark)
     rows = row_positions(pairs.select(*keys, "ratio").where("ratio is not null"), keys, ["ratio"], "_rank").withColumn("_block", F.expr(f"(_rank - 1) div {DRAWN}"))
     rows = materialized(rows.select(*keys, "ratio", "_block"))
-    sizes = materialized(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs")))
+    sizes = lookup(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs")))
+    blocks = sizes.agg(F.sum(F.ceil(F.col("pairs") / DRAWN))).first()[0] or 1
+    tasks = min(blocks, max(TASKS, blocks // BLOCKS))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         block, ratios = int(key[-1]), np.sort(frame["ratio"].to_numpy())
         share, own, sums = draws_of_block(int(frame["pairs"].iloc[0]), block, resamples, seed), np.random.default_rng([seed, block]), np.zeros(resamples)
-        most = max(1, (1 << 22) // len(ratios))
+        most = max(1, AT_ONCE // len(ratios))
         for at in range(0, resamples, most):
             part = share[at : at + most]
-            drawn = ratios[own.integers(0, len(ratios), int(part.sum()))]
-            sums[at : at + most] = np.bincount(np.repeat(np.arange(len(part)), part), drawn, len(part))
+            drawn, some = ratios.take(own.integers(0, len(ratios), int(part.sum()))), np.flatnonzero(part)
+            if len(some):
+                sums[at + some] = np.add.reduceat(drawn, (np.cumsum(part) - part)[some])
         return pd.DataFrame({**dict(zip(keys, key, strict=False)), "resample": np.arange(resamples), "total": sums})
 
     kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    drawn = rows.join(sizes, keys).groupBy(*keys, "_block").applyInPandas(run, f"{kinds}, resample int, total double")
+    drawn = rows.join(sizes, keys).repartition(tasks, *keys, "_block").groupBy(*keys, "_block").applyInPandas(run, f"{kinds}, resample int, total double")
     means = drawn.groupBy(*keys, "resample").agg(F.sum("total").alias("total")).join(sizes, keys).withColumn("mean", F.col("total") / F.col("pairs"))
     found = means.groupBy(*keys, "pairs").agg(F.sort_array(F.collect_list("mean"))[int(0.95 * (resamples - 1))].alias("upper"))  # `resamples` numbers a group
     gate = F.when(F.col("pairs") < LEAST_TRIALS, "insufficient_trials").when(F.col("upper") <= GATE, "pass").otherwise("not_demonstrated")
