@@ -137,10 +137,16 @@ def known_bands(model: DataFrame) -> DataFrame:
     return model.groupBy("backend").agg(F.count_if(F.col("samples") > 0).alias("known_bands"))
 
 
+def valid_contexts(observations: DataFrame) -> DataFrame:
+    """Valid observations (bytes, batch_bytes, contention, ms)."""
+    x = features(F.col("bytes"), F.col("batch_bytes"), F.col("contention").cast("double"))
+    return observations.withColumn("ms", F.col("ms").cast("double")).where(x.isNotNull() & (F.col("ms") > 0) & (F.col("ms") <= 1e9))
+
+
 def with_features(observations: DataFrame) -> DataFrame:
-    """Valid observations (bytes, batch_bytes, contention, ms) with x0..x3."""
-    rows = observations.withColumn("ms", F.col("ms").cast("double")).withColumn("x", features(F.col("bytes"), F.col("batch_bytes"), F.col("contention").cast("double"))).where(F.col("x").isNotNull() & (F.col("ms") > 0) & (F.col("ms") <= 1e9))
-    return rows.select("*", *(F.col("x")[i].alias(f"x{i}") for i in range(4))).drop("x")
+    """Valid observations with x0..x3."""
+    x = features(F.col("bytes"), F.col("batch_bytes"), F.col("contention").cast("double"))
+    return valid_contexts(observations).select("*", *(x[i].alias(f"x{i}") for i in range(4)))
 
 
 def _sums(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -230,11 +236,11 @@ def fit(states: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
     return states.mapInPandas(run, f"{kinds}, beta0 double, beta1 double, beta2 double, beta3 double, residual double")
 
 
-def predict(contexts: DataFrame, fits: DataFrame, keys: tuple[str, ...] = ("backend",)) -> DataFrame:
+def predict(contexts: DataFrame, fits: DataFrame, keys: tuple[str, ...] = ("backend",), stored: bool = False) -> DataFrame:
     """contexts with predicted_ms, residual and out_of_domain; null prediction where it is not positive and finite.
 
-    fits has one row a key and joins by it, where the contexts lie if there are few."""
-    rows = contexts.withColumn("x", features(F.col("bytes"), F.col("batch_bytes"), F.col("contention"))).join(lookup(fits), list(keys), "left")
+    fits (stored: as a table) has one row a key and joins by it, where the contexts lie if there are few."""
+    rows = contexts.withColumn("x", features(F.col("bytes"), F.col("batch_bytes"), F.col("contention"))).join(lookup(fits, stored=stored), list(keys), "left")
     ms = sum((F.col(f"beta{i}") * F.col("x")[i] for i in range(1, 4)), F.col("beta0") * F.col("x")[0])
     outside = F.lit(False)
     for i in range(4):
@@ -256,21 +262,21 @@ def prequential(observations: DataFrame, order: list[str], keys: tuple[str, ...]
     and give the first solution. order tells the rows of a key apart; keys are not null."""
     ship(observations.sparkSession)
     stop, last = f"if(n <= {FIRST}, n, (n + {EVERY - 1}) div {EVERY} * {EVERY})", f"if(n <= {EVERY}, least(n - 1, {FIRST}L), (n - 1) div {EVERY} * {EVERY})"
-    placed = materialized(row_positions(with_features(observations), list(keys), order, "n").withColumn("stop", F.expr(stop)))
+    placed = row_positions(valid_contexts(observations), list(keys), order, "n")  # a stored table and a narrow step
     state = [*MOMENTS, "samples", *(f"{n}{i}" for n in ("min", "max") for i in range(4))]
-    steps = _sums(placed, (*keys, "stop"))
+    steps = _sums(with_features(placed.withColumn("stop", F.expr(stop))), (*keys, "stop"))
     sums = running(steps, list(keys), ["stop"], {c: ("sum" if c in MOMENTS or c == "samples" else c[:3], c) for c in state}).where(F.col("samples") == F.col("stop"))
     if prior is not None:
         sums = merged_into(sums, prior.select(*keys, *state), [*keys, "stop"], keys)
         sums = sums.unionByName(prior.select(*keys, F.lit(0).cast("long").alias("stop"), *state))
     sums = materialized(sums)
     fits = materialized(fit(sums, (*keys, "stop")))
-    asked = placed.drop("stop", *(f"x{i}" for i in range(4))).withColumn("stop", F.expr(last))
+    asked = placed.withColumn("stop", F.expr(last))
     if fits.count() < sums.count():  # some have no solution: the last one before them stays
         valid = fits.select(*keys, "stop", F.col("stop").alias("solved"))
         known = running(sums.select(*keys, "stop").join(valid, [*keys, "stop"], "left"), list(keys), ["stop"], {"solved": ("max", "solved")})
         asked = asked.join(known, [*keys, "stop"], "left").drop("stop").withColumnRenamed("solved", "stop")
-    return predict(asked, fits, (*keys, "stop")).drop("stop")
+    return predict(asked, fits, (*keys, "stop"), stored=True).drop("stop")
 
 
 def merged_into(states: DataFrame, addition: DataFrame, keys: list[str], on: tuple[str, ...]) -> DataFrame:

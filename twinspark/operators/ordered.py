@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinspark.storage import materialized
+from twinspark.storage import lookup, materialized
 
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id counts rows of a partition in these
 
@@ -32,7 +32,7 @@ def row_positions(df: DataFrame, keys: list[str], order: list[str], name: str) -
     """df with `name`: the row's number in its group, from 1. order must be unique inside a group; keys are not null."""
     parts = in_parts(df, keys, order)
     offsets = _before(parts, keys, F.count(F.lit(1)), F.min("_at"))
-    out = parts.join(offsets, [*keys, "_part"]).withColumn(name, F.col("_at") - F.col("_start") + 1 + F.col("_before"))
+    out = parts.join(lookup(offsets), [*keys, "_part"]).withColumn(name, F.col("_at") - F.col("_start") + 1 + F.col("_before"))
     return out.select(*df.columns, name)
 
 
@@ -49,7 +49,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     here = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     own = parts.select("*", *(_RUNNING[how][0](column).over(here).alias(f"_o{i}") for i, (how, column) in enumerate(values.values())))
     made = [_RUNNING[how][1](F.col(f"_o{i}"), F.col(f"_b{i}")).alias(name) for i, (name, (how, _)) in enumerate(values.items())]
-    return own.join(before, [*keys, "_part"]).select(*(c for c in df.columns if c not in values), *made)
+    return own.join(lookup(before), [*keys, "_part"]).select(*(c for c in df.columns if c not in values), *made)
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
@@ -69,4 +69,4 @@ def lagged(df: DataFrame, keys: list[str], order: list[str], values: dict[str, s
     first = F.row_number().over(here) == 1
     own = parts.select("*", first.alias("_first"), *(F.lag(c).over(here).alias(f"_l_{n}") for n, c in values.items()))
     made = [F.when(F.col("_first"), F.col(f"_before.{n}")).otherwise(F.col(f"_l_{n}")).alias(n) for n in values]
-    return own.join(before, [*keys, "_part"]).select(*df.columns, *made)
+    return own.join(lookup(before), [*keys, "_part"]).select(*df.columns, *made)

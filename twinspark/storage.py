@@ -64,8 +64,8 @@ def materialized(df: DataFrame, path: str | None = None) -> DataFrame:
 FEW = 200_000
 
 
-def lookup(df: DataFrame, few: int = FEW) -> DataFrame:
-    """df stored as the smaller side of a join: broadcast if it has up to `few` rows, so that the other side stays where
-    it lies, else as it is."""
-    df = materialized(df)
+def lookup(df: DataFrame, few: int = FEW, stored: bool = False) -> DataFrame:
+    """df stored (unless it is) as the smaller side of a join: broadcast if it has up to `few` rows, so that the other
+    side stays where it lies, else as it is."""
+    df = df if stored else materialized(df)
     return F.broadcast(df) if df.count() <= few else df
