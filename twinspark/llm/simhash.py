@@ -42,6 +42,15 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of given hashes: a bit is set if over half of them have it; none give zero."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)], "<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def covering_masks(radius: int) -> list[int]:
     """The tables' masks as signed 64-bit integers."""
     vectors = [i % ((1 << radius + 1) - 1) + 1 for i in range(BITS)]

@@ -1,5 +1,8 @@
 """Near-dedup by similarity: documents link at a Jaccard similarity of 4/5 or more over their sets of five-word shingles.
 
+Covering SimHash comes first: fingerprints of the sets within RADIUS bits give pairs, which are verified on whole sets.
+Not every similar pair is that near by fingerprint, so prefix filtering follows for the rest.
+
 Prefix filtering misses no pair. Put every set in one global order; a pair at the threshold shares ceil(4 n / 5) of a
 set's n shingles or more, so it shares one among the first n - ceil(4 n / 5) + 1 of both. Shingles that a sample finds
 to be common come last in the order, which only keeps them out of most prefixes. Candidates are compared by a bitmap
@@ -19,8 +22,11 @@ from pyspark.sql import functions as F
 
 from twinspark.llm.components import components
 from twinspark.llm.shared import full_text, kind_of, positional, release, remove, shared_root, ship, small_batches, stored, without
+from twinspark.llm.simhash import fingerprint_of, near_links
 
 WORDS = 5
+#: Fingerprints link at so many differing bits or fewer; more are dear where very many lie together, see near_links.
+RADIUS = 2
 #: Prefix shingles with up to this many sets compare them inside; larger ones go by leaders, see similar_links.
 SMALL_BUCKET = 32
 #: A bitmap has this many bits for each shingle of its set or more, rounded up to a power of two.
@@ -160,6 +166,17 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, once: bool, wo
     return links
 
 
+def fingerprint_pairs(marked: DataFrame, root: str, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints covering SimHash links: each set and the smallest key of its own
+    fingerprint, and these keys of linked fingerprints. marked: key, fp."""
+    nodes = stored(marked.groupBy("fp").agg(F.min("key").alias("low")), f"{root}/nodes")
+    links = near_links(nodes.select("fp"), radius, root)
+    ends = [nodes.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")) for c in ("a", "b")]
+    across = links.join(ends[0], "a").join(ends[1], "b").select(F.col("low_a").alias("one"), F.col("low_b").alias("other"))
+    pairs = marked.join(nodes, "fp").where("key <> low").select(F.col("key").alias("one"), F.col("low").alias("other")).unionByName(across)
+    return stored(pairs.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct(), f"{root}/pairs")
+
+
 def first_pairs(prefixes: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """pairs (a, b) of each set and the leader of each of its tokens, and the rows (token, key, n, m) of all tokens.
 
@@ -263,9 +280,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
             bits = [bitmap_of(s) for s in found]
             maps = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bits)]), pa.int32()), pa.array(np.concatenate(bits)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([key_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), lists, maps], names=["id", "key", "n", "prefix", "bitmap"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([key_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), lists, maps, pa.array([fingerprint_of(s) for s in found], pa.int64())], names=["id", "key", "n", "prefix", "bitmap", "fp"])
 
-    rows = stored(texts.mapInArrow(first, f"id {kind_of(texts, 'id')}, key long, n long, prefix array<long>, bitmap array<long>"), f"{root}/prefixes")
+    rows = stored(texts.mapInArrow(first, f"id {kind_of(texts, 'id')}, key long, n long, prefix array<long>, bitmap array<long>, fp long"), f"{root}/prefixes")
     tokens = rows.select("key", "n", F.explode("prefix").alias("token"))
     # Written, so that the join has an exchange of its own and adaptive execution can split a hot token.
     again = stored(tokens.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token"), f"{root}/again")
@@ -274,7 +291,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs, sized = first_pairs(prefixes, root)
     release(spark, f"{root}/shared", f"{root}/tokens")
     keys = sized.select("key").distinct()
-    marked = rows.join(keys, "key", "left_semi").groupBy("key", "n").agg(F.first("bitmap").alias("bitmap"))
+    marked = rows.join(keys, "key", "left_semi").groupBy("key", "n").agg(F.first("bitmap").alias("bitmap"), F.first("fp").alias("fp"))
     marked = stored(marked, f"{root}/bitmaps")
 
     once = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
@@ -283,8 +300,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = stored(near_pairs(pairs, marked), f"{root}/{name}-pairs")
         return verified(pairs, rows, texts, once, words, f"{root}/{name}")
 
-    known = near(pairs, "known")
-    release(spark, f"{root}/first")
+    known = near(fingerprint_pairs(marked.select("key", "fp"), f"{root}/simhash").unionByName(pairs).distinct(), "known")
+    release(spark, f"{root}/first", *(f"{root}/simhash/{name}" for name in ("nodes", "sizes", "crowded", "pairs")))
     pairs, crowded = candidates(open_rows(sized, known, root), root, small_bucket)
     release(spark, f"{root}/sized", f"{root}/parted")
     crowded = stored(crowded, f"{root}/crowded")
