@@ -114,7 +114,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     root = shared_root(spark)
     rows = stored(fingerprints(docs, id_col, text_col, shingle), f"{root}/fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("low")), f"{root}/nodes")
-    found = components(near_links(nodes.where("low is not null").select("fp"), radius, root), root)
+    found = components(near_links(nodes.where("low is not null").select("fp"), radius, root).distinct(), root)
     release(spark, f"{root}/crowded", f"{root}/sizes")
     whole = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
     named = whole.join(whole.groupBy("part").agg(F.min("low").alias("component_id")), "part").select("fp", "component_id")

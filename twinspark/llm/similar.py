@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.components import components
+from twinspark.llm.components import components, joined
 from twinspark.llm.shared import full_text, kind_of, positional, release, remove, shared_root, ship, small_batches, stored, without
 from twinspark.llm.simhash import fingerprint_of, near_links
 
@@ -118,23 +118,21 @@ def near_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(may_be_near("na", "ma", "nb", "mb")).select("a", "b")
 
 
-def cells(pairs: DataFrame, root: str) -> DataFrame:
-    """The pairs as (cell, key): cell is the end that has more pairs, so that few sets are cells."""
+def cells(pairs: DataFrame, count: int, root: str) -> DataFrame:
+    """The `count` pairs as (cell, key): cell is the end that has more pairs, so that few sets are cells."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("d"))
-    ends = stored(ends, f"{root}-degrees")
+    ends = stored(ends, f"{root}-degrees", 2 * count)
     both = pairs.join(ends.select(F.col("key").alias("a"), F.col("d").alias("da")), "a").join(ends.select(F.col("key").alias("b"), F.col("d").alias("db")), "b")
     return stored(both.selectExpr("if(da >= db, a, b) as cell", "if(da >= db, b, a) as key"), f"{root}-cells")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, once: bool, words: int, root: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: shared / (na + nb - shared) >= 4 / 5, in integers. Stored at root.
+def verified(pairs: DataFrame, count: int, ids: DataFrame, texts: DataFrame, once: bool, words: int, root: str) -> DataFrame:
+    """Of the `count` pairs (a, b) those whose sets are similar: shared / (na + nb - shared) >= 4 / 5, in integers. Stored at root.
 
     Sets are made from texts where these are read, and meet by one shuffle: a set for each cell and one for each pair.
-    rows: id, key of all texts; once: no id is on two of them."""
+    ids: key, id of one text of each set; once: no id is on two texts."""
     spark = pairs.sparkSession
-    dealt = cells(pairs, root)
-    keys = dealt.select("cell").unionByName(dealt.select(F.col("key").alias("cell"))).distinct().withColumnRenamed("cell", "key")
-    ids = stored(rows.select("id", "key").join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")), f"{root}-ids")
+    dealt = cells(pairs, count, root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -161,8 +159,8 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, once: bool, wo
     right = sets(dealt, "members")
     shared = F.size(F.array_intersect("own", "shingles")).cast("long")
     near = right.join(left, "cell").where(shared * 9 >= (F.size("own") + F.size("shingles")).cast("long") * 4)
-    links = stored(near.select(F.least("cell", "key").alias("a"), F.greatest("cell", "key").alias("b")).distinct(), root)
-    release(spark, *(f"{root}-{name}" for name in ("degrees", "cells", "ids", "leads", "members")))
+    links = stored(near.select(F.least("cell", "key").alias("a"), F.greatest("cell", "key").alias("b")).distinct(), root, count)
+    release(spark, *(f"{root}-{name}" for name in ("degrees", "cells", "leads", "members")))
     return links
 
 
@@ -177,29 +175,40 @@ def fingerprint_pairs(marked: DataFrame, root: str, radius: int = RADIUS) -> Dat
     return stored(pairs.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct(), f"{root}/pairs")
 
 
-def first_pairs(prefixes: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """pairs (a, b) of each set and the leader of each of its tokens, and the rows (token, key, n, m) of all tokens.
+def shared_tokens(tokens: DataFrame, root: str) -> DataFrame:
+    """The rows of tokens that more than one set has, each once, as token, key, n, m, lead, lead_n. tokens: token, key, n.
+
+    m is the number of rows with the token, repeated sets included. The leader is the set whose key has the smallest
+    hash, so the tokens of a group of near copies have few leaders: a group costs about a pair a member, not a pair a
+    pair."""
+    lead = (F.min_by(c, F.xxhash64("key")).alias(name) for c, name in (("key", "lead"), ("n", "lead_n")))
+    sizes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("low"), F.max("key").alias("high"), *lead)
+    # Written, so that the join has an exchange of its own and adaptive execution can split a hot token.
+    sizes = stored(sizes.where("low < high").drop("low", "high"), f"{root}/tokens")
+    return stored(tokens.join(sizes, "token").distinct(), f"{root}/sized")
 
-    The leader is the set whose key has the smallest hash, so the tokens of a group of near copies have few leaders: a
-    group costs about a pair a member, not a pair a pair."""
-    sizes = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("key", "n"), F.xxhash64("key")).alias("lead"))
-    sized = stored(prefixes.join(stored(sizes, f"{root}/tokens"), "token"), f"{root}/sized")
-    near = F.expr("key <> lead.key and least(n, lead.n) * 5 >= greatest(n, lead.n) * 4")
-    pairs = sized.where(near).select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
-    return stored(pairs, f"{root}/first"), sized.drop("lead")
 
+def first_pairs(sized: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each set and the leader of each of its tokens."""
+    near = F.expr("key <> lead and least(n, lead_n) * 5 >= greatest(n, lead_n) * 4")
+    return sized.where(near).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
 
-def open_rows(sized: DataFrame, links: DataFrame, root: str) -> DataFrame:
-    """The rows, with `part`, of tokens whose sets the links do not all connect."""
-    parts = components(links, f"{root}/parts").withColumnRenamed("node", "key")
-    state = stored(sized.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component"), f"{root}/parted")
+
+def open_rows(sized: DataFrame, parts: DataFrame, root: str) -> DataFrame:
+    """The rows, with `part`, of tokens whose sets are not all in one part. parts: node, component."""
+    state = stored(with_part(sized.select("token", "key", "n", "m"), parts), f"{root}/parted")
     several = state.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
     return stored(state.join(stored(several, f"{root}/several"), "token", "left_semi"), f"{root}/unsettled")
 
 
+def with_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows with the part of their key, a set without one being a part of its own."""
+    return rows.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
+
+
 def candidates(unsettled: DataFrame, root: str, small_bucket: int = SMALL_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """pairs (a, b) of different parts that may be similar by their tokens with few sets, and the rows (token, key, n) of
-    tokens with more.
+    """pairs (a, b) of different parts that may be similar by their tokens with few sets, and the rows (token, key, n,
+    part) of tokens with more.
 
     If x's prefix ends first in the order, what x shares beyond both prefixes is in the rest of x. So a pair shares at
     most its common prefix tokens and the longer rest; tokens with many sets, not counted here, count as common."""
@@ -208,31 +217,37 @@ def candidates(unsettled: DataFrame, root: str, small_bucket: int = SMALL_BUCKET
     small = small.groupBy("token").agg(F.collect_list(F.struct("key", "n", "many", "part")).alias("all"))
     inside = F.expr("flatten(transform(all, x -> transform(filter(all, y -> y.key > x.key and y.part <> x.part and least(x.n, y.n) * 5 >= greatest(x.n, y.n) * 4), y -> struct(x.key as a, y.key as b, x.n + y.n as n, least(x.many, y.many) + (greatest(x.n, y.n) * 4 + 4) div 5 - 1 as rest))))")
     pairs = small.select(F.explode(inside).alias("e")).groupBy("e.a", "e.b").agg(F.count(F.lit(1)).alias("c"), F.max("e.n").alias("n"), F.max("e.rest").alias("rest"))
-    return stored(pairs.where("9 * (c + rest) >= 4 * n").select("a", "b"), f"{root}/pairs"), unsettled.where(F.col("m") > small_bucket).select("token", "key", "n")
+    return stored(pairs.where("9 * (c + rest) >= 4 * n").select("a", "b"), f"{root}/pairs"), unsettled.where(F.col("m") > small_bucket).select("token", "key", "n", "part")
+
 
+def similar_parts(parts: DataFrame, pairs: DataFrame, crowded: DataFrame, marked: DataFrame, near: Callable[[DataFrame, str], DataFrame], root: str, small_bucket: int = SMALL_BUCKET, met: int = MET) -> DataFrame:
+    """node, component of exactly what all similar pairs connect.
 
-def similar_links(known: DataFrame, pairs: DataFrame, crowded: DataFrame, marked: DataFrame, near: Callable[[DataFrame, str], DataFrame], root: str, small_bucket: int = SMALL_BUCKET, met: int = MET) -> DataFrame:
-    """Edges (a, b) between similar sets that connect exactly what all similar pairs connect.
+    parts: node, component of the edges that are verified already; near finds the similar ones of some pairs, stored
+    under a name. pairs and crowded: see candidates; its `part` is that of parts. A round that finds no edge leaves the
+    parts as they are, so nothing is computed again.
 
-    known: edges that are verified already; near finds the similar ones of some pairs, stored under a name. pairs and
-    crowded: see candidates. In tokens with many sets all are compared with one leader of the largest part first, as a
-    group of near copies is all like the one that changed least: the leader is the set that has most of these tokens,
-    and in later rounds any. That goes on as long as a round leaves half of the pairs or fewer. Then the pairs that no
-    edges connect yet are compared, each at the smallest of the tokens that it shares: sets carry the `met` smallest of
-    theirs, and a pair that shares none of these is made at each token that it has. They carry their bitmaps too, or-ed
-    down to a bounded width, and a pair that these rule out is not made (marked: key, n, bitmap). So a large group of near
-    copies costs no square of its size; of many unlike documents of nothing but common shingles all bitmaps are compared
-    where they share one, but no rows are made."""
+    In tokens with many sets all are compared with one leader of the largest part first, as a group of near copies is
+    all like the one that changed least: the leader is the set that has most of these tokens, and in later rounds any.
+    That goes on as long as a round leaves half of the pairs or fewer. Then the pairs that no edges connect yet are
+    compared, each at the smallest of the tokens that it shares: sets carry the `met` smallest of theirs, and a pair
+    that shares none of these is made at each token that it has. They carry their bitmaps too, or-ed down to a bounded
+    width, and a pair that these rule out is not made (marked: key, n, bitmap). So a large group of near copies costs no
+    square of its size; of many unlike documents of nothing but common shingles all bitmaps are compared where they
+    share one, but no rows are made."""
     alike = F.expr("part <> part2 and least(n, n2) * 5 >= greatest(n, n2) * 4")
-    links = stored(known.unionByName(near(pairs, "links-near")), f"{root}/links")
+    found = joined(parts, near(pairs, "links-near"), f"{root}/round-0")
     total, before, i = crowded.count(), None, 0
     while total:
-        found = components(links, f"{root}/round-{i}")
-        state = crowded.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
-        state = stored(state.join(stored(crowded.groupBy("key").agg(F.count(F.lit(1)).alias("reach")), f"{root}/reach-{i}"), "key"), f"{root}/state-{i}")
+        state = crowded if found is parts else with_part(crowded.drop("part"), found)
+        if i == 0:
+            state = state.join(stored(crowded.groupBy("key").agg(F.count(F.lit(1)).alias("reach")), f"{root}/reach"), "key")
+        if found is not parts or i == 0:
+            state = stored(state, f"{root}/state-{i}")
+        parts = found
         lead = F.max_by(F.struct("key", "n"), F.struct(F.col("reach") if i == 0 else F.lit(0), F.xxhash64("key", F.lit(i))))
-        parts = state.groupBy("token", "part").agg(F.count(F.lit(1)).alias("m"), lead.alias("lead"))
-        open_ = parts.groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inner"), F.max_by(F.struct("part", "lead"), F.struct("m", "part")).alias("x")).where("m * m > inner")
+        members = state.groupBy("token", "part").agg(F.count(F.lit(1)).alias("m"), lead.alias("lead"))
+        open_ = members.groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inner"), F.max_by(F.struct("part", "lead"), F.struct("m", "part")).alias("x")).where("m * m > inner")
         open_ = stored(open_.select("token", ((F.col("m") * F.col("m") - F.col("inner")) / 2).alias("left"), F.col("x.part").alias("part2"), F.col("x.lead.key").alias("key2"), F.col("x.lead.n").alias("n2")), f"{root}/open-{i}")
         left = open_.agg(F.sum("left")).first()[0] or 0
         if not left:
@@ -249,13 +264,12 @@ def similar_links(known: DataFrame, pairs: DataFrame, crowded: DataFrame, marked
         else:
             both = state.join(open_, "token").where(alike)
         both = both.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
-        more = near(stored(both, f"{root}/pairs-{i}"), f"near-{i}")
-        links = stored(links.unionByName(more), f"{root}/links-{i}")
-        release(links.sparkSession, *(f"{root}/{name}-{i}" for name in ("state", "reach", "pairs", "held", "marks", "ends")))
+        found = joined(parts, near(stored(both, f"{root}/pairs-{i}"), f"near-{i}"), f"{root}/round-{i + 1}")
+        release(crowded.sparkSession, *(f"{root}/{name}-{i}" for name in ("state", "pairs", "held", "marks", "ends")))
         if last:
             break
-        crowded, before, i = crowded.drop("part"), left, i + 1
-    return links
+        before, i = left, i + 1
+    return found
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, small_bucket: int = SMALL_BUCKET, met: int = MET) -> DataFrame:
@@ -284,33 +298,32 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = stored(texts.mapInArrow(first, f"id {kind_of(texts, 'id')}, key long, n long, prefix array<long>, bitmap array<long>, fp long"), f"{root}/prefixes")
     tokens = rows.select("key", "n", F.explode("prefix").alias("token"))
-    # Written, so that the join has an exchange of its own and adaptive execution can split a hot token.
-    again = stored(tokens.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token"), f"{root}/again")
-    prefixes = stored(tokens.join(again, "token", "left_semi").distinct(), f"{root}/shared")
-    release(spark, f"{root}/again")
-    pairs, sized = first_pairs(prefixes, root)
-    release(spark, f"{root}/shared", f"{root}/tokens")
+    sized = shared_tokens(tokens, root)
+    release(spark, f"{root}/tokens")
     keys = sized.select("key").distinct()
-    marked = rows.join(keys, "key", "left_semi").groupBy("key", "n").agg(F.first("bitmap").alias("bitmap"), F.first("fp").alias("fp"))
+    marked = rows.join(keys, "key", "left_semi").groupBy("key", "n").agg(F.min("id").alias("id"), F.first("bitmap").alias("bitmap"), F.first("fp").alias("fp"))
     marked = stored(marked, f"{root}/bitmaps")
 
     once = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
     def near(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(near_pairs(pairs, marked), f"{root}/{name}-pairs")
-        return verified(pairs, rows, texts, once, words, f"{root}/{name}")
+        count = pairs.count()
+        return verified(pairs, count, marked.select("key", "id"), texts, once, words, f"{root}/{name}") if count else pairs
 
-    known = near(fingerprint_pairs(marked.select("key", "fp"), f"{root}/simhash").unionByName(pairs).distinct(), "known")
-    release(spark, f"{root}/first", *(f"{root}/simhash/{name}" for name in ("nodes", "sizes", "crowded", "pairs")))
-    pairs, crowded = candidates(open_rows(sized, known, root), root, small_bucket)
+    known = near(fingerprint_pairs(marked.select("key", "fp"), f"{root}/simhash").unionByName(first_pairs(sized)).distinct(), "known")
+    parts = components(known, f"{root}/parts")
+    release(spark, *(f"{root}/simhash/{name}" for name in ("nodes", "sizes", "crowded", "pairs")))
+    pairs, crowded = candidates(open_rows(sized, parts, root), root, small_bucket)
     release(spark, f"{root}/sized", f"{root}/parted")
     crowded = stored(crowded, f"{root}/crowded")
     release(spark, f"{root}/unsettled", f"{root}/many")
-    found = components(similar_links(known, pairs, crowded, marked, near, root, small_bucket, met), f"{root}/last")
-    named = rows.select("id", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left").select("id", "n", F.coalesce("component", "key").alias("component"))
+    found = similar_parts(parts, pairs, crowded, marked, near, root, small_bucket, met)
+    named = with_part(rows.select("id", "key", "n"), found).select("id", "n", F.col("part").alias("component"))
     named = stored(named, f"{root}/named")
     low = stored(named.groupBy("component").agg(F.min("id").alias("low")), f"{root}/low")
-    kept = named.join(low, "component").where("n = 0 or id = low").select("id")
-    dropped = stored(named.select("id").distinct().join(kept, "id", "left_anti").select(F.col("id").alias(own)), f"{home}/dropped")
+    ends = named.join(low, "component")
+    gone = ends.where("n > 0 and id <> low").select("id") if once else named.select("id").distinct().join(ends.where("n = 0 or id = low"), "id", "left_anti")
+    dropped = stored(gone.select(F.col("id").alias(own)), f"{home}/dropped")
     remove(spark, root)
     return without(plain, dropped, [own]).select(plain.columns).toDF(*docs.columns)
